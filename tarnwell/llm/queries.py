@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tarnwell.llm import simhash
 from tarnwell.llm.token_counts import token_counts
 from tarnwell.session import table
 
@@ -13,5 +14,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts,)}
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_simhash_near_dedup)}
 ORACLES: dict[str, str] = {}
