@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwell.llm import simhash
+from tarnwell.llm import packing, secrets, simhash
 from tarnwell.llm.token_counts import token_counts
+from tarnwell.llm.token_ids import TokenIds
 from tarnwell.session import table
 
 
@@ -18,5 +19,18 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_simhash_near_dedup)}
+def bpe_50k() -> TokenIds:
+    """Ids by byte_bpe_50k.json."""
+    return TokenIds(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), bpe_50k, end_id=1, tokens=2048, segments=64, loss=2048)
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_simhash_near_dedup, op5_vector_packing, op7_secret_scan)}
 ORACLES: dict[str, str] = {}

@@ -1,0 +1,149 @@
+"""Secret scans: fixed patterns, and windows of high Shannon entropy in candidate strings.
+
+Base findings are the leftmost non-overlapping matches of three patterns (assign, access, hex). The entropy method adds
+spans: a candidate is a run of 20 or more characters of one alphabet (hexadecimal, else base64 and URL-safe characters).
+A window of ``window`` characters slides over it; the counts of its characters and the sum of n*log2(n) are updated by one
+leaving and one entering character, and the window's entropy log2(w) - sum/w is compared with the alphabet's limit. Windows
+over the limit are merged into spans. Allow-listed candidates (UUIDs, plain words, paths, repeated or sequential filler,
+documented example keys) and whatever a base finding already covers are suppressed; base findings never are.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from tarnwell.llm.common import batch, id_and_text, map_arrow
+
+ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
+ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
+HEX = re.compile(r"[0-9a-f]{24,}")
+KINDS = ("assign", "access", "hex", "entropy")
+
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+HEX_ONLY = re.compile(r"[0-9a-fA-F]+\Z")
+#: Alphabet: window and least entropy in bits a character.
+LIMITS = {"hex": (20, 3.0), "base64": (24, 3.9)}
+ALLOWED = (
+    re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z"),  # UUID
+    re.compile(r"[A-Za-z]+(?:[/_=+-]+[A-Za-z]*)*\Z"),  # words, paths and rules without a digit
+    re.compile(r"[0-9=+/_-]+\Z"),  # numbers
+    re.compile(r"(?i:.*(?:example|placeholder|changeme|dummy|sample|xxxx|abcdef|123456).*)\Z"),  # documented examples
+)
+N_LOG = [0.0, *(n * math.log2(n) for n in range(1, 65))]
+Span = tuple[int, int, int]  # start, kind, end
+
+
+def base_spans(text: str) -> list[Span]:
+    """The fixed patterns' matches in code points, by start, then kind."""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
+    found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
+    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    return sorted(found)
+
+
+def entropy_windows(s: str, window: int, least: float) -> list[tuple[int, int]]:
+    """Merged (start, end) of the windows of ``s`` with an entropy of ``least`` or more, by incremental counts."""
+    out: list[tuple[int, int]] = []
+    counts: dict[str, int] = {}
+    total, most = 0.0, (math.log2(window) - least) * window + 1e-9
+    for i, c in enumerate(s):
+        n = counts.get(c, 0)
+        counts[c] = n + 1
+        total += N_LOG[n + 1] - N_LOG[n]
+        if i >= window:
+            d = s[i - window]
+            n = counts[d]
+            counts[d] = n - 1
+            total += N_LOG[n - 1] - N_LOG[n]
+        if i >= window - 1 and total <= most:
+            start = i - window + 1
+            if out and out[-1][1] >= start:
+                out[-1] = (out[-1][0], i + 1)
+            else:
+                out.append((start, i + 1))
+    return out
+
+
+def entropy_spans(text: str, base: list[Span], limits: dict[str, tuple[int, float]] = LIMITS) -> list[Span]:
+    """Entropy findings outside the base findings."""
+    found = []
+    for m in CANDIDATE.finditer(text):
+        s = m[0]
+        if any(a.match(s) for a in ALLOWED):
+            continue
+        window, least = limits["hex" if HEX_ONLY.match(s) else "base64"]
+        for a, b in entropy_windows(s, window, least):
+            a, b = a + m.start(), b + m.start()
+            if not any(x < b and a < y for x, _, y in base):
+                found.append((a, 3, b))
+    return found
+
+
+def joined(spans: list[Span]) -> str:
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def find(text: str) -> tuple[list[Span], list[Span]]:
+    """(base findings, all findings), each by start, then kind."""
+    base = base_spans(text)
+    return base, sorted(base + entropy_spans(text, base))
+
+
+def redact(text: str, spans: list[Span], mark: Callable[[str], str] = lambda kind: f"<{kind.upper()}_REMOVED>") -> str:
+    """``text`` with each finding replaced by a mark; overlapping findings become one."""
+    out, at, end = [], 0, 0
+    for a, k, b in spans:
+        if a >= end:
+            out += [text[at:a], mark(KINDS[k])]
+        end = at = max(b, end)
+    return "".join([*out, text[at:]])
+
+
+SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long"
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: counts by kind, a digest of the base findings and all spans.
+
+    Whole texts are scanned, in one pass without a shuffle. A null text is the empty text (no findings, the digest of the
+    empty string, spans ''); null ids stay null; repeated rows give repeated results; other columns are ignored.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                base, every = find(t)
+                n = [0] * len(KINDS)
+                for _, k, _ in every:
+                    n[k] += 1
+                rows.append((i, *n[:3], hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), n[3]))
+            if rows:
+                yield batch(SCHEMA, list(zip(*rows, strict=True)))
+
+    return map_arrow(id_and_text(docs, id_col, text_col), run, SCHEMA)
+
+
+def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` with every finding in ``text_col`` masked; a null text stays null. ``length_col``, if there, is counted anew."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.functions import pandas_udf
+
+    from tarnwell.session import ship
+
+    ship(docs.sparkSession)
+
+    @pandas_udf("string")
+    def mask(texts):  # noqa: ANN001, ANN202
+        return texts.map(lambda t: t if t is None else redact(t, find(t)[1]))
+
+    out = docs.withColumn(text_col, mask(F.col(text_col)))
+    if length_col in docs.columns:
+        out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
+    return out.select(docs.columns)
