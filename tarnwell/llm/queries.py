@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwell.llm import class_lm, packing, secrets, simhash
+from tarnwell.llm import class_lm, packing, secrets, simhash, tiff, weak_labels
 from tarnwell.llm.token_counts import token_counts
 from tarnwell.llm.token_ids import TokenIds
 from tarnwell.session import table
@@ -32,9 +32,17 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sample=4096, labelled_rows=8192)
+
+
+def op8_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.media_features(table(spark, sf_dir, "documents"))
+
+
 def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(table(spark, sf_dir, "documents"), frequent=65_536, clustered=512, classes=32)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_simhash_near_dedup, op5_vector_packing, op7_secret_scan, op10_class_lm)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_simhash_near_dedup, op5_vector_packing, op7_secret_scan, op3_weak_label_quality, op8_tiff_pages, op10_class_lm)}
 ORACLES: dict[str, str] = {}
