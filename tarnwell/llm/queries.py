@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwell.llm import class_lm, packing, secrets, simhash, tiff, weak_labels
+from tarnwell.llm import chat, class_lm, packing, piece_codec, secrets, simhash, tiff, vectors_lsh, weak_labels
 from tarnwell.llm.token_counts import token_counts
 from tarnwell.llm.token_ids import TokenIds
 from tarnwell.session import table
@@ -40,9 +40,21 @@ def op8_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.media_features(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_format(table(spark, sf_dir, "conversations"))
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors_lsh.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95, recall=0.97)
+
+
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), kind="bpe")
+
+
 def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(table(spark, sf_dir, "documents"), frequent=65_536, clustered=512, classes=32)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_simhash_near_dedup, op5_vector_packing, op7_secret_scan, op3_weak_label_quality, op8_tiff_pages, op10_class_lm)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_simhash_near_dedup, op5_vector_packing, op7_secret_scan, op3_weak_label_quality, op8_tiff_pages, op2_chat_format, op6_embedding_near_dedup, op9_piece_codec, op10_class_lm)}
+ORACLES: dict[str, str] = {"op2_chat_format": chat.ORACLE}
