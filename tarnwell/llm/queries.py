@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnwell.llm import chat, class_lm, packing, piece_codec, secrets, simhash, tiff, vectors_lsh, weak_labels
 from tarnwell.llm.token_counts import token_counts
-from tarnwell.llm.token_ids import TokenIds
+from tarnwell.llm.token_ids import bpe_50k
 from tarnwell.session import table
 
 
@@ -19,11 +20,6 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
-def bpe_50k() -> TokenIds:
-    """Ids by byte_bpe_50k.json."""
-    return TokenIds(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-
-
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), bpe_50k, end_id=1, tokens=2048, segments=64, loss=2048)
 
@@ -56,5 +52,5 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(table(spark, sf_dir, "documents"), frequent=65_536, clustered=512, classes=32)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_simhash_near_dedup, op5_vector_packing, op7_secret_scan, op3_weak_label_quality, op8_tiff_pages, op2_chat_format, op6_embedding_near_dedup, op9_piece_codec, op10_class_lm)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_simhash_near_dedup, op5_vector_packing, op7_secret_scan, op3_weak_label_quality, op8_tiff_pages, op2_chat_format, op6_embedding_near_dedup, op9_piece_codec, op10_class_lm)} | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {"op2_chat_format": chat.ORACLE}

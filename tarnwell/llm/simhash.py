@@ -182,3 +182,157 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     # a fingerprint may hold a third of the rows: both sides are plain shuffles here, so that Spark can split such a key
     return docs.join(by_fp.hint("shuffle_merge"), "fp").select("doc_id", hexed, "component_id")
+
+
+# -- similar documents, by wide fingerprints ------------------------------------------------------------------------
+
+LANES = 4  # 64-bit words of a wide fingerprint
+BANDS = 9.0  # length bands for each factor of e; a ratio of 0.8 spans at most ceil(9 * ln 1.25) = 3 of them
+
+
+def wide_fingerprint(text: bytes, shingle: int = 5) -> tuple[bytes, int]:
+    """(256-bit SimHash, number of shingles): words and shingles as in :func:`fingerprint`; each further 64 bits are summed over
+    the shingles' hashes mixed once more, which costs far less than hashing the shingles again."""
+    words = text.lower().split()
+    if not words:
+        return bytes(8 * LANES), 0
+    n = max(1, len(words) - shingle + 1)
+    ones = np.zeros((LANES, 64), np.int64)
+    for at in range(0, n, SLICE):
+        part = words[at : at + SLICE + shingle - 1]
+        m = max(1, len(part) - shingle + 1)
+        joined = map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False)) if len(part) >= shingle else [b" ".join(part)]
+        h = np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(42)), np.uint64, m)
+        for k in range(LANES):
+            ones[k] += bit_sums(h)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return np.packbits(ones * 2 > n, axis=1, bitorder="little").tobytes(), n
+
+
+def radius_for(similarity: float, bits: int = 64 * LANES) -> int:
+    """Differing bits at which the SimHash estimate of the shingle sets' Jaccard similarity is ``similarity``: for sets of like
+    size the cosine is 2s/(1+s), and a bit differs with probability angle/pi."""
+    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tile: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of each row whose id is not null: the smallest id reachable over links of estimated similarity.
+
+    Two documents are linked if their 256-bit fingerprints differ in at most :func:`radius_for` bits and their numbers of
+    shingles have a ratio of at least ``similarity`` (two sets of more unequal sizes cannot be that similar). Tiles are cut by
+    length band and hash; tile pairs of bands further apart than the ratio allows, and tile pairs whose population counts
+    differ beyond the radius, are skipped, all others are compared exactly. Texts of the same words are one class and never
+    meet. What is broadcast is the number of tiles of each (band, population count) cell, at most 200 x 257 rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [wide_fingerprint(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield batch("doc_id long, fp binary, m long", [b.column(0), [x for x, _ in made], [m for _, m in made]])
+
+    radius = radius_for(similarity)
+    rows = durable(map_arrow(id_and_text(docs, id_col, text_col), run, "doc_id long, fp binary, m long"), "wide").where("doc_id is not null")
+    classes = rows.groupBy("fp", "m").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fp", "m"))
+    pop = sum((F.bit_count(F.conv(F.hex(F.substring("fp", 8 * k + 1, 8)), 16, -10).cast("long")) for k in range(1, LANES)), F.bit_count(F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long")))
+    step = 2 * radius  # width of a population-count cell
+    cells = durable(classes.select("node", "fp", "m", F.floor(F.log(F.col("m") + 0.5) * BANDS).cast("int").alias("band"), F.floor(pop / step).cast("int").alias("pop")), "cells")
+    tiles = durable(cells.groupBy("band", "pop").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")), "tiles")
+    own = cells.join(F.broadcast(tiles), ["band", "pop"]).withColumn("tile", F.pmod(F.col("node"), F.col("tiles")).cast("int"))
+    home = own.select("band", "pop", "tile", F.lit(0).alias("side"), "node", "fp", "m")
+    later = own.where("tile < tiles - 1").select("band", "pop", F.explode(F.sequence(F.col("tile") + 1, F.col("tiles") - 1)).alias("tile"), F.lit(1).alias("side"), "node", "fp", "m")
+    reach = int(np.ceil(BANDS * -np.log(similarity)))
+    steps = [(0, 1)] + [(d, p) for d in range(1, reach + 1) for p in (-1, 0, 1)]
+    near = cells.select("node", "fp", "m", F.explode(F.array(*[F.struct((F.col("band") + d).alias("band"), (F.col("pop") + p).alias("pop")) for d, p in steps])).alias("to"))
+    near = near.select("node", "fp", "m", "to.band", "to.pop").join(F.broadcast(tiles), ["band", "pop"])
+    near = near.select("band", "pop", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(1).alias("side"), "node", "fp", "m")
+    dealt = home.union(later).union(near).repartition("band", "pop", "tile").sortWithinPartitions("band", "pop", "tile", "side")
+    edges = map_arrow(dealt, lambda batches: _compare_wide(batches, radius, similarity), "a long, b long")
+    roots = durable(components(edges), "roots")
+    rooted = classes.join(roots, "node", "left").select("fp", "m", "least", F.coalesce("root", "node").alias("root"))
+    found = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp = durable(rooted.join(found, "root").select("fp", "m", "component_id"), "by_fp")
+    return rows.join(by_fp.hint("shuffle_merge"), ["fp", "m"]).select("doc_id", "component_id")
+
+
+def _wide_hits(homes: tuple, probes: tuple, radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked (probe, home) positions: the first 64 bits decide on most pairs, the rest is compared for what is left."""
+    some = radius / LANES
+    j, h = np.nonzero(np.bitwise_count(probes[1][:, None, 0] ^ homes[1][None, :, 0]) <= some + 4 * np.sqrt(some))
+    ok = np.bitwise_count(probes[1][j] ^ homes[1][h]).sum(axis=1, dtype=np.int64) <= radius
+    j, h = j[ok], h[ok]
+    a, b = probes[2][j], homes[2][h]
+    ok = np.minimum(a, b) >= ratio * np.maximum(a, b)
+    return j[ok], h[ok]
+
+
+def _compare_wide(batches: Iterator[pa.RecordBatch], radius: int, ratio: float) -> Iterator[pa.RecordBatch]:
+    """As :func:`_compare`, for rows (band, pop, tile, side, node, fp, m)."""
+    at, homes, forest = None, None, None
+    schema = "a long, b long"
+
+    def take(b: pa.RecordBatch, lo: int, hi: int) -> tuple:
+        fps = np.frombuffer(b"".join(b.column(5).slice(lo, hi - lo).to_pylist()), np.uint64).reshape(-1, LANES)
+        return b.column(4).to_numpy(zero_copy_only=False)[lo:hi], fps, b.column(6).to_numpy(zero_copy_only=False)[lo:hi]
+
+    def join(probes: tuple) -> tuple[np.ndarray, np.ndarray]:
+        j, h = _wide_hits(homes, probes, radius, ratio)
+        one, start = np.unique(j, return_index=True)
+        lead = h[start][np.searchsorted(one, j)]
+        for pair in np.unique((lead << 32 | h)[lead != h]).tolist():
+            forest.union(pair >> 32, pair & 0xFFFFFFFF)
+        return one, h[start]
+
+    def settle() -> None:
+        nonlocal forest
+        forest = Forest(len(homes[0]))
+        for i in range(0, len(homes[0]), 256):
+            join(tuple(x[i : i + 256] for x in homes))
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if homes is not None:
+            if forest is None:
+                settle()
+            root = np.array([forest.find(i) for i in range(len(homes[0]))])
+            moved = root != np.arange(len(root))
+            if moved.any():
+                yield batch(schema, [homes[0][moved], homes[0][root[moved]]])
+
+    for b in batches:
+        keys = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lo == hi:
+                continue
+            key, side = tuple(keys[lo, :3].tolist()), int(keys[lo, 3])
+            if key != at:
+                yield from close()
+                at, homes, forest = key, None, None
+            part = take(b, lo, hi)
+            if not side:
+                homes = part if homes is None else tuple(np.concatenate(x) for x in zip(homes, part, strict=True))
+                continue
+            if homes is None:
+                continue
+            if forest is None:
+                settle()
+            for i in range(0, hi - lo, 256):
+                probes = tuple(x[i : i + 256] for x in part)
+                j, h = join(probes)
+                if len(j):
+                    yield batch(schema, [probes[0][j], homes[0][h]])
+    yield from close()
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of similar documents: the one with the smallest id, all its columns as they are.
+
+    Of rows that repeat an id and are all in one group one stays; rows with a null id are not compared and stay.
+    """
+    groups = durable(similar_classes(docs, shingle, similarity, id_col=id_col, text_col=text_col), "groups")
+    lost = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
+    again = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(id_col)).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(id_col)
+    left = docs.join(lost.distinct().hint("shuffle_merge"), id_col, "left_anti")
+    if not again.isEmpty():
+        left = left.join(again, id_col, "left_anti").union(left.join(again, id_col, "left_semi").dropDuplicates([id_col]))
+    return left.select(docs.columns)

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.llm.common import batch, id_and_text, map_arrow
+from tarnwell.session import ship
 
 BAD, GOOD, ABSTAIN = 0, 1, 2
 INSULTS = frozenset(b"idiot stupid moron loser scum trash pathetic worthless disgusting clown".split())
@@ -344,3 +345,20 @@ def classify(docs: DataFrame, labelled: DataFrame | None = None, sample: int = 4
     return train(docs, labelled, sample, labelled_rows).apply(docs)
 
 
+
+
+def keep_good(docs: DataFrame, labelled: DataFrame | None = None, sample: int = 4096, labelled_rows: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the classifier fitted on all of them keeps, with all their columns, in one pass without a shuffle."""
+    plain = id_and_text(docs, id_col, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(train(plain, labelled, sample, labelled_rows))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).fill_null("")
+            scored = pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), texts], names=["doc_id", "text"])
+            for s in _score([scored], sent.value):
+                yield b.filter(s.column(5))
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
