@@ -116,8 +116,8 @@ def recall_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT 1704844800::DOUBLE AS a, 1705276800::DOUBLE AS b), e AS (SELECT event_id, epoch(date_trunc('second', ts)) AS at FROM events)
-SELECT event_id AS note_id, round(1 - least(abs(at - (a + b) / 2) / greatest((b - a) / 2, 43200), 1), 6) AS score FROM e, w WHERE at BETWEEN a AND b"""
+    """WITH w AS (SELECT 1704844800::DOUBLE AS a, 1705276800::DOUBLE AS b), e AS (SELECT event_id, epoch(date_trunc('second', ts)) AS t FROM events)
+SELECT event_id AS note_id, round(1 - least(abs(t - (a + b) / 2) / greatest((b - a) / 2, 43200), 1), 6) AS score FROM e, w WHERE t BETWEEN a AND b"""
 )
 def recall_time(spark: SparkSession, d: str) -> DataFrame:
     a, b = 1_704_844_800, 1_705_276_800
