@@ -23,10 +23,11 @@ def identifier_parts(name: Column) -> Column:
 
 
 def expand_identifier(name: Column) -> Column:
-    """The identifier lower-cased, and after it its parts if there are two or more."""
+    """The identifier lower-cased, and after it its parts if there are two or more; one test spares plain words the rest."""
     parts = identifier_parts(name)
     whole = F.array(F.lower(name))
-    return F.when(F.size(parts) >= 2, F.concat(whole, parts)).otherwise(whole)
+    bordered = name.rlike("[A-Z][A-Z][a-z]|[a-z][A-Z0-9]|[0-9][A-Za-z]|[A-Z][0-9]|_")
+    return F.when(~bordered, whole).when(F.size(parts) >= 2, F.concat(whole, parts)).otherwise(whole)
 
 
 def code_tokens(text: Column) -> Column:

@@ -11,7 +11,7 @@ from tarnwell.operators import index as I
 from tarnwell.operators import memory as M
 from tarnwell.operators import search as S
 from tarnwell.plans.catalog import BM25_CTES, notes, query
-from tarnwell.session import table
+from tarnwell.session import durable, table
 
 NOW = 1_706_745_600  # 2024-02-01, a fixed clock
 
@@ -91,7 +91,7 @@ RECALL_WORDS = f"WITH{BM25_CTES} SELECT query_id, doc_id AS note_id, score FROM
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    p = I.postings(docs)
+    p = durable(I.postings(docs), "postings")
     return I.top_k(I.bm25(p, I.query_terms(table(spark, d, "benchmark"), "item_id", "text"), I.corpus_stats(docs, p)), 100, ["query_id"]).withColumnRenamed("doc_id", "note_id")
 
 
@@ -137,7 +137,7 @@ SELECT query_id, doc_id AS note_id, round(score, 6) AS score FROM b"""
 def recall_fused(spark: SparkSession, d: str) -> DataFrame:
     """Two strategies fused, then boosted by recency and proof and demoted if stale; age, proofs and state follow from the id."""
     docs = table(spark, d, "documents")
-    p = I.postings(docs)
+    p = durable(I.postings(docs), "postings")
     s = I.bm25(p, I.query_terms(table(spark, d, "benchmark"), "item_id", "text"), I.corpus_stats(docs, p))
     words = I.top_k(s, 100, ["query_id"]).select("query_id", F.col("doc_id").alias("note_id"), "rank", F.lit("words").alias("list"), F.lit(1.0).alias("weight"))
     length = I.top_k(s.join(I.doc_stats(p), "doc_id").select("query_id", "doc_id", F.col("dl").cast("double").alias("score")), 100, ["query_id"])

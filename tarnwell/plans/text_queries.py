@@ -10,7 +10,7 @@ from tarnwell.functions import vector as V
 from tarnwell.operators import index as I
 from tarnwell.operators import search as S
 from tarnwell.plans.catalog import BM25_CTES, chunks, query, sql_parts, sql_postings
-from tarnwell.session import table
+from tarnwell.session import durable, table
 
 POST = "WITH" + sql_postings("documents", "doc_id", "post")
 NAMES = "('getHTTPResponse2'), ('snake_case_name'), ('XMLParser'), ('plain'), ('__init__'), ('a1B2'), ('HTTP2Server'), ('x')"
@@ -40,20 +40,20 @@ def tokens_identifiers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{POST} SELECT count(*) AS postings, count(DISTINCT term) AS terms, count(DISTINCT doc_id) AS docs, CAST(sum(tf) AS BIGINT) AS total_len FROM post")
 def index_postings_stats(spark: SparkSession, d: str) -> DataFrame:
-    p = I.postings(table(spark, d, "documents"))
+    p = durable(I.postings(table(spark, d, "documents")), "postings")
     return p.agg(F.count(F.lit(1)).alias("postings"), F.count_distinct("term").alias("terms"), F.count_distinct("doc_id").alias("docs"), F.sum("tf").alias("total_len"))
 
 
 @query(f"WITH{BM25_CTES} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def index_idf(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    p = I.postings(docs)
+    p = durable(I.postings(docs), "postings")
     return I.idf(p, I.corpus_stats(docs, p)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _bm25(spark: SparkSession, d: str, among: DataFrame | None = None) -> DataFrame:
     docs = table(spark, d, "documents")
-    p = I.postings(docs)
+    p = durable(I.postings(docs), "postings")
     return I.bm25(p, I.query_terms(table(spark, d, "benchmark"), "item_id", "text"), I.corpus_stats(docs, p), among)
 
 
@@ -74,7 +74,7 @@ def bm25_among_lang(spark: SparkSession, d: str) -> DataFrame:
 )
 def bm25_repeated_terms(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    p = I.postings(docs)
+    p = durable(I.postings(docs), "postings")
     q = spark.createDataFrame([(0, "the of of the")], "qid long, text string")
     return I.bm25(p, I.query_terms(q, "qid", "text"), I.corpus_stats(docs, p)).select("doc_id", F.round("score", 6).alias("score"))
 
@@ -88,7 +88,7 @@ SELECT query_id, term, hits, weight, CAST(rk AS INTEGER) AS rank FROM r WHERE rk
 )
 def prf_expansion_terms(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    p, terms = I.postings(docs), I.query_terms(table(spark, d, "benchmark"), "item_id", "text")
+    p, terms = durable(I.postings(docs), "postings"), I.query_terms(table(spark, d, "benchmark"), "item_id", "text")
     st = I.corpus_stats(docs, p)
     return I.expansion_terms(I.top_k(I.bm25(p, terms, st), 10, ["query_id"]), p, terms, st, 16)
 
@@ -155,7 +155,7 @@ def rrf_two_lists(spark: SparkSession, d: str) -> DataFrame:
 
 def _fused(spark: SparkSession, d: str, alpha) -> DataFrame:  # noqa: ANN001
     docs = table(spark, d, "documents")
-    p = I.postings(docs)
+    p = durable(I.postings(docs), "postings")
     s = I.bm25(p, I.query_terms(table(spark, d, "benchmark"), "item_id", "text"), I.corpus_stats(docs, p))
     words = I.top_k(s, 50, ["query_id"]).select("query_id", "doc_id", "rank", F.lit("words").alias("list"), (1 - alpha).alias("weight"))
     length = I.top_k(s.join(I.doc_stats(p), "doc_id").select("query_id", "doc_id", F.col("dl").cast("double").alias("score")), 50, ["query_id"])
@@ -215,7 +215,7 @@ SELECT query_id, chunk_id, round(score + 0.5 * top * coalesce(ratio, 0), 4) AS s
 def stem_lift(spark: SparkSession, d: str) -> DataFrame:
     """Chunks gain by the idf-weighted part of the query's words they have."""
     docs = table(spark, d, "documents")
-    p, pool = I.postings(docs), _pool(spark, d)
+    p, pool = durable(I.postings(docs), "postings"), _pool(spark, d)
     terms = I.query_terms(table(spark, d, "benchmark"), "item_id", "text").select("query_id", F.col("term").alias("word"))
     weights = I.idf(p, I.corpus_stats(docs, p)).select(F.col("term").alias("word"), "idf")
     having = p.select(F.col("doc_id").alias("chunk_id"), F.col("term").alias("word")).join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi")
@@ -256,7 +256,7 @@ def sig_clip_fold(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ppmi_chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Length and squares of every document's co-occurrence vector (they sum to one)."""
-    _, by_doc = I.ppmi_vectors(I.postings(table(spark, d, "documents")), dims=64, units=4)
+    _, by_doc = I.ppmi_vectors(durable(I.postings(table(spark, d, "documents")), "postings"), dims=64, units=4)
     return by_doc.groupBy("doc_id").agg(F.count(F.lit(1)).alias("dims"), F.round(F.sum(F.col("x") * F.col("x")), 6).alias("squares"))
 
 
