@@ -16,9 +16,10 @@ A document is kept if both scores call it good.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from operator import eq
 
@@ -72,20 +73,31 @@ def bare_words(raw: bytes) -> set[bytes]:
     return set(raw.lower().translate(TO_SPACE).split())
 
 
-def lexicon_hits(words: set[bytes], starts: dict[int, frozenset[bytes]], lengths: tuple[int, ...]) -> int:
-    """Distinct words with a mined beginning of one of ``lengths`` bytes."""
-    some = [(k, starts[k]) for k in lengths if starts.get(k)]
-    return sum(any(w[:k] in s for k, s in some) for w in words) if some else 0
+class Lexicon:
+    """The insults and the mined word beginnings; a look at a word's first four bytes settles almost every word."""
 
+    def __init__(self, starts: dict[int, frozenset[bytes]]):
+        self.starts = [(k, frozenset(starts[k]), 1 if k in SHORT else 2) for k in SHORT + LONG if starts.get(k)]
+        self.has = [any(starts.get(k) for k in lengths) for lengths in (SHORT, LONG)]
+        self.first = frozenset(w[:4] for words in (INSULTS, *(s for _, s, _ in self.starts)) for w in words)
 
-def toxicity_votes(words: set[bytes], starts: dict[int, frozenset[bytes]]) -> list[int]:
+    def hits(self, words: set[bytes]) -> tuple[int, int, int, int]:
+        """Distinct words of ``words`` that are insults, have a short, have a long mined beginning, have any of these."""
+        first, n = self.first, [0, 0, 0, 0]
+        for w in [w for w in words if w[:4] in first]:
+            found = {0} if w in INSULTS else set()
+            found.update(kind for k, s, kind in self.starts if w[:k] in s)
+            for kind in found:
+                n[kind] += 1
+            n[3] += bool(found)
+        return tuple(n)
+
+
+def toxicity_votes(hits: tuple[int, int, int, int], lexicon: Lexicon) -> list[int]:
     """The votes of the lexicon of insults and of the two mined lexicons (short and long beginnings)."""
-    insults = len(words & INSULTS)
-    votes = [BAD if insults >= 2 else ABSTAIN if insults or any(starts.values()) else GOOD]
-    for lengths in (SHORT, LONG):
-        hits = lexicon_hits(words, starts, lengths)
-        votes.append(ABSTAIN if not any(starts.get(k) for k in lengths) else BAD if hits >= 2 else GOOD if hits == 0 else ABSTAIN)
-    return votes
+    insults, *mined, _ = hits
+    votes = [BAD if insults >= 2 else ABSTAIN if insults or any(lexicon.has) else GOOD]
+    return votes + [ABSTAIN if not has else BAD if n >= 2 else GOOD if n == 0 else ABSTAIN for n, has in zip(mined, lexicon.has, strict=True)]
 
 
 def pattern(votes: list[int]) -> int:
@@ -142,42 +154,41 @@ def expectation_maximisation(counts: dict[int, int], labellers: int, rounds: int
 QUALITY_BITS, TOXIC_BITS = 12, 18
 
 
-def shape(word: bytes) -> bytes:
-    """Runs of small letters, capitals, digits, other scripts and each mark, every run as one character."""
-    out = bytearray()
-    for c in word:
-        k = 97 if 97 <= c <= 122 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else 255 if c >= 128 else c
-        if k == 255 and out and out[-1] in (97, 65) or k == 97 and out and out[-1] == 255:
-            continue
-        if not out or out[-1] != k:
-            out.append(k)
-    return bytes(out[:12])
+SHAPE = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
 
 
-class _Shapes(dict):
-    """Word to the bucket of its shape, kept for up to 300,000 words."""
+def shapes(raw: bytes) -> list[bytes]:
+    """The shape of each word: runs of small letters (other scripts count as these), capitals and digits as one character each."""
+    out = raw.translate(SHAPE)
+    for run, one in ((b"aa", b"a"), (b"AA", b"A"), (b"00", b"0")):
+        while run in out:
+            out = out.replace(run, one)
+    return out.split()
 
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = self[w] = zlib.crc32(shape(w)) % ((1 << QUALITY_BITS) - 1)
-        return h
 
+def shape_bucket(shape: bytes) -> int:
+    return zlib.crc32(shape[:12]) % ((1 << QUALITY_BITS) - 1)
 
-def quality_features(words: list[bytes], shapes: _Shapes) -> dict[int, float]:
+
+def quality_features(raw: bytes, words: list[bytes]) -> dict[int, float]:
     """Share of the words in each bucket of shapes; the last bucket is the share of repeats of the word before."""
     n = len(words) or 1
-    out = {k: c / n for k, c in Counter(map(shapes.__getitem__, words)).items()}
+    out: dict[int, float] = {}
+    for x, c in Counter(shapes(raw)).items():
+        k = shape_bucket(x)
+        out[k] = out.get(k, 0.0) + c / n
     out[(1 << QUALITY_BITS) - 1] = sum(map(eq, words, words[1:])) / n
     return out
 
 
-def toxicity_features(words: set[bytes], starts: dict[int, frozenset[bytes]]) -> dict[int, float]:
-    """Whether a word beginning of 5 or 7 bytes occurs; the last bucket has the distinct lexicon words, up to four."""
+def beginnings(words: set[bytes]) -> set[bytes]:
+    return {w[:5] for w in words} | {w[:7] for w in words}
+
+
+def toxicity_features(words: set[bytes], hits: tuple[int, int, int, int]) -> dict[int, float]:
+    """How many distinct word beginnings of 5 or 7 bytes each bucket has; the last bucket has the lexicon words, up to four."""
     top = (1 << TOXIC_BITS) - 1
-    out = dict.fromkeys((zlib.crc32(w) % top for w in {w[:k] for w in words for k in (5, 7)}), 1.0)
-    out[top] = float(min(4, max(len(words & INSULTS), lexicon_hits(words, starts, SHORT + LONG))))
-    return out
+    return {**Counter(zlib.crc32(w) % top for w in beginnings(words)), top: float(min(4, hits[3]))}
 
 
 @dataclass
@@ -185,10 +196,24 @@ class Scorer:
     weights: np.ndarray
     bias: float
 
+    def probability(self, z: float) -> float:
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, z + self.bias))))
+
     def __call__(self, x: dict[int, float]) -> float:
-        w = self.weights
-        z = self.bias + sum(float(w[k]) * v for k, v in x.items())
-        return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
+        return self.probability(sum(float(self.weights[k]) * v for k, v in x.items()))
+
+
+class _Weights(dict):
+    """Word to the weight of its bucket, kept for up to 300,000 words."""
+
+    def __init__(self, weights: np.ndarray, bucket: Callable[[bytes], int]):
+        self.weights, self.bucket = weights, bucket
+
+    def __missing__(self, w: bytes) -> float:
+        if len(self) > 300_000:
+            self.clear()
+        x = self[w] = float(self.weights[self.bucket(w)])
+        return x
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], size: int, rounds: int = 200, ridge: float = 1e-3, least: int = 10) -> Scorer:
@@ -279,15 +304,19 @@ class Classifier:
 
 
 def _score(batches: Iterator[pa.RecordBatch], m: Classifier) -> Iterator[pa.RecordBatch]:
-    shapes = _Shapes()
+    lexicon, top = Lexicon(m.starts), (1 << TOXIC_BITS) - 1
+    by_shape = _Weights(m.quality_scorer.weights, shape_bucket)
+    starts = _Weights(m.toxicity_scorer.weights, lambda w: zlib.crc32(w) % top)
+    repeat, hit = float(m.quality_scorer.weights[-1]), float(m.toxicity_scorer.weights[-1])
     for b in batches:
         rows = []
         for i, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
             words, bare = raw.split(), bare_words(raw)
-            q = m.quality_scorer(quality_features(words, shapes)) if words else 0.0
-            t = 1 - m.toxicity_scorer(toxicity_features(bare, m.starts))
+            q = m.quality_scorer.probability((sum(map(by_shape.__getitem__, shapes(raw))) + repeat * sum(map(eq, words, words[1:]))) / len(words)) if words else 0.0
+            hits = lexicon.hits(bare)
+            t = 1 - m.toxicity_scorer.probability(sum(map(starts.__getitem__, beginnings(bare))) + hit * min(4, hits[3]))
             weak_q = m.quality.posterior.get(pattern(quality_votes(raw, words)), m.quality.prior)
-            weak_t = 1 - m.toxicity.posterior.get(pattern(toxicity_votes(bare, m.starts)), m.toxicity.prior)
+            weak_t = 1 - m.toxicity.posterior.get(pattern(toxicity_votes(hits, lexicon)), m.toxicity.prior)
             rows.append((i, weak_q, q, weak_t, t, q >= 0.5 and t < 0.5))
         if rows:
             yield batch(SCHEMA, list(zip(*rows, strict=True)))
@@ -295,24 +324,26 @@ def _score(batches: Iterator[pa.RecordBatch], m: Classifier) -> Iterator[pa.Reco
 
 def _count_patterns(batches: Iterator[pa.RecordBatch], starts: dict[int, frozenset[bytes]]) -> Iterator[pa.RecordBatch]:
     seen: Counter[tuple[int, int]] = Counter()
+    lexicon = Lexicon(starts)
     for b in batches:
         for raw in b.column(1).cast(pa.binary()).to_pylist():
             seen[0, pattern(quality_votes(raw, raw.split()))] += 1
-            seen[1, pattern(toxicity_votes(bare_words(raw), starts))] += 1
+            seen[1, pattern(toxicity_votes(lexicon.hits(bare_words(raw)), lexicon))] += 1
     if seen:
         yield batch("aspect int, pattern int, n long", [[k[0] for k in seen], [k[1] for k in seen], list(seen.values())])
 
 
 def _featurise(batches: Iterator[pa.RecordBatch], starts: dict[int, frozenset[bytes]], quality: LabelModel, toxicity: LabelModel) -> Iterator[pa.RecordBatch]:
-    shapes = _Shapes()
+    lexicon = Lexicon(starts)
     for b in batches:
         rows: list[tuple] = []
         for raw in b.column(1).cast(pa.binary()).to_pylist():
             words, bare = raw.split(), bare_words(raw)
+            hits = lexicon.hits(bare)
             if words:
                 for aspect, x, p in (
-                    (0, quality_features(words, shapes), quality.posterior[pattern(quality_votes(raw, words))]),
-                    (1, toxicity_features(bare, starts), toxicity.posterior[pattern(toxicity_votes(bare, starts))]),
+                    (0, quality_features(raw, words), quality.posterior[pattern(quality_votes(raw, words))]),
+                    (1, toxicity_features(bare, hits), toxicity.posterior[pattern(toxicity_votes(hits, lexicon))]),
                 ):
                     rows.append((aspect, np.array(list(x), "<i4").tobytes(), np.array(list(x.values()), "<f4").tobytes(), p))
         if rows:
