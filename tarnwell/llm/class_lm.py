@@ -6,8 +6,8 @@ the end. Exchange clustering on the driver then moves each frequent word to the
 information, until no move gains; its input is bounded by (clustered + shapes + 1)^2 numbers, whatever the corpus. The model
 is p(word | class) * p(class | class before); both are smoothed additively, and each class gives words never seen one share.
 
-Scoring needs each token's exact count. The ``frequent`` most frequent words' counts are broadcast (a documented bound; the
-other words are each at most 1/frequent of all tokens, so none of them is a hot key); tokens of rarer words are grouped by
+Scoring needs each token's exact count. The most frequent words' counts, at most ``frequent``, are broadcast (a documented
+bound; the other words are each hardly more than 1/frequent of all tokens, so none of them is a hot key); tokens of rarer words are grouped by
 document and word and joined with the count table. No count is dropped and no text is cut.
 """
 
@@ -176,9 +176,27 @@ class Model:
         return self.classes + SHAPES
 
 
+def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """At most ``most`` words with their counts, by falling count: whole bins of a histogram over log2(count), from the top.
+
+    The histogram has at most 16 * 63 bins, so what reaches the driver is bounded, and no task sends more than the words taken.
+    """
+    bin_ = F.floor(F.log2("c") * 16).cast("int")
+    sizes = {r.bin: r.n for r in counts.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    least, total = None, 0
+    for b in sorted(sizes, reverse=True):
+        total += sizes[b]
+        if total > most:
+            break
+        least = b
+    if least is None:
+        return []
+    return sorted(((bytes(r.word), r.c) for r in counts.where(bin_ >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+
 def train_model(counts: DataFrame, docs: DataFrame, frequent: int = 65_536, clustered: int = 512, classes: int = 32, smooth: float = 0.1) -> Model:
     """Fit the model. ``counts``: all training words (durable); ``docs``: id and text, of which the training part is read."""
-    top = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(frequent).collect()]
+    top = frequent_words(counts, frequent)
     symbols = {w: i for i, (w, _) in enumerate(top[:clustered])}
     n = len(symbols) + SHAPES + 1
     big = np.zeros((n, n), np.int64)
