@@ -32,7 +32,7 @@ WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 class PieceCodec:
     """Encodes and decodes by the pieces of a SentencePiece ``.model`` file whose normaliser only marks spaces."""
 
-    def __init__(self, path: str, kind: str = "bpe", max_words: int = 400_000):
+    def __init__(self, path: str, kind: str = "bpe", max_words: int = 600_000):
         if kind not in ("bpe", "unigram"):
             raise ValueError("kind must be bpe or unigram")
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -51,11 +51,12 @@ class PieceCodec:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         self.beside: dict[tuple[str, str], bool] = {}
+        self.trees: dict[str, tuple[float, str, str] | None | bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
 
-    def merge(self, word: str) -> list[str]:
-        """BPE by score: the best adjacent pair first, the leftmost of equals."""
-        parts = list(word)
+    def merge(self, word: str) -> tuple[list[str], tuple[float, str, str] | None]:
+        """BPE by score, the best adjacent pair first, the leftmost of equals; and the last merge (its rank, the two parts)."""
+        parts, last = list(word), None
         score = self.score
         while len(parts) > 1:
             best, at = None, -1
@@ -65,36 +66,68 @@ class PieceCodec:
                     best, at = s, i
             if best is None:
                 break
+            last = (-best, parts[at], parts[at + 1])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        return parts, last
+
+    def tree(self, piece: str) -> tuple[float, str, str] | None | bool:
+        """The last merge that makes a piece of its characters; None for one character, False if merging does not make it."""
+        v = self.trees.get(piece, self)
+        if v is self:
+            parts, last = self.merge(piece)
+            v = self.trees[piece] = last if parts == [piece] else False
+        return v
 
     def stands(self, left: str, right: str) -> bool:
+        """Whether merging ``left`` and ``right`` as one run of characters gives the two back: the latest merge on either side
+        of the border is undone, again and again; no pair that comes to face the border may have merged before it."""
         k = (left, right)
         v = self.beside.get(k)
         if v is None:
-            if len(self.beside) > 300_000:
+            if len(self.beside) > 600_000:
                 self.beside.clear()
-            v = self.beside[k] = self.merge(left + right) == [left, right]
+            v = self.beside[k] = self._stands(left, right)
         return v
 
+    def _stands(self, left: str, right: str) -> bool:
+        if MARK * 2 in left + right:  # pieces of marks alone have equal scores: merge them in full
+            return self.merge(left + right)[0] == [left, right]
+        score, tree, limit = self.score, self.tree, float("inf")
+        while True:
+            s = score.get(left + right)
+            if s is not None and -s < limit:
+                return False
+            a, b = tree(left), tree(right)
+            if a is None and b is None:
+                return True
+            if b is None or a is not None and a[0] > b[0]:
+                limit, left = a[0], a[2]
+            else:
+                limit, right = b[0] + 0.5, b[1]
+
     def viterbi(self, word: str) -> list[str]:
         """The best path over characters that all have pieces."""
         n = len(word)
         best: list[float | None] = [0.0] + [None] * n
         last: list[str] = [""] * (n + 1)
-        bpe, score = self.kind == "bpe", self.score
+        bpe, score, beside = self.kind == "bpe", self.score, self.beside
         for end, p in self.automaton.iter(word):
             end += 1
-            s = best[end - len(p)]
+            at = end - len(p)
+            s, now = best[at], best[end]
             if s is None:
                 continue
-            s += score[p]
-            if best[end] is not None and s <= best[end] and not bpe:
-                continue
-            before = last[end - len(p)]
-            if bpe and (best[end] is not None or before and not self.stands(before, p) or not before and self.merge(p) != [p]):
-                continue
-            best[end], last[end] = s, p
+            if bpe:
+                if now is not None or self.tree(p) is False:
+                    continue
+                before = last[at]
+                if before:
+                    ok = beside.get((before, p))
+                    if not (self.stands(before, p) if ok is None else ok):
+                        continue
+                best[end], last[end] = s, p
+            elif now is None or s + score[p] > now:
+                best[end], last[end] = s + score[p], p
         out = []
         while n:
             out.append(last[n])
@@ -102,21 +135,24 @@ class PieceCodec:
         return out[::-1]
 
     def encode_word(self, word: str) -> tuple[int, ...]:
-        out: list[int] = []
-        run = ""
-        for ch in [*word, None]:
-            if ch is not None and ch in self.characters:
-                run += ch
-                continue
-            if run:
-                out += [self.ids[p] for p in self.viterbi(run)]
-                run = ""
-            if ch is not None:
-                out += [self.bytes[b] for b in ch.encode()] if self.bytes else [self.unk]
+        ids = self.ids
+        if self.characters.issuperset(word):
+            out = [ids[p] for p in self.viterbi(word)]
+        else:
+            out, run = [], ""
+            for ch in [*word, None]:
+                if ch is not None and ch in self.characters:
+                    run += ch
+                    continue
+                if run:
+                    out += [ids[p] for p in self.viterbi(run)]
+                    run = ""
+                if ch is not None:
+                    out += [self.bytes[b] for b in ch.encode()] if self.bytes else [self.unk]
         if len(self.words) >= self.max_words:
             self.words.clear()
-        self.words[word] = ids = tuple(out)
-        return ids
+        self.words[word] = made = tuple(out)
+        return made
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, with the mark that stands for the space before it; no ids for the empty text."""
