@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; what it decides takes effect:
 
 * quality: documents that the weak-label classifier rejects go;
-* near_dedup: of each group of documents of an estimated similarity of 0.8 or more on five-word shingles the one with the
-  smallest id stays;
+* near_dedup: of each group of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles the one
+  with the smallest id stays;
 * secrets: findings are masked in the text, and n_chars is counted anew; the document stays;
 * packing: what is left is packed into sequences of 2048 tokens.
 

@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     return docs.join(by_fp.hint("shuffle_merge"), "fp").select("doc_id", hexed, "component_id")
 
 
-# -- similar documents, by wide fingerprints ------------------------------------------------------------------------
+# -- similar documents: candidates by wide fingerprints, confirmed by exact Jaccard similarity ------------------------------------------------------------------------
 
 LANES = 4  # 64-bit words of a wide fingerprint
 BANDS = 9.0  # length bands for each factor of e; a ratio of 0.8 spans at most ceil(9 * ln 1.25) = 3 of them
@@ -193,21 +193,29 @@ BANDS = 9.0  # length bands for each factor of e; a ratio of 0.8 spans at most c
 def wide_fingerprint(text: bytes, shingle: int = 5) -> tuple[bytes, int]:
     """(256-bit SimHash, number of shingles): words and shingles as in :func:`fingerprint`; each further 64 bits are summed over
     the shingles' hashes mixed once more, which costs far less than hashing the shingles again."""
+    h = shingle_hashes(text, shingle)
+    return wide_bits(h), len(h)
+
+
+def shingle_hashes(text: bytes, shingle: int = 5) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle in order, with repeats; fewer words than a shingle are one shingle, no words are none."""
     words = text.lower().split()
-    if not words:
-        return bytes(8 * LANES), 0
-    n = max(1, len(words) - shingle + 1)
+    if len(words) < shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)][: len(words)], np.uint64)
+    joined = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    return np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(42)), np.uint64, len(words) - shingle + 1)
+
+
+def wide_bits(hashes: np.ndarray) -> bytes:
+    """The 256-bit SimHash of shingle hashes; zero for none."""
     ones = np.zeros((LANES, 64), np.int64)
-    for at in range(0, n, SLICE):
-        part = words[at : at + SLICE + shingle - 1]
-        m = max(1, len(part) - shingle + 1)
-        joined = map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False)) if len(part) >= shingle else [b" ".join(part)]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(42)), np.uint64, m)
+    for at in range(0, len(hashes), SLICE):
+        h = hashes[at : at + SLICE]
         for k in range(LANES):
             ones[k] += bit_sums(h)
             h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return np.packbits(ones * 2 > n, axis=1, bitorder="little").tobytes(), n
+    return np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").tobytes()
 
 
 def radius_for(similarity: float, bits: int = 64 * LANES) -> int:
@@ -216,24 +224,43 @@ def radius_for(similarity: float, bits: int = 64 * LANES) -> int:
     return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+#: Bits of 256 up to which a pair is a candidate. Of distinct sets of a Jaccard similarity of 0.8 or more each bit differs with
+#: a probability of at most 3/16 (4 against 5 shingles; about 0.15 for larger sets), independently of the others: beyond 80 bits
+#: such a pair falls with a probability under 1e-6, at 0.15 under 1e-10. Unrelated texts differ in 128 +- 8.
+CANDIDATE_BITS = 80
+GROUP_SHINGLES, GROUP_SETS = 1 << 21, 1 << 13  # of a block of a candidate group
+
+
 def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tile: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of each row whose id is not null: the smallest id reachable over links of estimated similarity.
+    """(doc_id, component_id) of each row whose id is not null: the smallest id reachable over links of similar texts.
 
-    Two documents are linked if their 256-bit fingerprints differ in at most :func:`radius_for` bits and their numbers of
-    shingles have a ratio of at least ``similarity`` (two sets of more unequal sizes cannot be that similar). Tiles are cut by
-    length band and hash; tile pairs of bands further apart than the ratio allows, and tile pairs whose population counts
-    differ beyond the radius, are skipped, all others are compared exactly. Texts of the same words are one class and never
-    meet. What is broadcast is the number of tiles of each (band, population count) cell, at most 200 x 257 rows.
+    Two documents are linked if the exact Jaccard similarity of their sets of distinct shingles is at least ``similarity``.
+    Candidates are pairs whose fingerprints, taken over distinct shingles, differ in at most CANDIDATE_BITS bits, and whose sets
+    are of sizes that allow it. Tiles are cut by length band and hash; tile pairs of bands further apart than the ratio allows,
+    and tile pairs whose population counts differ beyond the radius, are skipped, all others are compared exactly. What is
+    broadcast is the number of tiles of each (band, population count) cell, at most 200 x 257 rows.
+
+    The candidates' components are then confirmed: shingle sets are made once more for their members only, and every candidate
+    pair within is compared until its ends are connected by confirmed links. A large component is cut into blocks, each pair of
+    blocks a task's group. Texts of the same set are one class and never meet.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [wide_fingerprint(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield batch("doc_id long, fp binary, m long", [b.column(0), [x for x, _ in made], [m for _, m in made]])
+            made = [np.unique(shingle_hashes(t, shingle)) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            keys = [xxhash.xxh3_128_digest(h.tobytes()) for h in made]
+            yield batch("doc_id long, th long, key binary, fp binary, m long", [b.column(0), b.column(2), keys, [wide_bits(h) for h in made], [len(h) for h in made]])
 
-    radius = radius_for(similarity)
-    rows = durable(map_arrow(id_and_text(docs, id_col, text_col), run, "doc_id long, fp binary, m long"), "wide").where("doc_id is not null")
-    classes = rows.groupBy("fp", "m").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fp", "m"))
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield batch("node long, hashes binary", [b.column(0), made])
+
+    radius = CANDIDATE_BITS
+    texts = id_and_text(docs, id_col, text_col).where("doc_id is not null").withColumn("th", F.xxhash64("text"))
+    rows = durable(map_arrow(texts, run, "doc_id long, th long, key binary, fp binary, m long"), "wide")
+    classes = rows.groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.first("fp").alias("fp"), F.first("m").alias("m"))
+    classes = durable(classes.select(F.xxhash64("key").alias("node"), "key", "fp", "m", F.col("first.doc_id").alias("least"), F.col("first.th").alias("th")), "classes")
     pop = sum((F.bit_count(F.conv(F.hex(F.substring("fp", 8 * k + 1, 8)), 16, -10).cast("long")) for k in range(1, LANES)), F.bit_count(F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long")))
     step = 2 * radius  # width of a population-count cell
     cells = durable(classes.select("node", "fp", "m", F.floor(F.log(F.col("m") + 0.5) * BANDS).cast("int").alias("band"), F.floor(pop / step).cast("int").alias("pop")), "cells")
@@ -247,25 +274,94 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     near = near.select("node", "fp", "m", "to.band", "to.pop").join(F.broadcast(tiles), ["band", "pop"])
     near = near.select("band", "pop", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(1).alias("side"), "node", "fp", "m")
     dealt = home.union(later).union(near).repartition("band", "pop", "tile").sortWithinPartitions("band", "pop", "tile", "side")
-    edges = map_arrow(dealt, lambda batches: _compare_wide(batches, radius, similarity), "a long, b long")
+    near = map_arrow(dealt, lambda batches: _compare_wide(batches, radius, similarity), "a long, b long")
+    groups = durable(components(near), "candidates")
+    members = durable(classes.join(groups.hint("shuffle_merge"), "node").select("node", "least", "th", "fp", "m", "root"), "members")
+    read = texts.join(members.select("node", F.col("least").alias("doc_id"), "th").hint("shuffle_merge"), ["doc_id", "th"]).dropDuplicates(["node"]).select("node", "text")
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("m") / GROUP_SHINGLES), F.ceil(F.count(F.lit(1)) / GROUP_SETS)).cast("int").alias("blocks"))
+    whole = members.join(sizes.hint("shuffle_merge"), "root").withColumn("block", F.pmod("node", "blocks").cast("int"))
+    whole = whole.join(map_arrow(read, again, "node long, hashes binary").hint("shuffle_merge"), "node")
+    whole = whole.select("root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "node", "fp", "hashes")
+    dealt = whole.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "fp", "hashes")
+    dealt = dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "side")
+    edges = map_arrow(dealt, lambda batches: _confirm(batches, radius, similarity), "a long, b long")
     roots = durable(components(edges), "roots")
-    rooted = classes.join(roots, "node", "left").select("fp", "m", "least", F.coalesce("root", "node").alias("root"))
+    rooted = classes.join(roots, "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
     found = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = durable(rooted.join(found, "root").select("fp", "m", "component_id"), "by_fp")
-    return rows.join(by_fp.hint("shuffle_merge"), ["fp", "m"]).select("doc_id", "component_id")
+    by_key = durable(rooted.join(found, "root").select("key", "component_id"), "by_key")
+    return rows.join(by_key.hint("shuffle_merge"), "key").select("doc_id", "component_id")
+
+
+def _possible(a: np.ndarray, b: np.ndarray, ratio: float) -> np.ndarray:
+    """Whether two distinct sets of ``a`` and ``b`` members can have a Jaccard similarity of ``ratio``: at least one member differs."""
+    small, large = np.minimum(a, b), np.maximum(a, b)
+    return np.where(small == large, small - 1 >= ratio * (small + 1) - 1e-9, small >= ratio * large - 1e-9)
 
 
 def _wide_hits(homes: tuple, probes: tuple, radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked (probe, home) positions: the first 64 bits decide on most pairs, the rest is compared for what is left."""
-    some = radius / LANES
-    j, h = np.nonzero(np.bitwise_count(probes[1][:, None, 0] ^ homes[1][None, :, 0]) <= some + 4 * np.sqrt(some))
-    ok = np.bitwise_count(probes[1][j] ^ homes[1][h]).sum(axis=1, dtype=np.int64) <= radius
-    j, h = j[ok], h[ok]
-    a, b = probes[2][j], homes[2][h]
-    ok = np.minimum(a, b) >= ratio * np.maximum(a, b)
+    """Candidate (probe, home) positions; a home as a probe finds itself too."""
+    apart = np.zeros((len(probes[1]), len(homes[1])), np.uint16)
+    for k in range(LANES):
+        apart += np.bitwise_count(probes[1][:, None, k] ^ homes[1][None, :, k])
+    j, h = np.nonzero(apart <= radius)
+    ok = _possible(probes[2][j], homes[2][h], ratio) | (probes[0][j] == homes[0][h])
     return j[ok], h[ok]
 
 
+def _confirm(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (root, lo, hi, side, node, fp, hashes) come sorted by pair of blocks: the confirmed links of each."""
+    at, held = None, []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if len(held) > 1:
+            node, fp, sets = np.array([r[1] for r in held]), np.frombuffer(b"".join(r[2] for r in held), np.uint64).reshape(-1, LANES), [np.frombuffer(r[3], np.uint64) for r in held]
+            first = sum(r[0] == 0 for r in held) if at[1] != at[2] else 0
+            a, b = confirmed(fp, sets, radius, similarity, first)
+            if len(a):
+                yield batch("a long, b long", [node[a], node[b]])
+
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[:3] != at:
+                yield from close()
+                at, held = row[:3], []
+            held.append(row[3:])
+    yield from close()
+
+
+def confirmed(fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float, first: int = 0) -> tuple[list[int], list[int]]:
+    """Positions (a, b) of a spanning forest of the links among distinct ``sets``: every candidate pair whose ends are not yet
+    connected is compared, nearest fingerprints first. With ``first``, only pairs of the first so many and the others count."""
+    m = np.array([len(s) for s in sets])
+    root = np.arange(len(sets))
+    out: tuple[list[int], list[int]] = ([], [])
+    for i in range(max(first, 1), len(sets)):
+        upto = first or i
+        apart = np.bitwise_count(fp[:upto] ^ fp[i]).sum(axis=1, dtype=np.int64)
+        js = np.flatnonzero((apart <= radius) & _possible(m[:upto], m[i], similarity) & (root[:upto] != root[i]))
+        js, width = js[np.argsort(apart[js], kind="stable")], 1
+        while len(js):
+            part, js = js[:width], js[width:]
+            common = _common(sets[i], [sets[j] for j in part])
+            good = part[common >= similarity * (m[i] + m[part] - common) - 1e-9]
+            for j in good.tolist():
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    out[0].append(i)
+                    out[1].append(j)
+            if len(good):
+                js = js[root[js] != root[i]]
+            width = min(4 * width, 256)
+    return out
+
+
+def _common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many members of the sorted ``one`` each of the other sets has; none of them is empty."""
+    flat = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    return np.add.reduceat(hit, np.cumsum([0, *map(len, others[:-1])]), dtype=np.int64)
+
+
 def _compare_wide(batches: Iterator[pa.RecordBatch], radius: int, ratio: float) -> Iterator[pa.RecordBatch]:
     """As :func:`_compare`, for rows (band, pop, tile, side, node, fp, m)."""
     at, homes, forest = None, None, None
@@ -325,7 +421,7 @@ def _compare_wide(batches: Iterator[pa.RecordBatch], radius: int, ratio: float)
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of similar documents: the one with the smallest id, all its columns as they are.
+    """``docs`` with one row of each group of documents of an exact shingle similarity: the one with the smallest id, all its columns as they are.
 
     Of rows that repeat an id and are all in one group one stays; rows with a null id are not compared and stay.
     """
