@@ -3,8 +3,8 @@
 Base findings are the leftmost non-overlapping matches of three patterns (assign, access, hex). The entropy method adds
 spans: a candidate is a run of 20 or more characters of one alphabet (hexadecimal, else base64 and URL-safe characters).
 A window of ``window`` characters slides over it; the counts of its characters and the sum of n*log2(n) are updated by one
-leaving and one entering character, and the window's entropy log2(w) - sum/w is compared with the alphabet's limit. Windows
-over the limit are merged into spans. Allow-listed candidates (UUIDs, plain words, paths, repeated or sequential filler,
+leaving and one entering character, and the window's entropy log2(w) - sum/w is compared with the alphabet's limit. A candidate
+shorter than its window is one window, with the limit scaled by the logarithms of the lengths. Windows over the limit are merged into spans. Allow-listed candidates (UUIDs, plain words, paths, repeated or sequential filler,
 documented example keys) and whatever a base finding already covers are suppressed; base findings never are.
 """
 
@@ -78,6 +78,8 @@ def entropy_spans(text: str, base: list[Span], limits: dict[str, tuple[int, floa
         if any(a.match(s) for a in ALLOWED):
             continue
         window, least = limits["hex" if HEX_ONLY.match(s) else "base64"]
+        if len(s) < window:
+            window, least = len(s), least * math.log2(len(s)) / math.log2(window)
         for a, b in entropy_windows(s, window, least):
             a, b = a + m.start(), b + m.start()
             if not any(x < b and a < y for x, _, y in base):

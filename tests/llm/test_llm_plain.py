@@ -203,3 +203,11 @@ def test_lsh_plan_and_collisions():
     for n in (1, 10**4, 10**8):
         hashes, tables = vectors_lsh.plan(n, 0.95, 0.97)
         assert 1 - (1 - vectors_lsh.collision(0.95) ** hashes) ** tables >= 0.97
+
+
+@pytest.mark.parametrize("n", [20, 21, 22, 23, 24])
+def test_short_candidates_have_a_window(n):
+    secret = "q7Rt2Lm9Xv4Kp8Zw1Nc6Yb3Hd5"[:n]
+    text = f"see {secret} here"
+    assert secrets.find(text)[1] == [(4, 3, 4 + n)] and secrets.redact(text, secrets.find(text)[1]) == "see <ENTROPY_REMOVED> here"
+    assert secrets.find("see " + "a1b2" * 5 + "a1b"[: n - 20] + " here")[1] == []  # of low entropy
