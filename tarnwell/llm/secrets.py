@@ -5,7 +5,7 @@ spans: a candidate is a run of 20 or more characters of one alphabet (hexadecima
 A window of ``window`` characters slides over it; the counts of its characters and the sum of n*log2(n) are updated by one
 leaving and one entering character, and the window's entropy log2(w) - sum/w is compared with the alphabet's limit. A candidate
 shorter than its window is one window, with the limit scaled by the logarithms of the lengths. Windows over the limit are merged into spans. Allow-listed candidates (UUIDs, plain words, paths, repeated or sequential filler,
-documented example keys) and whatever a base finding already covers are suppressed; base findings never are.
+documented example keys) are suppressed, and of a span the parts that base findings already cover; base findings never are.
 """
 
 from __future__ import annotations
@@ -81,12 +81,21 @@ def entropy_spans(text: str, base: list[Span], limits: dict[str, tuple[int, floa
         if len(s) < window:
             window, least = len(s), least * math.log2(len(s)) / math.log2(window)
         for a, b in entropy_windows(s, window, least):
-            a, b = a + m.start(), b + m.start()
-            if not any(x < b and a < y for x, _, y in base):
-                found.append((a, 3, b))
+            found += [(x, 3, y) for x, y in uncovered(a + m.start(), b + m.start(), base)]
     return found
 
 
+def uncovered(a: int, b: int, base: list[Span]) -> list[tuple[int, int]]:
+    """The parts of (a, b) outside the spans of ``base``, which come by start."""
+    out = []
+    for x, _, y in base:
+        if y > a and x < b:
+            if x > a:
+                out.append((a, x))
+            a = max(a, y)
+    return [*out, (a, b)] if a < b else out
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
