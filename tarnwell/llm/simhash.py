@@ -232,7 +232,8 @@ GROUP_SHINGLES, GROUP_SETS = 1 << 21, 1 << 13  # of a block of a candidate group
 
 
 def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tile: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of each row whose id is not null: the smallest id reachable over links of similar texts.
+    """(doc_id, th, component_id, component_th) of each row whose id is not null: the smallest id reachable over links of similar
+    texts, and beside each id the hash of its text (of several texts of the smallest id, the least).
 
     Two documents are linked if the exact Jaccard similarity of their sets of distinct shingles is at least ``similarity``.
     Candidates are pairs whose fingerprints, taken over distinct shingles, differ in at most CANDIDATE_BITS bits, and whose sets
@@ -286,10 +287,10 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     dealt = dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "side")
     edges = map_arrow(dealt, lambda batches: _confirm(batches, radius, similarity), "a long, b long")
     roots = durable(components(edges), "roots")
-    rooted = classes.join(roots, "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
-    found = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_key = durable(rooted.join(found, "root").select("key", "component_id"), "by_key")
-    return rows.join(by_key.hint("shuffle_merge"), "key").select("doc_id", "component_id")
+    rooted = classes.join(roots, "node", "left").select("key", F.struct("least", "th").alias("first"), F.coalesce("root", "node").alias("root"))
+    found = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    by_key = durable(rooted.select("key", "root").join(found, "root").select("key", F.col("first.least").alias("component_id"), F.col("first.th").alias("component_th")), "by_key")
+    return rows.join(by_key.hint("shuffle_merge"), "key").select("doc_id", "th", "component_id", "component_th")
 
 
 def _possible(a: np.ndarray, b: np.ndarray, ratio: float) -> np.ndarray:
@@ -423,12 +424,15 @@ def _compare_wide(batches: Iterator[pa.RecordBatch], radius: int, ratio: float)
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of documents of an exact shingle similarity: the one with the smallest id, all its columns as they are.
 
-    Of rows that repeat an id and are all in one group one stays; rows with a null id are not compared and stay.
+    Rows are told apart by id and text: of rows that repeat an id, those of different groups stay or go each with its group, and
+    of those in one group at most one stays. Rows with a null id are not compared and stay.
     """
     groups = durable(similar_classes(docs, shingle, similarity, id_col=id_col, text_col=text_col), "groups")
-    lost = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
-    again = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(id_col)).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(id_col)
-    left = docs.join(lost.distinct().hint("shuffle_merge"), id_col, "left_anti")
+    is_kept = (F.col("doc_id") == F.col("component_id")) & (F.col("th") == F.col("component_th"))
+    row = [F.col("doc_id").alias(id_col), F.col("th").alias("_th")]
+    lost = groups.where(~is_kept).select(row).distinct()
+    again = groups.where(is_kept).groupBy(row).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(id_col, "_th")
+    left = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(lost.hint("shuffle_merge"), [id_col, "_th"], "left_anti")
     if not again.isEmpty():
-        left = left.join(again, id_col, "left_anti").union(left.join(again, id_col, "left_semi").dropDuplicates([id_col]))
+        left = left.join(again, [id_col, "_th"], "left_anti").unionByName(left.join(again, [id_col, "_th"], "left_semi").dropDuplicates([id_col, "_th"]))
     return left.select(docs.columns)

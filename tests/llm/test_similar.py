@@ -60,3 +60,10 @@ def test_on_the_smallest_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(brute_classes(rows).values()))
+
+
+def test_repeated_ids_go_by_row(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (3, d), (4, d + " more"), (5, None), (5, ""), (6, a)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text or "") for r in got.collect()) == [(1, a), (2, b), (3, c), (3, d), (5, "")]
