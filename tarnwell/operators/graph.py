@@ -157,14 +157,16 @@ def question_walk(nodes: DataFrame, edges: DataFrame, words: DataFrame, hops: in
     return walked.join(total, ["question", "node_id"], "left").select("question", "node_id", "depth", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def label_propagation(edges: DataFrame, rounds: int = 10, nodes: DataFrame | None = None) -> DataFrame:
     """(node_id, community): each node takes the most frequent label around it (itself included), the smaller of equals.
 
-    A distributed stand-in for modularity clustering on graphs of any size; :func:`louvain` is exact for those that fit a task.
+    A distributed stand-in for modularity clustering. Those of ``nodes`` that have no edge are communities of their own.
     """
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).where("a <> b").distinct()
     both = durable(both, "both")
-    labels = durable(both.select(F.col("a").alias("node_id")).distinct().withColumn("community", F.col("node_id")), "labels")
+    ids = both.select(F.col("a").alias("node_id"))
+    ids = ids if nodes is None else ids.union(nodes.select(F.col("node_id").cast("long")))
+    labels = durable(ids.distinct().withColumn("community", F.col("node_id")), "labels")
     for _ in range(rounds):
         votes = both.join(labels, F.col("b") == F.col("node_id")).select(F.col("a").alias("node_id"), "community").union(labels.select("node_id", "community"))
         count = votes.groupBy("node_id", "community").agg(F.count(F.lit(1)).alias("c"))
@@ -177,31 +179,89 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return labels
 
 
-def louvain(edges: DataFrame, max_edges: int = 2_000_000, resolution: float = 1.0) -> DataFrame:
-    """(node_id, community) by Louvain's method in one task; refuses graphs beyond ``max_edges`` (use :func:`label_propagation`).
+def louvain(edges: DataFrame, max_edges: int = 2_000_000, resolution: float = 1.0, nodes: DataFrame | None = None) -> DataFrame:
+    """(node_id, community) by Louvain's method; those of ``nodes`` that have no edge are communities of their own.
 
-    Nodes are visited by falling degree, then id; a node moves only for a gain, to the smaller community of equals; communities
-    are numbered by falling size, then smallest member.
+    A graph of more than ``max_edges`` edges is first contracted by distributed local moves (:func:`_local_moves`), level by
+    level, until it fits one task, which finishes it; if a level no longer shrinks it, its communities stand. In the task nodes
+    are visited by falling degree, then id; a node moves only for a gain, to the smaller community of equals. Communities are
+    numbered by falling size, then smallest member.
     """
-    both = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    if both.limit(max_edges + 1).count() > max_edges:
-        raise ValueError(f"more than {max_edges} edges: use label_propagation")
+    pairs = edges.where("src <> dst").select(F.least("src", "dst").cast("long").alias("a"), F.greatest("src", "dst").cast("long").alias("b")).distinct()
+    level, member = durable(pairs.withColumn("w", F.lit(1.0)), "level"), None
+    count = level.count()
+    while count > max_edges:
+        moved = _local_moves(level, resolution)
+        member = moved if member is None else durable(member.withColumnRenamed("community", "via").join(moved.withColumnRenamed("node_id", "via"), "via").select("node_id", "community"), "member")
+        to = [moved.select(F.col("node_id").alias(x), F.col("community").alias(f"c{x}")) for x in "ab"]
+        # an inner edge counts twice in the self-loop of its community
+        both = level.join(to[0], "a").join(to[1], "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), F.when((F.col("a") != F.col("b")) & (F.col("ca") == F.col("cb")), 2 * F.col("w")).otherwise(F.col("w")).alias("w"))
+        level, was = durable(both.groupBy("a", "b").agg(F.sum("w").alias("w")), "level"), count
+        count = level.count()
+        if count == was:
+            break
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _louvain(pdf["a"].tolist(), pdf["b"].tolist(), resolution)
+        return _louvain(pdf["a"].tolist(), pdf["b"].tolist(), pdf["w"].tolist(), resolution)
 
     from tarnwell.session import ship
 
     ship(edges.sparkSession)
-    return both.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "node_id long, community long")
+    if count <= max_edges:
+        found = level.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "node_id long, community long")
+        member = found if member is None else member.withColumnRenamed("community", "via").join(found.withColumnRenamed("node_id", "via"), "via").select("node_id", "community")
+    member = durable(member, "member")
+    first = member.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("node_id").alias("first"))
+    named = member.join(first, "community").select("node_id", "first", "size")
+    if nodes is not None:
+        alone = nodes.select(F.col("node_id").cast("long")).distinct().join(member, "node_id", "left_anti")
+        named = named.union(alone.select("node_id", F.col("node_id").alias("first"), F.lit(1).cast("long").alias("size")))
+    named = durable(named, "named")
+    return named.join(_ranked(named.where("node_id = first").select("first", "size")), "first").select("node_id", "community")
+
+
+def _ranked(groups: DataFrame) -> DataFrame:
+    """(first, community): the place of each group by falling size, then first member. Ranges are numbered apart and then moved."""
+    parts = durable(groups.repartitionByRange(F.desc("size"), "first").select("first", "size", F.spark_partition_id().alias("part")), "ranked")
+    counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
+    before = counts.select("part", F.sum("c").over(W.orderBy("part")).alias("upto"), "c").select("part", (F.col("upto") - F.col("c")).alias("before"))
+    rank = F.row_number().over(W.partitionBy("part").orderBy(F.desc("size"), "first")) - 1
+    return parts.withColumn("rank", rank).join(F.broadcast(before), "part").select("first", (F.col("rank") + F.col("before")).cast("long").alias("community"))
+
+
+def _local_moves(level: DataFrame, resolution: float, rounds: int = 16) -> DataFrame:
+    """(node_id, community) after rounds in which a changing half of the nodes moves at once, each to the community of the best
+    gain of modularity, staying for equals; ``level`` is (a, b, w) with a self-loop's inner weight counted twice."""
+    out = level.where("a <> b")
+    out = durable(out.union(out.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "out")
+    k = durable(out.select("a", "w").union(level.where("a = b").select("a", "w")).groupBy(F.col("a").alias("node_id")).agg(F.sum("w").alias("k")), "k")
+    total = k.agg(F.sum("k")).first()[0]
+    labels = durable(k.select("node_id", F.col("node_id").alias("community"), "k"), "labels")
+    still = 0
+    for r in range(rounds):
+        weight = labels.groupBy("community").agg(F.sum("k").alias("t"))
+        near = out.join(labels.select(F.col("node_id").alias("b"), "community"), "b").select(F.col("a").alias("node_id"), "community", "w")
+        near = near.union(labels.select("node_id", "community", F.lit(0.0))).groupBy("node_id", "community").agg(F.sum("w").alias("w"))
+        own = labels.where(F.pmod(F.xxhash64("node_id", F.lit(r)), F.lit(2)) == 0).select("node_id", F.col("community").alias("own"), "k")
+        near = near.join(own, "node_id").join(weight, "community")
+        stays = F.col("community") == F.col("own")
+        gain = F.col("w") - resolution * F.col("k") * (F.col("t") - F.when(stays, F.col("k")).otherwise(0.0)) / total
+        best = near.groupBy("node_id").agg(F.max(F.struct(F.round(gain, 9).alias("gain"), stays.alias("stays"), (-F.col("community")).alias("c"))).alias("m")).select("node_id", (-F.col("m.c")).alias("best"))
+        new = durable(labels.join(best, "node_id", "left").select("node_id", F.coalesce("best", "community").alias("community"), "k", (F.coalesce("best", "community") != F.col("community")).alias("moved")), "labels")
+        still = 0 if new.where("moved").limit(1).count() else still + 1
+        drop(labels)
+        labels = new
+        if still == 4:
+            break
+    return labels.select("node_id", "community")
 
 
-def _louvain(a: list[int], b: list[int], resolution: float) -> pd.DataFrame:
+def _louvain(a: list[int], b: list[int], w: list[float], resolution: float) -> pd.DataFrame:
     names = sorted({*a, *b})
     index = {x: i for i, x in enumerate(names)}
     graph: list[dict[int, float]] = [{} for _ in names]
-    for x, y in zip(a, b, strict=True):
-        graph[index[x]][index[y]] = graph[index[y]][index[x]] = 1.0
+    for x, y, z in zip(a, b, w, strict=True):
+        graph[index[x]][index[y]] = graph[index[y]][index[x]] = z
     member = list(range(len(names)))
     total = sum(sum(g.values()) for g in graph) or 1.0
     while True:

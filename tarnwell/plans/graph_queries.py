@@ -125,17 +125,17 @@ def call_resolution_tiers(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def graph_communities(spark: SparkSession, d: str) -> DataFrame:
-    """Communities of the containment graph, by label propagation."""
-    return G.label_propagation(contains(spark, d), 5)
+    """Communities of the graph of containment and calls, by label propagation."""
+    return G.label_propagation(edges(spark, d), 5, nodes(spark, d))
 
 
 @query()
 def graph_louvain(spark: SparkSession, d: str) -> DataFrame:
-    return G.louvain(contains(spark, d))
+    return G.louvain(edges(spark, d), nodes=nodes(spark, d))
 
 
 @query()
 def graph_group_map(spark: SparkSession, d: str) -> DataFrame:
-    e = contains(spark, d)
-    m = G.group_map(nodes(spark, d), e, G.louvain(e))
+    e, n = edges(spark, d), nodes(spark, d)
+    m = G.group_map(n, e, G.louvain(e, nodes=n))
     return m.select("community", "size", F.array_join("leaders", "; ").alias("leaders"), F.array_join("files", "; ").alias("files"))
