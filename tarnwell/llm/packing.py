@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from tarnwell.llm.common import batch, id_and_text, map_arrow
@@ -138,13 +139,14 @@ class Packer:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
-def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray]], end_id: int = 1, tokens: int = 2048, segments: int = 64, loss: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray]], end_id: int = 1, tokens: int = 2048, segments: int = 64, loss: int = 2048, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
 
     A document's ids are its whole text's with ``end_id`` after them; each id lies in exactly one piece. A null or empty text
     is ``end_id`` alone; a null id is packed like any other; repeated rows are packed each; other columns are ignored; an
     empty table gives no pieces. ``encoder`` makes, once in each task, the function from a text to its ids. Plain documents
-    bear loss on every token, end included; instruction data would give flags to :class:`Item`.
+    bear loss on every token, end included. Instruction data name a ``loss_col``, an array with one flag for each id of the
+    text (a null array: all bear loss); the end bears loss, and an array of another length is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,13 +168,20 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray]], en
         for b in batches:
             encode = encode or encoder()
             out = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            masks = b.column(2).to_pylist() if loss_col else [None] * b.num_rows
+            for i, t, mask in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), masks, strict=True):
                 ids = np.concatenate([encode(t), end]).astype(np.uint32, copy=False)
-                out += rows(packer.add(Item(i, 0, ids, len(ids))))
+                flags = None if mask is None else np.array([*mask, True], bool)
+                if flags is not None and len(flags) != len(ids):
+                    raise ValueError(f"{len(flags) - 1} loss flags for {len(ids) - 1} ids of document {i}")
+                out += rows(packer.add(Item(i, 0, ids, len(ids), flags)))
             if out:
                 yield batch(SCHEMA, list(zip(*out, strict=True)))
         out = rows(packer.close())
         if out:
             yield batch(SCHEMA, list(zip(*out, strict=True)))
 
-    return map_arrow(id_and_text(docs, id_col, text_col), run, SCHEMA)
+    source = id_and_text(docs, id_col, text_col)
+    if loss_col:
+        source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(loss_col).cast("array<boolean>").alias("mask"))
+    return map_arrow(source, run, SCHEMA)

@@ -259,3 +259,22 @@ def test_pipeline(spark):
         assert r.text == secrets.redact(before[r.doc_id], secrets.find(before[r.doc_id])[1]) and r.n_chars == len(r.text)
     got = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == {r.doc_id for r in clean.collect()}
+
+
+def test_packing_by_a_loss_column(spark):
+    enc, rows, rng = bpe_50k(), [], np.random.default_rng(14)
+    for i in range(60):
+        t = " ".join(f"w{x}" for x in rng.integers(0, 1000, int(rng.integers(5, 900))))
+        n = len(enc(t))
+        rows.append((i, t, None if i % 10 == 0 else [j >= n // 2 for j in range(n)]))
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, bears array<boolean>").coalesce(1), bpe_50k, tokens=512, segments=64, loss=200, loss_col="bears").collect()
+    bearing, ids, seqs = Counter(), Counter(), defaultdict(list)
+    for r in got:
+        bearing[r.doc_id] += r.loss_tokens
+        ids[r.doc_id] += r.length
+        seqs[r.sequence_id].append(r)
+    for i, t, mask in rows:
+        n = len(enc(t))
+        assert ids[i] == n + 1 and bearing[i] == (n if mask is None else sum(mask)) + 1
+    assert all(sum(r.loss_tokens for r in s) <= 200 and sum(r.length for r in s) <= 512 for s in seqs.values())
+    assert any(sum(r.length for r in s) > 200 for s in seqs.values())
