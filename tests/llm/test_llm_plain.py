@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import random
+import string
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -223,3 +225,78 @@ def test_a_base_finding_leaves_the_rest_of_a_run_found():
     every = secrets.find(text)[1]
     assert [(secrets.KINDS[k], text[a:b]) for a, k, b in every] == [("entropy", secret + "Q"), ("hex", run), ("entropy", "Z" + secret)]
     assert secrets.uncovered(5, 9, [(0, 0, 20)]) == [] and secrets.uncovered(0, 9, [(2, 0, 4), (3, 1, 6)]) == [(0, 2), (6, 9)]
+
+
+def test_secret_patterns_on_hostile_text():
+    for t in ("a" + "-" * 200 + "1", "a" + "/_" * 500 + "1", "-" * 5000, "a=" * 3000 + "1", "token" * 2000 + "=" * 2000, "f" * 100_000, "AKIA" * 5000):
+        start = time.perf_counter()
+        secrets.find(t)
+        assert time.perf_counter() - start < 0.5
+    start = time.perf_counter()
+    secrets.find("a" + "-" * 200 + "1")
+    assert time.perf_counter() - start < 0.01
+
+
+def brute_base(text: str) -> list[tuple[int, int, int]]:
+    """The three base kinds read character by character, without regular expressions."""
+    word, lower = set(string.ascii_letters + string.digits + "+/_.=-"), "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+    def assign(i: int) -> int | None:
+        for k in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            if lower.startswith(k, i):
+                for quote in ("\"'", ""):  # an optional mark is taken if the rest can follow
+                    j = i + len(k)
+                    if quote:
+                        if text[j : j + 1] not in tuple(quote):
+                            continue
+                        j += 1
+                    while text[j : j + 1] == " ":
+                        j += 1
+                    if text[j : j + 1] not in (":", "="):
+                        continue
+                    j += 1
+                    while text[j : j + 1] == " ":
+                        j += 1
+                    j += text[j : j + 1] in ("'", '"')
+                    e = j
+                    while e < len(text) and text[e] in word:
+                        e += 1
+                    if e > j:
+                        return e if e - j >= 6 else -e
+        return None
+
+    def run(i: int, prefix: str, chars: str, least: int) -> int | None:
+        if not text.startswith(prefix, i):
+            return None
+        e = i + len(prefix)
+        while e < len(text) and text[e] in chars:
+            e += 1
+        return None if e == i + len(prefix) else e if e - i >= least else -e
+
+    out = []
+    for kind, f in enumerate((assign, lambda i: run(i, "AKIA", string.ascii_uppercase + string.digits, 20), lambda i: run(i, "", "0123456789abcdef", 24))):
+        i = 0
+        while i < len(text):
+            e = f(i)
+            if e is not None and e > 0:
+                out.append((i, kind, e))
+            i = abs(e) if e else i + 1
+    return sorted(out)
+
+
+def test_base_spans_are_those_of_a_plain_reader():
+    rng = random.Random(15)
+    bits = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", '"', "'", " ", "  ", ":", "=", ":=", "abc", "q7Rt2", "AKIA", "ABCDEFGHIJ012345", "deadbeef", "0123456789abcdef", "é", "ſ", "K", "\n", ".", "-"]
+    for _ in range(20_000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        assert secrets.base_spans(t) == brute_base(t), t
+
+
+def test_allowed_words_suppress_themselves_only():
+    a, b = "q7Rt2Lm9Xv4Kp8Zw1Nc6Yb3Hd5", "Zk3Vq8Tn1Lw6Rb9Xc4Mf7Hd2Pj"
+    text = f"x {a}EXAMPLE{b} y"
+    assert [text[i:j] for i, _, j in secrets.find(text)[1]] == [a, b]
+    assert secrets.find("x wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY y")[1] == [] and secrets.find("see " + "abcdef123456" * 4)[1] == []
+    assert secrets.find("A7" * 20)[1] == []  # low entropy in its class
+    t = "key MFRGGZDFMZTWQ2LKNNWG23TPOBYXE43U end"
+    assert [secrets.KINDS[k] for _, k, _ in secrets.find(t)[1]] == ["entropy"]
