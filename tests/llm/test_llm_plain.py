@@ -296,7 +296,7 @@ def test_allowed_words_suppress_themselves_only():
     a, b = "q7Rt2Lm9Xv4Kp8Zw1Nc6Yb3Hd5", "Zk3Vq8Tn1Lw6Rb9Xc4Mf7Hd2Pj"
     text = f"x {a}EXAMPLE{b} y"
     assert [text[i:j] for i, _, j in secrets.find(text)[1]] == [a, b]
-    assert secrets.find("x wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY y")[1] == [] and secrets.find("see " + "abcdef123456" * 4)[1] == []
+    assert secrets.find("x wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY y")[1] == [] and secrets.find("see " + "ABCDEF123456" * 4)[1] == []
     assert secrets.find("A7" * 20)[1] == []  # low entropy in its class
     t = "key MFRGGZDFMZTWQ2LKNNWG23TPOBYXE43U end"
     assert [secrets.KINDS[k] for _, k, _ in secrets.find(t)[1]] == ["entropy"]
