@@ -87,51 +87,49 @@ def packbits_decode(data: bytes, size: int) -> bytes:
 
 
 def lzw_encode(data: bytes) -> bytes:
-    """Most significant bit first, codes of 9 to 12 bits, widened one code early as TIFF does."""
-    out, bits, n = bytearray(), 0, 0
-    table: dict[bytes, int] = {}
-    width, nxt = 9, 258
-
-    def put(code: int) -> None:
-        nonlocal bits, n
-        bits, n = bits << width | code, n + width
-        while n >= 8:
-            n -= 8
-            out.append(bits >> n & 255)
-        bits &= (1 << n) - 1
-
-    put(CLEAR)
-    w = b""
-    for i in range(len(data)):
-        c = data[i : i + 1]
-        wc = w + c
-        if len(wc) == 1 or wc in table:
-            w = wc
+    """Most significant bit first, codes of 9 to 12 bits, widened one code early as TIFF does.
+
+    A table entry is keyed by (code of the prefix, next byte) as one integer; the codes between two clear codes have widths
+    that follow from their number alone, so the bits are packed for all of them at once.
+    """
+    codes: list[int] = [CLEAR]
+    starts = [0]  # where in codes each table begins
+    table: dict[int, int] = {}
+    get, put, nxt = table.get, codes.append, 258
+    it = iter(data)
+    w = next(it, -1)
+    for c in it:
+        k = w << 8 | c
+        known = get(k)
+        if known is not None:
+            w = known
             continue
-        put(table[w] if len(w) > 1 else w[0])
-        table[wc] = nxt
+        put(w)
+        table[k] = nxt
         nxt += 1
+        w = c
         if nxt == 4095:
+            starts.append(len(codes))
             put(CLEAR)
-            table, width, nxt = {}, 9, 258
-        elif nxt in (512, 1024, 2048):
-            width += 1
-        w = c
-    if w:
-        put(table[w] if len(w) > 1 else w[0])
-        nxt += 1
-        if nxt in (512, 1024, 2048):
-            width += 1
+            table.clear()
+            nxt = 258
+    if w >= 0:
+        put(w)
     put(END)
-    if n:
-        out.append(bits << (8 - n) & 255)
-    return bytes(out)
+    all_codes = np.array(codes, np.uint32)
+    nth = np.arange(len(codes)) - np.repeat(starts, np.diff([*starts, len(codes)]))
+    # the clear code (number 0) has the width reached before it: that of a full table, 9 for the first
+    width = np.where(nth == 0, 12, 9 + (nth >= 255) + (nth >= 767) + (nth >= 1791))
+    width[0] = 9
+    bits = (all_codes[:, None] >> np.arange(11, -1, -1, dtype=np.uint32) & 1).astype(np.uint8)
+    return np.packbits(bits[np.arange(12) >= 12 - width[:, None]]).tobytes()
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
+    """At most ``size`` bytes; a code beyond the table is an error, missing codes give a shorter result."""
     first = [bytes((i,)) for i in range(256)] + [b"", b""]
     table, out, got = first[:], [], 0
-    width, acc, n, prev = 9, 0, 0, b""
+    width, acc, n, prev, full = 9, 0, 0, b"", 511
     for byte in data:
         acc, n = acc << 8 | byte, n + 8
         if n < width:
@@ -139,27 +137,29 @@ def lzw_decode(data: bytes, size: int) -> bytes:
         n -= width
         code = acc >> n
         acc &= (1 << n) - 1
-        if code == END:
+        if code < 256 or code > 257:
+            known = len(table)
+            if code < known:
+                entry = table[code]
+                if prev and known < 4096:
+                    table.append(prev + entry[:1])
+            elif code == known and prev:
+                entry = prev + prev[:1]
+                table.append(entry)
+            else:
+                raise TiffError("LZW code beyond the table")
+            out.append(entry)
+            got += len(entry)
+            if got >= size:
+                break
+            prev = entry
+            if known + 1 >= full and width < 12:
+                width = min(12, (known + 2).bit_length())
+                full = (1 << width) - 1
+        elif code == END:
             break
-        if code == CLEAR:
-            table, width, prev = first[:], 9, b""
-            continue
-        if code < len(table):
-            entry = table[code]
-            if prev:
-                table.append(prev + entry[:1])
-        elif code == len(table) and prev:
-            entry = prev + prev[:1]
-            table.append(entry)
         else:
-            raise TiffError("LZW code beyond the table")
-        out.append(entry)
-        got += len(entry)
-        if got >= size:
-            break
-        prev = entry
-        if len(table) >= (1 << width) - 1 and width < 12:
-            width += 1
+            table, width, prev, full = first[:], 9, b"", 511
     return b"".join(out)[:size]
 
 
@@ -216,8 +216,18 @@ def directories(data: bytes) -> Iterator[dict[int, list]]:
         raise TiffError("a directory is cut off") from e
 
 
-def pages(data: bytes) -> Iterator[Page]:
-    """Decode every page: grey or RGB(A) of 8 or 16 bits a sample, samples side by side."""
+#: Decoded bytes a page may have, and how many times longer than its stored bytes a strip or tile may be by each coding (deflate
+#: and LZW cannot pack tighter than this, PackBits packs 128 bytes into two).
+MAX_PAGE_BYTES = 1 << 28
+EXPANSION = {NONE: 1, PACKBITS: 64, LZW: 2800, DEFLATE: 1040, OLD_DEFLATE: 1040}
+
+
+def pages(data: bytes, max_bytes: int = MAX_PAGE_BYTES) -> Iterator[Page]:
+    """Decode every page: grey or RGB(A) of 8 or 16 bits a sample, samples side by side.
+
+    Nothing is allocated by what the header claims alone: a page of more than ``max_bytes``, or of more than its stored bytes
+    can decode to, is a :class:`TiffError`, as is every other damage.
+    """
     for number, t in enumerate(directories(data)):
         one = lambda tag, default=None, t=t: t.get(tag, [default])[0]
         w, h, samples, bits = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1)
@@ -233,6 +243,13 @@ def pages(data: bytes) -> Iterator[Page]:
         across, down = -(-w // tw), -(-h // th)
         if len(offsets) < across * down:
             raise TiffError("strips or tiles are missing")
+        if not 0 < samples <= 16 or w * h * samples * kind.itemsize > max_bytes or tw * th * samples * kind.itemsize > max_bytes:
+            raise TiffError("a page is larger than the limit")
+        if comp not in EXPANSION:
+            raise TiffError(f"compression {comp} is not supported")
+        stored = sum(max(0, min(n, len(data) - o)) for o, n in zip(offsets[: across * down], lengths, strict=False))
+        if w * h * samples * kind.itemsize > EXPANSION[comp] * (stored + 64 * len(offsets)):
+            raise TiffError("strips or tiles are too short for the page")
         img = np.zeros((h, w, samples), kind)
         for i in range(across * down):
             y, x = i // across * th, i % across * tw
@@ -312,20 +329,26 @@ def decode_pages(files: DataFrame, id_col: str = "id", media_col: str = "media")
     return map_arrow(files.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).cast("binary").alias("media")), run, PAGES)
 
 
-def store(payload: bytes) -> bytes:
-    """A payload of a multiple of 64 bytes as a TIFF 64 pixels wide; the coding goes by the payload's checksum and length.
+PAGE_ROWS = 4096  # of 64 bytes
+CODINGS = ((LZW, 1, 0), (PACKBITS, 1, 0), (DEFLATE, 2, 64), (DEFLATE, 2, 0), (LZW, 2, 64), (NONE, 1, 0))  # compression, predictor, tile
 
-    LZW is written for payloads of up to 1 KiB only, as its coder is plain Python; the choice does not change what is read back.
-    """
+
+def store(payload: bytes) -> bytes:
+    """A payload of a multiple of 64 bytes as a TIFF 64 pixels wide, in pages of PAGE_ROWS rows; each payload's coding goes by its
+    checksum, whatever its length."""
     img = np.frombuffer(payload, np.uint8).reshape(-1, 64)
-    choice = zlib.crc32(payload) % 4
-    if choice == 0 and len(payload) <= 1024:
-        return write([img], LZW, 1)
-    if choice == 1:
-        return write([img], PACKBITS, 1, rows=1024)
-    if choice == 2:
-        return write([img], DEFLATE, 2, tile=64)
-    return write([img], DEFLATE, 2, rows=1024)
+    compression, predictor, tile = CODINGS[zlib.crc32(payload) % len(CODINGS)]
+    return write([img[i : i + PAGE_ROWS] for i in range(0, len(img), PAGE_ROWS)], compression, predictor, tile, rows=1024)
+
+
+def described(every: list[Page], media: bytes) -> tuple:
+    """(payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of a stored payload's pages."""
+    got, p = b"".join(x.pixels.tobytes() for x in every), every[0]
+    px = np.frombuffer(got, np.uint8)
+    shares = ",".join(f"{x:.4f}" for x in np.bincount(px >> 5, minlength=8) / len(px))
+    size, coding = f"{p.width}x{sum(x.height for x in every)}", f"{p.compression}/{p.predictor}/{'tiles' if p.tiled else 'strips'}"
+    feature = f"pages={len(every)};size={size};coding={coding};mean={px.mean():.4f};dev={px.std():.4f};shares={shares}"
+    return len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
 MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -335,8 +358,8 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Store each text as a TIFF, read it back by the directory walk and describe the pixels; one row for each row of ``docs``.
 
     A null text is the empty text (one row of 64 zero bytes). Equal texts give equal values; ids may be null or repeated;
-    other columns are ignored. ``feature`` names the page, its coding, the mean and deviation of the pixels and the shares of
-    their upper three bits.
+    other columns are ignored; an empty table gives an empty table. A long text has several pages. ``feature`` names their
+    number, the size of all of them, their coding, the mean and deviation of the pixels and the shares of their upper three bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,11 +367,8 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rows = []
             for i, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 media = store(raw + bytes(-len(raw) % 64 or (0 if raw else 64)))
-                for p in pages(media):
-                    got, px = p.pixels.tobytes(), p.pixels.ravel()
-                    shares = np.bincount(px >> 5, minlength=8) / len(px)
-                    feature = f"page={p.number};size={p.width}x{p.height};coding={p.compression}/{p.predictor}/{'tiles' if p.tiled else 'strips'};mean={px.mean():.4f};dev={px.std():.4f};shares={','.join(f'{x:.4f}' for x in shares)}"
-                    rows.append((i, len(raw), len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+                every = list(pages(media))
+                rows.append((i, len(raw), *described(every, media)))
             if rows:
                 yield batch(MEDIA, list(zip(*rows, strict=True)))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import string
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -300,3 +302,59 @@ def test_allowed_words_suppress_themselves_only():
     assert secrets.find("A7" * 20)[1] == []  # low entropy in its class
     t = "key MFRGGZDFMZTWQ2LKNNWG23TPOBYXE43U end"
     assert [secrets.KINDS[k] for _, k, _ in secrets.find(t)[1]] == ["entropy"]
+
+
+def hostile_tiff(w: int, h: int, comp: int, samples: int = 1) -> bytes:
+    tags = [(256, 4, w), (257, 4, h), (258, 3, 8), (259, 3, comp), (273, 4, 8), (277, 3, samples), (278, 4, h), (279, 4, 4)]
+    return b"II*\0\x0c\0\0\0data" + len(tags).to_bytes(2, "little") + b"".join(t.to_bytes(2, "little") + k.to_bytes(2, "little") + (1).to_bytes(4, "little") + v.to_bytes(4, "little") for t, k, v in tags) + b"\0\0\0\0"
+
+
+@pytest.mark.parametrize("w, h", [(2**31, 2**31), (2**16, 2**13), (2**32 - 1, 1), (1, 2**32 - 1)])
+def test_hostile_tiff_sizes_are_errors(w, h):
+    for comp in (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS, 7):
+        for samples in (1, 65_535):
+            with pytest.raises(tiff.TiffError):
+                list(tiff.pages(hostile_tiff(w, h, comp, samples)))
+
+
+def test_damaged_tiffs_never_fail_otherwise():
+    rng, good = random.Random(16), tiff.write([np.arange(6400, dtype=np.uint8).reshape(100, 64)] * 2, tiff.LZW, 2, 16)
+    for _ in range(2000):
+        bad = bytearray(good)
+        for _ in range(rng.randint(1, 6)):
+            bad[rng.randrange(len(bad))] = rng.randrange(256)
+        try:
+            list(tiff.pages(bytes(bad)))
+        except tiff.TiffError:
+            pass
+
+
+def test_long_payloads_in_every_coding_and_their_features():
+    rng, seen = random.Random(17), set()
+    for n in (64, 4096, 300_032, 600_064):
+        for k in range(12):
+            payload = bytes(rng.choice(b"abc defgh") for _ in range(256)) * (n // 256) or bytes(64)
+            payload = k.to_bytes(4, "big") + payload[4:]
+            media = tiff.store(payload)
+            every = list(tiff.pages(media))
+            seen.add((every[0].compression, every[0].predictor, every[0].tiled, len(every) > 1))
+            got = tiff.described(every, media)
+            assert len(every) == -(-len(payload) // (64 * tiff.PAGE_ROWS)) and got[:3] == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+            assert got[3:5] == (len(media), hashlib.sha256(media).hexdigest())
+            fields = dict(x.split("=") for x in got[5].split(";"))
+            mean = sum(payload) / len(payload)
+            dev = math.sqrt(sum((b - mean) ** 2 for b in payload) / len(payload))
+            share = [sum(c for b, c in Counter(payload).items() if b >> 5 == i) / len(payload) for i in range(8)]
+            assert abs(float(fields["mean"]) - mean) < 1e-3 and abs(float(fields["dev"]) - dev) < 1e-3 and fields["size"] == f"64x{len(payload) // 64}"
+            assert all(abs(float(a) - b) < 1e-3 for a, b in zip(fields["shares"].split(","), share, strict=True))
+    assert {c[:3] for c in seen if c[3]} == {(c, p, bool(t)) for c, p, t in tiff.CODINGS}
+
+
+def test_lzw_against_a_second_library():
+    Image = pytest.importorskip("PIL.Image")  # noqa: N806
+    import io
+
+    for n in (64, 5000 * 64):
+        payload = bytes(random.Random(n).choice(b"abcdefgh \n") for _ in range(n))
+        im = Image.open(io.BytesIO(tiff.write([np.frombuffer(payload, np.uint8).reshape(-1, 64)], tiff.LZW, 1)))
+        assert im.tobytes() == payload
