@@ -1,14 +1,15 @@
 """SentencePiece encoding and decoding by an Aho-Corasick automaton and a single-pass Viterbi.
 
 The automaton over all pieces reads a word once; at each position the pieces that end there (the node's and its output
-links') relax the best score of that position from the best score where each piece begins. For a unigram model the score of
-a path is the sum of its pieces' scores. For a BPE model, which the given 32,000-piece file is, that sum is not what the
-library maximises: there a piece may extend a path only if it stands next to the path's last piece, that is, if merging the
-two pieces' characters by score alone gives the two back. Exactly one path through each position passes, and it is the
-library's encoding. Characters without a piece become their UTF-8 bytes' pieces.
-
-No piece has a space mark after another character, so a text falls into words that are encoded one by one; a word's ids are
-kept (up to ``max_words``).
+links') relax the best score of that position from the best score where each piece begins. A step's score is the piece's own;
+for a BPE model, which the given 32,000-piece file is, a step also pays ``CLASH`` if its piece cannot stand next to the last
+piece of the path it extends, that is, if merging the two pieces' characters by rank does not give the two back. A path without
+a clash is what merging gives for that beginning of the word, and there is exactly one for each beginning; as a clash costs
+more than any word's pieces, the best path is the library's encoding. For a unigram model there are no clashes. Characters
+without a piece become their UTF-8 bytes' pieces.
+
+No piece has a space mark after another character, so a text falls into words that are encoded one by one; the ids of words of
+up to ``WORD_CHARS`` characters are kept (up to ``max_words``).
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ from pyspark.sql import DataFrame
 from tarnwell.llm.common import batch, id_and_text, map_arrow
 
 MARK = "▁"
+NEVER = float("-inf")
+CLASH = 1e12  # beyond the sum of any word's scores
+WORD_CHARS = 48
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -80,7 +84,8 @@ class PieceCodec:
 
     def stands(self, left: str, right: str) -> bool:
         """Whether merging ``left`` and ``right`` as one run of characters gives the two back: the latest merge on either side
-        of the border is undone, again and again; no pair that comes to face the border may have merged before it."""
+        of the border is undone, again and again; no pair that comes to face the border may have merged before it. An empty
+        ``left`` is the beginning of the word."""
         k = (left, right)
         v = self.beside.get(k)
         if v is None:
@@ -90,6 +95,10 @@ class PieceCodec:
         return v
 
     def _stands(self, left: str, right: str) -> bool:
+        if self.tree(right) is False:  # merging never makes this piece
+            return False
+        if not left:
+            return True
         if MARK * 2 in left + right:  # pieces of marks alone have equal scores: merge them in full
             return self.merge(left + right)[0] == [left, right]
         score, tree, limit = self.score, self.tree, float("inf")
@@ -108,26 +117,23 @@ class PieceCodec:
     def viterbi(self, word: str) -> list[str]:
         """The best path over characters that all have pieces."""
         n = len(word)
-        best: list[float | None] = [0.0] + [None] * n
-        last: list[str] = [""] * (n + 1)
+        best = [0.0] + [NEVER] * n
+        last = [""] * (n + 1)
         bpe, score, beside = self.kind == "bpe", self.score, self.beside
         for end, p in self.automaton.iter(word):
             end += 1
             at = end - len(p)
-            s, now = best[at], best[end]
-            if s is None:
+            s = best[at] + score[p]
+            if s <= best[end]:
                 continue
             if bpe:
-                if now is not None or self.tree(p) is False:
-                    continue
                 before = last[at]
-                if before:
-                    ok = beside.get((before, p))
-                    if not (self.stands(before, p) if ok is None else ok):
+                ok = beside.get((before, p))
+                if not (self.stands(before, p) if ok is None else ok):
+                    s -= CLASH
+                    if s <= best[end]:
                         continue
-                best[end], last[end] = s, p
-            elif now is None or s + score[p] > now:
-                best[end], last[end] = s + score[p], p
+            best[end], last[end] = s, p
         out = []
         while n:
             out.append(last[n])
@@ -149,9 +155,11 @@ class PieceCodec:
                     run = ""
                 if ch is not None:
                     out += [self.bytes[b] for b in ch.encode()] if self.bytes else [self.unk]
-        if len(self.words) >= self.max_words:
-            self.words.clear()
-        self.words[word] = made = tuple(out)
+        made = tuple(out)
+        if len(word) <= WORD_CHARS:
+            if len(self.words) >= self.max_words:
+                self.words.clear()
+            self.words[word] = made
         return made
 
     def encode(self, text: str) -> list[int]:
