@@ -18,7 +18,8 @@ A text longer than ``chunk_chars`` is cut into chunks. A chunk's state map is (h
 followed by a space the machine is in one known state whatever it was in before, so only the head up to there depends on the
 entry state; from there on the count and the exit state are fixed. Maps compose associatively, and an inclusive prefix scan
 (log-depth doubling) over the chunks gives the count at the end of each. Inside a chunk, a word between two single spaces is
-a round trip from that same known state, so its count is kept as one transition.
+a round trip from that same known state, so its count is kept as one transition (for words of up to ``WORD_CHARS`` characters,
+and up to ``max_words`` of them, so that texts without spaces cannot fill the memory).
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from tokenizers import Tokenizer
 from tarnwell.llm.common import batch, id_and_text, map_arrow
 
 SYNC = re.compile("[A-Za-z] ")
+WORD_CHARS = 64
 START, SPACE = ("F",), ("W", 0, " ")
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -238,9 +240,11 @@ class CountTransducer:
         else:
             n, key = self.run(SPACE, w + " ")
         if key == SPACE:
-            if len(self.words) >= self.max_words:
-                self.words.clear()
-            self.words[w], key = n, SPACE
+            key = SPACE
+            if len(w) <= WORD_CHARS:
+                if len(self.words) >= self.max_words:
+                    self.words.clear()
+                self.words[w] = n
         return n, key
 
     # -- chunk maps -------------------------------------------------------------------------------------------------
