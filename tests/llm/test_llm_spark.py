@@ -205,6 +205,21 @@ def test_chat_collapse(spark):
     assert chat.chat_format(df.where("false")).count() == 0
 
 
+def test_chat_without_conversation_or_number(spark):
+    """Turns without a conversation are conversations of one turn; a crowd of null or equal numbers is cut into several segments."""
+    rows = [(None, 1, "user", "z"), (None, 2, "user", "z"), (None, None, "user", "first"), (None, 5, None, None), (1, 0, "user", "first"), (1, 1, "user", "more"), (2, 7, "user", "lone"), (None, 0, "user", "lone")]
+    rows += [(3, None, "user", f"a{i}") for i in range(3000)] + [(4, 9, "user", f"b{i % 50}") for i in range(2000)] + [(5, 9, "user", f"b{i % 50}") for i in range(2000)]
+    got = chat.chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("range", F.lit(0))).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.conv_id].append(r)
+    assert {(r.rendered, r.copies, r.n_turns) for r in by[None]} == {("<|im_start|>user\nz<|im_end|>\n", 2, 1), ("<|im_start|>unknown\n<|im_end|>\n", 1, 1)}
+    assert set(by) == {None, 1, 2, 3, 4} and by[2][0].copies == 2 and {r.copies for r in by[4]} == {2}
+    for i, n in ((3, 3000), (4, 2000)):
+        assert len(by[i]) > 5 and sum(r.segment_turns for r in by[i]) == n and {r.segment for r in by[i]} == set(range(len(by[i])))
+        assert Counter(x for r in by[i] for x in r.rendered.split("<|im_end|>\n")[:-1]) == Counter(f"<|im_start|>user\n{t}" for c, _, _, t in rows if c == i)
+
+
 def test_chat_oracle(spark):
     df = queries.QUERIES["op2_chat_format"](spark, SF)
     cur = oracle.connect(SF).execute(queries.ORACLES["op2_chat_format"])
