@@ -1,8 +1,9 @@
 """Quality classifier: weak labels by expectation-maximisation, posteriors train a hashed linear scorer.
 
 Two aspects are judged, each by overlapping heuristic labellers that vote good, bad or abstain: *quality* (symbols, capitals,
-repeats, variety, trailing marks, lone marks, word length) and *toxicity* (a small lexicon of insults, and two lexicons of
-word beginnings mined from a bounded sample of labelled rows). For each aspect:
+repeats, variety, trailing marks, lone marks, word length) and *toxicity* (keyword labellers: a small lexicon of insults, a
+lexicon of words that a bounded sample of labelled rows shows to be all but peculiar to toxic texts, and a wider one of words
+seen in few toxic texts and hardly elsewhere, of which more must meet). For each aspect:
 
 1. One pass counts the vote patterns of all documents. There are at most 3^labellers patterns, so the counts that reach the
    driver are bounded whatever the corpus.
@@ -21,11 +22,11 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from operator import eq
+from operator import eq, mul
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.llm.common import batch, id_and_text, map_arrow
@@ -36,7 +37,7 @@ INSULTS = frozenset(b"idiot stupid moron loser scum trash pathetic worthless dis
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"-()?/")
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 TO_SPACE = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
-SHORT, LONG = (4, 5), (6, 7, 8)  # bytes of the mined word beginnings
+CHANCE = math.log(1e6)  # a sure word is found by chance in fewer than one of so many
 
 
 def _vote(x: float, good: float, bad: float) -> int:
@@ -68,36 +69,46 @@ def quality_votes(raw: bytes, words: list[bytes]) -> list[int]:
     ]
 
 
-def bare_words(raw: bytes) -> set[bytes]:
-    """Distinct lower-cased words without ASCII marks."""
-    return set(raw.lower().translate(TO_SPACE).split())
+def bare_words(raw: bytes) -> list[bytes]:
+    """Lower-cased words without ASCII marks."""
+    return raw.lower().translate(TO_SPACE).split()
+
+
+@dataclass(frozen=True)
+class Hits:
+    """How often a text has insults, sure and (sure or) likely words, and its number of words."""
+
+    insults: int
+    sure: int
+    likely: int
+    words: int
+
+    @property
+    def features(self) -> tuple[float, float, float]:
+        return min(4.0, self.sure), min(4.0, self.likely), min(4.0, 100 * self.likely / (self.words or 1))
 
 
 class Lexicon:
-    """The insults and the mined word beginnings; a look at a word's first four bytes settles almost every word."""
+    """The insults and the mined words."""
 
-    def __init__(self, starts: dict[int, frozenset[bytes]]):
-        self.starts = [(k, frozenset(starts[k]), 1 if k in SHORT else 2) for k in SHORT + LONG if starts.get(k)]
-        self.has = [any(starts.get(k) for k in lengths) for lengths in (SHORT, LONG)]
-        self.first = frozenset(w[:4] for words in (INSULTS, *(s for _, s, _ in self.starts)) for w in words)
+    def __init__(self, mined: dict[str, frozenset[bytes]]):
+        self.sure = frozenset(mined.get("sure", ())) | INSULTS
+        self.likely = frozenset(mined.get("likely", ())) | self.sure
+        self.mined = bool(mined.get("sure") or mined.get("likely"))
 
-    def hits(self, words: set[bytes]) -> tuple[int, int, int, int]:
-        """Distinct words of ``words`` that are insults, have a short, have a long mined beginning, have any of these."""
-        first, n = self.first, [0, 0, 0, 0]
-        for w in [w for w in words if w[:4] in first]:
-            found = {0} if w in INSULTS else set()
-            found.update(kind for k, s, kind in self.starts if w[:k] in s)
-            for kind in found:
-                n[kind] += 1
-            n[3] += bool(found)
-        return tuple(n)
+    def hits(self, words: list[bytes]) -> Hits:
+        found = [w for w in words if w in self.likely]
+        return Hits(sum(w in INSULTS for w in found), sum(w in self.sure for w in found), len(found), len(words))
 
 
-def toxicity_votes(hits: tuple[int, int, int, int], lexicon: Lexicon) -> list[int]:
-    """The votes of the lexicon of insults and of the two mined lexicons (short and long beginnings)."""
-    insults, *mined, _ = hits
-    votes = [BAD if insults >= 2 else ABSTAIN if insults or any(lexicon.has) else GOOD]
-    return votes + [ABSTAIN if not has else BAD if n >= 2 else GOOD if n == 0 else ABSTAIN for n, has in zip(mined, lexicon.has, strict=True)]
+def toxicity_votes(hits: Hits, lexicon: Lexicon) -> list[int]:
+    """The votes of the three keyword labellers: bad for several hits, or for one in a short text; good for none; a lexicon that
+    may not know a text's language says good only where the mined words say nothing against it."""
+    n = hits.words or 1
+    insults = BAD if hits.insults >= 2 or hits.insults >= 0.01 * n > 0 and hits.insults else ABSTAIN if hits.insults or lexicon.mined else GOOD
+    sure = BAD if hits.sure >= 2 or hits.sure and hits.sure >= 0.01 * n else ABSTAIN if hits.sure else GOOD
+    likely = BAD if hits.likely >= 3 or hits.likely >= 2 and hits.likely >= 0.01 * n else ABSTAIN if hits.likely else GOOD
+    return [insults, sure, likely] if lexicon.mined else [insults, ABSTAIN, ABSTAIN]
 
 
 def pattern(votes: list[int]) -> int:
@@ -185,10 +196,10 @@ def beginnings(words: set[bytes]) -> set[bytes]:
     return {w[:5] for w in words} | {w[:7] for w in words}
 
 
-def toxicity_features(words: set[bytes], hits: tuple[int, int, int, int]) -> dict[int, float]:
-    """How many distinct word beginnings of 5 or 7 bytes each bucket has; the last bucket has the lexicon words, up to four."""
-    top = (1 << TOXIC_BITS) - 1
-    return {**Counter(zlib.crc32(w) % top for w in beginnings(words)), top: float(min(4, hits[3]))}
+def toxicity_features(words: set[bytes], hits: Hits) -> dict[int, float]:
+    """How many distinct word beginnings of 5 or 7 bytes each bucket has; the last three buckets have the lexicon's findings."""
+    top = (1 << TOXIC_BITS) - 3
+    return {**Counter(zlib.crc32(w) % top for w in beginnings(words)), **{top + i: x for i, x in enumerate(hits.features) if x}}
 
 
 @dataclass
@@ -254,34 +265,56 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], size: int, rounds: int
 # -- the operator ---------------------------------------------------------------------------------------------------
 
 
-def mined_starts(docs: DataFrame, labelled: DataFrame, rows: int, label_col: str = "toxic") -> dict[int, frozenset[bytes]]:
-    """Word beginnings of 4 to 8 bytes that mark toxic rows, from at most ``rows`` labelled rows (broadcast; by hash of the id)."""
-    some = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
+def _chosen(key: Column, rows: int, total: int) -> Column:
+    """Whether a 64-bit hash falls among the lowest ``rows`` of ``total`` parts."""
+    bound = -(1 << 63) + min((1 << 64) - 1, (1 << 64) * rows // max(total, 1))
+    return key <= F.lit(bound).cast("long")
+
+
+def mined_words(docs: DataFrame, labelled: DataFrame, rows: int, label_col: str = "toxic") -> dict[str, frozenset[bytes]]:
+    """The words that mark toxic rows, from about ``rows`` labelled rows (chosen by a hash of the id; their ids are broadcast).
+
+    Equal texts count once. A word of b toxic and g other texts is *sure* if the excess of b over the base rate has a chance of
+    less than one in a million by Chernoff's bound, and b is at least four times g; it is *likely* if b is at least three and
+    ten times g. What reaches the driver is bounded by the distinct words of the sample.
+    """
+    some = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(label_col).cast("int") > 0).cast("int").alias("y")).where("doc_id is not null and y is not null").distinct()
     total = some.count()
     if total > rows:
-        some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * rows / total))
-    joined = docs.join(F.broadcast(some.limit(rows)), "doc_id").select("y", "text")
+        some = some.where(_chosen(F.xxhash64("doc_id"), rows, total))
+    joined = docs.join(F.broadcast(some), "doc_id").groupBy(F.xxhash64("text").alias("h"), "y").agg(F.first("text").alias("text")).select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = {0: Counter(), 1: Counter()}, [0, 0]
         for b in batches:
             for y, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                y = int(y > 0)
-                seen[y].update({w[:k] for w in bare_words(t) for k in SHORT + LONG if len(w) >= k})
+                seen[y].update(set(bare_words(t)))
                 n[y] += 1
         words = list(seen[0].keys() | seen[1].keys())
         yield batch("word binary, bad long, good long", [[b"", *words], [n[1], *(seen[1][w] for w in words)], [n[0], *(seen[0][w] for w in words)]])
 
     counts = map_arrow(joined, run, "word binary, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    counts = counts.where("word = X'' or (bad >= 3 and good <= 0.02 * bad)").orderBy(F.col("word") != F.lit(b""), F.desc("bad"), "word").limit(20_001).collect()
-    starts: dict[int, set[bytes]] = {k: set() for k in SHORT + LONG}
-    if counts and counts[0].bad and counts[0].good:
-        base = counts[0].bad / (counts[0].bad + counts[0].good)
-        least = np.log(50 * 100_000) / np.log(1 / base)  # by chance, so many hits are rare among 100,000 beginnings
-        for r in counts[1:]:
-            if r.bad >= least:
-                starts[len(r.word)].add(bytes(r.word))
-    return {k: frozenset(v) for k, v in starts.items()}
+    found = counts.where("word = X'' or (bad >= 3 and bad >= 4 * good)").collect()
+    whole = next((r for r in found if not r.word), None)
+    mined: dict[str, set[bytes]] = {"sure": set(), "likely": set()}
+    if whole and whole.bad and whole.good:
+        base = whole.bad / (whole.bad + whole.good)
+        for r in found:
+            if r.word:
+                if excess(r.bad, r.good, base) >= CHANCE:
+                    mined["sure"].add(bytes(r.word))
+                if r.bad >= 10 * r.good:
+                    mined["likely"].add(bytes(r.word))
+    return {k: frozenset(v) for k, v in mined.items()}
+
+
+def excess(bad: int, good: int, base: float) -> float:
+    """Minus the logarithm of Chernoff's bound on the chance of ``bad`` or more of bad + good at the rate ``base``."""
+    n = bad + good
+    p = bad / n
+    if p <= base:
+        return 0.0
+    return n * (p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0.0))
 
 
 SCHEMA = "doc_id long, quality_weak double, quality_score double, toxicity_weak double, toxicity_score double, keep boolean"
@@ -291,7 +324,7 @@ SCHEMA = "doc_id long, quality_weak double, quality_score double, toxicity_weak
 class Classifier:
     """The fitted classifier; its size does not depend on the corpus."""
 
-    starts: dict[int, frozenset[bytes]]
+    mined: dict[str, frozenset[bytes]]
     quality: LabelModel
     toxicity: LabelModel
     quality_scorer: Scorer
@@ -304,17 +337,17 @@ class Classifier:
 
 
 def _score(batches: Iterator[pa.RecordBatch], m: Classifier) -> Iterator[pa.RecordBatch]:
-    lexicon, top = Lexicon(m.starts), (1 << TOXIC_BITS) - 1
+    lexicon, top = Lexicon(m.mined), (1 << TOXIC_BITS) - 3
     by_shape = _Weights(m.quality_scorer.weights, shape_bucket)
     starts = _Weights(m.toxicity_scorer.weights, lambda w: zlib.crc32(w) % top)
-    repeat, hit = float(m.quality_scorer.weights[-1]), float(m.toxicity_scorer.weights[-1])
+    repeat, hit = float(m.quality_scorer.weights[-1]), m.toxicity_scorer.weights[-3:].tolist()
     for b in batches:
         rows = []
         for i, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
             words, bare = raw.split(), bare_words(raw)
             q = m.quality_scorer.probability((sum(map(by_shape.__getitem__, shapes(raw))) + repeat * sum(map(eq, words, words[1:]))) / len(words)) if words else 0.0
             hits = lexicon.hits(bare)
-            t = 1 - m.toxicity_scorer.probability(sum(map(starts.__getitem__, beginnings(bare))) + hit * min(4, hits[3]))
+            t = 1 - m.toxicity_scorer.probability(sum(map(starts.__getitem__, beginnings(set(bare)))) + sum(map(mul, hit, hits.features)))
             weak_q = m.quality.posterior.get(pattern(quality_votes(raw, words)), m.quality.prior)
             weak_t = 1 - m.toxicity.posterior.get(pattern(toxicity_votes(hits, lexicon)), m.toxicity.prior)
             rows.append((i, weak_q, q, weak_t, t, q >= 0.5 and t < 0.5))
@@ -322,9 +355,9 @@ def _score(batches: Iterator[pa.RecordBatch], m: Classifier) -> Iterator[pa.Reco
             yield batch(SCHEMA, list(zip(*rows, strict=True)))
 
 
-def _count_patterns(batches: Iterator[pa.RecordBatch], starts: dict[int, frozenset[bytes]]) -> Iterator[pa.RecordBatch]:
+def _count_patterns(batches: Iterator[pa.RecordBatch], mined: dict[str, frozenset[bytes]]) -> Iterator[pa.RecordBatch]:
     seen: Counter[tuple[int, int]] = Counter()
-    lexicon = Lexicon(starts)
+    lexicon = Lexicon(mined)
     for b in batches:
         for raw in b.column(1).cast(pa.binary()).to_pylist():
             seen[0, pattern(quality_votes(raw, raw.split()))] += 1
@@ -333,8 +366,8 @@ def _count_patterns(batches: Iterator[pa.RecordBatch], starts: dict[int, frozens
         yield batch("aspect int, pattern int, n long", [[k[0] for k in seen], [k[1] for k in seen], list(seen.values())])
 
 
-def _featurise(batches: Iterator[pa.RecordBatch], starts: dict[int, frozenset[bytes]], quality: LabelModel, toxicity: LabelModel) -> Iterator[pa.RecordBatch]:
-    lexicon = Lexicon(starts)
+def _featurise(batches: Iterator[pa.RecordBatch], mined: dict[str, frozenset[bytes]], quality: LabelModel, toxicity: LabelModel) -> Iterator[pa.RecordBatch]:
+    lexicon = Lexicon(mined)
     for b in batches:
         rows: list[tuple] = []
         for raw in b.column(1).cast(pa.binary()).to_pylist():
@@ -342,8 +375,8 @@ def _featurise(batches: Iterator[pa.RecordBatch], starts: dict[int, frozenset[by
             hits = lexicon.hits(bare)
             if words:
                 for aspect, x, p in (
-                    (0, quality_features(raw, words), quality.posterior[pattern(quality_votes(raw, words))]),
-                    (1, toxicity_features(bare, hits), toxicity.posterior[pattern(toxicity_votes(hits, lexicon))]),
+                    (0, quality_features(raw, words), quality.posterior.get(pattern(quality_votes(raw, words)), quality.prior)),
+                    (1, toxicity_features(set(bare), hits), toxicity.posterior.get(pattern(toxicity_votes(hits, lexicon)), toxicity.prior)),
                 ):
                     rows.append((aspect, np.array(list(x), "<i4").tobytes(), np.array(list(x.values()), "<f4").tobytes(), p))
         if rows:
@@ -351,18 +384,19 @@ def _featurise(batches: Iterator[pa.RecordBatch], starts: dict[int, frozenset[by
 
 
 def train(docs: DataFrame, labelled: DataFrame | None = None, sample: int = 4096, labelled_rows: int = 8192) -> Classifier:
-    """Fit on all rows of ``docs`` (doc_id, text): patterns of all of them, features of about ``sample`` chosen by hash (at most twice that)."""
-    starts = mined_starts(docs, labelled, labelled_rows) if labelled is not None else {}
-    counted = map_arrow(docs, lambda bs: _count_patterns(bs, starts), "aspect int, pattern int, n long").groupBy("aspect", "pattern").agg(F.sum("n").alias("n")).collect()
+    """Fit on all rows of ``docs`` (doc_id, text): vote patterns of all of them, features of at most about ``sample`` distinct
+    texts, chosen by their hash."""
+    mined = mined_words(docs, labelled, labelled_rows) if labelled is not None else {}
+    counted = map_arrow(docs, lambda bs: _count_patterns(bs, mined), "aspect int, pattern int, n long").groupBy("aspect", "pattern").agg(F.sum("n").alias("n")).collect()
     by = [{r.pattern: r.n for r in counted if r.aspect == k} for k in (0, 1)]
     quality, toxicity = expectation_maximisation(by[0], 7), expectation_maximisation(by[1], 3)
     total = sum(by[0].values())
-    some = docs
-    if total > sample:
-        some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000_000)) < int(1_000_000_000 * sample / total)).limit(2 * sample)
-    rows = map_arrow(some, lambda bs: _featurise(bs, starts, quality, toxicity), "aspect int, idx binary, val binary, p double").collect()
-    data = [[(np.frombuffer(r.idx, "<i4"), np.frombuffer(r.val, "<f4"), r.p) for r in rows if r.aspect == k] for k in (0, 1)]
-    return Classifier(starts, quality, toxicity, fit(data[0], 1 << QUALITY_BITS), fit(data[1], 1 << TOXIC_BITS))
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    some = hashed if total <= sample else hashed.where(_chosen(F.xxhash64("h"), sample, total))
+    some = some.groupBy("h").agg(F.first("text").alias("text")).select("h", "text")
+    rows = map_arrow(some, lambda bs: _featurise(bs, mined, quality, toxicity), "aspect int, idx binary, val binary, p double").collect()
+    data = [sorted(((np.frombuffer(r.idx, "<i4"), np.frombuffer(r.val, "<f4"), r.p) for r in rows if r.aspect == k), key=lambda x: (x[0].tobytes(), x[1].tobytes())) for k in (0, 1)]
+    return Classifier(mined, quality, toxicity, fit(data[0], 1 << QUALITY_BITS), fit(data[1], 1 << TOXIC_BITS))
 
 
 def classify(docs: DataFrame, labelled: DataFrame | None = None, sample: int = 4096, labelled_rows: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -376,10 +410,12 @@ def classify(docs: DataFrame, labelled: DataFrame | None = None, sample: int = 4
     return train(docs, labelled, sample, labelled_rows).apply(docs)
 
 
-
-
 def keep_good(docs: DataFrame, labelled: DataFrame | None = None, sample: int = 4096, labelled_rows: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier fitted on all of them keeps, with all their columns, in one pass without a shuffle."""
+    """The rows of ``docs`` that the classifier fitted on all of them keeps, with all their columns, in one pass without a shuffle.
+
+    Null and empty texts are not kept; rows with null or repeated ids and repeated rows are each judged by their text; an empty
+    table gives an empty table.
+    """
     plain = id_and_text(docs, id_col, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(train(plain, labelled, sample, labelled_rows))
     at = docs.columns.index(text_col)

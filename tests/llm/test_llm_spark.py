@@ -254,6 +254,63 @@ def test_quality_held_out(spark):
     assert sum(r.keep for r in good) >= 0.97 * len(good) and sum(r.keep for r in bad) <= 0.1 * len(bad)
 
 
+def test_toxicity_recall(spark):
+    """Toxic documents in four languages are found, in the labelled rows and in those held out, and no clean one is called toxic."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    for known, asked, least in ((labels, labels, 0.9), (labels.where("pmod(doc_id, 2) = 0"), labels.where("pmod(doc_id, 2) = 1"), 0.85)):
+        rows = weak_labels.classify(docs, known).join(asked, "doc_id").select("toxic", "quality", "toxicity_score").collect()
+        toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic and r.quality]
+        assert sum(r.toxicity_score >= 0.5 for r in toxic) >= least * len(toxic)
+        assert sum(r.toxicity_score >= 0.5 for r in clean) <= 0.005 * len(clean)
+
+
+def test_classifier_brute_force(spark, docs, texts):
+    """Patterns, posteriors and scores again by plain counting and by the features' own dictionaries."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = weak_labels.train(docs.select("doc_id", "text"), labels, 100, 1000)
+    words = {i: [w for w in re.sub(rb"[\x00-/:-@\[-`{-\x7f]", b" ", t.encode().lower()).split()] for i, t in texts.items()}
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    seen, n = {0: Counter(), 1: Counter()}, Counter()
+    for t, y in {(texts[i], y) for i, y in toxic.items()}:
+        i = next(k for k, v in texts.items() if v == t)
+        seen[y].update(set(words[i]))
+        n[y] += 1
+    likely = {w for w, b in seen[1].items() if b >= 3 and b >= 10 * seen[0][w]}
+    assert set(model.mined["likely"]) == likely
+    lexicon = weak_labels.Lexicon(model.mined)
+    counts = [Counter(), Counter()]
+    for i, t in texts.items():
+        raw = t.encode()
+        hits = weak_labels.Hits(*(sum(w in s for w in words[i]) for s in (weak_labels.INSULTS, lexicon.sure, lexicon.likely)), len(words[i]))
+        assert lexicon.hits(words[i]) == hits
+        counts[0][weak_labels.pattern(weak_labels.quality_votes(raw, raw.split()))] += 1
+        counts[1][weak_labels.pattern(weak_labels.toxicity_votes(hits, lexicon))] += 1
+    for got, c, k in ((model.quality, counts[0], 7), (model.toxicity, counts[1], 3)):
+        want = weak_labels.expectation_maximisation(c, k)
+        assert got.posterior == want.posterior and got.prior == want.prior
+    for r in model.apply(docs.select("doc_id", "text")).collect():
+        raw = texts[r.doc_id].encode()
+        q = model.quality_scorer(weak_labels.quality_features(raw, raw.split())) if raw.split() else 0.0
+        t = 1 - model.toxicity_scorer(weak_labels.toxicity_features(set(words[r.doc_id]), lexicon.hits(words[r.doc_id])))
+        assert math.isclose(r.quality_score, q, abs_tol=1e-6) and math.isclose(r.toxicity_score, t, abs_tol=1e-6) and r.keep == (r.quality_score >= 0.5 and r.toxicity_score < 0.5)
+
+
+def test_keep_good_on_odd_rows(nasty):
+    got = weak_labels.keep_good(nasty)
+    assert got.columns == nasty.columns and weak_labels.keep_good(nasty.where("false")).count() == 0
+    keeps = Counter((r.doc_id) for r in weak_labels.classify(nasty).where("keep").collect())
+    assert Counter(r.doc_id for r in got.collect()) == keeps and not {1, 2} & set(keeps)
+
+
+def test_sample_never_empties():
+    from pyspark.sql import functions as F
+
+    for total in (10**7, 10**12, 10**18):
+        bound = -(1 << 63) + (1 << 64) * 8192 // total
+        assert bound > -(1 << 63) and str(bound) in str(weak_labels._chosen(F.col("h"), 8192, total))
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
