@@ -1,14 +1,23 @@
 """LM scoring by a Brown class-based bigram model.
 
-Training gathers, over all training texts, the count of every distinct word (partial counts in each task, one shuffle by
-word) and the bigram counts between *symbols*: the ``clustered`` most frequent words, a few shapes for all other words, and
-the end. Exchange clustering on the driver then moves each frequent word to the class that gains the most average mutual
-information, until no move gains; its input is bounded by (clustered + shapes + 1)^2 numbers, whatever the corpus. The model
-is p(word | class) * p(class | class before); both are smoothed additively, and each class gives words never seen one share.
-
-Scoring needs each token's exact count. The most frequent words' counts, at most ``frequent``, are broadcast (a documented
-bound; the other words are each hardly more than 1/frequent of all tokens, so none of them is a hot key); tokens of rarer words are grouped by
-document and word and joined with the count table. No count is dropped and no text is cut.
+Training gathers, over all training texts, the count of every distinct word (partial counts in each task, one shuffle by word).
+Texts are then written once as numbers: a word among the ``frequent`` most frequent ones (a documented bound of what is
+broadcast) is its rank, any other keeps its bytes beside it. Words are clustered by exchange:
+
+1. The ``seeds`` most frequent words, over the bigrams of all training texts, on the driver: a word moves to the class that gains
+   the most average mutual information, until no move gains. The input is bounded by (seeds + shapes + 1)^2 numbers.
+2. Every other word that training has at least twice, distributed: for each word the classes of its neighbours are counted, and
+   each task moves its words to the classes of the largest gain against the class table of the round before (as distributed
+   word clustering does, Uszkoreit and Brants 2008). Frequent words have ``rounds`` rounds, the others the last one. So the
+   number of words clustered grows with the corpus; only frequent words' classes reach the driver.
+
+Words seen once stand for words never seen: both have one of eight classes by shape. The model is
+p(word | class) * p(class | class before); the transitions are smoothed additively, and each class by shape gives words never
+seen one share.
+
+Scoring needs each token's exact count and class. Those of frequent words are broadcast; the other tokens, each word of which
+is hardly more than 1/frequent of all tokens, so that none is a hot key, are joined by word with the table of counts and classes
+and go back to their texts. No count is dropped and no text is cut.
 """
 
 from __future__ import annotations
@@ -16,19 +25,23 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from tarnwell.llm.common import batch, id_and_text, map_arrow
-from tarnwell.session import durable
+from tarnwell.session import drop, durable
 
 SHAPES = 8
+MOST_CLASSES = 64  # of all kinds; a class and a side fit one byte
+RARE, END = 65_535, 65_534  # numbers of tokens that are no frequent word
+KEPT_CHARS = 64  # longer words are not kept in a task's dictionaries
 
 
 def shape(word: bytes) -> int:
@@ -41,8 +54,11 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 1
 
 
+# -- words and numbers ----------------------------------------------------------------------------------------------
+
+
 def word_counts(train: DataFrame) -> DataFrame:
-    """(word, c) over all training texts; a task counts up to half a million words before it hands them on."""
+    """(word, c) over all training texts; a task counts up to 300,000 words before it hands them on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
@@ -57,48 +73,112 @@ def word_counts(train: DataFrame) -> DataFrame:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if not held_out(i):
                     seen.update(t.lower().split())
-                    if len(seen) > 500_000:
+                    if len(seen) > 300_000:
                         yield from out()
         yield from out()
 
     return map_arrow(train, run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def bigram_counts(train: DataFrame, symbols: dict[bytes, int], n: int) -> DataFrame:
-    """(pair, c): how often symbol pair // n is followed by pair % n; the end is symbol n - 1 and stands before each text."""
+def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """At most ``most`` words with their counts, by falling count: whole bins of a histogram over log2(count), from the top.
+
+    The histogram has at most 16 * 63 bins, so what reaches the driver is bounded, and no task sends more than the words taken.
+    """
+    bin_ = F.floor(F.log2("c") * 16).cast("int")
+    sizes = {r.bin: r.n for r in counts.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    least, total = None, 0
+    for b in sorted(sizes, reverse=True):
+        total += sizes[b]
+        if total > most:
+            break
+        least = b
+    if least is None:
+        return []
+    return sorted(((bytes(r.word), r.c) for r in counts.where(bin_ >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+
+class _Lookup(dict):
+    """Word to number, kept for up to 200,000 words of up to KEPT_CHARS bytes."""
+
+    def __init__(self, make: Callable[[bytes], int]):
+        self.make = make
+
+    def __missing__(self, w: bytes) -> int:
+        s = self.make(w)
+        if len(w) <= KEPT_CHARS:
+            if len(self) > 200_000:
+                self.clear()
+            self[w] = s
+        return s
+
+
+ENCODED = "row long, doc_id long, held_out boolean, ids binary, shapes binary"
+
+
+def encode(docs: DataFrame, top: list[tuple[bytes, int]]) -> DataFrame:
+    """(row, doc_id, held_out, ids, shapes, rare): each token's number as two bytes; for tokens that are not frequent their shapes
+    and their words, in order."""
+    sent = docs.sparkSession.sparkContext.broadcast({w: i for i, (w, _) in enumerate(top)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, first = np.zeros(n * n, np.int64), n - 1 - SHAPES
-        lookup = _Lookup(lambda w: symbols.get(w, -1), lambda w: first + shape(w))
+        first, number, ranks = TaskContext.get().partitionId() << 33, 0, sent.value
+        lookup = _Lookup(lambda w: ranks.get(w, RARE))
+        shapes = _Lookup(shape)
         for b in batches:
-            ids = [n - 1]
+            rows, rare = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                if not held_out(i):
-                    ids += map(lookup.__getitem__, t.lower().split())
-                    ids.append(n - 1)
-            a = np.array(ids, np.int64)
-            total += np.bincount(a[:-1] * n + a[1:], minlength=n * n)
-        pair = np.flatnonzero(total)
-        if len(pair):
-            yield batch("pair int, c long", [pair, total[pair]])
+                words = t.lower().split()
+                ids = np.fromiter(map(lookup.__getitem__, words), np.uint16, len(words))
+                few = [words[j] for j in np.flatnonzero(ids == RARE).tolist()]
+                rows.append((first + number, i, held_out(i), ids.tobytes(), bytes(map(shapes.__getitem__, few))))
+                rare.append(few)
+                number += 1
+            if rows:
+                plain = batch(ENCODED, list(zip(*rows, strict=True)))
+                yield pa.RecordBatch.from_arrays([*plain.columns, pa.array(rare, pa.list_(pa.binary()))], names=[*plain.schema.names, "rare"])
 
-    return map_arrow(train, run, "pair int, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+    return map_arrow(docs, run, ENCODED + ", rare array<binary>")
 
 
-class _Lookup(dict):
-    """Word to symbol, kept for up to 300,000 words."""
+def training(encoded: DataFrame) -> DataFrame:
+    return encoded.where("not held_out")
 
-    def __init__(self, known, other):  # noqa: ANN001
-        self.known, self.other = known, other
 
-    def __missing__(self, w: bytes) -> int:
-        s = self.known(w)
-        if s < 0:
-            s = self.other(w)
-        if len(self) > 300_000:
-            self.clear()
-        self[w] = s
-        return s
+def sequences(b: pa.RecordBatch, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, classes) of the batch's (ids, shapes) one text after the other, the end before the first and after each; ``lut``
+    has a class for each number, the class of the first shape for RARE."""
+    mark = np.array([END], "<u2").tobytes()
+    ids = np.frombuffer(mark + b"".join(x + mark for x in b.column(0).to_pylist()), "<u2")
+    classes = lut[ids]
+    classes[ids == RARE] += np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8)
+    return ids, classes
+
+
+# -- exchange clustering --------------------------------------------------------------------------------------------
+
+
+def h(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+
+
+def pair_counts(encoded: DataFrame, lut: np.ndarray, size: int) -> np.ndarray:
+    """How often a class is followed by each, over all training texts (at most size^2 numbers)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for b in batches:
+            _, c = sequences(b, lut)
+            c = c.astype(np.int64)
+            total += np.bincount(c[:-1] * size + c[1:], minlength=size * size)
+        pair = np.flatnonzero(total)
+        if len(pair):
+            yield batch("pair int, c long", [pair, total[pair]])
+
+    out = np.zeros(size * size)
+    for r in map_arrow(training(encoded).select("ids", "shapes"), run, "pair int, c long").groupBy("pair").agg(F.sum("c").alias("c")).collect():
+        out[r.pair] = r.c
+    return out.reshape(size, size)
 
 
 def exchange_clusters(bigrams: np.ndarray, movable: int, classes: int, sweeps: int = 8) -> np.ndarray:
@@ -121,7 +201,6 @@ def exchange_clusters(bigrams: np.ndarray, movable: int, classes: int, sweeps: i
         table[cls[s]] += right[s]
     uni = b.sum(1)
     total = np.bincount(cls, weights=uni, minlength=size)
-    h = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
     for _ in range(sweeps):
         moved = 0
         for s in range(movable):
@@ -159,11 +238,153 @@ def exchange_clusters(bigrams: np.ndarray, movable: int, classes: int, sweeps: i
     return cls
 
 
+def best_classes(word: np.ndarray, code: np.ndarray, n: np.ndarray, words: int, now: np.ndarray, table: np.ndarray, classes: int) -> np.ndarray:
+    """The class below ``classes`` of the largest gain for each of ``words`` words against a fixed class ``table``.
+
+    Entries (word, code, n) are sorted by word, each word has some: code // 64 is 1 for the class after the word and 0 for the
+    one before it, code % 64 is that class. ``now`` is a word's class so far; a word is taken out of it before its own class is
+    weighed. Ties go to the lower class.
+    """
+    side, d, n = code >> 6, code & 63, n.astype(float)
+    uni = np.bincount(word, weights=np.where(side == 0, n, 0.0), minlength=words)
+    total = table.sum(1)
+    gain = np.zeros((words, classes))
+    starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    cuts = [0]  # whole words in blocks of about 100,000 entries
+    for s in [*starts.tolist()[1:], len(word)]:
+        if s - cuts[-1] >= 100_000 or s == len(word):
+            cuts.append(s)
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        m = np.where(side[lo:hi, None] == 1, table[:classes, :].T[d[lo:hi]], table[:, :classes][d[lo:hi]])
+        own = np.arange(classes)[None, :] == now[word[lo:hi], None]
+        m = np.where(own, np.maximum(m - n[lo:hi, None], 0.0), m)
+        part = h(m + n[lo:hi, None]) - h(m)
+        at = np.flatnonzero(np.r_[True, word[lo + 1 : hi] != word[lo : hi - 1]])
+        gain[word[lo:hi][at]] = np.add.reduceat(part, at, axis=0)
+    own = np.arange(classes)[None, :] == now[:, None]
+    t = np.where(own, np.maximum(total[None, :classes] - uni[:, None], 0.0), total[None, :classes])
+    gain -= 2 * (h(t + uni[:, None]) - h(t))
+    return np.argmax(np.round(gain, 9), axis=1)
+
+
+PAYLOAD = np.dtype([("code", "u1"), ("n", "<u4")])
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often each occurs."""
+    return np.unique(key, return_counts=True)
+
+
+def _packed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Sorted keys word << 7 | code to words and the payload of each."""
+    word = keys >> 7
+    pay = np.empty(len(keys), PAYLOAD)
+    pay["code"], pay["n"] = keys & 127, n
+    cuts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.empty(0, int)
+    raw = pay.tobytes()
+    ends = [*cuts[1:].tolist(), len(word)]
+    return word[cuts], [raw[a * PAYLOAD.itemsize : b * PAYLOAD.itemsize] for a, b in zip(cuts.tolist(), ends, strict=False)]
+
+
+def frequent_neighbours(encoded: DataFrame, lut: np.ndarray) -> DataFrame:
+    """(word, payload): for each frequent word, by its number, what classes stand before and after it, as counted by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                words, pays = _packed(*_runs(np.concatenate(held)))
+                held.clear()
+                for i in range(0, len(words), 20_000):
+                    yield batch("word int, payload binary", [words[i : i + 20_000], pays[i : i + 20_000]])
+
+        for b in batches:
+            ids, c = sequences(b, lut)
+            at = np.flatnonzero(ids < END)
+            key = ids[at].astype(np.uint32) << 7
+            held += [key | c[at - 1], key | 64 | c[at + 1]]
+            if sum(map(len, held)) > 6_000_000:
+                yield from out()
+        yield from out()
+
+    return map_arrow(training(encoded).select("ids", "shapes"), run, "word int, payload binary")
+
+
+def rare_neighbours(encoded: DataFrame, lut: np.ndarray) -> DataFrame:
+    """(word, payload) of the words that are not frequent, by their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, list[int]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            words = list(seen)
+            for i in range(0, len(words), 20_000):
+                part = words[i : i + 20_000]
+                codes = [seen[w] for w in part]
+                key = np.repeat(np.arange(len(part), dtype=np.uint32), [len(x) for x in codes]) << 7 | np.concatenate([np.array(x, np.uint32) for x in codes])
+                yield batch("word binary, payload binary", [part, _packed(*_runs(key))[1]])
+            seen.clear()
+
+        size = 0
+        for b in batches:
+            ids, c = sequences(b, lut)
+            at = np.flatnonzero(ids == RARE)
+            size += len(at)
+            words = b.column(2).flatten().to_pylist()
+            for w, x, y in zip(words, c[at - 1].tolist(), (c[at + 1] | 64).tolist(), strict=True):
+                got = seen.get(w)
+                if got is None:
+                    seen[w] = [x, y]
+                else:
+                    got += (x, y)
+            if size > 1_500_000:
+                yield from out()
+                size = 0
+        yield from out()
+
+    return map_arrow(training(encoded).select("ids", "shapes", "rare"), run, "word binary, payload binary")
+
+
+def assigned(neighbours: DataFrame, kind: str, now: np.ndarray | None, table: np.ndarray, classes: int) -> DataFrame:
+    """(word, c, class) for each word of ``neighbours``: its training count and its best class; ``now`` has the classes of numbered
+    words. A word seen once keeps the class of its shape (bytes) or its class so far (numbers)."""
+    schema = f"word {kind}, c long, class int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        coded = pc.dictionary_encode(t.column(0).combine_chunks())
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        index, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        pays = t.column(1).to_pylist()
+        pay = np.frombuffer(b"".join(pays), PAYLOAD)
+        key = np.repeat(index, [len(p) // PAYLOAD.itemsize for p in pays]) << 7 | pay["code"]
+        keys, where = np.unique(key, return_inverse=True)
+        n = np.bincount(where, weights=pay["n"])
+        word, code = keys >> 7, (keys & 127).astype(np.uint8)
+        if kind == "int":
+            was = now[names.to_numpy(zero_copy_only=False)].astype(np.int64)
+        else:
+            was = classes + np.array([shape(w) for w in names.to_pylist()], np.int64)
+        count = np.bincount(word, weights=np.where(code < 64, n, 0.0), minlength=len(names)).astype(np.int64)
+        best = best_classes(word, code, n, len(names), was, table, classes)
+        yield batch(schema, [names, count, np.where(count >= 2, best, was)])
+
+    return map_arrow(neighbours.repartition("word"), run, schema)
+
+
+# -- the model ------------------------------------------------------------------------------------------------------
+
+
 @dataclass
 class Model:
-    """What scoring needs. words: of the frequent ones the count and class; by class: tokens, distinct words, transitions."""
+    """What scoring needs beside the counts and classes of words that are not frequent."""
 
-    words: dict[bytes, tuple[int, int]]
+    count: np.ndarray  # of each frequent word, by number
+    lut: np.ndarray  # of each number its class
     n: int  # training tokens
     v: int  # distinct training tokens
     ends: int
@@ -175,127 +396,135 @@ class Model:
     def end(self) -> int:
         return self.classes + SHAPES
 
+    def emit(self, c: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """log10 p(word | class): half a count more in the classes by shape and the end, which have words never seen."""
+        return np.log10(c + np.where(k >= self.classes, 0.5, 0.0)) - self.emission[k]
+
+
+def cluster(encoded: DataFrame, top: list[tuple[bytes, int]], seeds: int, classes: int, rounds: int) -> tuple[np.ndarray, DataFrame]:
+    """(class of each number, (word, c, class) of all other training words)."""
+    seeds = min(seeds, len(top))
+    lut = np.zeros(65_536, np.int64)
+    lut[:seeds] = np.arange(seeds)
+    lut[seeds : len(top)] = seeds + np.array([shape(w) for w, _ in top[seeds:]], np.int64)
+    lut[RARE], lut[END] = seeds, seeds + SHAPES
+    big = pair_counts(encoded, lut, seeds + SHAPES + 1)
+    cls = exchange_clusters(big, seeds, classes)
+    lut = cls[lut].astype(np.uint8)
+    size = classes + SHAPES + 1
+    table = np.zeros((size, size))
+    np.add.at(table, (cls[:, None], cls[None, :]), big)
+    for r in range(rounds):
+        if r:
+            table = pair_counts(encoded, lut, size)
+        moved = lut.copy()
+        for x in assigned(frequent_neighbours(encoded, lut), "int", lut, table, classes).collect():
+            moved[x.word] = x["class"]
+        lut = moved
+    table = pair_counts(encoded, lut, size)
+    return lut, durable(assigned(rare_neighbours(encoded, lut), "binary", None, table, classes), "rare_classes")
+
+
+def with_rare(encoded: DataFrame, rare: DataFrame) -> DataFrame:
+    """``encoded`` and ``info``, sorted longs position << 40 | class << 32 | count of the tokens whose words ``rare`` has (a
+    count of 2^32 or more cannot be: the word would be frequent)."""
+    tokens = encoded.select("row", F.posexplode("rare").alias("at", "word"))
+    joined = tokens.join(rare.hint("shuffle_merge"), "word")
+    info = F.shiftleft(F.col("at").cast("long"), 40).bitwiseOR(F.shiftleft(F.col("class").cast("long"), 32)).bitwiseOR(F.col("c"))
+    by_row = joined.groupBy("row").agg(F.array_sort(F.collect_list(info)).alias("info"))
+    return encoded.join(by_row.hint("shuffle_merge"), "row", "left").select("row", "doc_id", "held_out", "ids", "shapes", "info")
+
+
+def classed(b: pa.RecordBatch, lut: np.ndarray, classes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each row (ids, shapes, info): numbers, classes, and counts of the tokens that are not frequent (0: never seen)."""
+    for ids, shapes, info in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+        ids = np.frombuffer(ids, "<u2")
+        k = lut[ids].astype(np.int64)
+        few = np.flatnonzero(ids == RARE)
+        at_few, c = classes + np.frombuffer(shapes, np.uint8).astype(np.int64), np.zeros(len(few))
+        if info.is_valid:
+            x = info.values.to_numpy(zero_copy_only=False)
+            j = x >> 40
+            at_few[j], c[j] = x >> 32 & 255, x & 0xFFFFFFFF
+        k[few] = at_few
+        yield ids, k, c
+
+
+def train_model(counts: DataFrame, known: DataFrame, rare: DataFrame, top: list[tuple[bytes, int]], lut: np.ndarray, classes: int, smooth: float = 0.1) -> Model:
+    """Transitions and emissions over the final classes of all words."""
+    size, end = classes + SHAPES + 1, classes + SHAPES
 
-def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """At most ``most`` words with their counts, by falling count: whole bins of a histogram over log2(count), from the top.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for b in batches:
+            parts = [np.array([end])]
+            for _, k, _ in classed(b, lut, classes):
+                parts += [k, parts[0]]
+            c = np.concatenate(parts)
+            total += np.bincount(c[:-1] * size + c[1:], minlength=size * size)
+        pair = np.flatnonzero(total)
+        if len(pair):
+            yield batch("pair int, c long", [pair, total[pair]])
 
-    The histogram has at most 16 * 63 bins, so what reaches the driver is bounded, and no task sends more than the words taken.
-    """
-    bin_ = F.floor(F.log2("c") * 16).cast("int")
-    sizes = {r.bin: r.n for r in counts.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    least, total = None, 0
-    for b in sorted(sizes, reverse=True):
-        total += sizes[b]
-        if total > most:
-            break
-        least = b
-    if least is None:
-        return []
-    return sorted(((bytes(r.word), r.c) for r in counts.where(bin_ >= least).collect()), key=lambda x: (-x[1], x[0]))
+    trans = np.zeros(size * size)
+    for r in map_arrow(training(known).select("ids", "shapes", "info"), run, "pair int, c long").groupBy("pair").agg(F.sum("c").alias("c")).collect():
+        trans[r.pair] = r.c
+    trans = trans.reshape(size, size)
+    distinct = np.bincount(lut[: len(top)], minlength=size).astype(float) if top else np.zeros(size)
+    for r in rare.groupBy("class").agg(F.count(F.lit(1)).alias("words")).collect():
+        distinct[r["class"]] += r.words
+    tokens, ends = trans.sum(0), int(trans[:, end].sum())
+    more = np.where(np.arange(size) >= classes, 0.5 * (distinct + 1), 0.0)
+    whole = counts.agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).first()
+    with np.errstate(divide="ignore"):
+        emission = np.log10(tokens + more)
+    logs = np.log10((trans + smooth) / (trans.sum(1, keepdims=True) + smooth * size))
+    return Model(np.array([c for _, c in top], float), lut, int(whole.c or 0) + ends, int(whole.v) + (ends > 0), ends, logs, emission, classes)
 
 
-def train_model(counts: DataFrame, docs: DataFrame, frequent: int = 65_536, clustered: int = 512, classes: int = 32, smooth: float = 0.1) -> Model:
-    """Fit the model. ``counts``: all training words (durable); ``docs``: id and text, of which the training part is read."""
-    top = frequent_words(counts, frequent)
-    symbols = {w: i for i, (w, _) in enumerate(top[:clustered])}
-    n = len(symbols) + SHAPES + 1
-    big = np.zeros((n, n), np.int64)
-    for r in bigram_counts(docs, symbols, n).collect():
-        big[r.pair // n, r.pair % n] = r.c
-    k = min(classes, max(1, len(symbols)))
-    cls = exchange_clusters(big, len(symbols), k)
-    size = k + SHAPES + 1
-    trans = np.zeros((size, size))
-    np.add.at(trans, (cls[:, None], cls[None, :]), big)
-    logs = np.log10((trans + smooth) / (trans.sum(1, keepdims=True) + smooth * size))
-    ends = int(big[n - 1].sum())  # each training text begins after one end and has one of its own
-    tokens, distinct = np.zeros(size), np.zeros(size)
-    np.add.at(tokens, cls, big.sum(0))
-    for i in range(len(symbols)):
-        distinct[cls[i]] += 1
-    shapes_seen = map_arrow(counts, lambda bs: _shape_counts(bs, symbols), "shape int, words long, c long").groupBy("shape").agg(F.sum("words").alias("words"), F.sum("c").alias("c")).collect()
-    for r in shapes_seen:
-        distinct[k + r.shape] = r.words
-    total = counts.agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).first()
-    words = {w: (c, int(cls[symbols[w]]) if w in symbols else k + shape(w)) for w, c in top}
-    return Model(words, int(total.c or 0) + ends, int(total.v) + (ends > 0), ends, logs, np.log10(tokens + 0.5 * (distinct + 1)), k)
-
-
-def _shape_counts(batches: Iterator[pa.RecordBatch], symbols: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    words, tokens = [0] * SHAPES, [0] * SHAPES
-    for b in batches:
-        for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if w not in symbols:
-                s = shape(w)
-                words[s] += 1
-                tokens[s] += c
-    yield batch("shape int, words long, c long", [list(range(SHAPES)), words, tokens])
-
-
-SCHEMA = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-
-
-def first_pass(docs: DataFrame, model: Model) -> DataFrame:
-    """For each row what the frequent words, the transitions and the end give, and the rarer words with their counts in it."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("den", pa.float64())]))
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+
+
+def scored(known: DataFrame, model: Model) -> DataFrame:
+    sent = known.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        first, number = TaskContext.get().partitionId() << 33, 0
         base_den = math.log10(m.n + 0.5 * (m.v + 1))
-        ids = {w: i for i, w in enumerate(m.words)}
-        size = len(ids)
-        c = np.array([x for x, _ in m.words.values()] or [0.5], float)
-        k = np.array([x for _, x in m.words.values()] or [0], np.int64)
-        base = np.log10(c + 0.5) - base_den
-        emit = np.log10(c + 0.5) - m.emission[k]
-        #: A symbol is a frequent word's number, or after those a shape.
-        lookup = _Lookup(lambda w: ids.get(w, -1), lambda w: size + shape(w))
-        cls = np.concatenate([k[:size], m.classes + np.arange(SHAPES)])
-        end_base, end_emit = math.log10(m.ends + 0.5) - base_den, math.log10(m.ends + 0.5) - m.emission[m.end]
+        end = np.array([m.end])
+        end_base, end_emit = math.log10(m.ends + 0.5) - base_den, float(m.emit(np.array([float(m.ends)]), end)[0])
         for b in batches:
-            rows, rare = [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                words = t.lower().split()
-                s = np.fromiter(map(lookup.__getitem__, words), np.int64, len(words))
-                known = s < size
-                at = np.concatenate([[m.end], cls[s], [m.end]])
-                score = m.transitions[at[:-1], at[1:]].sum() + emit[s[known]].sum() + end_emit
-                rows.append((first + number, i, held_out(i), len(words) + 1, int(known.sum()) + (m.ends > 0), float(base[s[known]].sum() + end_base), float(score)))
-                few = Counter([words[j] for j in np.flatnonzero(~known).tolist()])
-                rare.append([{"word": w, "n": n, "den": float(m.emission[m.classes + shape(w)])} for w, n in few.items()])
-                number += 1
+            rows = []
+            for i, out, (ids, k, c_few) in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), classed(b, m.lut, m.classes), strict=True):
+                c = np.empty(len(ids))
+                few = ids == RARE
+                c[~few], c[few] = m.count[ids[~few]], c_few
+                path = np.concatenate([end, k, end])
+                base = float(np.log10(c + 0.5).sum() - base_den * len(ids) + end_base)
+                score = float(m.transitions[path[:-1], path[1:]].sum() + m.emit(c, k).sum() + end_emit)
+                rows.append((i, out, len(ids) + 1, int((c > 0).sum()) + (m.ends > 0), m.n, base, score, 10.0 ** (-score / (len(ids) + 1))))
             if rows:
-                plain = batch(SCHEMA, list(zip(*rows, strict=True)))
-                yield pa.RecordBatch.from_arrays([*plain.columns, pa.array(rare, kinds)], names=[*plain.schema.names, "rare"])
+                yield batch(SCHEMA, list(zip(*rows, strict=True)))
 
-    return map_arrow(docs, run, SCHEMA + ", rare array<struct<word: binary, n: bigint, den: double>>")
+    return map_arrow(known.select("ids", "shapes", "info", "doc_id", "held_out"), run, SCHEMA)
 
 
-def score(docs: DataFrame, frequent: int = 65_536, clustered: int = 512, classes: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, frequent: int = 65_000, seeds: int = 512, classes: int = 48, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Texts whose crc32(doc_id as text) mod 5 is 1 are held out of training (a null id counts as the text 'None'). A null or
     empty text has one token, its end. Repeated rows are scored each, and trained on each. Other columns are ignored; an
-    empty table gives no rows; with no training text at all, N and V are 0 and every token is unknown.
+    empty table gives no rows; with no training text at all, N and V are 0 and every token is unknown. ``frequent``, at most
+    65,000, bounds what is broadcast and nothing else: how many words are clustered, and every count, is of the whole corpus.
     """
+    if not 0 < frequent <= 65_000 or not 0 < classes <= MOST_CLASSES - SHAPES - 1:
+        raise ValueError("frequent must be 1 to 65,000, classes 1 to 55")
     docs = id_and_text(docs, id_col, text_col)
     counts = durable(word_counts(docs), "word_counts")
-    model = train_model(counts, docs, frequent, clustered, classes)
-    main = durable(first_pass(docs, model), "first_pass")
-    tokens = main.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n", "r.den")
-    c = F.coalesce("c", F.lit(0))
-    log_c = F.log10(c + 0.5) * F.col("n")
-    base_den = math.log10(model.n + 0.5 * (model.v + 1))
-    rare = (
-        tokens.join(counts.hint("shuffle_merge"), "word", "left")
-        .groupBy("row")
-        .agg(F.sum(log_c - base_den * F.col("n")).alias("more_base"), F.sum(log_c - F.col("den") * F.col("n")).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more_known"))
-    )
-    zero = lambda x: F.coalesce(x, F.lit(0))
-    total = (F.col("score") + zero("more")).alias("score")
-    return main.drop("rare").join(rare.hint("shuffle_merge"), "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("more_known")).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base_score") + zero("more_base")).alias("base_score"), total, F.pow(F.lit(10.0), -(F.col("score") + zero("more")) / F.col("n_tokens")).alias("perplexity"),
-    )
+    top = frequent_words(counts, frequent)
+    classes = min(classes, max(1, len(top)))
+    encoded = durable(encode(docs, top), "encoded")
+    lut, rare = cluster(encoded, top, seeds, classes, rounds)
+    known = durable(with_rare(encoded, rare), "known")
+    drop(encoded)
+    return scored(known, train_model(counts, known, rare, top, lut, classes))

@@ -49,7 +49,7 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return class_lm.score(table(spark, sf_dir, "documents"), frequent=65_536, clustered=512, classes=32)
+    return class_lm.score(table(spark, sf_dir, "documents"), frequent=65_000, seeds=512, classes=48, rounds=2)
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op4_simhash_near_dedup, op5_vector_packing, op7_secret_scan, op3_weak_label_quality, op8_tiff_pages, op2_chat_format, op6_embedding_near_dedup, op9_piece_codec, op10_class_lm)} | {"pipeline": corpus_pipeline.run}

@@ -184,6 +184,39 @@ def test_exchange_clusters_gain():
     assert len(set(cls[:6])) == len(set(cls[6:12])) == 1 and cls[0] != cls[6] and cls[12] == 2
 
 
+def test_best_classes_gain_most():
+    """Against the criterion computed anew with the word in each class in turn."""
+    rng = np.random.default_rng(18)
+    classes, size, words = 4, 7, 30
+    table = rng.integers(1, 400, (size, size)).astype(float)
+    now = rng.integers(0, size - 1, words)
+    rows = []
+    for w in range(words):
+        around = rng.integers(0, 6, (2, size))
+        around[1, 6] += max(0, around[0].sum() - around[1].sum())
+        around[0, 6] += max(0, around[1].sum() - around[0].sum())
+        rows += [(w, side << 6 | d, around[side, d]) for side in (0, 1) for d in range(size) if around[side, d]]
+        if now[w] < classes:  # the word's own counts are part of the table
+            table[now[w]] += around[1]
+            table[:, now[w]] += around[0]
+    rows.sort()
+    word, code, n = (np.array(x) for x in zip(*rows, strict=True))
+    got = class_lm.best_classes(word, code.astype(np.uint8), n, words, now, table, classes)
+    h = lambda x: x * math.log(x) if x > 0 else 0.0
+    for w in range(words):
+        gains = []
+        for c in range(classes):
+            out, total = 0.0, table.sum(1)[c]
+            mine = sum(x[2] for x in rows if x[0] == w and x[1] < 64)
+            for _, code_, k in (x for x in rows if x[0] == w):
+                m = table[c, code_ & 63] if code_ >= 64 else table[code_ & 63, c]
+                m = max(m - k, 0) if c == now[w] else m
+                out += h(m + k) - h(m)
+            total = max(total - mine, 0) if c == now[w] else total
+            gains.append(round(out - 2 * (h(total + mine) - h(total)), 9))
+        assert got[w] == int(np.argmax(gains))
+
+
 def test_expectation_maximisation():
     rng = np.random.default_rng(12)
     good = rng.random(5000) < 0.8

@@ -159,16 +159,38 @@ def test_class_lm_brute_force(docs, texts):
             ends += 1
     n, v = sum(counts.values()) + ends, len(counts) + 1
     base_of = lambda c: math.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-    a, b = ({r.doc_id: r for r in class_lm.score(docs, frequent=k).collect()} for k in (65_536, 700))
-    base = model = tokens = 0
-    for i, r in a.items():
-        w = words(texts[i])
-        assert math.isclose(r.base_score, sum(base_of(counts[x]) for x in w) + base_of(ends), rel_tol=1e-9)
-        assert (r.n_known, r.n_tokens, r.train_tokens) == (sum(counts[x] > 0 for x in w) + 1, len(w) + 1, n)
-        assert math.isclose(r.score, b[i].score, rel_tol=1e-9) and math.isclose(r.base_score, b[i].base_score, rel_tol=1e-9)
-        if r.held_out:
-            base, model, tokens = base + r.base_score, model + r.score, tokens + r.n_tokens
-    assert model > base  # a better perplexity on held-out texts
+    assert n > 50_000
+    for frequent in (65_000, 700):
+        counted = durable(class_lm.word_counts(docs.select("doc_id", "text")))
+        top = class_lm.frequent_words(counted, frequent)
+        encoded = durable(class_lm.encode(docs.select("doc_id", "text"), top))
+        lut, rare = class_lm.cluster(encoded, top, 512, 48, 2)
+        cls = {w: int(lut[i]) for i, (w, _) in enumerate(top)} | {bytes(r.word): r["class"] for r in rare.collect()}
+        assert cls.keys() == counts.keys() and {bytes(r.word): r.c for r in rare.collect()} == {w: c for w, c in counts.items() if w not in dict(top)}
+        assert all((cls[w] < 48) == (c > 1) or w in dict(top) for w, c in counts.items())  # all words seen twice are clustered
+        of = lambda w: cls.get(w, 48 + class_lm.shape(w))  # noqa: B023, E731
+        size, end, trans, tokens, distinct = 57, 56, Counter(), Counter(), Counter(cls.values())
+        for i, t in texts.items():
+            if not class_lm.held_out(i):
+                path = [end, *map(of, words(t)), end]
+                trans.update(zip(path, path[1:], strict=False))
+                tokens.update(path[1:])
+        before = Counter()
+        for (x, _), c in trans.items():
+            before[x] += c
+        emit = lambda w: math.log10(counts[w] / tokens[of(w)]) if of(w) < 48 else math.log10((counts[w] + 0.5) / (tokens[of(w)] + 0.5 * (distinct[of(w)] + 1)))  # noqa: B023, E731
+        got = {r.doc_id: r for r in class_lm.score(docs, frequent=frequent).collect()}
+        base = model = 0
+        for i, r in got.items():
+            w = words(texts[i])
+            path = [end, *map(of, w), end]
+            want = sum(math.log10((trans[p] + 0.1) / (before[p[0]] + 0.1 * size)) for p in zip(path, path[1:], strict=False)) + sum(map(emit, w)) + math.log10((ends + 0.5) / (tokens[end] + 0.5))
+            assert math.isclose(r.score, want, rel_tol=1e-9) and math.isclose(r.perplexity, 10 ** (-want / (len(w) + 1)), rel_tol=1e-9)
+            assert math.isclose(r.base_score, sum(base_of(counts[x]) for x in w) + base_of(ends), rel_tol=1e-9)
+            assert (r.n_known, r.n_tokens, r.train_tokens) == (sum(counts[x] > 0 for x in w) + 1, len(w) + 1, n)
+            if r.held_out:
+                base, model = base + r.base_score, model + r.score
+        assert model > base  # a better perplexity on held-out texts
 
 
 def test_embeddings_brute_force(spark):
