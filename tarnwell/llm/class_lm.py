@@ -99,7 +99,7 @@ def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 
 
 class _Lookup(dict):
-    """Word to number, kept for up to 200,000 words of up to KEPT_CHARS bytes."""
+    """Word to number, kept for up to 150,000 words of up to KEPT_CHARS bytes."""
 
     def __init__(self, make: Callable[[bytes], int]):
         self.make = make
@@ -107,7 +107,7 @@ class _Lookup(dict):
     def __missing__(self, w: bytes) -> int:
         s = self.make(w)
         if len(w) <= KEPT_CHARS:
-            if len(self) > 200_000:
+            if len(self) > 150_000:
                 self.clear()
             self[w] = s
         return s
@@ -124,14 +124,13 @@ def encode(docs: DataFrame, top: list[tuple[bytes, int]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, number, ranks = TaskContext.get().partitionId() << 33, 0, sent.value
         lookup = _Lookup(lambda w: ranks.get(w, RARE))
-        shapes = _Lookup(shape)
         for b in batches:
             rows, rare = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 words = t.lower().split()
                 ids = np.fromiter(map(lookup.__getitem__, words), np.uint16, len(words))
                 few = [words[j] for j in np.flatnonzero(ids == RARE).tolist()]
-                rows.append((first + number, i, held_out(i), ids.tobytes(), bytes(map(shapes.__getitem__, few))))
+                rows.append((first + number, i, held_out(i), ids.tobytes(), bytes(map(shape, few))))
                 rare.append(few)
                 number += 1
             if rows:
@@ -267,7 +266,7 @@ def best_classes(word: np.ndarray, code: np.ndarray, n: np.ndarray, words: int,
     return np.argmax(np.round(gain, 9), axis=1)
 
 
-PAYLOAD = np.dtype([("code", "u1"), ("n", "<u4")])
+PAYLOAD = np.dtype([("code", "u1"), ("n", "u1")])  # a count over 255 is several entries
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,6 +276,9 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _packed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """Sorted keys word << 7 | code to words and the payload of each."""
+    more = (n - 1) // 255
+    keys, n = np.repeat(keys, more + 1), np.repeat(n - 255 * more, more + 1)
+    n[np.arange(len(n)) != np.cumsum(more + 1).repeat(more + 1) - 1] = 255  # all but the last entry of a key
     word = keys >> 7
     pay = np.empty(len(keys), PAYLOAD)
     pay["code"], pay["n"] = keys & 127, n

@@ -184,6 +184,16 @@ def test_exchange_clusters_gain():
     assert len(set(cls[:6])) == len(set(cls[6:12])) == 1 and cls[0] != cls[6] and cls[12] == 2
 
 
+def test_payloads_hold_any_count():
+    keys, n = np.array([3 << 7 | 5, 3 << 7 | 70, 9 << 7], np.uint32), np.array([255, 1000, 256])
+    words, pays = class_lm._packed(keys, n)
+    got = Counter()
+    for w, p in zip(words.tolist(), pays, strict=True):
+        for e in np.frombuffer(p, class_lm.PAYLOAD):
+            got[w << 7 | int(e["code"])] += int(e["n"])
+    assert got == dict(zip(keys.tolist(), n.tolist(), strict=True))
+
+
 def test_best_classes_gain_most():
     """Against the criterion computed anew with the word in each class in turn."""
     rng = np.random.default_rng(18)
