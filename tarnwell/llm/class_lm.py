@@ -58,7 +58,7 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def word_counts(train: DataFrame) -> DataFrame:
-    """(word, c) over all training texts; a task counts up to 300,000 words before it hands them on."""
+    """(word, c) over all training texts; a task counts up to half a million words before it hands them on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
@@ -73,7 +73,7 @@ def word_counts(train: DataFrame) -> DataFrame:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if not held_out(i):
                     seen.update(t.lower().split())
-                    if len(seen) > 300_000:
+                    if len(seen) > 500_000:
                         yield from out()
         yield from out()
 
@@ -452,8 +452,8 @@ def classed(b: pa.RecordBatch, lut: np.ndarray, classes: int) -> Iterator[tuple[
         yield ids, k, c
 
 
-def train_model(counts: DataFrame, known: DataFrame, rare: DataFrame, top: list[tuple[bytes, int]], lut: np.ndarray, classes: int, smooth: float = 0.1) -> Model:
-    """Transitions and emissions over the final classes of all words."""
+def train_model(words: int, distinct_words: int, known: DataFrame, rare: DataFrame, top: list[tuple[bytes, int]], lut: np.ndarray, classes: int, smooth: float = 0.1) -> Model:
+    """Transitions and emissions over the final classes of all words, of which training has ``words`` and ``distinct_words``."""
     size, end = classes + SHAPES + 1, classes + SHAPES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -477,11 +477,10 @@ def train_model(counts: DataFrame, known: DataFrame, rare: DataFrame, top: list[
         distinct[r["class"]] += r.words
     tokens, ends = trans.sum(0), int(trans[:, end].sum())
     more = np.where(np.arange(size) >= classes, 0.5 * (distinct + 1), 0.0)
-    whole = counts.agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).first()
     with np.errstate(divide="ignore"):
         emission = np.log10(tokens + more)
     logs = np.log10((trans + smooth) / (trans.sum(1, keepdims=True) + smooth * size))
-    return Model(np.array([c for _, c in top], float), lut, int(whole.c or 0) + ends, int(whole.v) + (ends > 0), ends, logs, emission, classes)
+    return Model(np.array([c for _, c in top], float), lut, words + ends, distinct_words + (ends > 0), ends, logs, emission, classes)
 
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
@@ -523,10 +522,11 @@ def score(docs: DataFrame, frequent: int = 65_000, seeds: int = 512, classes: in
         raise ValueError("frequent must be 1 to 65,000, classes 1 to 55")
     docs = id_and_text(docs, id_col, text_col)
     counts = durable(word_counts(docs), "word_counts")
-    top = frequent_words(counts, frequent)
+    top, whole = frequent_words(counts, frequent), counts.agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).first()
+    drop(counts)
     classes = min(classes, max(1, len(top)))
     encoded = durable(encode(docs, top), "encoded")
     lut, rare = cluster(encoded, top, seeds, classes, rounds)
     known = durable(with_rare(encoded, rare), "known")
     drop(encoded)
-    return scored(known, train_model(counts, known, rare, top, lut, classes))
+    return scored(known, train_model(int(whole.c or 0), int(whole.v), known, rare, top, lut, classes))
