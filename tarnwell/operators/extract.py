@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import re
 import warnings
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,6 +19,7 @@ CALLS = "ord int, caller_ord int, name string, recv string, line int"
 IMPORTS = "ord int, module string, name string, alias string, level int, line int"
 FACTS = f"path string, hash long, grade string, symbols array<struct<{SYMBOLS.replace(' int', ': int').replace(' string', ': string').replace(' array', ': array')}>>, calls array<struct<{CALLS.replace(' int', ': int').replace(' string', ': string')}>>, imports array<struct<{IMPORTS.replace(' int', ': int').replace(' string', ': string')}>>"
 SIG, DOC, RECV = 240, 200, 60
+LONG_LINE = 1000  # characters of a line that a signature and its bases are read from
 
 
 @dataclass
@@ -134,6 +136,9 @@ HASH_COMMENTS = frozenset({"python", "ruby", "shell", "php"})
 KEYWORDS = frozenset("if for while switch return catch function sizeof typeof new delete throw else elif elsif do case match when with assert print not and or in is lambda yield await async fn func def class struct enum interface trait impl unless until foreach guard defer select using lock super this self".split())
 
 
+LIFETIME = re.compile(r"'[a-z_]\w*+(?!')")
+
+
 def mask(text: str, lang: str) -> str:
     """The text with strings and comments blanked, newlines kept; an open string or comment runs to the end of its line or the file."""
     out, i, n = list(text), 0, len(text)
@@ -149,7 +154,7 @@ def mask(text: str, lang: str) -> str:
         elif text[i : i + 3] in ('"""', "'''") and lang in ("python", "java", "kotlin", "swift", "scala", "csharp"):
             end = text.find(text[i : i + 3], i + 3)
             end = n if end < 0 else end + 3
-        elif c in quotes and not (c == "'" and lang == "rust" and re.match(r"'[a-z_]\w*(?!')", text[i:])):
+        elif c in quotes and not (c == "'" and lang == "rust" and LIFETIME.match(text, i)):
             j = i + 1
             while j < n and text[j] != c and (text[j] != "\n" or c == "`"):
                 j += 2 if text[j] == "\\" else 1
@@ -166,7 +171,7 @@ def mask(text: str, lang: str) -> str:
 
 NAME = r"[A-Za-z_$][\w$]*"
 DEFINITIONS: dict[str, list[tuple[str, str]]] = {
-    "rust": [("function", rf"\bfn\s+({NAME})"), ("class", rf"\b(?:struct|enum|union)\s+({NAME})"), ("interface", rf"\btrait\s+({NAME})"), ("impl", rf"\bimpl\b(?:\s*<[^{{;]*?>)?\s+(?:[^{{;]*?\bfor\s+)?({NAME})"), ("module", rf"\bmod\s+({NAME})\s*\{{")],
+    "rust": [("function", rf"\bfn\s+({NAME})"), ("class", rf"\b(?:struct|enum|union)\s+({NAME})"), ("interface", rf"\btrait\s+({NAME})"), ("impl", rf"\bimpl\b(?:\s*<[^{{;]{{0,400}}?>)?\s+(?:[^{{;]{{0,400}}?\bfor\s+)?({NAME})"), ("module", rf"\bmod\s+({NAME})\s*\{{")],
     "go": [("method", rf"\bfunc\s*\(\s*\w*\s*\*?\s*[\w\[\]]+\s*\)\s*({NAME})"), ("function", rf"\bfunc\s+({NAME})"), ("class", rf"\btype\s+({NAME})\s+struct"), ("interface", rf"\btype\s+({NAME})\s+interface")],
     "javascript": [("class", rf"\bclass\s+({NAME})"), ("function", rf"\bfunction\s*\*?\s*({NAME})"), ("function", rf"\b(?:const|let|var)\s+({NAME})\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b|\([^()]*\)\s*(?::[^=\n]+)?=>|{NAME}\s*=>)"), ("interface", rf"\binterface\s+({NAME})"), ("class", rf"\benum\s+({NAME})"), ("method", rf"^[ \t]+(?:(?:public|private|protected|static|async|readonly|get|set|override)\s+)*({NAME})\s*(?:<[^>\n]*>)?\([^()\n]*\)\s*(?::[^{{\n]+)?\{{")],
     "ruby": [("class", rf"^\s*(?:class|module)\s+({NAME}(?:::{NAME})*)"), ("function", r"^\s*def\s+(?:self\.)?([\w]+[?!=]?)")],
@@ -175,7 +180,7 @@ DEFINITIONS: dict[str, list[tuple[str, str]]] = {
     "swift": [("class", rf"\b(?:class|struct|enum|actor|extension)\s+({NAME})"), ("interface", rf"\bprotocol\s+({NAME})"), ("function", rf"\bfunc\s+({NAME})")],
     "shell": [("function", r"^\s*(?:function\s+)?([A-Za-z_][\w-]*)\s*\(\s*\)\s*\{"), ("function", r"^\s*function\s+([A-Za-z_][\w-]*)")],
     "python": [("class", r"^[ \t]*class\s+(\w+)"), ("function", r"^[ \t]*(?:async\s+)?def\s+(\w+)")],
-    "c": [("class", rf"\b(?:class|struct|enum|union)\s+({NAME})[^;(){{}}]*\{{"), ("interface", rf"\binterface\s+({NAME})[^;(){{}}]*\{{"), ("function", rf"^[ \t]*(?:[\w:<>,\[\]*&~@]+[ \t*&]+)+(?:{NAME}::)?(~?{NAME})\s*\([^;{{}}()]*(?:\([^()]*\)[^;{{}}()]*)*\)[^;{{}}()=]*\{{")],
+    "c": [("class", rf"\b(?:class|struct|enum|union)\s+({NAME})[^;(){{}}]*\{{"), ("interface", rf"\binterface\s+({NAME})[^;(){{}}]*\{{"), ("function", rf"^[ \t]*(?=[\w:<~@])[\w:<>,\[\]*&~@ \t]*[ \t*&](?:{NAME}::)?(~?{NAME})\s*\([^;{{}}()]*(?:\([^()]*\)[^;{{}}()]*)*\)[^;{{}}()=]*\{{")],
 }
 DEFINITIONS["typescript"] = DEFINITIONS["javascript"]
 for _l in ("cpp", "java", "csharp", "scala"):
@@ -187,10 +192,35 @@ IMPORTS_BY: dict[str, list[str]] = {
     "ruby": [r"^\s*require(?:_relative)?\s+[\"']([^\"'\n]+)"], "shell": [r"^\s*(?:source|\.)\s+[\"']?([^\s\"';]+)"], "swift": [r"^\s*import\s+(\w+)"], "c": [r"^\s*#\s*include\s*[<\"]([^>\"\n]+)"], "python": [r"^\s*import\s+([\w.]+)", r"^\s*from\s+([\w.]+)\s+import"],
 }
 IMPORTS_BY["typescript"], IMPORTS_BY["cpp"] = IMPORTS_BY["javascript"], IMPORTS_BY["c"]
-CALL = re.compile(rf"((?:{NAME}\s*(?:\?\.|\.|::|->)\s*)*)({NAME})\s*!?\s*\(")
+#: A chain of names, and what makes it a call: every chain is consumed whole, so a text is read once.
+CALL = re.compile(rf"((?:{NAME}+\s*+(?:\?\.|\.|::|->)\s*+)*+)({NAME}+)(\s*+!?\s*+\()?")
+
+
+class _Lines:
+    """Line numbers of positions, and the line on which each brace closes, found in one pass."""
+
+    def __init__(self, masked: str):
+        self.starts = [0, *(m.end() for m in re.finditer("\n", masked))]
+        self.last = len(self.starts)
+        self.closing: dict[int, int] = {}
+        open_: list[int] = []
+        for m in re.finditer("[{}]", masked):
+            if m[0] == "{":
+                open_.append(m.start())
+            elif open_:
+                self.closing[open_.pop()] = self.of(m.start())
 
+        self.size = len(masked)
 
-def _block_end(masked: str, at: int, lang: str, lines: list[str], line: int) -> int:
+    def of(self, at: int) -> int:
+        return bisect_right(self.starts, at)
+
+    def end(self, line: int) -> int:
+        """The position after a line."""
+        return self.starts[line] if line < self.last else self.size
+
+
+def _block_end(masked: str, at: int, lang: str, lines: list[str], line: int, places: _Lines) -> int:
     """Last line of a definition: by indentation, by 'end', or by braces."""
     if lang in ("python", "ruby"):
         indent = len(lines[line - 1]) - len(lines[line - 1].lstrip())
@@ -202,34 +232,33 @@ def _block_end(masked: str, at: int, lang: str, lines: list[str], line: int) ->
                     return k + 1 if lang == "ruby" and lines[k].strip().startswith("end") else last
                 last = k + 1
         return last
-    opened = masked.find("{", at)
-    stop = masked.find(";", at)
-    if opened < 0 or 0 <= stop < opened:
+    m = NEXT_BLOCK.search(masked, at)
+    if m is None or m[0] == ";":
         return line
-    depth = 0
-    for k in range(opened, len(masked)):
-        depth += (masked[k] == "{") - (masked[k] == "}")
-        if depth == 0:
-            return masked.count("\n", 0, k) + 1
-    return masked.count("\n") + 1
+    return places.closing.get(m.start(), places.last)
+
+
+NEXT_BLOCK = re.compile("[{;]")
 
 
 def lexical_facts(text: str, lang: str) -> Facts:
     """Definitions, calls and imports by patterns over the masked text; an approximation, graded 'lexical'."""
     facts, masked = Facts(), mask(text, lang)
-    lines, raw = masked.split("\n"), text.split("\n")
+    lines, raw, places = masked.split("\n"), text.split("\n"), _Lines(masked)
     found: dict[int, tuple[int, str, str, int]] = {}
     for kind, pattern in DEFINITIONS.get(lang, []):
         for m in re.finditer(pattern, masked, re.M):
             if m[1] not in KEYWORDS:
                 found.setdefault(m.start(1), (m.start(), kind, m[1], m.end()))
-    spans: list[tuple[int, int, int, str]] = []
+    around: list[tuple[int, int, int, str]] = []
+    bodies: list[tuple[int, int, int]] = []
     impls: set[int] = set()
     for at in sorted(found):
         begin, kind, name, stop = found[at]
-        line = masked.count("\n", 0, at) + 1
-        end = _block_end(masked, stop - 1 if masked[stop - 1 : stop] == "{" else stop, lang, lines, line)
-        around = [s for s in spans if s[0] <= line <= s[1]]
+        line = places.of(at)
+        end = _block_end(masked, stop - 1 if masked[stop - 1 : stop] == "{" else stop, lang, lines, line, places)
+        while around and around[-1][1] < line:
+            around.pop()
         parent = around[-1][2] if around else None
         if kind == "function" and around and around[-1][3] in ("class", "interface", "impl"):
             kind = "method"
@@ -238,24 +267,36 @@ def lexical_facts(text: str, lang: str) -> Facts:
         while k >= 0 and re.match(r"\s*(///?!?|#|\*|/\*\*?)", raw[k]):
             doc.append(re.sub(r"^\s*(///?!?|#+|/\*\*?|\*/?)\s?|\*/\s*$", "", raw[k]))
             k -= 1
-        header = raw[line - 1].strip().rstrip("{ ")
-        bases = [b for b in BASES.findall(lines[line - 1][lines[line - 1].find(name) + len(name) :].split("{")[0]) if b not in KEYWORDS] if kind in ("class", "interface") else []
+        header = raw[line - 1][:LONG_LINE].strip().rstrip("{ ")
+        bases = [b for b in BASES.findall(masked[stop : min(places.end(line), stop + LONG_LINE)].split("{")[0]) if b not in KEYWORDS] if kind in ("class", "interface") else []
         me = facts.symbol(name, kind, line, max(line, end), parent, header, " ".join(reversed(doc)), bases)
         if kind == "impl":
             impls.add(me)
-        spans.append((line, max(line, end), me, kind))
-    names = {at for at in found}
+        around.append((line, max(line, end), me, kind))
+        if kind in ("function", "method"):
+            bodies.append((line, max(line, end), me))
+    owner: dict[int, int] = {}  # of each line the innermost function around it
+    open_: list[tuple[int, int, int]] = []
+    todo = iter([*bodies, (places.last + 1, 0, 0)])
+    upcoming = next(todo)
+    for k in range(1, places.last + 1):
+        while upcoming[0] == k:
+            open_.append(upcoming)
+            upcoming = next(todo)
+        while open_ and open_[-1][1] < k:
+            open_.pop()
+        if open_:
+            owner[k] = open_[-1][2]
     for m in CALL.finditer(masked):
-        if m[2] in KEYWORDS or m.start(2) in names:
+        if m[3] is None or m[2] in KEYWORDS or m.start(2) in found:
             continue
-        line = masked.count("\n", 0, m.start(2)) + 1
-        around = [s for s in spans if s[0] <= line <= s[1] and s[3] in ("function", "method")]
+        line = places.of(m.start(2))
         recv = re.sub(r"\s*(\?\.|\.|::|->)\s*$", "", m[1]).replace("->", ".").replace("::", ".").replace("?.", ".").replace(" ", "")
-        facts.call(around[-1][2] if around else None, m[2], recv or None, line)
+        facts.call(owner.get(line), m[2], recv or None, line)
     for pattern in IMPORTS_BY.get(lang, []):
         for m in re.finditer(pattern, text, re.M):
             if masked[m.start() : m.start() + len(m[0])].strip() or lang == "go":
-                facts.imp(m[1], None, None, 0, text.count("\n", 0, m.start(1)) + 1)
+                facts.imp(m[1], None, None, 0, places.of(m.start(1)))
     return facts
 
 

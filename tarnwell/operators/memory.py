@@ -37,19 +37,31 @@ def note_filter(notes: DataFrame, kinds: list[str] | None = None, tags: list[str
 
 
 def temporal_neighbours(notes: DataFrame, hours: int = 24, k: int = 20, by: list[str] | None = None) -> DataFrame:
-    """(a, b, hours_apart, w): for each note the ``k`` nearest within ``hours``; w = max(0.3, 1 - h/24).
-
-    A range join: notes meet in buckets as wide as the band, each in its own and the next, so that no pair is missed. Where
-    ``by`` is given, only notes equal there meet. Rows are (id, at): at in seconds.
+    """(a, b, gap, w): for each note the ``k`` nearest within ``hours``, the smaller id of equals; gap in seconds, and
+    w = max(0.3, 1 - h/24) to six digits.
+
+    The nearest ``k`` of a note are among the 2k rows around it in time order, so one sorted window looks at a bounded number of
+    rows, however many notes a day has. Without ``by`` there would be one such window for all notes: they are cut into ranges of
+    time as long as the band, and each range also reads the 2k last rows of the range before and first rows of the one after.
+    Where ``by`` is given, only notes equal there meet. Rows are (id, at): at in seconds. Of more than k notes at equal distance
+    on one side the smaller ids are taken.
     """
     by, band = by or [], hours * 3600
-    left = notes.select(F.col("id").alias("a"), F.col("at").alias("ta"), *by, F.explode(F.array(*[F.floor(F.col("at") / band) + d for d in (-1, 0, 1)])).alias("bucket"))
-    right = notes.select(F.col("id").alias("b"), F.col("at").alias("tb"), *by, F.floor(F.col("at") / band).alias("bucket"))
-    gap = F.abs(F.col("ta") - F.col("tb"))
-    near = left.join(right, ["bucket", *by]).where((F.col("a") != F.col("b")) & (gap < band)).select("a", "b", gap.alias("gap"))
-    best = near.withColumn("rn", F.row_number().over(W.partitionBy("a").orderBy("gap", "b"))).where(F.col("rn") <= k)
-    h = F.col("gap") / 3600
-    return best.select("a", "b", F.round(h, 6).alias("hours_apart"), F.round(F.greatest(F.lit(0.3), 1 - h / 24), 6).alias("w"))
+    rows = notes.select("id", "at", *by, F.floor(F.col("at") / band).alias("bucket"))
+    first = W.partitionBy("bucket", *by).orderBy("at", "id")
+    last = W.partitionBy("bucket", *by).orderBy(F.desc("at"), "id")
+    edges = rows.withColumns({"_f": F.row_number().over(first), "_l": F.row_number().over(last)})
+    near = [edges.withColumn("own", F.lit(True)), edges.where(F.col("_l") <= k).withColumn("bucket", F.col("bucket") + 1).withColumn("own", F.lit(False)), edges.where(F.col("_f") <= k).withColumn("bucket", F.col("bucket") - 1).withColumn("own", F.lit(False))]
+    dealt = near[0].unionByName(near[1]).unionByName(near[2]).select("id", "at", *by, "bucket", "own")
+    one = F.struct(F.col("at").alias("at"), F.col("id").alias("id"))
+    # before: the latest k rows not after this one, smaller ids nearer; after: the earliest k rows
+    back = W.partitionBy("bucket", *by).orderBy(F.col("at"), F.desc("id")).rowsBetween(-k, -1)
+    ahead = W.partitionBy("bucket", *by).orderBy(F.desc("at"), F.desc("id")).rowsBetween(-k, -1)
+    around = dealt.withColumns({"_b": F.collect_list(one).over(back), "_a": F.collect_list(one).over(ahead)}).where("own")
+    pairs = around.select(F.col("id").alias("a"), F.col("at").alias("ta"), F.explode(F.array_distinct(F.concat("_b", "_a"))).alias("o")).select("a", F.col("o.id").alias("b"), F.abs(F.col("ta") - F.col("o.at")).alias("gap"))
+    best = pairs.where((F.col("a") != F.col("b")) & (F.col("gap") < band)).withColumn("rn", F.row_number().over(W.partitionBy("a").orderBy("gap", "b"))).where(F.col("rn") <= k)
+    w = F.greatest(F.lit(300_000), 1_000_000 - F.floor((F.col("gap") * 1_000_000 + 43_200) / 86_400))  # in millionths, rounded in whole numbers
+    return best.select("a", "b", "gap", (w.cast("double") / 1e6).alias("w"))
 
 
 def causal_links(facts: DataFrame, call: str, order: str, cue: Column, id_col: str = "id") -> DataFrame:

@@ -96,14 +96,14 @@ def interval_containment(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    """Every window is complete when the stream has ended: the whole table of windows is kept, so none waits for a watermark."""
-    got = S.drained(S.windowed(S.read_events(spark, f"{d}/events.parquet"), "6 hours", None, ["event_type"], [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")]), "complete")
+    """In update mode: each micro-batch writes the windows it changed, and state goes once the watermark has passed a window."""
+    got = S.drained(S.windowed(S.read_events(spark, f"{d}/events.parquet"), "6 hours", None, ["event_type"], [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")]), "update", ["window_start", "event_type"])
     return got.withColumn("total", F.round("total", 4))
 
 
 @query("WITH w AS (SELECT event_id, value, unnest([time_bucket(INTERVAL '6 hours', ts), time_bucket(INTERVAL '6 hours', ts) - INTERVAL '6 hours']) AS window_start FROM events) SELECT window_start, count(*) AS n FROM w GROUP BY 1")
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
-    return S.drained(S.windowed(S.read_events(spark, f"{d}/events.parquet"), "12 hours", "6 hours", [], [F.count(F.lit(1)).alias("n")]), "complete")
+    return S.drained(S.windowed(S.read_events(spark, f"{d}/events.parquet"), "12 hours", "6 hours", [], [F.count(F.lit(1)).alias("n")]), "update", ["window_start"])
 
 
 @query(
@@ -111,15 +111,20 @@ def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g) SELECT min(ts) AS session_start, user_id, count(*) AS n FROM s GROUP BY user_id, sid"""
 )
 def stream_session(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions that are open when the stream ends belong to the result, which append mode would hold back and update mode does
+    not offer for session windows: complete mode, whose state is one row for each session."""
     return S.drained(S.sessions(S.read_events(spark, f"{d}/events.parquet"), "12 hours", ["user_id"], [F.count(F.lit(1)).alias("n")]), "complete")
 
 
 @query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
 def stream_last_state(spark: SparkSession, d: str) -> DataFrame:
-    return S.drained(S.last_state(S.read_events(spark, f"{d}/events.parquet"), ["user_id", "event_type"], "event_id", ["value"]), "complete")
+    return S.drained(S.last_state(S.read_events(spark, f"{d}/events.parquet"), ["user_id", "event_type"], "event_id", ["value"]), "update", ["user_id", "event_type"])
 
 
-@query("SELECT user_id, event_type, count(*) AS n, min(epoch_us(ts)) AS first_at, max(epoch_us(ts)) AS last_at FROM events GROUP BY ALL")
+@query(
+    """WITH e AS (SELECT user_id, event_type, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) AS rn FROM events)
+SELECT user_id, event_type, count(*) AS n, min(us) AS first_at, max(us) AS last_at, string_agg(CAST(us AS VARCHAR), ',' ORDER BY us DESC) FILTER (rn <= 50) AS history FROM e GROUP BY ALL"""
+)
 def stream_sightings(spark: SparkSession, d: str) -> DataFrame:
-    got = S.drained(S.sightings(S.read_events(spark, f"{d}/events.parquet"), ["user_id", "event_type"]), "update")
-    return got.groupBy("user_id", "event_type").agg(F.max("n").alias("n"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+    got = S.drained(S.sightings(S.read_events(spark, f"{d}/events.parquet"), ["user_id", "event_type"]), "update", ["user_id", "event_type"])
+    return got.withColumn("history", F.array_join(F.transform("history", lambda x: x.cast("string")), ","))

@@ -38,7 +38,7 @@ def notes_filter_tags_time(spark: SparkSession, d: str) -> DataFrame:
     """WITH e AS (SELECT event_id, user_id, epoch(date_trunc('second', ts))::BIGINT AS at FROM events),
 p AS (SELECT a.event_id AS a, b.event_id AS b, abs(a.at - b.at) AS gap FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND abs(a.at - b.at) < 86400),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY gap, b) AS rn FROM p)
-SELECT a, b, round(gap / 3600.0::DOUBLE, 6) AS hours_apart, round(greatest(0.3::DOUBLE, 1 - (gap / 3600.0::DOUBLE) / 24), 6) AS w FROM r WHERE rn <= 20"""
+SELECT a, b, gap, greatest(300000, 1000000 - (gap * 1000000 + 43200) // 86400) / 1e6::DOUBLE AS w FROM r WHERE rn <= 20"""
 )
 def notes_temporal_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return M.temporal_neighbours(notes(spark, d).select("id", "at", "entity"), 24, 20, ["entity"])

@@ -1,4 +1,8 @@
-"""The note log: one JSON object a line, the full new state of a note or its tombstone; the last line of an id holds."""
+"""The note log: one JSON object a line, the full new state of a note or its tombstone; the last line of an id holds.
+
+Lines are ordered by the sequence number that :func:`append` writes into them (one for each call, and a line's place in it);
+lines without one, of logs written by others, come before and go by file time, file, and place in the file.
+"""
 
 from __future__ import annotations
 
@@ -14,10 +18,13 @@ NOTE = (
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, deleted, note...) of every readable line; damaged lines are left out. ``at`` orders the lines of a file."""
-    raw = spark.read.text(path).select(F.col("value"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
-    parsed = raw.select("file", "at", F.from_json("value", f"deleted boolean, {NOTE}", {"mode": "PERMISSIVE"}).alias("n")).where("n.id is not null")
-    return parsed.select("file", "at", F.coalesce("n.deleted", F.lit(False)).alias("deleted"), *[F.col(f"n.{c.split()[0]}") for c in _columns()])
+    """(file, at, deleted, note...) of every readable line; damaged lines are left out. ``at`` orders the lines of all files."""
+    raw = spark.read.text(path).select(
+        F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth")
+    )
+    parsed = raw.withColumn("n", F.from_json("value", f"seq bigint, place bigint, deleted boolean, {NOTE}", {"mode": "PERMISSIVE"})).where("n.id is not null")
+    at = F.struct(F.coalesce("n.seq", F.lit(0)).alias("seq"), F.coalesce("n.place", F.lit(0)).alias("place"), "time", "file", "block", "nth")
+    return parsed.select("file", at.alias("at"), F.coalesce("n.deleted", F.lit(False)).alias("deleted"), *[F.col(f"n.{c.split()[0]}") for c in _columns()])
 
 
 def _columns() -> list[str]:
@@ -38,9 +45,14 @@ def replay(log: DataFrame) -> DataFrame:
 
 
 def append(notes: DataFrame, path: str, deleted: bool = False) -> None:
-    """Append full states, or tombstones."""
+    """Append full states, or tombstones, under a sequence number greater than any in the log."""
+    spark = notes.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    last = read_log(spark, path).agg(F.max("at.seq").alias("s")).first().s if there else None
     rows = notes.select("id", F.lit(True).alias("deleted")) if deleted else notes
-    rows.select(F.to_json(F.struct(*rows.columns))).write.mode("append").text(path)
+    line = F.struct(F.lit((last or 0) + 1).cast("long").alias("seq"), F.monotonically_increasing_id().alias("place"), *rows.columns)
+    rows.select(F.to_json(line)).write.mode("append").text(path)
 
 
 def next_ids(new: DataFrame, order: list[str], last: int) -> DataFrame:

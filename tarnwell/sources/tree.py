@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +17,15 @@ LANGUAGES = {
 SKIPPED = frozenset(".git .hg .svn node_modules __pycache__ .venv venv .tox .mypy_cache .pytest_cache dist build target out vendor coverage .idea .vscode".split())
 OUTPUT = frozenset("build dist out target bin obj".split())
 MANIFESTS = frozenset("Cargo.toml package.json pyproject.toml setup.py pom.xml build.gradle go.mod CMakeLists.txt Makefile".split())
-MAX_BYTES = 1_000_000
+MAX_BYTES = 1_500_000
+#: Endings of files that are made from others or only declare.
+GENERATED = (".min.js", ".bundle.js", ".d.ts", ".min.css")
 FILES = "path string, bytes long, modified timestamp, content binary"
 
 
 def lang_of(path: str) -> str | None:
-    return LANGUAGES.get(path.rpartition(".")[2].lower()) if "." in os.path.basename(path) else None
+    name = os.path.basename(path).lower()
+    return LANGUAGES.get(name.rpartition(".")[2]) if "." in name and not name.endswith(GENERATED) else None
 
 
 def is_minified(content: bytes) -> bool:
@@ -68,9 +72,9 @@ def walk(root: str, strict: bool = False) -> list[str]:
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """files(path, lang, lines, bytes, hash, text) of any tree that Spark can list; unreadable files fail the read.
 
-    Folder, extension, size and minified filters are expressions over the listing, so files outside them are not opened.
+    Size and extension go to the listing, so files outside them are not opened; folder and minified filters are expressions.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "false").option("ignoreMissingFiles", "false").load(root)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "false").option("ignoreMissingFiles", "false").option("pathGlobFilter", "*{" + ",".join(sorted({f".{e}" for e in LANGUAGES} | MANIFESTS)) + "}").load(root)
     raw = raw.select("path", "length", "content").union(_underscored(spark, root)).where(F.col("length") <= MAX_BYTES)
     base = raw.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     full = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
@@ -80,7 +84,7 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     folders = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
     plain = ~F.exists(folders, lambda f: f.startswith(".") | f.isin(sorted(SKIPPED - OUTPUT)))
     long_lines = (F.length("content") > 2000) & (F.length("content") / (F.length("content") - F.length(F.replace(F.decode("content", "ISO-8859-1"), F.lit("\n"), F.lit(""))) + 1) > 400)
-    files = raw.select(path.alias("path"), F.try_element_at(langs, ext).alias("lang"), "length", "content", folders.alias("folders")).where(F.col("lang").isNotNull() & plain & ~long_lines)
+    files = raw.select(path.alias("path"), F.try_element_at(langs, ext).alias("lang"), "length", "content", folders.alias("folders")).where(F.col("lang").isNotNull() & plain & ~long_lines & ~F.lower(path).rlike("(" + "|".join(re.escape(x) for x in GENERATED) + ")$"))
     manifests = raw.select(path.alias("p")).where(F.regexp_extract("p", "[^/]+$", 0).isin(sorted(MANIFESTS))).select(F.regexp_replace("p", "/?[^/]+$", "").alias("project"))
     outputs = files.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size("folders")), lambda i: F.struct(F.array_join(F.slice("folders", 1, i - 1), "/").alias("project"), F.get("folders", i - 1).alias("f")))).alias("x")).where(F.col("x.f").isin(sorted(OUTPUT)) & (F.size("folders") > 0))
     dropped = outputs.select("path", "x.project").join(manifests.distinct(), "project", "left_semi").select("path").distinct()
@@ -141,12 +145,22 @@ def publish(tables: dict[str, DataFrame], root: str, generation: str) -> None:
         df.write.mode("overwrite").option("parquet.page.write-checksum.enabled", "true").parquet(f"{root}/gen={generation}/{name}")
     spark = next(iter(tables.values())).sparkSession
     counts = [(generation, name, spark.read.parquet(f"{root}/gen={generation}/{name}").count()) for name in tables]
-    spark.createDataFrame(counts, "generation string, part string, rows long").coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    number = _last_number(spark, root) + 1
+    rows = [(number, *c) for c in counts]
+    spark.createDataFrame(rows, "number long, generation string, part string, rows long").coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+
+
+def _last_number(spark: SparkSession, root: str) -> int:
+    """The number of the last generation published under ``root``, 0 if none: generations are ordered by it, not by their names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return 0
+    return spark.read.parquet(f"{root}/manifest").agg(F.max("number")).first()[0] or 0
 
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table of the newest published generation; a part the manifest does not know is an error."""
-    row = spark.read.parquet(f"{root}/manifest").where(F.col("part") == name).agg(F.max("generation").alias("g")).first()
+    row = spark.read.parquet(f"{root}/manifest").where(F.col("part") == name).agg(F.max_by("generation", "number").alias("g")).first() if _last_number(spark, root) else None
     if row is None or row.g is None:
         raise ValueError(f"no published generation has {name}")
     return spark.read.parquet(f"{root}/gen={row.g}/{name}")

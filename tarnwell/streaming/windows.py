@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnwell.functions.dates import epoch, wall_clock
 from tarnwell.session import shared_dir
@@ -23,23 +24,36 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now into the shared folder, and read the result."""
+def drained(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over all that is there now into the shared folder, and read the result.
+
+    In update mode each micro-batch holds the rows that it changed: of each of ``keys`` the row of the last batch counts. A
+    micro-batch that is run again overwrites its own folder. In complete mode the last batch is the whole result.
+    """
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of a row")
     spark = stream.sparkSession
     at = f"{shared_dir(spark)}/tarnwell/stream-{uuid.uuid4().hex}"
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
         q.awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{at}/out")
-    last: dict[str, str] = {}
+    done: list[int] = []
 
     def keep(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/out-{n}")
-        last["path"] = f"{at}/out-{n}"
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}")
+        done.append(n)
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(last["path"]) if last else spark.createDataFrame([], stream.schema)
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{at}/out/batch={max(done)}")
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{at}/out")
+    rest = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("l"))
+    return last.select(*keys, "l.*").select(stream.columns)
 
 
 def _timed(events: DataFrame) -> DataFrame:
@@ -64,8 +78,8 @@ def last_state(events: DataFrame, keys: list[str], offset: str, columns: list[st
     return events.groupBy(*keys).agg(F.max_by(F.struct(offset, *columns), offset).alias("l")).select(*keys, "l.*")
 
 
-def sightings(events: DataFrame, keys: list[str]) -> DataFrame:
-    """How often each key was seen, first and last, kept in Python state across micro-batches (a ValueState for each key)."""
+def sightings(events: DataFrame, keys: list[str], keep: int = 50) -> DataFrame:
+    """How often each key was seen, first and last, and its newest ``keep`` times (newest first), kept as state across micro-batches."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -73,16 +87,17 @@ def sightings(events: DataFrame, keys: list[str]) -> DataFrame:
     fields = ", ".join(f"{k} {kinds[k]}" for k in keys)
 
     def update(key: tuple, frames, state: GroupState):  # noqa: ANN001, ANN202
-        n, first, last = state.get if state.exists else (0, None, None)
+        n, first, last, history = state.get if state.exists else (0, None, None, [])
         for f in frames:
             n += len(f)
             lo, hi = int(f["at"].min()), int(f["at"].max())
             first, last = lo if first is None else min(first, lo), hi if last is None else max(last, hi)
-        state.update((n, first, last))
-        yield pd.DataFrame([[*key, n, first, last]], columns=[*keys, "n", "first_at", "last_at"])
+            history = sorted([*history, *f["at"].nlargest(keep).tolist()], reverse=True)[:keep]
+        state.update((n, first, last, [int(x) for x in history]))
+        yield pd.DataFrame([[*key, n, first, last, history]], columns=[*keys, "n", "first_at", "last_at", "history"])
 
     flat = events.select(*keys, epoch("ts", "MICROSECOND").alias("at"))
-    return flat.groupBy(*keys).applyInPandasWithState(update, f"{fields}, n long, first_at long, last_at long", "n long, first_at long, last_at long", "update", GroupStateTimeout.NoTimeout)
+    return flat.groupBy(*keys).applyInPandasWithState(update, f"{fields}, n long, first_at long, last_at long, history array<long>", "n long, first_at long, last_at long, history array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
 def upsert(stream: DataFrame, merge: Callable[[DataFrame, int], None], state: str) -> None:

@@ -111,3 +111,22 @@ def test_changes(spark):
     was = spark.createDataFrame([("a", 1, 1, 1), ("b", 1, 1, 1), ("c", 1, 1, 1), ("d", 1, 1, 1)], row)
     now = spark.createDataFrame([("a", 1, 1, 1), ("b", 1, 2, 1), ("c", 1, 2, 2), ("e", 1, 1, 1)], row)
     assert {r.path: r.change for r in tree.classify_changes(now, was).collect()} == {"a": "same", "b": "touched", "c": "changed", "d": "removed", "e": "new"}
+
+
+@pytest.mark.parametrize("lang", sorted(extract.DEFINITIONS))
+def test_hostile_text_takes_no_longer_than_other_text(lang):
+    import time
+
+    for text in ("int " + "*" * 1000, "int " + "* " * 2000 + "x", "a " * 3000 + "(", "a::" * 3000, "{" * 20_000, "f(" * 10_000, "class A " * 3000, "fn " * 5000, "impl <" * 3000, "x" * 100_000, "const a = (" * 2000, "'a" * 20_000):
+        start = time.perf_counter()
+        extract.file_facts("x", lang, text)
+        assert time.perf_counter() - start < 2, (lang, text[:20])
+    start = time.perf_counter()
+    extract.file_facts("x.c", "c", "int " + "*" * 1000)
+    assert time.perf_counter() - start < 0.01
+
+
+def test_generated_files_are_left_out(spark, tmp_path):
+    for name in ("a.min.js", "b.bundle.js", "c.d.ts", "d.ts"):
+        (tmp_path / name).write_text("let x = 1\n")
+    assert [r.path for r in tree.read_tree(spark, str(tmp_path)).collect()] == ["d.ts"] == tree.walk(str(tmp_path))

@@ -114,3 +114,63 @@ def test_publish(spark, tmp_path):
     assert tree.current(spark, root, "a").count() == 5
     with pytest.raises(ValueError):
         tree.current(spark, root, "b")
+
+
+def test_update_streams_over_several_batches(spark, tmp_path):
+    """Two input files, one for each micro-batch: every key comes back, with the sums over both."""
+    from pyspark.sql import functions as F
+
+    from tarnwell.streaming import windows as S
+
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    cut = e.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
+    for k, part in enumerate((e.where(F.col("event_id") <= cut), e.where(F.col("event_id") > cut))):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {(r.user_id, r.event_type): r for r in S.drained(S.sightings(stream, ["user_id", "event_type"]), "update", ["user_id", "event_type"]).collect()}
+    want = {(r.user_id, r.event_type): r for r in e.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.expr("sort_array(collect_list(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)), false)").alias("h")).collect()}
+    assert got.keys() == want.keys() and all((got[k].n, got[k].history, got[k].first_at, got[k].last_at) == (w.n, w.h[:50], w.h[-1], w.h[0]) for k, w in want.items())
+    last = S.drained(S.last_state(stream, ["user_id"], "event_id", ["value"]), "update", ["user_id"])
+    assert {(r.user_id, r.event_id) for r in last.collect()} == {(r.user_id, r.m) for r in e.groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
+    with pytest.raises(ValueError):
+        S.drained(stream, "update")
+
+
+def test_the_last_append_holds(spark, tmp_path):
+    from tarnwell.sources import notes_log
+
+    at = str(tmp_path / "log")
+    row = "id string, text string"
+    for k in range(12):
+        notes_log.append(spark.createDataFrame([("a", f"state {k}"), (f"b{k}", "other")], row).repartition(3), at)
+    assert {r.id: r.text for r in notes_log.replay(notes_log.read_log(spark, at)).collect()}["a"] == "state 11"
+    notes_log.append(spark.createDataFrame([("a", "")], row), at, deleted=True)
+    assert "a" not in {r.id for r in notes_log.replay(notes_log.read_log(spark, at)).collect()}
+    notes_log.append(spark.createDataFrame([("a", "back")], row), at)
+    assert {r.id: r.text for r in notes_log.replay(notes_log.read_log(spark, at)).collect()}["a"] == "back"
+
+
+def test_the_last_generation_is_current_whatever_its_name(spark, tmp_path):
+    from tarnwell.sources import tree
+
+    root = str(tmp_path / "index")
+    for n, name in enumerate(["8", "9", "10", "abc", "11"], 1):
+        tree.publish({"a": spark.range(n)}, root, name)
+        assert tree.current(spark, root, "a").count() == n
+
+
+def test_temporal_neighbours_brute_force(spark):
+    import random
+
+    from tarnwell.operators import memory as M
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice([rng.randrange(400_000), 86_400, 86_401, 200_000]), rng.choice("xy")) for i in range(260)]
+    df = spark.createDataFrame(rows, "id long, at long, who string")
+    for by in (None, ["who"]):
+        got = {}
+        for r in M.temporal_neighbours(df, 24, 5, by).collect():
+            got.setdefault(r.a, set()).add((r.b, r.gap))
+        for i, t, w in rows:
+            near = sorted((abs(t - u), j) for j, u, v in rows if j != i and abs(t - u) < 86_400 and (by is None or v == w))[:5]
+            assert got.get(i, set()) == {(j, g) for g, j in near}, (i, by)
