@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnwell.functions.text import expand_identifier, identifiers
+from tarnwell.session import ship
 
 K1, B = 1.5, 0.75
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term, doc_id, tf). Identifiers are counted for each document first, and only distinct ones are split into parts."""
-    raw = docs.select(F.col(id_col).alias("doc_id"), F.explode(identifiers(F.col(text_col))).alias("name")).groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"))
-    return raw.select("doc_id", F.explode(expand_identifier(F.col("name"))).alias("term"), "n").groupBy("term", "doc_id").agg(F.sum("n").alias("tf"))
+    """(term, doc_id, tf): every identifier is split into its parts as it is read, and one aggregation counts them."""
+    names = docs.select(F.col(id_col).alias("doc_id"), F.explode(identifiers(F.col(text_col))).alias("name"))
+    return names.select("doc_id", F.explode(expand_identifier(F.col("name"))).alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def doc_stats(post: DataFrame) -> DataFrame:
@@ -22,15 +27,46 @@ def doc_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
 
 
-def corpus_stats(docs: DataFrame, post: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row (n, total_len): documents, empty ones included, and tokens."""
-    return docs.agg(F.count(F.col(id_col)).alias("n")).crossJoin(post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total_len")))
-
-
-def idf(post: DataFrame, stats: DataFrame) -> DataFrame:
-    """(term, df, idf) with idf = ln(1 + (n - df + 0.5) / (df + 0.5)), over all documents."""
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.join(F.broadcast(stats.select("n"))).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+@dataclass
+class WordIndex:
+    """A stored index: postings (term, doc_id, tf, dl), ordered by term; words (term, df, cf); documents (doc_id, dl); and the
+    totals, which are two numbers."""
+
+    post: DataFrame
+    words: DataFrame
+    lengths: DataFrame
+    n: int  # documents, empty ones included
+    total: int  # tokens
+
+    @property
+    def idf(self) -> DataFrame:
+        """(term, df, idf) with idf = ln(1 + (n - df + 0.5) / (df + 0.5)), over all documents."""
+        return self.words.select("term", "df", F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+
+def build(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the index of ``docs`` under ``root``: postings once, lengths and words from them, the totals last, so that an index
+    without totals is not there yet. A null text is a document without words; rows that repeat an id are one document."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if source.rdd.getNumPartitions() < parts:  # one large file is few input partitions
+        source = source.repartition(parts)
+    postings(source).write.mode("overwrite").parquet(f"{root}/raw")
+    raw = spark.read.parquet(f"{root}/raw")
+    doc_stats(raw).write.mode("overwrite").parquet(f"{root}/lengths")
+    raw.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).write.mode("overwrite").parquet(f"{root}/words")
+    lengths = spark.read.parquet(f"{root}/lengths")
+    raw.join(lengths, "doc_id").select("term", "doc_id", "tf", "dl").repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{root}/postings")
+    total = lengths.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
+    docs.agg(F.count_distinct(id_col).alias("n")).join(F.broadcast(total)).coalesce(1).write.mode("overwrite").parquet(f"{root}/totals")
+
+
+def opened(spark: SparkSession, root: str) -> WordIndex:
+    """The index that :func:`build` wrote under ``root``."""
+    at = lambda name: spark.read.parquet(f"{root}/{name}")
+    totals = at("totals").first()
+    return WordIndex(at("postings"), at("words"), at("lengths"), totals.n, totals.total)
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -39,15 +75,22 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return q.select(F.col("doc_id").alias("query_id"), "term", F.col("tf").alias("qtf"))
 
 
-def bm25(post: DataFrame, terms: DataFrame, stats: DataFrame, among: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, doc_id, score). ``among`` (doc_id) limits the documents scored, never the statistics."""
-    weights = idf(post, stats)
-    lengths = doc_stats(post)
-    if among is not None:
-        lengths = lengths.join(among.select("doc_id").distinct(), "doc_id", "left_semi")
-    hits = post.join(terms.join(weights, "term"), "term").join(lengths, "doc_id").join(F.broadcast(stats))
-    share = F.col("tf") / (k1 * (1 - b + b * F.col("dl") * F.col("n") / F.col("total_len")) + F.col("tf"))
-    return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * share).alias("score"))
+def bm25(index: WordIndex, terms: DataFrame, among: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, doc_id, score). ``among`` (doc_id) limits the documents scored, never the statistics.
+
+    A posting has its document's length and the totals are numbers, so the queries' weighted terms meet the postings in one join
+    by term (sent to every task if Spark finds them small) and one aggregation sums the scores.
+    """
+    weighted = terms.join(index.idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    post = index.post if among is None else index.post.join(among.select("doc_id").distinct(), "doc_id", "left_semi")
+    share = F.col("tf") / (F.lit(k1) * (1 - b + b * F.col("dl") * F.lit(float(index.n)) / F.lit(float(max(index.total, 1)))) + F.col("tf"))
+    hits = post.select("term", "doc_id", share.alias("share")).join(weighted, "term")
+    return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("share")).alias("score"))
+
+
+def terms_in(index: WordIndex, docs: DataFrame) -> DataFrame:
+    """(term, df): in how many of the documents ``docs`` (doc_id) each of their words is."""
+    return index.post.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def top_k(scored: DataFrame, k: int, by: list[str], score: str = "score", tie: str = "doc_id", digits: int = 6) -> DataFrame:
@@ -62,11 +105,10 @@ def rrf(lists: DataFrame, by: list[str], k: int = 60, id_col: str = "doc_id") ->
     return first.groupBy(*by, id_col).agg(F.sum(F.col("weight") / (k + F.col("rank"))).alias("score"))
 
 
-def expansion_terms(hits: DataFrame, post: DataFrame, terms: DataFrame, stats: DataFrame, n: int) -> DataFrame:
+def expansion_terms(hits: DataFrame, index: WordIndex, terms: DataFrame, n: int) -> DataFrame:
     """Pseudo-relevance feedback: for each query the ``n`` new terms with the largest idf times number of its hits that have them."""
-    w = idf(post, stats)
-    found = hits.join(post, "doc_id").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("hits"))
-    new = found.join(terms.select("query_id", "term"), ["query_id", "term"], "left_anti").join(w, "term")
+    found = hits.join(index.post, "doc_id").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("hits"))
+    new = found.join(terms.select("query_id", "term"), ["query_id", "term"], "left_anti").join(index.idf, "term")
     return top_k(new.select("query_id", "term", "hits", (F.col("idf") * F.col("hits")).alias("weight")), n, ["query_id"], "weight", "term")
 
 
@@ -97,17 +139,43 @@ def ppmi_vectors(post: DataFrame, dims: int = 256, units: int = 8) -> tuple[Data
     return by_term, by_doc
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", query_col: str = "query_id", vec: str = "embedding") -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", query_col: str = "query_id", vec: str = "embedding", block: int = 512) -> DataFrame:
     """Exact search: the ``k`` vectors of largest dot product for each query, with ranks; (query_id, vec_id, score, rank).
 
-    The query set is stated by the caller and goes through the vectors in blocks: it is sent to every task once, as long as it
-    is within the broadcast threshold, and each task keeps only its own best ``k`` of each query before the shuffle.
+    Both sides are cut into blocks by a hash; every block of vectors meets every block of queries in one group, where a matrix
+    product in double precision finds each query's best ``k`` of the group. Only those are shuffled on. A group holds at most
+    about ``block`` queries and 16 blocks' worth of vectors, whatever the sizes, and nothing is broadcast.
     """
-    from tarnwell.functions.vector import dot
-
-    q = queries.select(F.col(query_col).alias("query_id"), F.col(vec).alias("qv"))
-    scored = vectors.select(id_col, F.col(vec).alias("v")).join(q).select("query_id", id_col, dot(F.col("qv"), F.col("v")).alias("score"))
-    return top_k(scored, k, ["query_id"], "score", id_col)
+    spark = vectors.sparkSession
+    n, m = vectors.count(), queries.count()
+    rows, cols = max(1, -(-n // (16 * block))), max(1, -(-m // block))
+    v = vectors.select(F.lit(0).alias("side"), F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(rows)).cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("c"))
+    q = queries.select(F.lit(1).alias("side"), F.col(query_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("r"), F.pmod(F.xxhash64(query_col), F.lit(cols)).cast("int").alias("c"))
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        side = t.column("side").to_numpy()
+        ids = t.column("id").to_numpy()
+        flat = t.column("v").combine_chunks()
+        sizes = np.diff(flat.offsets.to_numpy())
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for dim in np.unique(sizes).tolist():  # vectors of other lengths never meet
+            at = np.flatnonzero(sizes == dim)
+            x = np.stack([flat[i].values.to_numpy(zero_copy_only=False) for i in at.tolist()]) if dim else np.zeros((len(at), 0))
+            a, b = x[side[at] == 1], x[side[at] == 0]
+            qi, vi = ids[at][side[at] == 1], ids[at][side[at] == 0]
+            if not len(a) or not len(b):
+                continue
+            s = np.round(a @ b.T, 6)
+            order = np.lexsort((np.broadcast_to(vi, s.shape), -s), axis=1)[:, :k]
+            out.append((np.repeat(qi, order.shape[1]), vi[order].ravel(), np.take_along_axis(s, order, 1).ravel()))
+        if not out:
+            return pa.table({"query_id": pa.array([], pa.int64()), id_col: pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        got = [np.concatenate(z) for z in zip(*out, strict=True)]
+        return pa.table({"query_id": got[0], id_col: got[1], "score": got[2]})
+
+    ship(spark)
+    near = v.where("v is not null and id is not null").union(q.where("v is not null and id is not null")).groupBy("r", "c").applyInArrow(run, f"query_id long, {id_col} long, score double")
+    return top_k(near, k, ["query_id"], "score", id_col)
 
 
 def rank_score(rank: Column, n: Column) -> Column:

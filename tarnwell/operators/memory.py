@@ -40,26 +40,24 @@ def temporal_neighbours(notes: DataFrame, hours: int = 24, k: int = 20, by: list
     """(a, b, gap, w): for each note the ``k`` nearest within ``hours``, the smaller id of equals; gap in seconds, and
     w = max(0.3, 1 - h/24) to six digits.
 
-    The nearest ``k`` of a note are among the 2k rows around it in time order, so one sorted window looks at a bounded number of
-    rows, however many notes a day has. Without ``by`` there would be one such window for all notes: they are cut into ranges of
-    time as long as the band, and each range also reads the 2k last rows of the range before and first rows of the one after.
-    Where ``by`` is given, only notes equal there meet. Rows are (id, at): at in seconds. Of more than k notes at equal distance
-    on one side the smaller ids are taken.
+    The nearest ``k`` of a note are at its own time or among the k distinct times on either side of it, and of each time only
+    the k + 1 smallest ids can count. So one sorted window over distinct times looks at a bounded number of rows, however many
+    notes a day or a second has. Times are cut into ranges as long as the band, and each range also reads the k last times of
+    the range before and the k first of the one after. Where ``by`` is given, only notes equal there meet. Rows are (id, at):
+    at in whole seconds.
     """
     by, band = by or [], hours * 3600
-    rows = notes.select("id", "at", *by, F.floor(F.col("at") / band).alias("bucket"))
-    first = W.partitionBy("bucket", *by).orderBy("at", "id")
-    last = W.partitionBy("bucket", *by).orderBy(F.desc("at"), "id")
-    edges = rows.withColumns({"_f": F.row_number().over(first), "_l": F.row_number().over(last)})
-    near = [edges.withColumn("own", F.lit(True)), edges.where(F.col("_l") <= k).withColumn("bucket", F.col("bucket") + 1).withColumn("own", F.lit(False)), edges.where(F.col("_f") <= k).withColumn("bucket", F.col("bucket") - 1).withColumn("own", F.lit(False))]
-    dealt = near[0].unionByName(near[1]).unionByName(near[2]).select("id", "at", *by, "bucket", "own")
-    one = F.struct(F.col("at").alias("at"), F.col("id").alias("id"))
-    # before: the latest k rows not after this one, smaller ids nearer; after: the earliest k rows
-    back = W.partitionBy("bucket", *by).orderBy(F.col("at"), F.desc("id")).rowsBetween(-k, -1)
-    ahead = W.partitionBy("bucket", *by).orderBy(F.desc("at"), F.desc("id")).rowsBetween(-k, -1)
-    around = dealt.withColumns({"_b": F.collect_list(one).over(back), "_a": F.collect_list(one).over(ahead)}).where("own")
-    pairs = around.select(F.col("id").alias("a"), F.col("at").alias("ta"), F.explode(F.array_distinct(F.concat("_b", "_a"))).alias("o")).select("a", F.col("o.id").alias("b"), F.abs(F.col("ta") - F.col("o.at")).alias("gap"))
-    best = pairs.where((F.col("a") != F.col("b")) & (F.col("gap") < band)).withColumn("rn", F.row_number().over(W.partitionBy("a").orderBy("gap", "b"))).where(F.col("rn") <= k)
+    rows = notes.select("id", "at", *by)
+    nth = F.row_number().over(W.partitionBy(*by, "at").orderBy("id"))
+    times = rows.withColumn("_n", nth).where(F.col("_n") <= k + 1).groupBy(*by, "at").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("bucket", F.floor(F.col("at") / band))
+    edge = lambda order: F.row_number().over(W.partitionBy("bucket", *by).orderBy(order)) <= k
+    marked = times.withColumns({"_f": edge(F.col("at")), "_l": edge(F.desc("at"))})
+    moved = lambda where, step: marked.where(where).select(*by, "at", "ids", (F.col("bucket") + step).alias("bucket"), F.lit(False).alias("own"))
+    dealt = marked.select(*by, "at", "ids", "bucket", F.lit(True).alias("own")).union(moved("_l", 1)).union(moved("_f", -1))
+    around = F.collect_list(F.struct(F.col("at").alias("t"), "ids")).over(W.partitionBy("bucket", *by).orderBy("at").rowsBetween(-k, k))
+    seen = dealt.withColumn("around", around).where("own").select(*by, "at", F.filter("around", lambda x: F.abs(x["t"] - F.col("at")) < band).alias("around"))
+    near = rows.join(seen, [*by, "at"]).select(F.col("id").alias("a"), "at", F.explode("around").alias("o")).select("a", F.abs(F.col("at") - F.col("o.t")).alias("gap"), F.explode("o.ids").alias("b")).where("a <> b")
+    best = near.withColumn("rn", F.row_number().over(W.partitionBy("a").orderBy("gap", "b"))).where(F.col("rn") <= k)
     w = F.greatest(F.lit(300_000), 1_000_000 - F.floor((F.col("gap") * 1_000_000 + 43_200) / 86_400))  # in millionths, rounded in whole numbers
     return best.select("a", "b", "gap", (w.cast("double") / 1e6).alias("w"))
 

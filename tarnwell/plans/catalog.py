@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.functions.dates import epoch
+from tarnwell.operators import index as I
 from tarnwell.plans import registry
-from tarnwell.session import table
+from tarnwell.session import forget_later, shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +34,23 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return doc.select(F.col("doc_id").alias("chunk_id"), F.concat_ws("/", "source", "lang", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.concat_ws("/", "source", "lang").alias("folder"), "text")
 
 
+_indexes: dict[tuple, I.WordIndex] = {}
+
+
+def word_index(spark: SparkSession, d: str) -> I.WordIndex:
+    """The stored word index of ``documents``: built at the first use of these files in a session, read ever after."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    status = fs.getFileStatus(path)
+    key = (spark.sparkContext.applicationId, f"{d}/documents.parquet", fs.getContentSummary(path).getLength(), status.getModificationTime())
+    if key not in _indexes:
+        root = f"{shared_dir(spark)}/tarnwell/word-index-{uuid.uuid4().hex}"
+        I.build(table(spark, d, "documents"), root)
+        _indexes[key] = I.opened(spark, root)
+        forget_later(spark, root)
+    return _indexes[key]
+
+
 #: Node ids of the star schema: the kind's base plus the key.
 REGION, NATION, SUPPLIER, CUSTOMER, PART = 1, 100, 10**9, 2 * 10**9, 3 * 10**9
 

@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 
 from tarnwell.operators import evaluation as E
 from tarnwell.operators import index as I
-from tarnwell.plans.catalog import BM25_CTES, query
-from tarnwell.session import durable, table
+from tarnwell.plans.catalog import BM25_CTES, query, word_index
+from tarnwell.session import table
 
 
 def ranks(spark: SparkSession, d: str) -> DataFrame:
     """(item_id, lang, rank): for each benchmark passage the BM25 rank of the first document that holds it, 0 for a miss; only
     passages that some document holds are challenges. Containment is checked for each passage's 20 best documents."""
     docs, b = table(spark, d, "documents"), table(spark, d, "benchmark")
-    p = durable(I.postings(docs), "postings")
-    s = I.top_k(I.bm25(p, I.query_terms(b, "item_id", "text"), I.corpus_stats(docs, p)), 20, ["query_id"])
+    s = I.top_k(I.bm25(word_index(spark, d), I.query_terms(b, "item_id", "text")), 20, ["query_id"])
     hit = s.join(docs, "doc_id").join(b.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")), "query_id").withColumn("hit", F.expr("contains(text, passage)"))
     return hit.groupBy(F.col("query_id").alias("item_id")).agg(F.coalesce(F.min(F.when(F.col("hit"), F.col("rank"))), F.lit(0)).alias("rank"), F.min_by("lang", "rank").alias("lang"))
 

@@ -10,7 +10,7 @@ from tarnwell.functions import text as T
 from tarnwell.operators import index as I
 from tarnwell.operators import memory as M
 from tarnwell.operators import search as S
-from tarnwell.plans.catalog import BM25_CTES, notes, query
+from tarnwell.plans.catalog import BM25_CTES, notes, query, word_index
 from tarnwell.session import durable, table
 
 NOW = 1_706_745_600  # 2024-02-01, a fixed clock
@@ -90,9 +90,7 @@ RECALL_WORDS = f"WITH{BM25_CTES} SELECT query_id, doc_id AS note_id, score FROM
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    p = durable(I.postings(docs), "postings")
-    return I.top_k(I.bm25(p, I.query_terms(table(spark, d, "benchmark"), "item_id", "text"), I.corpus_stats(docs, p)), 100, ["query_id"]).withColumnRenamed("doc_id", "note_id")
+    return I.top_k(I.bm25(word_index(spark, d), I.query_terms(table(spark, d, "benchmark"), "item_id", "text")), 100, ["query_id"]).withColumnRenamed("doc_id", "note_id")
 
 
 @query(RECALL_WORDS)
@@ -137,10 +135,10 @@ SELECT query_id, doc_id AS note_id, round(score, 6) AS score FROM b"""
 def recall_fused(spark: SparkSession, d: str) -> DataFrame:
     """Two strategies fused, then boosted by recency and proof and demoted if stale; age, proofs and state follow from the id."""
     docs = table(spark, d, "documents")
-    p = durable(I.postings(docs), "postings")
-    s = I.bm25(p, I.query_terms(table(spark, d, "benchmark"), "item_id", "text"), I.corpus_stats(docs, p))
+    index = word_index(spark, d)
+    s = durable(I.bm25(index, I.query_terms(table(spark, d, "benchmark"), "item_id", "text")), "scores")
     words = I.top_k(s, 100, ["query_id"]).select("query_id", F.col("doc_id").alias("note_id"), "rank", F.lit("words").alias("list"), F.lit(1.0).alias("weight"))
-    length = I.top_k(s.join(I.doc_stats(p), "doc_id").select("query_id", "doc_id", F.col("dl").cast("double").alias("score")), 100, ["query_id"])
+    length = I.top_k(s.join(index.lengths, "doc_id").select("query_id", "doc_id", F.col("dl").cast("double").alias("score")), 100, ["query_id"])
     lists = words.union(length.select("query_id", "doc_id", "rank", F.lit("length"), F.lit(1.0)))
     i = F.col("doc_id")
     known = docs.select(i.alias("note_id"), (F.lit(NOW) - i * 3600).alias("at"), (1 + i % 5).alias("proof_count"), F.when(i % 10 == 0, "stale").when(i % 10 == 1, "gone").otherwise("fresh").alias("state"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from tarnwell.functions import text as T
 from tarnwell.functions import vector as V
 from tarnwell.operators import index as I
 from tarnwell.operators import search as S
-from tarnwell.plans.catalog import BM25_CTES, chunks, query, sql_parts, sql_postings
-from tarnwell.session import durable, table
+from tarnwell.plans.catalog import BM25_CTES, chunks, query, sql_parts, sql_postings, word_index
+from tarnwell.session import durable, forget_later, shared_dir, table
 
 POST = "WITH" + sql_postings("documents", "doc_id", "post")
 NAMES = "('getHTTPResponse2'), ('snake_case_name'), ('XMLParser'), ('plain'), ('__init__'), ('a1B2'), ('HTTP2Server'), ('x')"
@@ -40,21 +42,21 @@ def tokens_identifiers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{POST} SELECT count(*) AS postings, count(DISTINCT term) AS terms, count(DISTINCT doc_id) AS docs, CAST(sum(tf) AS BIGINT) AS total_len FROM post")
 def index_postings_stats(spark: SparkSession, d: str) -> DataFrame:
-    p = durable(I.postings(table(spark, d, "documents")), "postings")
+    """Builds the index anew, then reads it."""
+    root = f"{shared_dir(spark)}/tarnwell/word-index-{uuid.uuid4().hex}"
+    I.build(table(spark, d, "documents"), root)
+    forget_later(spark, root)
+    p = I.opened(spark, root).post
     return p.agg(F.count(F.lit(1)).alias("postings"), F.count_distinct("term").alias("terms"), F.count_distinct("doc_id").alias("docs"), F.sum("tf").alias("total_len"))
 
 
 @query(f"WITH{BM25_CTES} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def index_idf(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    p = durable(I.postings(docs), "postings")
-    return I.idf(p, I.corpus_stats(docs, p)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return word_index(spark, d).idf.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _bm25(spark: SparkSession, d: str, among: DataFrame | None = None) -> DataFrame:
-    docs = table(spark, d, "documents")
-    p = durable(I.postings(docs), "postings")
-    return I.bm25(p, I.query_terms(table(spark, d, "benchmark"), "item_id", "text"), I.corpus_stats(docs, p), among)
+    return I.bm25(word_index(spark, d), I.query_terms(table(spark, d, "benchmark"), "item_id", "text"), among)
 
 
 @query(f"WITH{BM25_CTES} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM bmr WHERE rank <= 10")
@@ -73,10 +75,8 @@ def bm25_among_lang(spark: SparkSession, d: str) -> DataFrame:
     f"WITH{BM25_CTES}, rep AS (SELECT doc_id, sum(2 * idf * p.tf / (1.5 * (0.25 + 0.75 * dl * n / total_len) + p.tf)) AS score FROM post p JOIN idf USING (term) JOIN dl USING (doc_id), st WHERE term IN ('the', 'of') GROUP BY doc_id) SELECT doc_id, round(score, 6) AS score FROM rep"
 )
 def bm25_repeated_terms(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    p = durable(I.postings(docs), "postings")
     q = spark.createDataFrame([(0, "the of of the")], "qid long, text string")
-    return I.bm25(p, I.query_terms(q, "qid", "text"), I.corpus_stats(docs, p)).select("doc_id", F.round("score", 6).alias("score"))
+    return I.bm25(word_index(spark, d), I.query_terms(q, "qid", "text")).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -87,10 +87,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, t
 SELECT query_id, term, hits, weight, CAST(rk AS INTEGER) AS rank FROM r WHERE rk <= 16"""
 )
 def prf_expansion_terms(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    p, terms = durable(I.postings(docs), "postings"), I.query_terms(table(spark, d, "benchmark"), "item_id", "text")
-    st = I.corpus_stats(docs, p)
-    return I.expansion_terms(I.top_k(I.bm25(p, terms, st), 10, ["query_id"]), p, terms, st, 16)
+    index, terms = word_index(spark, d), I.query_terms(table(spark, d, "benchmark"), "item_id", "text")
+    return I.expansion_terms(I.top_k(I.bm25(index, terms), 10, ["query_id"]), index, terms, 16)
 
 
 def _trigram_sql(x: str) -> str:
@@ -154,11 +152,10 @@ def rrf_two_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, d: str, alpha) -> DataFrame:  # noqa: ANN001
-    docs = table(spark, d, "documents")
-    p = durable(I.postings(docs), "postings")
-    s = I.bm25(p, I.query_terms(table(spark, d, "benchmark"), "item_id", "text"), I.corpus_stats(docs, p))
+    index = word_index(spark, d)
+    s = durable(I.bm25(index, I.query_terms(table(spark, d, "benchmark"), "item_id", "text")), "scores")
     words = I.top_k(s, 50, ["query_id"]).select("query_id", "doc_id", "rank", F.lit("words").alias("list"), (1 - alpha).alias("weight"))
-    length = I.top_k(s.join(I.doc_stats(p), "doc_id").select("query_id", "doc_id", F.col("dl").cast("double").alias("score")), 50, ["query_id"])
+    length = I.top_k(s.join(index.lengths, "doc_id").select("query_id", "doc_id", F.col("dl").cast("double").alias("score")), 50, ["query_id"])
     return I.rrf(words.union(length.select("query_id", "doc_id", "rank", F.lit("length"), alpha.alias("weight"))), ["query_id"])
 
 
@@ -214,11 +211,10 @@ SELECT query_id, chunk_id, round(score + 0.5 * top * coalesce(ratio, 0), 4) AS s
 )
 def stem_lift(spark: SparkSession, d: str) -> DataFrame:
     """Chunks gain by the idf-weighted part of the query's words they have."""
-    docs = table(spark, d, "documents")
-    p, pool = durable(I.postings(docs), "postings"), _pool(spark, d)
+    index, pool = word_index(spark, d), _pool(spark, d)
     terms = I.query_terms(table(spark, d, "benchmark"), "item_id", "text").select("query_id", F.col("term").alias("word"))
-    weights = I.idf(p, I.corpus_stats(docs, p)).select(F.col("term").alias("word"), "idf")
-    having = p.select(F.col("doc_id").alias("chunk_id"), F.col("term").alias("word")).join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    weights = index.idf.select(F.col("term").alias("word"), "idf")
+    having = index.post.select(F.col("doc_id").alias("chunk_id"), F.col("term").alias("word")).join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi")
     return S.word_lift(pool, S.match_ratio(terms, having, weights), 0.5).select("query_id", "chunk_id", F.round("score", 4).alias("score"))
 
 
@@ -256,7 +252,7 @@ def sig_clip_fold(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ppmi_chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Length and squares of every document's co-occurrence vector (they sum to one)."""
-    _, by_doc = I.ppmi_vectors(durable(I.postings(table(spark, d, "documents")), "postings"), dims=64, units=4)
+    _, by_doc = I.ppmi_vectors(word_index(spark, d).post, dims=64, units=4)
     return by_doc.groupBy("doc_id").agg(F.count(F.lit(1)).alias("dims"), F.round(F.sum(F.col("x") * F.col("x")), 6).alias("squares"))
 
 

@@ -45,9 +45,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir. Only a local session may do without it, and gets one of its own."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         at = getattr(spark.sparkContext, "_tarnwell_shared", None) or tempfile.mkdtemp(prefix="tarnwell-shared-")
         spark.sparkContext._tarnwell_shared = at
     return at.rstrip("/")
@@ -71,6 +73,11 @@ def drop(df: DataFrame) -> None:
             _written.remove((spark, path))
 
 
+def forget_later(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder at exit."""
+    _written.append((spark, path))
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
