@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnwell.functions.text import expand_identifier, identifiers
+from tarnwell.functions.text import code_tokens, expand_identifier, identifiers
 from tarnwell.session import ship
 
 K1, B = 1.5, 0.75
@@ -29,7 +29,8 @@ def doc_stats(post: DataFrame) -> DataFrame:
 
 @dataclass
 class WordIndex:
-    """A stored index: postings (term, doc_id, tf, dl), ordered by term; words (term, df, cf); documents (doc_id, dl); and the
+    """A stored index: postings (term, doc_id, tf, dl), dealt out by document and ordered by term within a file, so that a task's
+    partial sums are a document's whole score, a frequent term is in every file, and a term's rows stand together; words (term, df, cf); documents (doc_id, dl); and the
     totals, which are two numbers."""
 
     post: DataFrame
@@ -52,14 +53,19 @@ def build(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "t
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if source.rdd.getNumPartitions() < parts:  # one large file is few input partitions
         source = source.repartition(parts)
-    postings(source).write.mode("overwrite").parquet(f"{root}/raw")
-    raw = spark.read.parquet(f"{root}/raw")
-    doc_stats(raw).write.mode("overwrite").parquet(f"{root}/lengths")
-    raw.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).write.mode("overwrite").parquet(f"{root}/words")
-    lengths = spark.read.parquet(f"{root}/lengths")
-    raw.join(lengths, "doc_id").select("term", "doc_id", "tf", "dl").repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{root}/postings")
-    total = lengths.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
-    docs.agg(F.count_distinct(id_col).alias("n")).join(F.broadcast(total)).coalesce(1).write.mode("overwrite").parquet(f"{root}/totals")
+    n = docs.agg(F.count(id_col).alias("rows"), F.count_distinct(id_col).alias("n")).first()
+    if n.rows == n.n:  # a row is a document: its length is known before its words are dealt out
+        tokens = source.select("doc_id", code_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+        post = tokens.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    else:
+        postings(source).write.mode("overwrite").parquet(f"{root}/raw")
+        raw = spark.read.parquet(f"{root}/raw")
+        post = raw.join(doc_stats(raw), "doc_id").select("term", "doc_id", "tf", "dl")
+    post.repartition("doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{root}/postings")
+    written = spark.read.parquet(f"{root}/postings")
+    written.groupBy("doc_id").agg(F.max("dl").alias("dl")).write.mode("overwrite").parquet(f"{root}/lengths")
+    written.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).write.mode("overwrite").parquet(f"{root}/words")
+    spark.read.parquet(f"{root}/lengths").agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("total"), F.lit(n.n).cast("long").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{root}/totals")
 
 
 def opened(spark: SparkSession, root: str) -> WordIndex:

@@ -37,13 +37,13 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 _indexes: dict[tuple, I.WordIndex] = {}
 
 
-def word_index(spark: SparkSession, d: str) -> I.WordIndex:
-    """The stored word index of ``documents``: built at the first use of these files in a session, read ever after."""
+def word_index(spark: SparkSession, d: str, anew: bool = False) -> I.WordIndex:
+    """The stored word index of ``documents``: built at the first use of these files in a session (or ``anew``), read ever after."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     status = fs.getFileStatus(path)
     key = (spark.sparkContext.applicationId, f"{d}/documents.parquet", fs.getContentSummary(path).getLength(), status.getModificationTime())
-    if key not in _indexes:
+    if anew or key not in _indexes:
         root = f"{shared_dir(spark)}/tarnwell/word-index-{uuid.uuid4().hex}"
         I.build(table(spark, d, "documents"), root)
         _indexes[key] = I.opened(spark, root)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from tarnwell.functions import vector as V
 from tarnwell.operators import index as I
 from tarnwell.operators import search as S
 from tarnwell.plans.catalog import BM25_CTES, chunks, query, sql_parts, sql_postings, word_index
-from tarnwell.session import durable, forget_later, shared_dir, table
+from tarnwell.session import durable, table
 
 POST = "WITH" + sql_postings("documents", "doc_id", "post")
 NAMES = "('getHTTPResponse2'), ('snake_case_name'), ('XMLParser'), ('plain'), ('__init__'), ('a1B2'), ('HTTP2Server'), ('x')"
@@ -42,12 +40,10 @@ def tokens_identifiers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{POST} SELECT count(*) AS postings, count(DISTINCT term) AS terms, count(DISTINCT doc_id) AS docs, CAST(sum(tf) AS BIGINT) AS total_len FROM post")
 def index_postings_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Builds the index anew, then reads it."""
-    root = f"{shared_dir(spark)}/tarnwell/word-index-{uuid.uuid4().hex}"
-    I.build(table(spark, d, "documents"), root)
-    forget_later(spark, root)
-    p = I.opened(spark, root).post
-    return p.agg(F.count(F.lit(1)).alias("postings"), F.count_distinct("term").alias("terms"), F.count_distinct("doc_id").alias("docs"), F.sum("tf").alias("total_len"))
+    """Builds the index anew, and reads its tables of words and documents."""
+    index = word_index(spark, d, anew=True)
+    words = index.words.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("postings"), F.count(F.lit(1)).alias("terms"), F.coalesce(F.sum("cf"), F.lit(0)).alias("total_len"))
+    return words.crossJoin(index.lengths.agg(F.count(F.lit(1)).alias("docs"))).select("postings", "terms", "docs", "total_len")
 
 
 @query(f"WITH{BM25_CTES} SELECT term, df, round(idf, 6) AS idf FROM idf")
