@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions.text import is_test_path
 from tarnwell.operators.graph import collapse, first_rule, unresolved
+from tarnwell.operators.order import numbered
 from tarnwell.session import durable
 
 CALLABLE = ("function", "method", "class")
@@ -23,10 +24,7 @@ def nodes_of(files: DataFrame, facts: DataFrame) -> DataFrame:
     f = paths.select("path", F.lit(-1).alias("ord"), F.lit("file").alias("kind"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("path").alias("qual"), F.lit(None).cast("int").alias("parent_ord"), F.lit(1).alias("start"), "end", F.lit("").alias("sig"), F.lit("").alias("doc"), F.array().cast("array<string>").alias("bases"), "family")
     s = facts.select("path", F.explode("symbols").alias("s")).join(paths.select("path", "family"), "path").select("path", "s.ord", "s.kind", "s.name", "s.qual", "s.parent_ord", "s.start", "s.end", "s.sig", "s.doc", "s.bases", "family")
     both = f.unionByName(s)
-    counts = both.groupBy("path", (F.col("ord") >= 0).cast("int").alias("t")).agg(F.count(F.lit(1)).alias("c")).withColumn("before", F.coalesce(F.sum("c").over(W.orderBy("t", "path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    nth = F.row_number().over(W.partitionBy("path", "t").orderBy("ord"))
-    out = both.withColumn("t", (F.col("ord") >= 0).cast("int")).withColumn("nth", nth).join(counts.select("path", "t", "before"), ["path", "t"])
-    return out.withColumn("node_id", (F.col("before") + F.col("nth") - 1).cast("long")).drop("t", "nth", "before")
+    return numbered(both.withColumn("t", (F.col("ord") >= 0).cast("int")), ["t", "path", "ord"], "node_id").drop("t")
 
 
 def containment(nodes: DataFrame) -> DataFrame:
@@ -64,6 +62,16 @@ def import_targets(facts: DataFrame, files: DataFrame) -> DataFrame:
     return best.groupBy("path", "ord").agg(F.min_by(F.struct("target", "name", "alias", "module", (F.col("key") != F.col("key1")).alias("is_module")), "rank").alias("b")).select("path", "ord", "b.*")
 
 
+def families(nodes: DataFrame) -> DataFrame:
+    """(impl_id, class_id): the class that an implementation block is about: of that name in the same file, else the only one of
+    that name in the language's family."""
+    impls = nodes.where("kind = 'impl'").select(F.col("node_id").alias("impl_id"), "path", "name", "family")
+    classes = nodes.where(F.col("kind").isin("class", "interface"))
+    here = impls.join(classes.select("path", "name", F.col("node_id").alias("target")), ["path", "name"])
+    only = classes.groupBy("family", "name").agg(F.count(F.lit(1)).alias("c"), F.min("node_id").alias("target")).where("c = 1")
+    return first_rule(impls, "impl_id", [here, impls.join(only, ["family", "name"])]).select("impl_id", F.col("target").alias("class_id"))
+
+
 def ancestors(nodes: DataFrame, inherits: DataFrame, depth: int = 8) -> DataFrame:
     """(node_id, ancestor, depth): bases of bases, nearest first; cycles end as a class is met once."""
     from tarnwell.operators.graph import reach
@@ -89,6 +97,12 @@ def build_graph(files: DataFrame, facts: DataFrame) -> dict[str, DataFrame]:
     top = symbols.where("parent_ord is null").select(F.col("path").alias("tp"), F.col("name").alias("tn"), F.col("node_id").alias("target"), F.col("kind").alias("tk"))
     bound = imports.where("name is not null and not is_module").select("path", F.coalesce("alias", "name").alias("as_name"), F.col("name").alias("orig"), F.col("target").alias("module_path"))
     named = bound.join(top, (F.col("module_path") == F.col("tp")) & ((F.col("orig") == F.col("tn")) | (F.col("orig") == "*"))).select("path", F.when(F.col("orig") == "*", F.col("tn")).otherwise(F.col("as_name")).alias("as_name"), "target", "tk")
+    # a name that the module itself imports is that other module's, through at most three of them
+    for _ in range(3):
+        via = bound.select(F.col("path").alias("vp"), F.col("as_name").alias("va"), F.col("orig").alias("vo"), F.col("module_path").alias("vm")).where("vo <> '*'")
+        onward = bound.join(via, (F.col("module_path") == F.col("vp")) & (F.col("orig") == F.col("va"))).select("path", "as_name", F.col("vo").alias("orig"), F.col("vm").alias("module_path"))
+        bound = bound.union(onward).distinct()
+    named = named.union(bound.where("orig <> '*'").join(top, (F.col("module_path") == F.col("tp")) & (F.col("orig") == F.col("tn"))).select("path", "as_name", "target", "tk")).distinct()
     modules = imports.where("name is null or is_module").select("path", F.coalesce("alias", "name", F.col("module")).alias("as_name"), F.col("target").alias("module_path"))
     unique = symbols.groupBy("family", "name").agg(F.count(F.lit(1)).alias("c"), F.min("node_id").alias("target")).where("c = 1")
 
@@ -126,7 +140,9 @@ def build_graph(files: DataFrame, facts: DataFrame) -> dict[str, DataFrame]:
     line = up.select(F.col("node_id").alias("an"), F.col("ancestor").alias("holder"), "depth")
     self_rows = own.where("recv <> 'super'").select("call_id", "name", F.col("owner_id").alias("holder"), F.lit(0).alias("depth"))
     base_rows = own.join(line, F.col("owner_id") == F.col("an")).select("call_id", "name", "holder", "depth")
-    members = containment(nodes).select(F.col("src").alias("m_of"), F.col("dst").alias("target")).join(symbols.select(F.col("node_id").alias("target"), F.col("name").alias("mn")), "target")
+    own_members = containment(nodes).select(F.col("src").alias("m_of"), F.col("dst").alias("target"))
+    family_members = own_members.join(families(nodes).select(F.col("impl_id").alias("m_of"), "class_id"), "m_of").select(F.col("class_id").alias("m_of"), "target")
+    members = own_members.union(family_members).distinct().join(symbols.select(F.col("node_id").alias("target"), F.col("name").alias("mn")), "target")
     member = self_rows.union(base_rows).join(members, (F.col("holder") == F.col("m_of")) & (F.col("name") == F.col("mn"))).groupBy("call_id").agg(F.min_by("target", F.struct("depth", "target")).alias("target"))
 
     received = calls.where("recv is not null")

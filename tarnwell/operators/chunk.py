@@ -6,9 +6,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
 
+from tarnwell.operators.order import numbered
 from tarnwell.session import ship
 
 LIMIT, TAIL = 750, 150
@@ -73,6 +72,4 @@ def chunk_files(files: DataFrame, facts: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNKS.split(", ")])
 
     chunks = joined.mapInPandas(run, CHUNKS)
-    before = chunks.groupBy("path").agg(F.count(F.lit(1)).alias("c")).withColumn("before", F.coalesce(F.sum("c").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    nth = F.row_number().over(W.partitionBy("path").orderBy("start"))
-    return chunks.withColumn("nth", nth).join(before.select("path", "before"), "path").select((F.col("before") + F.col("nth") - 1).cast("long").alias("chunk_id"), *[c.split()[0] for c in CHUNKS.split(", ")])
+    return numbered(chunks, ["path", "start"], "chunk_id").select("chunk_id", *[c.split()[0] for c in CHUNKS.split(", ")])

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnwell.operators.order import numbered
 from tarnwell.session import drop, durable
 
 
@@ -321,3 +322,76 @@ def group_map(nodes: DataFrame, edges: DataFrame, labels: DataFrame, top: int =
     by_path = rows.groupBy("community", "path").agg(F.count(F.lit(1)).alias("c")).withColumn("rn", F.row_number().over(W.partitionBy("community").orderBy(F.desc("c"), "path"))).where(F.col("rn") <= files)
     by_path = by_path.groupBy("community").agg(F.sort_array(F.collect_list(F.struct("rn", "path"))).alias("l")).select("community", F.col("l.path").alias("files"))
     return labels.groupBy("community").agg(F.count(F.lit(1)).alias("size")).join(lead, "community").join(by_path, "community")
+
+
+def lookup_in_file(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query, node_id) for queries 'path::name' and 'file:name': the nodes of that name or qualified name in a file whose path is
+    the part before, or ends in it at a folder's border."""
+    parts = wanted.select("query", F.regexp_extract("query", r"^(.*?)(?:::|:)([^:]+)$", 1).alias("file"), F.regexp_extract("query", r"^(.*?)(?:::|:)([^:]+)$", 2).alias("wanted")).where("file <> '' and wanted <> ''")
+    keys = nodes.select("node_id", "path", F.explode(F.array_distinct(F.array("name", "qual"))).alias("wanted"))
+    met = parts.join(keys, "wanted").where((F.col("path") == F.col("file")) | F.endswith("path", F.concat(F.lit("/"), "file")))
+    return met.select("query", "node_id").distinct()
+
+
+def clean_name(name: Column) -> Column:
+    """A type's name without generic arguments, reference and pointer marks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(name, r"<[^<>]*(?:<[^<>]*>[^<>]*)*>|\[[^\[\]]*\]", ""), r"[&*?!]|\bmut\b|\bconst\b|'[a-z_]+\s", ""))
+
+
+def self_calls(edges: DataFrame) -> DataFrame:
+    """(node_id) that call themselves, which the callers and callees leave out."""
+    return edges.where((F.col("rel") == "calls") & (F.col("src") == F.col("dst"))).select(F.col("src").alias("node_id")).distinct()
+
+
+def about(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, kind, name, container, members, callers, callees, calls_itself): one row a node, self-calls counted apart."""
+    other = edges.where("src <> dst")
+    count = lambda key, rels, name: other.where(F.col("rel").isin(*rels)).groupBy(F.col(key).alias("node_id")).agg(F.count_distinct("dst" if key == "src" else "src").alias(name))
+    held = other.where(F.col("rel").isin("contains", "method")).groupBy(F.col("dst").alias("node_id")).agg(F.min("src").alias("container"))
+    out = nodes.select("node_id", "kind", "name").join(held, "node_id", "left").join(count("src", ("contains", "method"), "members"), "node_id", "left")
+    out = out.join(count("dst", ("calls",), "callers"), "node_id", "left").join(count("src", ("calls",), "callees"), "node_id", "left").join(self_calls(edges).withColumn("s", F.lit(True)), "node_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("node_id", "kind", "name", "container", zero("members"), zero("callers"), zero("callees"), F.coalesce("s", F.lit(False)).alias("calls_itself"))
+
+
+def explain(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """(node_id, rel, direction, n, first): for the nodes ``of`` how many neighbours each relation has in each direction, and the smallest."""
+    both = edges.where("src <> dst").select(F.col("src").alias("node_id"), "rel", F.lit("out").alias("direction"), F.col("dst").alias("other"))
+    both = both.union(edges.where("src <> dst").select("dst", "rel", F.lit("in"), "src"))
+    return both.join(of.select("node_id"), "node_id", "left_semi").groupBy("node_id", "rel", "direction").agg(F.count_distinct("other").alias("n"), F.min("other").alias("first"))
+
+
+def damage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fault, rows) of what a sound graph has none of: repeated ids, edges from or to nowhere, repeated edges, null ends."""
+    ids = nodes.select("node_id")
+    fault = lambda df, name: df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("fault"), "rows")
+    whole = edges.where("src is not null and dst is not null")
+    return (
+        fault(ids.groupBy("node_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "repeated node")
+        .union(fault(whole.join(ids.select(F.col("node_id").alias("src")), "src", "left_anti"), "edge from nowhere"))
+        .union(fault(whole.join(ids.select(F.col("node_id").alias("dst")), "dst", "left_anti"), "edge to nowhere"))
+        .union(fault(edges.groupBy("src", "dst", "rel").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "repeated edge"))
+        .union(fault(edges.where("src is null or dst is null"), "edge without an end"))
+    )
+
+
+def follow_calls(hits: DataFrame, edges: DataFrame, thin: Column, k: int = 3, share: float = 0.5) -> DataFrame:
+    """(query_id, node_id, score): the hits, and for the ``thin`` ones (tests, wrappers) the first ``k`` callees at ``share`` of the
+    score; a node met several ways has its best score."""
+    calls = edges.where("rel = 'calls' and src <> dst").select(F.col("src").alias("node_id"), F.col("dst").alias("callee")).distinct()
+    led = hits.where(thin).select("query_id", "node_id", "score").join(calls, "node_id")
+    nth = F.row_number().over(W.partitionBy("query_id", "node_id").orderBy("callee"))
+    more = led.withColumn("_n", nth).where(F.col("_n") <= k).select("query_id", F.col("callee").alias("node_id"), (F.col("score") * share).alias("score"))
+    return hits.select("query_id", "node_id", "score").union(more).groupBy("query_id", "node_id").agg(F.max("score").alias("score"))
+
+
+def walk_budget(walked: DataFrame, budget: int) -> DataFrame:
+    """The rows (question, node_id, depth, degree, cost) of a walk in order of depth, degree and id while their running cost is
+    within ``budget``; seeds (depth 0) always stay, and their cost counts."""
+    run = W.partitionBy("question").orderBy("depth", "degree", "node_id").rowsBetween(W.unboundedPreceding, 0)
+    return walked.withColumn("running", F.sum("cost").over(run)).where((F.col("depth") == 0) | (F.col("running") <= budget))
+
+
+def edge_order(edges: DataFrame) -> DataFrame:
+    """Edges numbered by (src, dst, rel)."""
+    return numbered(edges, ["src", "dst", "rel"], "edge_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.operators import evaluation as E
 from tarnwell.operators import index as I
+from tarnwell.operators.order import numbered
 from tarnwell.plans.catalog import BM25_CTES, query, word_index
 from tarnwell.session import table
 
@@ -44,14 +45,9 @@ DRAWN = f"x AS (SELECT s.r, {DIGIT} % n.n AS idx FROM range(200) s(r), n, range(
 
 
 def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
-    """The graded labels numbered from 0: each task numbers its own rows after the counts of the tasks before."""
-    from pyspark.sql import Window as W
-
-    rows = table(spark, d, "labels").withColumn("bucket", F.floor(F.col("doc_id") / 4096))
-    before = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).withColumn("before", F.coalesce(F.sum("c").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    at = F.row_number().over(W.partitionBy("bucket").orderBy("doc_id")) - 1
-    out = rows.withColumn("at", at).join(before, "bucket").select((F.col("before") + F.col("at")).alias("idx"), F.col("quality").cast("double").alias("a"), F.col("toxic").cast("double").alias("b"))
-    return out, rows.count()
+    """The graded labels, numbered from 0."""
+    rows = numbered(table(spark, d, "labels"), ["doc_id"], "idx")
+    return rows.select("idx", F.col("quality").cast("double").alias("a"), F.col("toxic").cast("double").alias("b")), rows.count()
 
 
 @query(f"WITH {LABELLED}, {DRAWN} SELECT (SELECT round(avg(a), 6) FROM v) AS mean, round(quantile_cont(a, 0.025), 6) AS low, round(quantile_cont(a, 0.975), 6) AS high FROM m")

@@ -139,3 +139,75 @@ def graph_group_map(spark: SparkSession, d: str) -> DataFrame:
     e, n = edges(spark, d), nodes(spark, d)
     m = G.group_map(n, e, G.louvain(e, nodes=n))
     return m.select("community", "size", F.array_join("leaders", "; ").alias("leaders"), F.array_join("files", "; ").alias("files"))
+
+
+FILE_LOOKUPS = "('ASIA/CHINA::Supplier#000000003'), ('CHINA:Supplier#000000004'), ('JAPAN::JAPAN'), ('HINA:CHINA'), ('EUROPE/FRANCE:EUROPE.FRANCE'), ('nowhere')"
+
+
+@query(
+    f"""{WITH}, q(query) AS (VALUES {FILE_LOOKUPS}), p AS (SELECT query, regexp_extract(query, '^(.*?)(::|:)([^:]+)$', 1) AS file, regexp_extract(query, '^(.*?)(::|:)([^:]+)$', 3) AS wanted FROM q)
+SELECT DISTINCT query, node_id FROM p JOIN nodes ON (name = wanted OR qual = wanted) AND (path = file OR ends_with(path, '/' || file)) WHERE file <> ''"""
+)
+def graph_lookup_in_file(spark: SparkSession, d: str) -> DataFrame:
+    return G.lookup_in_file(nodes(spark, d), spark.sql(f"SELECT * FROM VALUES {FILE_LOOKUPS} AS v(query)"))
+
+
+SMALL = "SELECT DISTINCT l_suppkey % 50 AS src, l_partkey % 50 AS dst, 'calls' AS rel FROM lineitem"
+
+
+def _small(spark: SparkSession, d: str) -> DataFrame:
+    """Calls among fifty nodes, many of which call themselves."""
+    return table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("src"), (F.col("l_partkey") % 50).alias("dst"), F.lit("calls").alias("rel")).distinct()
+
+
+@query(f"WITH e AS ({SMALL}) SELECT DISTINCT src AS node_id FROM e WHERE src = dst")
+def graph_self_calls(spark: SparkSession, d: str) -> DataFrame:
+    return G.self_calls(_small(spark, d))
+
+
+@query(
+    f"""{WITH}, o AS (SELECT * FROM edges WHERE src <> dst) SELECT node_id, kind, name, (SELECT min(src) FROM o WHERE dst = node_id AND rel = 'contains') AS container,
+(SELECT count(DISTINCT dst) FROM o WHERE src = node_id AND rel = 'contains') AS members, (SELECT count(DISTINCT src) FROM o WHERE dst = node_id AND rel = 'calls') AS callers,
+(SELECT count(DISTINCT dst) FROM o WHERE src = node_id AND rel = 'calls') AS callees, false AS calls_itself FROM nodes"""
+)
+def graph_about(spark: SparkSession, d: str) -> DataFrame:
+    return G.about(nodes(spark, d), edges(spark, d))
+
+
+@query(
+    f"""{WITH}, b AS (SELECT src AS node_id, rel, 'out' AS direction, dst AS other FROM edges UNION ALL SELECT dst, rel, 'in', src FROM edges)
+SELECT node_id, rel, direction, count(DISTINCT other) AS n, min(other) AS first FROM b WHERE node_id IN (SELECT node_id FROM nodes WHERE kind IN ('file', 'class')) GROUP BY ALL"""
+)
+def graph_explain(spark: SparkSession, d: str) -> DataFrame:
+    """What each region and nation is tied to."""
+    return G.explain(edges(spark, d), nodes(spark, d).where("kind in ('file', 'class')"))
+
+
+@query(
+    f"""{WITH}, bad AS (SELECT * FROM edges UNION ALL SELECT CAST(o_orderkey AS BIGINT), CAST(100 AS BIGINT), 'calls' FROM orders WHERE o_orderstatus = 'P' AND o_orderkey > 200 UNION ALL SELECT src, dst, rel FROM edges WHERE rel = 'contains' UNION ALL SELECT NULL, CAST(1 AS BIGINT), 'calls'),
+w AS (SELECT * FROM bad WHERE src IS NOT NULL)
+SELECT 'repeated node' AS fault, (SELECT count(*) FROM (SELECT node_id FROM nodes GROUP BY 1 HAVING count(*) > 1)) AS rows
+UNION ALL SELECT 'edge from nowhere', (SELECT count(*) FROM w WHERE src NOT IN (SELECT node_id FROM nodes)) UNION ALL SELECT 'edge to nowhere', (SELECT count(*) FROM w WHERE dst NOT IN (SELECT node_id FROM nodes))
+UNION ALL SELECT 'repeated edge', (SELECT count(*) FROM (SELECT src, dst, rel FROM bad GROUP BY ALL HAVING count(*) > 1)) UNION ALL SELECT 'edge without an end', (SELECT count(*) FROM bad WHERE src IS NULL)"""
+)
+def graph_damage(spark: SparkSession, d: str) -> DataFrame:
+    """The faults of a graph to which broken and repeated edges were added."""
+    e = edges(spark, d)
+    lost = table(spark, d, "orders").where("o_orderstatus = 'P' and o_orderkey > 200").select(F.col("o_orderkey"), F.lit(100).cast("long"), F.lit("calls"))
+    return G.damage(nodes(spark, d), e.union(lost).union(e.where("rel = 'contains'")).union(spark.sql("SELECT CAST(NULL AS BIGINT), CAST(1 AS BIGINT), 'calls'")))
+
+
+@query(
+    f"""{WITH}, h AS (SELECT CAST(s_nationkey AS BIGINT) AS query_id, s_suppkey + 1000000000 AS node_id, round(s_acctbal, 2) AS score FROM supplier WHERE s_acctbal > 0),
+c AS (SELECT query_id, dst AS node_id, score * 0.5 AS score, row_number() OVER (PARTITION BY query_id, h.node_id ORDER BY dst) AS n FROM h JOIN edges ON src = h.node_id AND rel = 'calls' WHERE h.node_id % 2 = 0)
+SELECT query_id, node_id, max(score) AS score FROM (SELECT * FROM h UNION ALL SELECT query_id, node_id, score FROM c WHERE n <= 3) GROUP BY ALL"""
+)
+def graph_follow_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers are hits of their nation; those with even ids are thin and lead on to three of their parts."""
+    h = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").cast("long").alias("query_id"), (F.col("s_suppkey") + 10**9).alias("node_id"), F.round("s_acctbal", 2).alias("score"))
+    return G.follow_calls(h, edges(spark, d), F.col("node_id") % 2 == 0)
+
+
+@query(f"{WITH} SELECT src, dst, rel, row_number() OVER (ORDER BY src, dst, rel) - 1 AS edge_id FROM edges")
+def graph_edge_order(spark: SparkSession, d: str) -> DataFrame:
+    return G.edge_order(edges(spark, d)).select("src", "dst", "rel", "edge_id")

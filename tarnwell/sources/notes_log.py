@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.operators.memory import last_state
+from tarnwell.operators.order import numbered
 
 NOTE = (
     "id string, kind string, text string, context string, tags array<string>, entities array<string>, anchors array<struct<path: string, qual: string, hash: bigint, repo: string>>, "
@@ -56,7 +57,5 @@ def append(notes: DataFrame, path: str, deleted: bool = False) -> None:
 
 
 def next_ids(new: DataFrame, order: list[str], last: int) -> DataFrame:
-    """New notes with ids that follow ``last``; they are never reused. One call's notes are few: they are numbered in one task."""
-    from pyspark.sql import Window as W
-
-    return new.withColumn("id", F.format_string("n%06d", F.row_number().over(W.orderBy(*order)) + F.lit(last)))
+    """New notes with ids that follow ``last``; they are never reused."""
+    return numbered(new, order, "_id", last + 1).withColumn("id", F.format_string("n%06d", F.col("_id"))).drop("_id")
