@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -77,3 +78,35 @@ def coordinate_search(space: dict[str, list], start: dict, score, gain: float =
         if not changed:
             break
     return at, best
+
+
+def grade(answers: DataFrame, key: list[str], fields: dict[str, Column]) -> DataFrame:
+    """(key..., grade): the share of an answer's fields that are right; a null check is wrong."""
+    right = sum((F.when(F.coalesce(c, F.lit(False)), 1.0).otherwise(0.0) for c in fields.values()), F.lit(0.0))
+    return answers.select(*key, (right / len(fields)).alias("grade"))
+
+
+def seeded_sample(challenges: DataFrame, by: list[str], id_col: str, most: int = 400, seed: str = "sample") -> DataFrame:
+    """At most ``most`` challenges of each ``by``, those of the smallest md5 of seed and id: a sampling operator."""
+    order = W.partitionBy(*by).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"))), id_col)
+    return challenges.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+
+
+def hit_credit(hits: DataFrame, answers: DataFrame) -> DataFrame:
+    """(query_id, rank): the first hit (query_id, path, start, end, rank) whose lines meet the answer's (query_id, path, start, end);
+    0 for a miss. Ranks are counted as given; callers leave out tests before they rank."""
+    a = answers.select("query_id", "path", F.col("start").alias("s"), F.col("end").alias("e"))
+    met = hits.join(a, ["query_id", "path"]).where("start <= e and end >= s").groupBy("query_id").agg(F.min("rank").alias("rank"))
+    return answers.select("query_id").distinct().join(met, "query_id", "left").select("query_id", F.coalesce("rank", F.lit(0)).cast("int").alias("rank"))
+
+
+def session_summary(sessions: DataFrame, method: str, arms: list[str], value: str, base: str, key: str) -> DataFrame:
+    """One row for each ``key``: the mean of ``value`` in each arm, and what each arm saves against ``base``."""
+    out = sessions.groupBy(key).pivot(method, arms).agg(F.avg(value))
+    return out.select(key, *[F.round(a, 4).alias(f"mean_{a}") for a in arms], *[F.round(1 - F.col(a) / F.nullif(F.col(base), F.lit(0.0)), 4).alias(f"saved_{a}") for a in arms if a != base])
+
+
+def imputed(cells: DataFrame, value: str) -> DataFrame:
+    """A cell without a ``value`` takes the mean of all cells that have one."""
+    mean = cells.agg(F.avg(value).alias("_mean"))
+    return cells.join(F.broadcast(mean)).withColumn(value, F.coalesce(value, "_mean")).drop("_mean")

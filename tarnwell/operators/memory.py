@@ -187,3 +187,159 @@ def tag_key(tags: Column) -> Column:
 def merge_entities(names: DataFrame) -> DataFrame:
     """(key, entity): the first spelling of each folded key; rows (name, at)."""
     return names.groupBy(fold_entity(F.col("name")).alias("key")).agg(F.min(F.struct("at", "name")).alias("b")).select("key", F.col("b.name").alias("entity"))
+
+
+# -- links of meaning, duplicates, quotas ---------------------------------------------------------------------------
+
+
+def similar_pairs(vectors: DataFrame, least: float = 0.6, k: int = 50, id_col: str = "vec_id", vec: str = "embedding", block: int = 2048) -> DataFrame:
+    """(a, b, score): for each vector its ``k`` others of largest dot product, of ``least`` or more; the smaller id of equals.
+
+    An exact join of all with all, in blocks: each pair of blocks is one group and a matrix product in double precision; a group
+    holds at most about twice ``block`` rows and hands on a row's best ``k`` of the group only.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from tarnwell.session import ship
+
+    n = max(1, -(-vectors.count() // block))
+    rows = vectors.where(F.col(vec).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("own"))
+    left = rows.select(F.col("own").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("c"), F.lit(0).alias("side"), "id", "v")
+    right = rows.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("r"), F.col("own").alias("c"), F.lit(1).alias("side"), "id", "v")
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        side, ids, flat = t.column("side").to_numpy(), t.column("id").to_numpy(), t.column("v").combine_chunks()
+        sizes, out = np.diff(flat.offsets.to_numpy()), []
+        for dim in np.unique(sizes[sizes > 0]).tolist():
+            at = np.flatnonzero(sizes == dim)
+            x = np.stack([flat[i].values.to_numpy(zero_copy_only=False) for i in at.tolist()])
+            a, b, ia, ib = x[side[at] == 0], x[side[at] == 1], ids[at][side[at] == 0], ids[at][side[at] == 1]
+            if not len(a) or not len(b):
+                continue
+            s = np.round(a @ b.T, 6)
+            s[ia[:, None] == ib[None, :]] = -np.inf
+            order = np.lexsort((np.broadcast_to(ib, s.shape), -s), axis=1)[:, :k]
+            best = np.take_along_axis(s, order, 1)
+            i, j = np.nonzero(best >= least)
+            out.append((ia[i], ib[order[i, j]], best[i, j]))
+        got = [np.concatenate(z) for z in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pa.table({"a": pa.array(got[0], pa.int64()), "b": pa.array(got[1], pa.int64()), "score": pa.array(got[2], pa.float64())})
+
+    ship(vectors.sparkSession)
+    near = left.union(right).groupBy("r", "c").applyInArrow(run, "a long, b long, score double")
+    return near.withColumn("_n", F.row_number().over(W.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("_n") <= k).drop("_n")
+
+
+def near_duplicate_notes(pairs: DataFrame, notes: DataFrame, least: float = 0.95) -> DataFrame:
+    """(a, b, score) of the pairs a < b of one kind whose entities overlap, or of which neither has any; notes: (id, kind, entities)."""
+    n = lambda x: notes.select(F.col("id").alias(x), F.col("kind").alias(f"k{x}"), F.coalesce("entities", F.array().cast("array<string>")).alias(f"e{x}"))
+    met = pairs.where((F.col("a") < F.col("b")) & (F.col("score") >= least)).join(n("a"), "a").join(n("b"), "b").where("ka = kb")
+    return met.where(F.arrays_overlap("ea", "eb") | ((F.size("ea") == 0) & (F.size("eb") == 0))).select("a", "b", "score")
+
+
+def newest(notes: DataFrame, by: list[str], k: int, at: str = "at", id_col: str = "id") -> DataFrame:
+    """The ``k`` newest notes of each ``by``, the larger id of equal times first."""
+    order = W.partitionBy(*by).orderBy(F.desc(at), F.desc(id_col))
+    return notes.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+
+
+def bank_stats(notes: DataFrame, entities: str = "entities") -> DataFrame:
+    """(kind, notes, entities, bytes, first_at, last_at) by kind and, under a null kind, over all; notes: (kind, text, at, entity array)."""
+    flat = notes.select("kind", "at", F.octet_length("text").alias("bytes"), F.col(entities).alias("e"))
+    sums = flat.groupingSets([[F.col("kind")], []], F.col("kind")).agg(F.count(F.lit(1)).alias("notes"), F.sum("bytes").alias("bytes"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    ents = flat.select("kind", F.explode("e").alias("x")).distinct()
+    ents = ents.groupingSets([[F.col("kind")], []], F.col("kind")).agg(F.count_distinct("x").alias("entities")).withColumnRenamed("kind", "k_")
+    return sums.join(ents, F.col("kind").eqNullSafe(F.col("k_")), "left").select("kind", "notes", F.coalesce("entities", F.lit(0)).alias("entities"), "bytes", "first_at", "last_at")
+
+
+def query_window(since: Column, until: Column, span_start: Column, span_end: Column, now: Column, days: int = 30) -> Column:
+    """(start_at, end_at) a recall is about: since and until (30 days up to until, or until now, where one is missing), else the
+    span of a date phrase, else null."""
+    end = F.coalesce(until, now)
+    start = F.coalesce(since, end - days * DAY)
+    asked = F.struct(F.least(start, end).alias("start_at"), F.greatest(start, end).alias("end_at"))
+    found = F.struct(span_start.alias("start_at"), span_end.alias("end_at"))
+    return F.when(since.isNotNull() | until.isNotNull(), asked).when(span_start.isNotNull(), found)
+
+
+def is_confirmed(proofs: Column, tags: Column) -> Column:
+    """Seen three times or more, or filed by two roles ('from:...') or more."""
+    return (proofs >= 3) | (F.size(F.array_distinct(F.transform(F.filter(tags, lambda t: F.startswith(t, F.lit("from:"))), F.lower))) >= 2)
+
+
+def is_filed(tags: Column, task: Column) -> Column:
+    return F.exists(tags, lambda t: F.lower(t) == F.concat(F.lit("task:"), F.lower(task)))
+
+
+def same_members(a: Column, b: Column) -> Column:
+    """The same members in any order, as often."""
+    return F.sort_array(a) == F.sort_array(b)
+
+
+def obsolete(existing: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """The existing observations that are not expected any more."""
+    return existing.join(expected.select(*keys).distinct(), keys, "left_anti")
+
+
+def relevant(recalled: DataFrame, question_words: DataFrame, note_words: DataFrame) -> DataFrame:
+    """The recalled notes (query_id, note_id, ...) that share a telling word with their question: rows (query_id, word) and (note_id, word)."""
+    shared = recalled.select("query_id", "note_id").distinct().join(question_words, "query_id").join(note_words, ["note_id", "word"], "left_semi").select("query_id", "note_id").distinct()
+    return recalled.join(shared, ["query_id", "note_id"], "left_semi")
+
+
+BUDGETS = {"low": 100, "mid": 300, "high": 1000}  # candidates of a strategy
+
+
+def wider(budget: str) -> str:
+    """One step more, as reflection takes."""
+    return {"low": "mid", "mid": "high", "high": "high"}[budget]
+
+
+def budget_floor(tokens: int, least: int = 120) -> int:
+    return max(tokens, least)
+
+
+def quota(first: list[tuple[int, int]], others: list[tuple[int, int]], limit: int, tokens: int) -> list[int]:
+    """Ids of (id, cost) rows, each list best first: those of ``first`` up to half the limit and half the tokens, then the others
+    that fit, then what is left of ``first`` and fits. A row that does not fit is passed over. The kept of ``first`` stand in front."""
+    used, front, later, back = 0, [], [], []
+    for i, (key, cost) in enumerate(first):
+        if len(front) < limit // 2 and used + cost <= tokens // 2:
+            used += cost
+            front.append((i, key))
+        else:
+            later.append((i, key, cost))
+    for key, cost in others:
+        if len(front) + len(back) < limit and used + cost <= tokens:
+            used += cost
+            back.append(key)
+    for i, key, cost in later:
+        if len(front) + len(back) < limit and used + cost <= tokens:
+            used += cost
+            front.append((i, key))
+    return [key for _, key in sorted(front)] + back
+
+
+def directive_quota(ranked: DataFrame, limit: int = 8, tokens: int = 400, most: int = 1000) -> DataFrame:
+    """(query_id, note_id, place): what a recall shows of candidates (query_id, note_id, score, directive, cost), by :func:`quota`.
+
+    ``most`` is the recall's own bound of candidates for each query (the largest budget of all strategies), so a query's list is
+    bounded; it is cut by a window limit before it is gathered.
+    """
+    import pandas as pd
+
+    from tarnwell.session import ship
+
+    best = W.partitionBy("query_id", "directive").orderBy(F.desc("score"), "note_id")
+    top = ranked.select("query_id", "note_id", "score", "directive", F.col("cost").cast("long").alias("cost")).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["_n"])
+        parts = [list(zip(g["note_id"].tolist(), g["cost"].tolist(), strict=True)) for g in (f[f["directive"]], f[~f["directive"]])]
+        kept = quota(parts[0], parts[1], limit, tokens)
+        return pd.DataFrame({"query_id": [f["query_id"].iloc[0]] * len(kept), "note_id": kept, "place": range(1, len(kept) + 1)})
+
+    ship(ranked.sparkSession)
+    kinds = dict(top.dtypes)
+    return top.groupBy("query_id").applyInPandas(run, f"query_id {kinds['query_id']}, note_id {kinds['note_id']}, place int")

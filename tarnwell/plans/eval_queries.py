@@ -74,9 +74,11 @@ def set_f1(spark: SparkSession, d: str) -> DataFrame:
     return g.join(t, "o_custkey").select("o_custkey", F.round(E.set_f1(F.col("g"), F.col("t")), 6).alias("f1"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name IN (SELECT p_name FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) = 1)")
+@query("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE (o_custkey, o_orderpriority) IN (SELECT (o_custkey, o_orderpriority) FROM orders GROUP BY ALL HAVING count(DISTINCT o_orderstatus) = 1)")
 def ambiguity_drop(spark: SparkSession, d: str) -> DataFrame:
-    return E.unambiguous(table(spark, d, "part"), "p_name", "p_brand").select("p_partkey", "p_name")
+    """A customer and a priority are a question, the status is its answer."""
+    asked = table(spark, d, "orders").withColumn("question", F.struct("o_custkey", "o_orderpriority"))
+    return E.unambiguous(asked, "question", "o_orderstatus").select("o_orderkey", "o_custkey", "o_orderpriority")
 
 
 @query("SELECT CASE WHEN CAST('0x' || right(sha256(CAST(item_id AS VARCHAR)), 1) AS BIGINT) % 2 = 0 THEN 'tune' ELSE 'held' END AS half, count(*) AS n FROM benchmark GROUP BY 1")
@@ -87,3 +89,49 @@ def eval_split_halves(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, event_type, count(*) AS agents, round(sum(value), 4) AS value FROM events GROUP BY ALL")
 def eval_cells(spark: SparkSession, d: str) -> DataFrame:
     return E.rollup_cells(table(spark, d, "events"), ["user_id", "event_type"], ["value"]).withColumn("value", F.round("value", 4))
+
+
+@query(
+    """SELECT d.doc_id, ((CASE WHEN quality = 1 THEN 1 ELSE 0 END) + (CASE WHEN toxic = 0 THEN 1 ELSE 0 END) + (CASE WHEN d.lang = 'en' THEN 1 ELSE 0 END) + (CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END)) / 4.0::DOUBLE AS grade FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
+)
+def eval_grade(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as answers with four fields; those without a label have two of them wrong."""
+    a = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    return E.grade(a, ["doc_id"], {"quality": F.col("quality") == 1, "toxic": F.col("toxic") == 0, "lang": F.col("lang") == "en", "size": F.col("n_chars") > 1000})
+
+
+@query("SELECT lang, source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY md5('sample:' || doc_id), doc_id) <= 4")
+def eval_seeded_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Four documents of each language and source: the limit is the operator."""
+    return E.seeded_sample(table(spark, d, "documents").select("lang", "source", "doc_id"), ["lang", "source"], "doc_id", 4)
+
+
+@query(
+    """WITH h AS (SELECT o_custkey AS query_id, o_orderpriority AS path, o_orderkey % 100 AS s, o_orderkey % 100 + 5 AS e, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),
+a AS (SELECT o_custkey AS query_id, max(o_orderpriority) AS path, 40 AS s, 60 AS e FROM orders GROUP BY 1),
+m AS (SELECT query_id, min(rank) AS rank FROM h JOIN a USING (query_id, path) WHERE h.s <= a.e AND h.e >= a.s GROUP BY 1)
+SELECT query_id, CAST(coalesce(rank, 0) AS INTEGER) AS rank FROM a LEFT JOIN m USING (query_id)"""
+)
+def eval_hit_credit(spark: SparkSession, d: str) -> DataFrame:
+    """A customer's orders as hits with six lines each, the answer at lines 40 to 60 of one file."""
+    from pyspark.sql import Window as W
+
+    o, line = table(spark, d, "orders"), F.col("o_orderkey") % 100
+    hits = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderpriority").alias("path"), line.alias("start"), (line + 5).alias("end"), F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rank"))
+    answers = o.groupBy(F.col("o_custkey").alias("query_id")).agg(F.max("o_orderpriority").alias("path")).select("query_id", "path", F.lit(40).alias("start"), F.lit(60).alias("end"))
+    return E.hit_credit(hits, answers)
+
+
+@query(
+    """WITH m AS (SELECT o_orderpriority AS question, avg(o_totalprice) FILTER (o_orderstatus = 'O') AS o, avg(o_totalprice) FILTER (o_orderstatus = 'F') AS f, avg(o_totalprice) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1)
+SELECT question, round(o, 4) AS "mean_O", round(f, 4) AS "mean_F", round(p, 4) AS "mean_P", round(1 - f / o, 4) AS "saved_F", round(1 - p / o, 4) AS "saved_P" FROM m"""
+)
+def eval_session_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Mean price by priority in three arms, and what two of them save against the first."""
+    return E.session_summary(table(spark, d, "orders").withColumnRenamed("o_orderpriority", "question"), "o_orderstatus", ["O", "F", "P"], "o_totalprice", "O", "question")
+
+
+@query("WITH c AS (SELECT l_suppkey, sum(l_quantity) FILTER (l_returnflag = 'A') AS plan FROM lineitem WHERE l_linenumber = 7 GROUP BY 1) SELECT l_suppkey, round(coalesce(plan, (SELECT avg(plan) FROM c)), 4) AS plan FROM c")
+def eval_imputed_plan(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "lineitem").where("l_linenumber = 7").groupBy("l_suppkey").agg(F.sum(F.when(F.col("l_returnflag") == "A", F.col("l_quantity"))).alias("plan"))
+    return E.imputed(c, "plan").withColumn("plan", F.round("plan", 4))

@@ -99,18 +99,29 @@ def recall_words(spark: SparkSession, d: str) -> DataFrame:
     return _words(spark, d).select("query_id", "note_id", "score")
 
 
+LINKS = """links AS (SELECT o_orderkey AS a, o_orderkey + 1 AS b, CASE WHEN o_orderkey % 3 = 0 THEN 'causal' WHEN o_orderkey % 3 = 1 THEN 'semantic' ELSE 'temporal' END AS kind, round(0.5 + (o_orderkey % 7) / 20.0::DOUBLE, 2) AS w FROM orders),
+supp AS (SELECT DISTINCT l_orderkey AS note, l_suppkey AS e FROM lineitem),
+seeds AS (SELECT o_orderkey AS note FROM orders WHERE o_orderkey % 50 = 0)"""
+
+
 @query(
-    """WITH e AS (SELECT event_id, user_id, event_type, epoch(date_trunc('second', ts))::BIGINT AS at FROM events),
-s AS (SELECT event_id AS note_id, user_id, event_type FROM e WHERE event_type = 'purchase'),
-l AS (SELECT a.note_id, b.event_id AS other FROM s a JOIN e b ON a.user_id = b.user_id AND b.event_id <> a.note_id)
-SELECT other AS note_id, round(tanh(0.5) , 6) AS score FROM l GROUP BY other"""
+    f"""WITH {LINKS}, sh AS (SELECT x.note AS seed, y.note AS other, count(*) AS n FROM seeds s JOIN supp x ON x.note = s.note JOIN supp y ON y.e = x.e AND y.note <> x.note GROUP BY ALL),
+mx AS (SELECT other, max(n) AS n FROM sh GROUP BY 1),
+l2 AS (SELECT a, b, kind, w FROM links UNION ALL SELECT b, a, kind, w FROM links),
+lk AS (SELECT b AS other, max(w) FILTER (kind = 'semantic') AS s, max(w) FILTER (kind = 'causal') AS c FROM l2 JOIN seeds ON note = a GROUP BY 1)
+SELECT coalesce(mx.other, lk.other) AS note_id, round(tanh(0.5::DOUBLE * coalesce(n, 0)) + coalesce(s, 0) + coalesce(c, 0), 6) AS score FROM mx FULL JOIN lk ON mx.other = lk.other"""
 )
 def recall_links(spark: SparkSession, d: str) -> DataFrame:
-    """From every purchase over the shared user: tanh(shared / 2), nothing semantic or causal. Users' notes are joined by user, once each way."""
-    n = notes(spark, d)
-    seeds = n.where("kind = 'purchase'").groupBy("entity").agg(F.count(F.lit(1)).alias("seeds"), F.min("id").alias("one"))
-    reached = n.join(seeds, "entity").where((F.col("seeds") > 1) | (F.col("id") != F.col("one")))
-    return reached.select(F.col("id").alias("note_id"), F.round(F.tanh(F.lit(0.5)), 6).alias("score"))
+    """Orders as notes, their suppliers as entities, every order tied to the next: what the seeds (every fiftieth) reach."""
+    o = F.col("o_orderkey")
+    orders = table(spark, d, "orders")
+    links = orders.select(o.alias("a"), (o + 1).alias("b"), F.when(o % 3 == 0, "causal").when(o % 3 == 1, "semantic").otherwise("temporal").alias("kind"), F.round(0.5 + (o % 7) / 20.0, 2).alias("w"))
+    has = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("note"), F.col("l_suppkey").alias("e")).distinct()
+    seeds = orders.where(o % 50 == 0).select(o.alias("note_id"))
+    seeded = has.join(seeds, F.col("note") == F.col("note_id"), "left_semi").select(F.col("note").alias("a"), "e")
+    shared = seeded.join(has.select(F.col("note").alias("b"), "e"), "e").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    one_way = shared.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).select(F.col("lo").alias("a"), F.col("hi").alias("b"), "n").distinct()
+    return M.link_scores(links, one_way, seeds).select("note_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -180,15 +191,95 @@ def budget_skip(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT user_id, event_id, event_type = 'purchase' AS first, row_number() OVER (PARTITION BY user_id, event_type = 'purchase' ORDER BY ts DESC, event_id) AS k FROM events)
-SELECT user_id, event_id FROM r WHERE (first AND k <= 4) OR (NOT first AND k <= 4)"""
+    """WITH r AS (SELECT user_id, event_id, event_type = 'purchase' AS dir, row_number() OVER (PARTITION BY user_id, event_type = 'purchase' ORDER BY round(value, 2) DESC, event_id) AS k FROM events),
+n AS (SELECT user_id, count(*) FILTER (dir) AS nd, count(*) FILTER (NOT dir) AS no FROM r GROUP BY 1)
+SELECT r.user_id, event_id FROM r JOIN n USING (user_id) WHERE (dir AND k <= greatest(4, 8 - least(no, 8 - least(nd, 4)))) OR (NOT dir AND k <= 8 - least(nd, 4))"""
 )
 def layer_quota(spark: SparkSession, d: str) -> DataFrame:
-    """Directives (purchases) have at most half of eight places, all others the other half."""
-    from pyspark.sql import Window as W
+    """Eight places a user: directives (purchases) have at most half of them while others wait, and fill what these leave. Every
+    note costs one of 400 tokens here, so that SQL can say the same; the token halves are tested by brute force."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("note_id"), F.round("value", 2).alias("score"), (F.col("event_type") == "purchase").alias("directive"), F.lit(1).alias("cost"))
+    return M.directive_quota(e, 8, 400).select(F.col("query_id").alias("user_id"), F.col("note_id").alias("event_id"))
+
+
+@query()
+def recall_quota(spark: SparkSession, d: str) -> DataFrame:
+    """The same with what notes really cost."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("note_id"), F.round("value", 2).alias("score"), (F.col("event_type") == "purchase").alias("directive"), T.token_cost(F.col("props")).alias("cost"))
+    return M.directive_quota(e, 8, 120)
+
+
+DOT = "round(list_inner_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6)"
+
+
+@query(f"WITH s AS (SELECT x.vec_id AS a, y.vec_id AS b, {DOT} AS score FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE {DOT} >= 0.3) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 50")
+def sim_self_join(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector against all others; no pair of these tables reaches the usual 0.60, so the floor is 0.3 here."""
+    return M.similar_pairs(table(spark, d, "embeddings"), 0.3, 50)
+
+
+@query(f"WITH e AS (SELECT *, label % 2 AS kind, CASE WHEN vec_id % 5 = 0 THEN [] ELSE [vec_id % 3, 10 + vec_id % 4] END AS ents FROM embeddings) SELECT x.vec_id AS a, y.vec_id AS b, {DOT} AS score FROM e x JOIN e y ON x.vec_id < y.vec_id AND x.kind = y.kind WHERE {DOT} >= 0.35 AND (list_has_any(x.ents, y.ents) OR (len(x.ents) = 0 AND len(y.ents) = 0))")
+def near_duplicates_text(spark: SparkSession, d: str) -> DataFrame:
+    """Notes of one kind with a shared entity (or none on either side) that mean nearly the same; a floor of 0.35 for these tables."""
+    e, i = table(spark, d, "embeddings"), F.col("vec_id")
+    notes_ = e.select(i.alias("id"), (F.col("label") % 2).alias("kind"), F.when(i % 5 == 0, F.array().cast("array<string>")).otherwise(F.array((i % 3).cast("string"), (10 + i % 4).cast("string"))).alias("entities"))
+    return M.near_duplicate_notes(M.similar_pairs(e, 0.35, 10_000), notes_, 0.35)
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts)) DESC, event_id DESC) <= 5")
+def notes_newest(spark: SparkSession, d: str) -> DataFrame:
+    return M.newest(notes(spark, d), ["entity"], 5).select(F.col("entity").alias("user_id"), F.col("id").alias("event_id"))
+
+
+@query("SELECT event_type AS kind, count(*) AS notes, count(DISTINCT user_id) AS entities, CAST(sum(octet_length(encode(props))) AS BIGINT) AS bytes, min(epoch(date_trunc('second', ts))::BIGINT) AS first_at, max(epoch(date_trunc('second', ts))::BIGINT) AS last_at FROM events GROUP BY GROUPING SETS ((event_type), ())")
+def memory_stats(spark: SparkSession, d: str) -> DataFrame:
+    return M.bank_stats(notes(spark, d).select("kind", "text", "at", F.array("entity").alias("entities")))
+
 
-    e = table(spark, d, "events").withColumn("first", F.col("event_type") == "purchase")
-    return e.withColumn("k", F.row_number().over(W.partitionBy("user_id", "first").orderBy(F.desc("ts"), "event_id"))).where("k <= 4").select("user_id", "event_id")
+@query(
+    """WITH e AS (SELECT event_id, CASE WHEN event_id % 4 IN (0, 1) THEN epoch(date_trunc('second', ts))::BIGINT END AS since, CASE WHEN event_id % 4 IN (1, 2) THEN 1706000000 END AS until FROM events)
+SELECT event_id, CASE WHEN since IS NULL AND until IS NULL THEN NULL ELSE least(coalesce(since, coalesce(until, 1706745600) - 2592000), coalesce(until, 1706745600)) END AS start_at,
+CASE WHEN since IS NULL AND until IS NULL THEN NULL ELSE greatest(coalesce(since, coalesce(until, 1706745600) - 2592000), coalesce(until, 1706745600)) END AS end_at FROM e"""
+)
+def recall_windows(spark: SparkSession, d: str) -> DataFrame:
+    n, none = notes(spark, d), F.lit(None).cast("long")
+    i = F.col("id")
+    window = M.query_window(F.when(i % 4 < 2, F.col("at")), F.when((i % 4).isin(1, 2), F.lit(1_706_000_000).cast("long")), none, none, F.lit(NOW).cast("long"))
+    return n.select(i.alias("event_id"), window.alias("w")).select("event_id", "w.start_at", "w.end_at")
+
+
+@query(
+    """SELECT o_orderkey, o_orderkey % 5 >= 3 OR o_orderkey % 4 >= 2 AS confirmed, o_orderkey % 3 = 0 AS filed, array_to_string(list_sort(list_distinct(CASE o_orderkey % 4 WHEN 0 THEN ['task:' || o_orderkey % 3] WHEN 1 THEN ['task:' || o_orderkey % 3, 'from:a'] WHEN 2 THEN ['task:' || o_orderkey % 3, 'from:a', 'from:b'] ELSE ['task:' || o_orderkey % 3, 'from:a', 'from:b', 'from:c'] END)), ',') AS key FROM orders"""
+)
+def note_predicates(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as notes: seen up to four times, filed for one of three tasks by up to three roles, in any case."""
+    o = F.col("o_orderkey")
+    tags = F.concat(F.array(F.concat(F.lit("TASK:"), (o % 3).cast("string"))), F.slice(F.array(F.lit("from:A"), F.lit("from:b"), F.lit("from:C")), 1, (o % 4).cast("int")), F.slice(F.array(F.lit("from:a")), 1, F.least(o % 4, F.lit(1)).cast("int")))
+    return table(spark, d, "orders").select(o, M.is_confirmed(o % 5, tags).alias("confirmed"), M.is_filed(tags, F.lit("0")).alias("filed"), M.tag_key(tags).alias("key"))
+
+
+@query(
+    """WITH a AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) >= 3), b AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY ALL HAVING count(*) >= 3)
+SELECT user_id AS entity, event_type AS tag_key, n FROM b EXCEPT SELECT user_id, event_type, n FROM a"""
+)
+def observations_obsolete(spark: SparkSession, d: str) -> DataFrame:
+    """Observations over the notes of the first days that do not hold over all notes."""
+    rows = notes(spark, d).select(F.col("id").alias("note_id"), "entity", F.col("kind").alias("tag_key"), "at", "text", "mentioned_at")
+    made = lambda r: M.observations(r).select(F.explode("entities").alias("entity"), "tag_key", "n")
+    return M.obsolete(made(rows.where("mentioned_at < timestamp_ntz'2024-01-20 00:00:00'")), made(rows), ["entity", "tag_key", "n"])
+
+
+@query(
+    f"""WITH{BM25_CTES}, t AS (SELECT item_id AS query_id, term FROM qpost JOIN idf USING (term), st WHERE length(term) >= 5 AND df * 20 <= n)
+SELECT query_id, doc_id AS note_id, score FROM bmr b WHERE rank <= 10 AND EXISTS (SELECT 1 FROM t JOIN post p ON p.term = t.term WHERE t.query_id = b.query_id AND p.doc_id = b.doc_id)"""
+)
+def companion_notes(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best notes of each question that share a telling word with it: five letters or more, in at most a twentieth of all notes."""
+    index = word_index(spark, d)
+    q = I.query_terms(table(spark, d, "benchmark"), "item_id", "text").join(index.words.where((F.length("term") >= 5) & (F.col("df") * 20 <= index.n)), "term", "left_semi")
+    top = _words(spark, d).where("rank <= 10").select("query_id", "note_id", "score")
+    words = index.post.select(F.col("doc_id").alias("note_id"), F.col("term").alias("word"))
+    return M.relevant(top, q.select("query_id", F.col("term").alias("word")), words)
 
 
 @query(
