@@ -41,7 +41,7 @@ def eval_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
 
 DIGIT = "CAST('0x' || substr(md5('boot:' || s.r || ':' || i.i), 1, 8) AS BIGINT)"
 LABELLED = "v AS (SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS idx, CAST(quality AS DOUBLE) AS a, CAST(toxic AS DOUBLE) AS b FROM labels), n AS (SELECT count(*) AS n FROM v)"
-DRAWN = f"x AS (SELECT s.r, {DIGIT} % n.n AS idx FROM range(200) s(r), n, range(n.n) i(i)), m AS (SELECT r, avg(a) AS a, avg(b) AS b FROM x JOIN v USING (idx) GROUP BY r)"
+DRAWN = f"x AS (SELECT s.r, {DIGIT} % n.n AS idx FROM range(2000) s(r), n, range(n.n) i(i)), m AS (SELECT r, avg(a) AS a, avg(b) AS b FROM x JOIN v USING (idx) GROUP BY r)"
 
 
 def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
@@ -53,13 +53,13 @@ def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
 @query(f"WITH {LABELLED}, {DRAWN} SELECT (SELECT round(avg(a), 6) FROM v) AS mean, round(quantile_cont(a, 0.025), 6) AS low, round(quantile_cont(a, 0.975), 6) AS high FROM m")
 def eval_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     v, n = _labelled(spark, d)
-    return E.bootstrap_ci(v.select("idx", F.col("a").alias("value")), n, 200)
+    return E.bootstrap_ci(v.select("idx", F.col("a").alias("value")), n, 2000)
 
 
 @query(f"WITH {LABELLED}, {DRAWN}, q AS (SELECT round(quantile_cont(a - b, 0.025), 6) AS low, round(quantile_cont(a - b, 0.975), 6) AS high FROM m) SELECT (SELECT round(avg(a) - avg(b), 6) FROM v) AS diff, low, high, low > 0 OR high < 0 AS excludes_zero FROM q")
 def eval_paired_diff(spark: SparkSession, d: str) -> DataFrame:
     v, n = _labelled(spark, d)
-    return E.paired_difference(v, n, 200)
+    return E.paired_difference(v, n, 2000)
 
 
 @query(

@@ -174,3 +174,58 @@ def test_temporal_neighbours_brute_force(spark):
         for i, t, w in rows:
             near = sorted((abs(t - u), j) for j, u, v in rows if j != i and abs(t - u) < 86_400 and (by is None or v == w))[:5]
             assert got.get(i, set()) == {(j, g) for g, j in near}, (i, by)
+
+
+def test_search_lifts(spark, tmp_path):
+    """A symbol's definition comes first, also one that no retriever found in a file of its name; tests and repeats of a file sink."""
+    from tarnwell.operators import find as S
+    from tarnwell.operators import index as I
+
+    rows = [(1, "src/parser.py", "Parser.run", "run the Parser over text"), (2, "src/other.py", "", "Parser Parser Parser parser words here"), (3, "src/parsers.py", "Parser", "nothing that matches"), (4, "tests/test_parser.py", "test_run", "Parser Parser run"), (5, "src/other.py", "helper", "the parser helper reads text"), (6, "src/text.py", "read", "reads text and words")]
+    docs = spark.createDataFrame([(i, t) for i, _, _, t in rows], "doc_id long, text string")
+    I.build(docs, str(tmp_path / "ix"))
+    chunks = spark.createDataFrame([(i, p, s, "definition" if s else "module", i * 10, i * 10 + 5) for i, p, s, _ in rows], "chunk_id long, path string, symbol string, kind string, def_start int, def_end int")
+    q = spark.createDataFrame([(1, "Parser.run"), (2, "who reads the text"), (3, "how does the myParser helper work")], "query_id long, text string")
+    got = {}
+    for r in S.find(I.opened(spark, str(tmp_path / "ix")), q, chunks, mode="words").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    assert got[1][0] == 1 and got[2][0] == 6 and got[1][-1] == 4
+    one = spark.createDataFrame([(1, "Parser")], "query_id long, text string")
+    found = [r.chunk_id for r in S.find(I.opened(spark, str(tmp_path / "ix")), one.withColumn("text", one.text), chunks, mode="words").orderBy("rank").collect()]
+    assert 2 in found
+    two = spark.createDataFrame([(1, "app::Parser")], "query_id long, text string")
+    assert [r.chunk_id for r in S.find(I.opened(spark, str(tmp_path / "ix")), two, chunks, mode="words").orderBy("rank").collect()][0] == 3
+    for bad in ("name=1", "k=x", "k=-1", "k=1,k=2", "refine=99"):
+        with pytest.raises(ValueError):
+            S.Tuning.parse(bad)
+    with pytest.raises(ValueError):
+        S.find(None, q, chunks, mode="other")
+
+
+def test_quota_brute_force(spark):
+    """Every choice that the rule allows, row by row."""
+    import random
+
+    from tarnwell.operators import memory as M
+
+    rng, rows = random.Random(5), []
+    for q in range(40):
+        for n in range(rng.randint(0, 14)):
+            rows.append((q, q * 100 + n, float(rng.randrange(8)), rng.random() < 0.4, rng.choice([5, 20, 60, 150])))
+    got = {}
+    for r in M.directive_quota(spark.createDataFrame(rows, "query_id long, note_id long, score double, directive boolean, cost int"), 6, 200).collect():
+        got.setdefault(r.query_id, []).append((r.place, r.note_id))
+    for q in range(40):
+        mine = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))
+        kept, used = [], 0
+        for r in (r for r in mine if r[3]):
+            if len(kept) < 3 and used + r[4] <= 100:
+                kept.append(r)
+                used += r[4]
+        waiting = [r for r in mine if r[3] and r not in kept]
+        for r in [r for r in mine if not r[3]] + waiting:
+            if len(kept) < 6 and used + r[4] <= 200:
+                kept.append(r)
+                used += r[4]
+        want = [r[1] for r in mine if r in kept and r[3]] + [r[1] for r in mine if r in kept and not r[3]]
+        assert [n for _, n in sorted(got.get(q, []))] == want
