@@ -241,8 +241,3 @@ def valid_name(name: Column) -> Column:
     """Names of banks, tasks and roles: a letter or digit, then up to 63 letters, digits, dots, hyphens and underscores."""
     return name.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,63}$") & ~name.contains("..")
 
-
-SQL_FUNCTIONS = {
-    "code_tokens": code_tokens, "symbol_name": symbol_name, "symbol_names": symbol_names, "keywords": keywords, "path_parts": path_parts, "query_terms": query_terms, "code_names": code_names,
-    "call_tail": call_tail, "looks_callable": looks_callable, "bare_name": bare, "plain_answer": plain, "clean_subject": clean_subject, "age_word": age_word, "parse_date": parse_date, "anonymised": anonymised,
-}
