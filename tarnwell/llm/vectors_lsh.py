@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -64,88 +65,110 @@ def _hashed(batches: Iterator[pa.RecordBatch], hashes: int, tables: int, seed: i
             yield batch("id long, n long, vec binary, keys binary", [ids[at], counts[at], [x.tobytes() for x in v], [x.tobytes() for x in keys]])
 
 
+def _doubles(column: pa.Array, lo: int, hi: int, kind: type) -> np.ndarray:
+    """Rows ``lo`` to ``hi`` of a binary column of equal lengths as a matrix, without a copy of each."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset + lo : column.offset + hi + 1]
+    flat = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return np.frombuffer(flat.tobytes(), kind).reshape(hi - lo, -1)
+
+
+@dataclass
+class _Tile:
+    """The homes of one tile of a key: ids, counts, unit vectors, keys of all tables; and what was found of them."""
+
+    ids: np.ndarray
+    n: np.ndarray
+    v: np.ndarray
+    keys: np.ndarray
+    forest: Forest | None = None
+    links: np.ndarray | None = None
+
+
 def _compare(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (tbl, key, tile, side, id, n, vec, keys), homes first, to (kind, a, b): 0 an edge, 1 links b of a."""
+    """Sorted rows (tbl, key, tile, side, id, n, vec, keys), homes first, to (kind, a, b): 0 an edge, 1 links b of a.
+
+    Rows are read in runs of one tile and side, as arrays. (A key is made for each dimension, so vectors of another length meet
+    in a tile by a hash collision only; they are passed over.)
+    """
     out = "kind int, a long, b long"
     at: tuple | None = None
-    homes: list[tuple] = []
-    ready: tuple | None = None
-
-    def arrays(rows: list[tuple]) -> tuple:
-        dim = max(len(r[2]) for r in rows)
-        rows = [r for r in rows if len(r[2]) == dim]  # (keys are made for each dimension: others here by a hash collision only)
-        return np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.frombuffer(b"".join(r[2] for r in rows)).reshape(len(rows), -1), np.frombuffer(b"".join(r[3] for r in rows), np.int64).reshape(len(rows), -1)
-
-    def hits(h: tuple, p: tuple, table: int, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        if h[2].shape[1] != p[2].shape[1]:
-            return np.empty(0, int), np.empty(0, int)
-        j, i = np.nonzero(p[2] @ h[2].T >= cosine)
+    home: _Tile | None = None
+
+    def hits(p: _Tile, table: int, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        j, i = np.nonzero(p.v @ home.v.T >= cosine)
         if first is not None:
             later = i > j + first
             j, i = j[later], i[later]
         if table and len(i):
-            fresh = ~(p[3][j, :table] == h[3][i, :table]).any(axis=1)
+            fresh = ~(p.keys[j, :table] == home.keys[i, :table]).any(axis=1)
             j, i = j[fresh], i[fresh]
         return j, i
 
+    def part(t: _Tile, k: int) -> _Tile:
+        return _Tile(t.ids[k : k + 256], t.n[k : k + 256], t.v[k : k + 256], t.keys[k : k + 256])
+
     def open_() -> None:
-        nonlocal ready
-        h = arrays(homes)
-        ready = h, Forest(len(h[0])), np.zeros(len(h[0]), np.int64)
-        for k in range(0, len(h[0]), 256):
-            part = tuple(x[k : k + 256] for x in h)
-            j, i = hits(h, part, at[0], k)
-            np.add.at(ready[2], i, h[1][j + k])
-            np.add.at(ready[2], j + k, h[1][i])
+        home.forest, home.links = Forest(len(home.ids)), np.zeros(len(home.ids), np.int64)
+        for k in range(0, len(home.ids), 256):
+            j, i = hits(part(home, k), at[0], k)
+            np.add.at(home.links, i, home.n[j + k])
+            np.add.at(home.links, j + k, home.n[i])
             for x, y in zip((j + k).tolist(), i.tolist(), strict=True):
-                ready[1].union(x, y)
+                home.forest.union(x, y)
 
     def close() -> Iterator[pa.RecordBatch]:
-        nonlocal ready
-        if at is not None and homes:
-            if ready is None:
-                open_()
-            h, forest, links = ready
-            root = np.array([forest.find(i) for i in range(len(h[0]))])
-            moved, linked = root != np.arange(len(root)), links > 0
-            if moved.any():
-                yield batch(out, [np.zeros(moved.sum(), int), h[0][moved], h[0][root[moved]]])
-            if linked.any():
-                yield batch(out, [np.ones(linked.sum(), int), h[0][linked], links[linked]])
-        ready = None
-
-    def probe(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if ready is None:
+        if home is None:
+            return
+        if home.forest is None:
             open_()
-        h, forest, links = ready
-        for k in range(0, len(rows), 256):
-            p = arrays(rows[k : k + 256])
-            j, i = hits(h, p, at[0])
+        root = np.array([home.forest.find(i) for i in range(len(home.ids))])
+        moved, linked = root != np.arange(len(root)), home.links > 0
+        if moved.any():
+            yield batch(out, [np.zeros(moved.sum(), int), home.ids[moved], home.ids[root[moved]]])
+        if linked.any():
+            yield batch(out, [np.ones(linked.sum(), int), home.ids[linked], home.links[linked]])
+
+    def probe(rows: _Tile) -> Iterator[pa.RecordBatch]:
+        if home.forest is None:
+            open_()
+        for k in range(0, len(rows.ids), 256):
+            p = part(rows, k)
+            j, i = hits(p, at[0])
             if not len(j):
                 continue
-            np.add.at(links, i, p[1][j])
-            own = np.zeros(len(p[0]), np.int64)
-            np.add.at(own, j, h[1][i])
+            np.add.at(home.links, i, p.n[j])
+            own = np.zeros(len(p.ids), np.int64)
+            np.add.at(own, j, home.n[i])
             one, start = np.unique(j, return_index=True)
             lead = i[start][np.searchsorted(one, j)]
             for x, y in {*zip(lead.tolist(), i.tolist(), strict=True)}:
-                forest.union(x, y)
-            yield batch(out, [np.zeros(len(one), int), p[0][one], h[0][i[start]]])
-            yield batch(out, [np.ones(len(one), int), p[0][one], own[one]])
+                home.forest.union(x, y)
+            yield batch(out, [np.zeros(len(one), int), p.ids[one], home.ids[i[start]]])
+            yield batch(out, [np.ones(len(one), int), p.ids[one], own[one]])
 
     for b in batches:
-        cols = [c.to_pylist() for c in b.columns]
-        waiting: list[tuple] = []
-        for t, key, tile, side, *row in zip(*cols, strict=True):
-            if (t, key, tile) != at:
-                if waiting:
-                    yield from probe(waiting)
-                    waiting = []
+        if not b.num_rows:
+            continue
+        tbl, tile, side, ids, n = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3, 4, 5))
+        key = _doubles(b.column(1), 0, b.num_rows, np.int64)[:, 0]
+        size = np.diff(np.frombuffer(b.column(6).buffers()[1], np.int32)[b.column(6).offset : b.column(6).offset + b.num_rows + 1])
+        new = (tbl[1:] != tbl[:-1]) | (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]) | (side[1:] != side[:-1]) | (size[1:] != size[:-1])
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            here = int(tbl[lo]), int(key[lo]), int(tile[lo])
+            if here != at:
                 yield from close()
-                at, homes = (t, key, tile), []
-            (waiting if side else homes).append(tuple(row))
-        if waiting:
-            yield from probe(waiting)
+                at, home = here, None
+            rows = _Tile(ids[lo:hi], n[lo:hi], _doubles(b.column(6), lo, hi, np.float64), _doubles(b.column(7), lo, hi, np.int64))
+            if home is not None and rows.v.shape[1] != home.v.shape[1]:
+                continue
+            if side[lo]:
+                if home is not None:
+                    yield from probe(rows)
+            elif home is None:
+                home = rows
+            else:
+                home = _Tile(*(np.concatenate([getattr(home, x), getattr(rows, x)]) for x in ("ids", "n", "v", "keys")))
     yield from close()
 
 
