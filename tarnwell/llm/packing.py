@@ -146,8 +146,10 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray]], en
     is ``end_id`` alone; a null id is packed like any other; repeated rows are packed each; other columns are ignored; an
     empty table gives no pieces. ``encoder`` makes, once in each task, the function from a text to its ids. Plain documents
     bear loss on every token, end included. Instruction data name a ``loss_col``, an array with one flag for each id of the
-    text (a null array: all bear loss); the end bears loss, and an array of another length is an error.
+    text (a null array: all bear loss); the end bears loss, and an array of another length is an error. A ``loss_col`` of booleans
+    says for each row whether its tokens, end included, bear loss (null: they do).
     """
+    whole_row = loss_col is not None and docs.schema[loss_col].dataType.simpleString() == "boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer, end, number = None, Packer(tokens, segments, loss), np.array([end_id], np.uint32), 0
@@ -171,7 +173,7 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray]], en
             masks = b.column(2).to_pylist() if loss_col else [None] * b.num_rows
             for i, t, mask in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), masks, strict=True):
                 ids = np.concatenate([encode(t), end]).astype(np.uint32, copy=False)
-                flags = None if mask is None else np.array([*mask, True], bool)
+                flags = None if mask is None else np.full(len(ids), mask) if whole_row else np.array([*mask, True], bool)
                 if flags is not None and len(flags) != len(ids):
                     raise ValueError(f"{len(flags) - 1} loss flags for {len(ids) - 1} ids of document {i}")
                 out += rows(packer.add(Item(i, 0, ids, len(ids), flags)))
@@ -183,5 +185,12 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray]], en
 
     source = id_and_text(docs, id_col, text_col)
     if loss_col:
-        source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(loss_col).cast("array<boolean>").alias("mask"))
+        source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(loss_col).cast("boolean" if whole_row else "array<boolean>").alias("mask"))
     return map_arrow(source, run, SCHEMA)
+
+
+def pack_turns(turns: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray]], tokens: int = 2048, segments: int = 16, loss: int = 1024, end_id: int = 1, bearing: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """Instruction data: turns (conv_id, role, text) are packed as :func:`pack` does, each with its end; only the turns of the
+    ``bearing`` roles bear loss (a null role does not), so that all three limits can bind. doc_id is the conversation's id."""
+    rows = turns.select(F.col("conv_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("role").isin(*bearing), F.lit(False)).alias("bears"))
+    return pack(rows, encoder, end_id, tokens, segments, loss, loss_col="bears")

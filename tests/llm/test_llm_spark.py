@@ -372,3 +372,30 @@ def test_packing_by_a_loss_column(spark):
         assert ids[i] == n + 1 and bearing[i] == (n if mask is None else sum(mask)) + 1
     assert all(sum(r.loss_tokens for r in s) <= 200 and sum(r.length for r in s) <= 512 for s in seqs.values())
     assert any(sum(r.length for r in s) > 200 for s in seqs.values())
+
+
+def test_packing_of_turns_by_three_limits(spark):
+    enc = bpe_50k()
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    rows = [(r.conv_id, r.role, r.text) for r in turns.collect()] + [(None, None, None), (5, "assistant", None), (5, "user", "")]
+    got = packing.pack_turns(spark.createDataFrame(rows, "conv_id long, role string, text string").coalesce(1), bpe_50k, tokens=512, segments=8, loss=120).collect()
+    seqs, ids, bearing = defaultdict(list), Counter(), Counter()
+    for r in got:
+        seqs[r.sequence_id].append(r)
+        ids[r.doc_id] += r.length
+        bearing[r.doc_id] += r.loss_tokens
+    for c in {c for c, _, _ in rows}:
+        own = [(role, len(enc(t or "")) + 1) for i, role, t in rows if i == c]
+        assert ids[c] == sum(n for _, n in own) and bearing[c] == sum(n for role, n in own if role == "assistant")
+    sums = [(sum(r.length for r in s), len(s), sum(r.loss_tokens for r in s)) for s in seqs.values()]
+    assert all(a <= 512 and b <= 8 and c <= 120 for a, b, c in sums)
+    assert any(a == 512 for a, _, _ in sums) and any(b == 8 and a < 512 for a, b, _ in sums) and any(c == 120 and a < 512 for a, _, c in sums)
+
+
+def test_embedding_repeats_and_hot_nulls(spark):
+    """Rows that repeat a vector and its id, many null ids and null vectors: one row each, and the repeats linked."""
+    v = [1.0, 2.0, 3.0]
+    rows = [(1, v), (1, v), (2, [1.0, 2.0, 3.01])] + [(None, v)] * 50 + [(k, None) for k in range(100, 150)] + [(None, None)] * 50
+    got = vectors_lsh.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == len(rows)
+    assert [(r.n_links, r.component_id) for r in got if r.vec_id in (1, 2)] == [(2, 1)] * 3 and all(r.n_links == 0 for r in got if r.vec_id not in (1, 2))
