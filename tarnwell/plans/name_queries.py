@@ -52,14 +52,16 @@ def stem_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH k AS (SELECT item_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*'), lambda w: length(w) >= 3 AND NOT list_contains({COMMON}, w)))) AS words FROM benchmark),
+    f"""WITH k AS (SELECT item_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*'), lambda w: length(w) >= 3 AND NOT list_contains({COMMON}, w)))) AS words FROM (SELECT page_id AS item_id, regexp_replace(url, '^[a-z]+://[^/?#]*', '') AS text FROM pages WHERE page_id % 20 = 0)),
 p AS (SELECT page_id, url, list_sort(list_distinct(list_concat({sql_tokens("regexp_replace(string_split(url, '/')[-1], '(.)\\.[^.]*$', '\\1')")}, {sql_tokens("string_split(url, '/')[-2]")}))) AS parts FROM pages),
 m AS (SELECT item_id, page_id, len(words) AS total, len(list_filter(words, lambda w: list_contains(parts, w) OR len(list_filter(parts, lambda x: CASE WHEN length(w) <= length(x) THEN length(w) >= 3 AND starts_with(x, w) ELSE length(x) >= 3 AND starts_with(w, x) END)) > 0)) AS matches FROM k, p)
 SELECT item_id, page_id, total, matches, matches / total::DOUBLE >= 0.1 AS enough FROM m WHERE matches > 0"""
 )
 def keyword_path_matches(spark: SparkSession, d: str) -> DataFrame:
-    """The words of every benchmark passage against every page's path: they meet by their first three characters, which any match shares."""
-    k = table(spark, d, "benchmark").select("item_id", N.keywords(C("text")).alias("words")).select("item_id", F.size("words").alias("total"), F.explode("words").alias("word"))
+    """The words of every twentieth page's path (the stated query set) against every page's path: they meet by their first three
+    characters, which any match shares."""
+    asked = table(spark, d, "pages").where("page_id % 20 = 0").select(C("page_id").alias("item_id"), F.regexp_replace("url", "^[a-z]+://[^/?#]*", "").alias("text"))
+    k = asked.select("item_id", N.keywords(C("text")).alias("words")).select("item_id", F.size("words").alias("total"), F.explode("words").alias("word"))
     p = table(spark, d, "pages").select("page_id", F.explode(N.path_parts(C("url"))).alias("part")).where(F.length("part") >= N.LEAST_WORD)
     first = lambda c: F.substring(c, 1, N.LEAST_WORD)
     met = k.join(p, first("word") == first("part")).where(F.startswith("word", C("part")) | F.startswith("part", C("word")))
