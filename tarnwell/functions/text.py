@@ -96,10 +96,10 @@ def is_test_path(path: Column) -> Column:
 
 
 def path_penalty(path: Column) -> Column:
-    """Factor for a path: tests 0.3, package markers 0.5, compatibility code 0.3, examples 0.3, type stubs 0.7."""
+    """Factor for a path: tests 0.3, package markers 0.5, compatibility code 0.3, examples 0.3, type declarations 0.7."""
     one = F.lit(1.0)
     out = F.when(is_test_path(path), F.lit(0.3)).otherwise(one)
-    for pattern, factor in ((r"(^|/)(__init__\.py|package-info\.java|mod\.rs)$", 0.5), (r"(^|/)(compat|legacy|deprecated)/", 0.3), (r"(^|/)(examples?|samples?|demo)/", 0.3), (r"\.(pyi|d\.ts)$", 0.7)):
+    for pattern, factor in ((r"(^|/)(__init__\.py|package-info\.java)$", 0.5), (r"(^|/)(_?compat|legacy)/", 0.3), (r"(^|/)(_?examples?|docs?_src)/", 0.3), (r"\.d\.ts$", 0.7)):
         out = out * F.when(path.rlike(pattern), F.lit(factor)).otherwise(one)
     return out
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnwell.functions.text import jaccard, trigrams
+
 
 def _best(df: DataFrame, value: Column, name: str) -> DataFrame:
     """Each row with its query's largest ``value``: a partial aggregate and a join, so no query's rows need one task."""
@@ -69,3 +71,22 @@ def budget_skip(rows: DataFrame, by: list[str], order: Column, budget: int, id_c
         lambda s, x: F.when(s["used"] + x["c"] <= budget, F.struct((s["used"] + x["c"]).alias("used"), F.array_append(s["ids"], x["id"]).alias("ids"))).otherwise(s),
     )
     return rows.groupBy(*by).agg(items.alias("items")).select(*by, F.explode(folded["ids"]).alias(id_col))
+
+
+def similar_names(names: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of distinct names a < b whose trigram sets have a Jaccard similarity of ``least`` or more.
+
+    A prefix-filtered join: of a set of n trigrams, put in order from the rarest on, a partner must have one of the first
+    n - ceil(least * n) + 1, and the other way round. So common trigrams meet nothing, no pair is lost, and only names that share
+    a rare trigram, and whose sizes allow it, are compared.
+    """
+    sets = names.select("name").where("name is not null").distinct().withColumn("t", trigrams(F.col("name"))).where(F.size("t") > 0)
+    flat = sets.select("name", F.explode("t").alias("g"))
+    df = flat.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    ordered = flat.join(df, "g").groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "g"))), lambda x: x["g"]).alias("t"))
+    n = F.size("t")
+    keys = ordered.select("name", "t", F.explode(F.slice("t", 1, (n - F.ceil(F.lit(least) * n - 1e-9) + 1).cast("int"))).alias("g"))
+    a, b = keys.select(F.col("name").alias("a"), F.col("t").alias("ta"), "g"), keys.select(F.col("name").alias("b"), F.col("t").alias("tb"), "g")
+    small, large = F.least(F.size("ta"), F.size("tb")), F.greatest(F.size("ta"), F.size("tb"))
+    met = a.join(b, "g").where((F.col("a") < F.col("b")) & (small >= F.lit(least) * large - 1e-9)).select("a", "b", "ta", "tb").dropDuplicates(["a", "b"])
+    return met.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= least)

@@ -66,24 +66,28 @@ def notes_proof_counts(spark: SparkSession, d: str) -> DataFrame:
     return M.proof_counts(table(spark, d, "lineitem"), ["l_partkey"], "l_orderkey")
 
 
-FACTS = "(1, 1, 'The build failed'), (1, 2, 'Because the disk was full'), (1, 3, 'Therefore we cleaned it'), (2, 1, 'It works since yesterday'), (2, 2, 'We waited since Monday'), (2, 3, 'It slowed down since the cache was cold'), (3, 1, 'Due to rain it was late')"
+CUES = ("It went on as before", "Because the disk was full it stopped", "Therefore we moved it", "It is open since yesterday", "It slowed since the cache was cold", "We waited since Monday", "Due to rain it was late", "Nothing else is known")
+KINDS = (None, "cause", "effect", None, "cause", None, "cause", None)
+SQL_KINDS = "CASE (conv_id * 3 + turn) % 8 WHEN 1 THEN 'cause' WHEN 2 THEN 'effect' WHEN 4 THEN 'cause' WHEN 6 THEN 'cause' END"
+
+
+def _cued(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as facts that begin with one of eight sentences, of which four have a cue."""
+    start = F.element_at(F.array(*[F.lit(x) for x in CUES]), ((F.col("conv_id") * 3 + F.col("turn")) % len(CUES) + 1).cast("int"))
+    return table(spark, d, "conversations").select("conv_id", "turn", (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat(start, F.lit(". "), F.col("text")).alias("text"))
 
 
 @query(
-    f"""WITH f(call, ord, text) AS (VALUES {FACTS}),
-c AS (SELECT call, ord, call * 10 + ord AS id, lower(text) AS t FROM f),
-k AS (SELECT *, lag(id) OVER (PARTITION BY call ORDER BY ord) AS before, CASE WHEN regexp_matches(t, '\\b(because|due to|owing to)\\b') OR (regexp_matches(t, '\\bsince\\b') AND NOT regexp_matches(t, '\\bsince (yesterday|monday)')) THEN 'cause'
- WHEN regexp_matches(t, '\\b(therefore|thus|hence|so that)\\b') THEN 'effect' END AS cue FROM c)
+    f"""WITH k AS (SELECT conv_id * 100 + turn AS id, lag(conv_id * 100 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before, {SQL_KINDS} AS cue FROM conversations)
 SELECT CASE cue WHEN 'cause' THEN id ELSE before END AS cause, CASE cue WHEN 'cause' THEN before ELSE id END AS effect FROM k WHERE cue IS NOT NULL AND before IS NOT NULL"""
 )
 def notes_causal_lag(spark: SparkSession, d: str) -> DataFrame:
-    f = spark.sql(f"SELECT *, call * 10 + ord AS id FROM VALUES {FACTS} AS v(call, ord, text)")
-    return M.causal_links(f, "call", "ord", T.causal_cue(F.col("text")))
+    return M.causal_links(_cued(spark, d), "conv_id", "turn", T.causal_cue(F.col("text")))
 
 
-@query(f"WITH v(call, ord, text) AS (VALUES {FACTS}) SELECT call * 10 + ord AS id, CASE call * 10 + ord WHEN 12 THEN 'cause' WHEN 13 THEN 'effect' WHEN 23 THEN 'cause' WHEN 31 THEN 'cause' END AS cue FROM v")
+@query(f"SELECT conv_id * 100 + turn AS id, {SQL_KINDS} AS cue FROM conversations")
 def causal_cue(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(f"SELECT *, call * 10 + ord AS id FROM VALUES {FACTS} AS v(call, ord, text)").select("id", T.causal_cue(F.col("text")).alias("cue"))
+    return _cued(spark, d).select("id", T.causal_cue(F.col("text")).alias("cue"))
 
 
 RECALL_WORDS = f"WITH{BM25_CTES} SELECT query_id, doc_id AS note_id, score FROM bmr WHERE rank <= 100"
@@ -327,11 +331,9 @@ def split_facts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(facts).alias("ord", "fact")).select("conv_id", "turn", "ord", "fact")
 
 
-ENTITY_TEXTS = "('the call in `parse_span` uses Bank.retain and snake_case'), ('we met Ada Lovelace in London today'), ('nothing of note'), ('`a b` and `a_b` are one, and getHTTP too')"
-
-
-@query(
-    """SELECT * FROM (VALUES ('the call in `parse_span` uses Bank.retain and snake_case', 'parse_span; Bank.retain; snake_case'), ('we met Ada Lovelace in London today', 'Ada Lovelace; London'), ('nothing of note', ''), ('`a b` and `a_b` are one, and getHTTP too', 'a b; getHTTP')) v(text, entities)"""
-)
+@query("""SELECT s_suppkey, 'parse_' || s_suppkey || '; Bank.n' || s_suppkey || '; Ada Lovelace; London' AS entities FROM supplier""")
 def entity_extract(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {ENTITY_TEXTS} AS v(text)").select("text", F.array_join(T.code_entities(F.col("text")), "; ").alias("entities"))
+    """Names in a sentence about every supplier: quoted, code-shaped (one of them twice, in another spelling) and capitalised."""
+    i = F.col("s_suppkey").cast("string")
+    text = F.concat(F.lit("the call in `parse_"), i, F.lit("` uses Bank.n"), i, F.lit(" and Parse"), i, F.lit(", as we told Ada Lovelace in London today"))
+    return table(spark, d, "supplier").select("s_suppkey", F.array_join(T.code_entities(text), "; ").alias("entities"))

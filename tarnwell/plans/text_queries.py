@@ -13,7 +13,6 @@ from tarnwell.plans.catalog import BM25_CTES, chunks, query, sql_parts, sql_post
 from tarnwell.session import durable, table
 
 POST = "WITH" + sql_postings("documents", "doc_id", "post")
-NAMES = "('getHTTPResponse2'), ('snake_case_name'), ('XMLParser'), ('plain'), ('__init__'), ('a1B2'), ('HTTP2Server'), ('x')"
 
 
 @query(f"{POST} SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n_tokens, count(*) AS n_terms FROM post GROUP BY doc_id")
@@ -32,10 +31,15 @@ def tokens_by_lang(spark: SparkSession, d: str) -> DataFrame:
     return I.postings(docs).join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.sum("tf").alias("n_tokens"), F.count_distinct("term").alias("n_terms"))
 
 
-@query(f"WITH v(name) AS (VALUES {NAMES}), p AS (SELECT name, {sql_parts('name')} AS parts FROM v) SELECT name, array_to_string(CASE WHEN len(parts) >= 2 THEN list_concat([lower(name)], parts) ELSE [lower(name)] END, ' ') AS tokens FROM p")
+IDENTIFIERS = """v AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN replace(p_name, ' ', '_') WHEN 1 THEN replace(p_name, ' ', 'HTTP') WHEN 2 THEN lower(replace(p_name, ' ', '')) || 'V' || p_size || 'Next' ELSE upper(replace(p_name, ' ', '_')) || p_size END AS name FROM part)"""
+
+
+@query(f"WITH {IDENTIFIERS}, p AS (SELECT p_partkey, lower(regexp_extract(name, '[A-Za-z_][A-Za-z0-9_]*')) AS low, {sql_parts("regexp_extract(name, '[A-Za-z_][A-Za-z0-9_]*')")} AS parts FROM v) SELECT p_partkey, array_to_string(CASE WHEN len(parts) >= 2 THEN list_concat([low], parts) ELSE [low] END, ' ') AS tokens FROM p")
 def tokens_identifiers(spark: SparkSession, d: str) -> DataFrame:
-    v = spark.sql(f"SELECT * FROM VALUES {NAMES} AS v(name)")
-    return v.select("name", F.array_join(T.code_tokens(F.col("name")), " ").alias("tokens"))
+    """Part names written as identifiers in four styles, each the first identifier of its text."""
+    i, n = F.col("p_partkey"), F.col("p_name")
+    name = F.when(i % 4 == 0, F.replace(n, F.lit(" "), F.lit("_"))).when(i % 4 == 1, F.replace(n, F.lit(" "), F.lit("HTTP"))).when(i % 4 == 2, F.concat(F.lower(F.replace(n, F.lit(" "), F.lit(""))), F.lit("V"), F.col("p_size").cast("string"), F.lit("Next"))).otherwise(F.concat(F.upper(F.replace(n, F.lit(" "), F.lit("_"))), F.col("p_size").cast("string")))
+    return table(spark, d, "part").select(i, F.array_join(T.code_tokens(F.regexp_extract(name, T.IDENTIFIER, 0)), " ").alias("tokens"))
 
 
 @query(f"{POST} SELECT count(*) AS postings, count(DISTINCT term) AS terms, count(DISTINCT doc_id) AS docs, CAST(sum(tf) AS BIGINT) AS total_len FROM post")
@@ -95,13 +99,8 @@ def _trigram_sql(x: str) -> str:
     f"WITH p AS (SELECT DISTINCT p_name AS name FROM part), g AS (SELECT name, {_trigram_sql('name')} AS t FROM p), e AS (SELECT name, unnest(t) AS g FROM g), c AS (SELECT a.name AS a, b.name AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.name < b.name GROUP BY ALL) SELECT c.a, c.b, round(c.c / (len(x.t) + len(y.t) - c.c), 6) AS similarity FROM c JOIN g x ON x.name = c.a JOIN g y ON y.name = c.b WHERE c.c / (len(x.t) + len(y.t) - c.c) >= 0.45"
 )
 def trigram_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of distinct part names that share at least 0.45 of their trigrams, by an equi-join on trigrams."""
-    g = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("t", T.trigrams(F.col("name"))).withColumn("n", F.size("t"))
-    e = g.select("name", "n", F.explode("t").alias("g"))
-    a, b = e.select(F.col("name").alias("a"), F.col("n").alias("na"), "g"), e.select(F.col("name").alias("b"), F.col("n").alias("nb"), "g")
-    c = a.join(b, "g").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    s = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
-    return c.where(s >= 0.45).select("a", "b", F.round(s, 6).alias("similarity"))
+    """Pairs of distinct part names that share at least 0.45 of their trigrams."""
+    return S.similar_names(table(spark, d, "part").select(F.col("p_name").alias("name")), 0.45).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 DOT = "list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
@@ -214,17 +213,19 @@ def stem_lift(spark: SparkSession, d: str) -> DataFrame:
     return S.word_lift(pool, S.match_ratio(terms, having, weights), 0.5).select("query_id", "chunk_id", F.round("score", 4).alias("score"))
 
 
-PATHS = "('src/app/main.py'), ('tests/test_main.py'), ('pkg/__init__.py'), ('legacy/compat/x.go'), ('examples/demo.ts'), ('types/api.d.ts'), ('a/b/foo_test.go'), ('examples/tests/__init__.py')"
+STYLES = ("src/main.py", "tests/main.py", "src/test_main.go", "legacy/main.py", "examples/a/main.ts", "src/api.d.ts", "docs_src/tests/__init__.py", "pkg/package-info.java", "_compat/x.spec.js", "latest/main.rs")
 
 
 @query(
-    f"""WITH v(path) AS (VALUES {PATHS}) SELECT path,
-CASE WHEN regexp_matches(path, '(^|/)(tests?|specs?|__tests__|testing)/') OR regexp_matches(path, '(^|/)(test_[^/]*|[^/]*_test|[^/]*\\.(test|spec))\\.[A-Za-z0-9]+$') OR regexp_matches(path, '(^|/)conftest\\.py$') THEN 0.3 ELSE 1.0 END::DOUBLE
-* CASE WHEN regexp_matches(path, '(^|/)(__init__\\.py|package-info\\.java|mod\\.rs)$') THEN 0.5 ELSE 1.0 END::DOUBLE * CASE WHEN regexp_matches(path, '(^|/)(compat|legacy|deprecated)/') THEN 0.3 ELSE 1.0 END::DOUBLE
-* CASE WHEN regexp_matches(path, '(^|/)(examples?|samples?|demo)/') THEN 0.3 ELSE 1.0 END::DOUBLE * CASE WHEN regexp_matches(path, '\\.(pyi|d\\.ts)$') THEN 0.7 ELSE 1.0 END::DOUBLE AS penalty FROM v"""
+    f"""WITH v AS (SELECT page_id, page_id % {len(STYLES)} AS k, CASE page_id % {len(STYLES)} {" ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(STYLES))} END AS style, regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*/', ''), '[?#/].*$', '') AS top FROM pages)
+SELECT page_id, top || '/' || style AS path, [1.0, 0.3, 0.3, 0.3, 0.3, 0.7, 0.3 * 0.5 * 0.3, 0.5, 0.3 * 0.3, 1.0][k + 1]::DOUBLE AS penalty FROM v"""
 )
 def path_penalty(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {PATHS} AS v(path)").select("path", T.path_penalty(F.col("path")).alias("penalty"))
+    """Files of ten kinds under the first folder of every page."""
+    i = F.col("page_id")
+    top = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/?#]*/", ""), "[?#/].*$", "")
+    path = F.concat(top, F.lit("/"), F.element_at(F.array(*[F.lit(x) for x in STYLES]), (i % len(STYLES) + 1).cast("int")))
+    return table(spark, d, "pages").select(i, path.alias("path"), F.round(T.path_penalty(path), 6).alias("penalty"))
 
 
 @query(
