@@ -7,9 +7,11 @@ import re
 from datetime import UTC, datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwell.session import ship
+
 MONTHS = {m.lower(): i for i, m in enumerate(calendar.month_name) if m} | {m.lower(): i for i, m in enumerate(calendar.month_abbr) if m}
 NUMBERS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve".split())} | {"a": 1, "an": 1}
 ISO = re.compile(r"\b(\d{4})-(\d{2})(?:-(\d{2}))?\b")
@@ -101,7 +103,8 @@ def parse_span(text: str | None, now: int, offset: int = 0) -> tuple[int, int] |
 
 
 def span_udf(now: int, offset: int = 0):  # noqa: ANN201
-    """An Arrow UDF from a text to struct<start_at, end_at>."""
+    """An Arrow UDF from a text to struct<start_at, end_at>; the package goes to the executors of the active session."""
+    ship(SparkSession.active())
 
     @F.pandas_udf("start_at long, end_at long")
     def span(texts: pd.Series) -> pd.DataFrame:

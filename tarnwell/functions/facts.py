@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tarnwell.session import ship
+
 BULLET = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)])\s+")
 END = re.compile(r"[.!?]+[\"')\]]*(?=\s+\S)")
 SHORT = ("e.g", "i.e", "etc", "vs", "mr", "mrs", "dr", "cf", "no", "fig")
@@ -53,7 +56,8 @@ def split_facts(text: str | None) -> list[str]:
 
 
 def split_facts_udf():  # noqa: ANN201
-    """An Arrow UDF from a text to its facts."""
+    """An Arrow UDF from a text to its facts; the package goes to the executors of the active session."""
+    ship(SparkSession.active())
 
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:

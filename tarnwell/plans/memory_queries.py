@@ -307,16 +307,25 @@ SPANS = "('seen 2024-03-05 late'), ('in 2024-02'), ('yesterday'), ('last week'),
 
 
 @query(
-    """SELECT * FROM (VALUES ('seen 2024-03-05 late', TIMESTAMP '2024-03-05 00:00:00', TIMESTAMP '2024-03-05 23:59:59'), ('in 2024-02', TIMESTAMP '2024-02-01 00:00:00', TIMESTAMP '2024-02-29 23:59:59'),
+    """WITH o AS (SELECT o_orderkey, o_custkey % 50 + 1 AS n, o_orderkey % 4 AS shape, CAST(o_orderdate AS DATE) AS day FROM orders),
+f AS (SELECT o_orderkey, CASE shape WHEN 0 THEN 'seen ' || strftime(day, '%Y-%m-%d') || ' late' WHEN 1 THEN n || ' days ago' WHEN 2 THEN 'in ' || strftime(day, '%Y-%m') ELSE n || ' weeks ago' END AS text,
+CASE shape WHEN 0 THEN day::TIMESTAMP WHEN 1 THEN TIMESTAMP '2024-05-15' - to_days(n::INTEGER) WHEN 2 THEN date_trunc('month', day)::TIMESTAMP ELSE TIMESTAMP '2024-05-15' - to_days(7 * n::INTEGER) END AS span_start,
+CASE WHEN shape = 2 THEN INTERVAL 1 MONTH ELSE INTERVAL 1 DAY END AS long FROM o)
+SELECT o_orderkey, text, span_start, span_start + long - INTERVAL 1 SECOND AS span_end FROM f
+UNION ALL SELECT NULL AS o_orderkey, * FROM (VALUES ('seen 2024-03-05 late', TIMESTAMP '2024-03-05 00:00:00', TIMESTAMP '2024-03-05 23:59:59'), ('in 2024-02', TIMESTAMP '2024-02-01 00:00:00', TIMESTAMP '2024-02-29 23:59:59'),
 ('yesterday', TIMESTAMP '2024-05-14 00:00:00', TIMESTAMP '2024-05-14 23:59:59'), ('last week', TIMESTAMP '2024-05-06 00:00:00', TIMESTAMP '2024-05-12 23:59:59'), ('last month', TIMESTAMP '2024-04-01 00:00:00', TIMESTAMP '2024-04-30 23:59:59'),
 ('3 days ago', TIMESTAMP '2024-05-12 00:00:00', TIMESTAMP '2024-05-12 23:59:59'), ('two weeks ago', TIMESTAMP '2024-05-01 00:00:00', TIMESTAMP '2024-05-01 23:59:59'), ('march', TIMESTAMP '2024-03-01 00:00:00', TIMESTAMP '2024-03-31 23:59:59'),
 ('nothing here', NULL, NULL), ('today', TIMESTAMP '2024-05-15 00:00:00', TIMESTAMP '2024-05-15 23:59:59'), ('on the 10th', TIMESTAMP '2024-05-10 00:00:00', TIMESTAMP '2024-05-10 23:59:59'), ('2023', NULL, NULL)) v(text, span_start, span_end)"""
 )
 def date_parse_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Date phrases as of 2024-05-15 12:00 UTC, a Wednesday."""
-    v = spark.sql(f"SELECT * FROM VALUES {SPANS} AS v(text)")
+    """Date phrases as of 2024-05-15 12:00 UTC, a Wednesday: one about every order, and one of every other form under a null order."""
+    o = table(spark, d, "orders")
+    n, shape = (F.col("o_custkey") % 50 + 1).cast("string"), F.col("o_orderkey") % 4
+    phrase = F.when(shape == 0, F.concat(F.lit("seen "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" late"))).when(shape == 1, F.concat(n, F.lit(" days ago")))
+    phrase = phrase.when(shape == 2, F.concat(F.lit("in "), F.date_format("o_orderdate", "yyyy-MM"))).otherwise(F.concat(n, F.lit(" weeks ago")))
+    v = o.select("o_orderkey", phrase.alias("text")).union(spark.sql(f"SELECT CAST(NULL AS BIGINT), text FROM VALUES {SPANS} AS v(text)"))
     span = dates.span_udf(1_715_774_400, 0)(F.col("text"))
-    return v.select("text", span.alias("s")).select("text", dates.wall_clock(F.col("s.start_at") * 1_000_000).alias("span_start"), dates.wall_clock(F.col("s.end_at") * 1_000_000).alias("span_end"))
+    return v.select("o_orderkey", "text", span.alias("s")).select("o_orderkey", "text", dates.wall_clock(F.col("s.start_at") * 1_000_000).alias("span_start"), dates.wall_clock(F.col("s.end_at") * 1_000_000).alias("span_end"))
 
 
 SENTENCES = "(1, 'The index is built from the tree. It is small. Search fuses words and vectors!'), (2, '- first point of the list is here\\n- second point of the list is here'), (3, 'short'), (4, 'Version 1.2 of the tool reads e.g. notes and logs. Then it stops here for good.')"

@@ -88,6 +88,16 @@ def test_facts_and_dates():
     assert b - a == 86_399 and (a + 7200) % 86_400 == 0
 
 
+def test_udfs_send_the_package_to_the_executors(spark):
+    from tarnwell.functions.dates import span_udf
+    from tarnwell.functions.facts import split_facts_udf
+
+    for make in (lambda: span_udf(0), split_facts_udf):
+        spark.sparkContext._tarnwell_shipped = False
+        make()
+        assert spark.sparkContext._tarnwell_shipped
+
+
 def test_note_log(spark, tmp_path):
     from tarnwell.sources import notes_log
 
