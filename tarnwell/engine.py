@@ -125,9 +125,10 @@ class Engine:
         """(qual, path, depth): the neighbourhood of a question, within a budget of tokens."""
         words = self.spark.createDataFrame([(question,)], "question string").select("question", F.explode(N.query_tokens(N.query_terms(F.col("question")))).alias("word"))
         nodes, edges = self.table("nodes"), self.table("edges")
-        walked = G.question_walk(nodes, edges, words).join(G.degrees(edges), "node_id", "left").join(nodes.select("node_id", "qual", "path"), "node_id")
-        rows = walked.select("question", "node_id", "depth", F.coalesce("degree", F.lit(0)).alias("degree"), "qual", "path", token_cost(F.concat_ws(" ", "qual", "path")).alias("cost"))
-        return G.walk_budget(rows, budget).select("qual", "path", "depth").orderBy("depth", "qual")
+        line = F.concat("name", F.lit(" "), "path", F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"))
+        walked = G.question_walk(nodes, edges, words).join(G.degrees(edges), "node_id", "left").join(nodes.select("node_id", "qual", "path", line.alias("line")), "node_id")
+        rows = walked.select("question", "node_id", "depth", F.coalesce("degree", F.lit(0)).alias("degree"), "qual", "path", "line")
+        return G.walk_budget(rows, nodes.select("node_id", "name"), edges, budget).select("qual", "path", "depth").orderBy("place")
 
     def map(self) -> DataFrame:
         """(community, size, leaders, files)."""

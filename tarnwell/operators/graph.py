@@ -138,7 +138,7 @@ def question_walk(nodes: DataFrame, edges: DataFrame, words: DataFrame, hops: in
     low = nodes.select("node_id", F.lower("name").alias("name"))
     n = low.agg(F.count(F.lit(1)).alias("n"))
     distinct_words = words.select("word").distinct()
-    hit = low.join(F.broadcast(distinct_words), F.col("name").contains(F.col("word")))
+    hit = low.join(distinct_words, F.col("name").contains(F.col("word")))
     df = hit.groupBy("word").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("word", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
     tier = F.when(F.col("name") == F.col("word"), 3.0).when(F.col("name").startswith(F.col("word")), 2.0).otherwise(1.0)
     scored = words.join(hit.join(df, "word").select("word", "node_id", (tier * F.col("idf")).alias("s")), "word")
@@ -385,11 +385,25 @@ def follow_calls(hits: DataFrame, edges: DataFrame, thin: Column, k: int = 3, sh
     return hits.select("query_id", "node_id", "score").union(more).groupBy("query_id", "node_id").agg(F.max("score").alias("score"))
 
 
-def walk_budget(walked: DataFrame, budget: int) -> DataFrame:
-    """The rows (question, node_id, depth, degree, cost) of a walk in order of depth, degree and id while their running cost is
-    within ``budget``; seeds (depth 0) always stay, and their cost counts."""
-    run = W.partitionBy("question").orderBy("depth", "degree", "node_id").rowsBetween(W.unboundedPreceding, 0)
-    return walked.withColumn("running", F.sum("cost").over(run)).where((F.col("depth") == 0) | (F.col("running") <= budget))
+def walk_budget(walked: DataFrame, names: DataFrame, edges: DataFrame, budget: int) -> DataFrame:
+    """The rows (question, node_id, depth, degree, line) of a walk in order of depth, falling degree and id, with ``bytes`` and the
+    ``running`` tokens, while these are within ``budget``; seeds (depth 0) always stay, and their cost counts.
+
+    A node costs its line and a line for each edge between it and the nodes up to it: "name rel name", with names (node_id,
+    name) and edges (src, dst, rel). Tokens are a quarter of the bytes of all lines so far, rounded up. An edge is dealt to the
+    later of its two ends, so that no question's nodes meet in pairs; ``names`` has one row a node.
+    """
+    order = W.partitionBy("question").orderBy("depth", F.desc("degree"), "node_id")
+    ranked = walked.withColumn("place", F.row_number().over(order))
+    end = lambda node, place, name: ranked.join(names, "node_id").select("question", F.col("node_id").alias(node), F.col("place").alias(place), F.col("name").alias(name))
+    met = edges.select("src", "dst", "rel").join(end("src", "src_place", "src_name"), "src").join(end("dst", "dst_place", "dst_name"), ["question", "dst"])
+    line = F.octet_length(F.concat_ws(" ", "src_name", "rel", "dst_name")) + 1
+    between = met.groupBy("question", F.greatest("src_place", "dst_place").alias("place")).agg(F.sum(line).alias("between"))
+    rows = ranked.join(between, ["question", "place"], "left")
+    rows = rows.withColumn("bytes", F.octet_length("line") + 1 + F.coalesce("between", F.lit(0)))
+    run = W.partitionBy("question").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("running", F.ceil(F.sum("bytes").over(run) / 4)).drop("between")
+    return rows.where((F.col("depth") == 0) | (F.col("running") <= budget))
 
 
 def edge_order(edges: DataFrame) -> DataFrame:

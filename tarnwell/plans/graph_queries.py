@@ -92,6 +92,27 @@ def graph_two_hop_walk(spark: SparkSession, d: str) -> DataFrame:
     return G.question_walk(nodes(spark, d), edges(spark, d), words)
 
 
+@query(
+    f"""{DEGREES}, w AS (SELECT n_nationkey AS question, CAST(n_nationkey + 100 AS BIGINT) AS node_id, 0 AS depth FROM nation
+  UNION ALL SELECT s_nationkey, s_suppkey + 1000000000, 1 FROM supplier UNION ALL SELECT c_nationkey, c_custkey + 2000000000, 1 FROM customer
+  UNION ALL SELECT DISTINCT s_nationkey, l_partkey + 3000000000, 2 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+k AS (SELECT w.*, name, strlen(name || ' ' || path) + 1 AS own, row_number() OVER (PARTITION BY question ORDER BY depth, coalesce(degree, 0) DESC, w.node_id) AS place FROM w JOIN nodes USING (node_id) LEFT JOIN deg USING (node_id)),
+m AS (SELECT a.question, greatest(a.place, b.place) AS place, sum(strlen(a.name || ' ' || rel || ' ' || b.name) + 1) AS more FROM edges JOIN k a ON a.node_id = src JOIN k b ON b.node_id = dst AND b.question = a.question GROUP BY ALL),
+r AS (SELECT question, node_id, depth, CAST(ceil(sum(own + coalesce(more, 0)) OVER (PARTITION BY question ORDER BY place) / 4) AS BIGINT) AS running FROM k LEFT JOIN m USING (question, place))
+SELECT * FROM r WHERE depth = 0 OR running <= 3000"""
+)
+def graph_walk_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Of every nation: itself, its suppliers and customers, and the parts these call, with the edges between them, in 3,000 tokens."""
+    c, n = F.col, nodes(spark, d)
+    s = table(spark, d, "supplier")
+    near = contains(spark, d).where(c("src") >= 100).select((c("src") - 100).cast("int").alias("question"), c("dst").alias("node_id"), F.lit(1).alias("depth"))
+    far = table(spark, d, "lineitem").join(s, c("l_suppkey") == c("s_suppkey")).select(c("s_nationkey").alias("question"), (c("l_partkey") + PART).alias("node_id"), F.lit(2).alias("depth")).distinct()
+    own = table(spark, d, "nation").select(c("n_nationkey").alias("question"), (c("n_nationkey") + 100).cast("long").alias("node_id"), F.lit(0).alias("depth"))
+    e = edges(spark, d)
+    walked = own.union(near).union(far).join(n.select("node_id", F.concat_ws(" ", "name", "path").alias("line")), "node_id").join(G.degrees(e), "node_id", "left").fillna(0, ["degree"])
+    return G.walk_budget(walked, n.select("node_id", "name"), e, 3000).select("question", "node_id", "depth", "running")
+
+
 LOOKUPS = "('ASIA'), ('china'), ('ASIA.CHINA'), ('Supplier#000000003'), ('JAPAN'), ('nowhere'), ('supplier#000000004')"
 
 
