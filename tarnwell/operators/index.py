@@ -123,8 +123,10 @@ def ppmi_vectors(post: DataFrame, dims: int = 256, units: int = 8) -> tuple[Data
 
     A document's sparse random vector has ``units`` signed units, whose places and signs are digits of md5(doc_id:i). A word's
     vector is the sum of ppmi(word, doc) times the document's; a document's is the sum of ppmi times its words'.
-    Words in one document only, or in more than a quarter of all, take no part.
+    Words in one document only, or in more than a quarter of all, take no part. Columns of ``post`` beyond those of
+    :func:`postings`, such as the lengths of a stored index, are ignored.
     """
+    post = post.select("term", "doc_id", "tf")
     lengths = doc_stats(post)
     totals = post.agg(F.sum("tf").alias("total"), F.count_distinct("doc_id").alias("docs"))
     words = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))

@@ -76,6 +76,19 @@ def test_ppmi_themes(spark):
     assert cos("ax", "ay") > 0.9 > 0.5 > cos("ax", "by")
 
 
+def test_ppmi_of_a_stored_index(spark, tmp_path):
+    """A stored index's postings have lengths beside them; the vectors are those of bare postings."""
+    from tarnwell.operators import index as I
+
+    docs = spark.createDataFrame([(i, " ".join(f"{'abcd'[i % 4]}{k}" for k in ("x", "y", "z")) + f" w{i}") for i in range(40)], "doc_id long, text string")
+    I.build(docs, str(tmp_path))
+    stored = I.ppmi_vectors(I.opened(spark, str(tmp_path)).post, dims=64, units=4)
+    bare = I.ppmi_vectors(I.postings(docs), dims=64, units=4)
+    for got, wanted, key in zip(stored, bare, ("term", "doc_id"), strict=True):
+        rows = lambda df: sorted((r[key], r.dim, round(r.x, 9)) for r in df.collect())  # noqa: B023, E731
+        assert rows(got) == rows(wanted) != []
+
+
 def test_facts_and_dates():
     from tarnwell.functions.dates import parse_span
     from tarnwell.functions.facts import split_facts
