@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from tarnwell.llm.common import batch, id_and_text, map_arrow
-from tarnwell.session import drop, durable
+from tarnwell.session import drop, durable, release
 
 SHAPES = 8
 MOST_CLASSES = 64  # of all kinds; a class and a side fit one byte
@@ -54,6 +54,13 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 1
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, so that what a worker makes of one stays small beside the batch."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 # -- words and numbers ----------------------------------------------------------------------------------------------
 
 
@@ -69,7 +76,7 @@ def word_counts(train: DataFrame) -> DataFrame:
                 yield batch("word binary, c long", [words[i : i + 50_000], [seen[w] for w in words[i : i + 50_000]]])
             seen.clear()
 
-        for b in batches:
+        for b in pieces(batches):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if not held_out(i):
                     seen.update(t.lower().split())
@@ -124,7 +131,7 @@ def encode(docs: DataFrame, top: list[tuple[bytes, int]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, number, ranks = TaskContext.get().partitionId() << 33, 0, sent.value
         lookup = _Lookup(lambda w: ranks.get(w, RARE))
-        for b in batches:
+        for b in pieces(batches):
             rows, rare = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 words = t.lower().split()
@@ -166,7 +173,7 @@ def pair_counts(encoded: DataFrame, lut: np.ndarray, size: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
-        for b in batches:
+        for b in pieces(batches):
             _, c = sequences(b, lut)
             c = c.astype(np.int64)
             total += np.bincount(c[:-1] * size + c[1:], minlength=size * size)
@@ -249,9 +256,9 @@ def best_classes(word: np.ndarray, code: np.ndarray, n: np.ndarray, words: int,
     total = table.sum(1)
     gain = np.zeros((words, classes))
     starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-    cuts = [0]  # whole words in blocks of about 100,000 entries
+    cuts = [0]  # whole words in blocks of about 10,000 entries, each with some arrays of 10,000 by classes doubles
     for s in [*starts.tolist()[1:], len(word)]:
-        if s - cuts[-1] >= 100_000 or s == len(word):
+        if s - cuts[-1] >= 10_000 or s == len(word):
             cuts.append(s)
     for lo, hi in zip(cuts, cuts[1:], strict=False):
         m = np.where(side[lo:hi, None] == 1, table[:classes, :].T[d[lo:hi]], table[:, :classes][d[lo:hi]])
@@ -288,6 +295,15 @@ def _packed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     return word[cuts], [raw[a * PAYLOAD.itemsize : b * PAYLOAD.itemsize] for a, b in zip(cuts.tolist(), ends, strict=False)]
 
 
+def _payloads(keys: np.ndarray, words: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Words and payloads of the keys word << 7 | code, which are sorted in place, for 5,000 of ``words`` words at a time."""
+    keys.sort()
+    cuts = np.searchsorted(keys, np.arange(0, words + 5_000, 5_000, dtype=keys.dtype) << 7).tolist()
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if hi > lo:
+            yield _packed(*_runs(keys[lo:hi]))
+
+
 def frequent_neighbours(encoded: DataFrame, lut: np.ndarray) -> DataFrame:
     """(word, payload): for each frequent word, by its number, what classes stand before and after it, as counted by one task."""
 
@@ -296,12 +312,12 @@ def frequent_neighbours(encoded: DataFrame, lut: np.ndarray) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             if held:
-                words, pays = _packed(*_runs(np.concatenate(held)))
+                keys = np.concatenate(held)
                 held.clear()
-                for i in range(0, len(words), 20_000):
-                    yield batch("word int, payload binary", [words[i : i + 20_000], pays[i : i + 20_000]])
+                for words, pays in _payloads(keys, END):
+                    yield batch("word int, payload binary", [words, pays])
 
-        for b in batches:
+        for b in pieces(batches):
             ids, c = sequences(b, lut)
             at = np.flatnonzero(ids < END)
             key = ids[at].astype(np.uint32) << 7
@@ -317,65 +333,78 @@ def rare_neighbours(encoded: DataFrame, lut: np.ndarray) -> DataFrame:
     """(word, payload) of the words that are not frequent, by their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, list[int]] = {}
+        held: list[pa.Array] = []
+        codes: list[np.ndarray] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            words = list(seen)
-            for i in range(0, len(words), 20_000):
-                part = words[i : i + 20_000]
-                codes = [seen[w] for w in part]
-                key = np.repeat(np.arange(len(part), dtype=np.uint32), [len(x) for x in codes]) << 7 | np.concatenate([np.array(x, np.uint32) for x in codes])
-                yield batch("word binary, payload binary", [part, _packed(*_runs(key))[1]])
-            seen.clear()
-
-        size = 0
-        for b in batches:
+            if not held:
+                return
+            coded = pa.chunked_array(held).dictionary_encode()
+            held.clear()
+            names = coded.chunk(0).dictionary
+            keys = np.concatenate([x.indices.to_numpy(zero_copy_only=False) for x in coded.chunks]).astype(np.int64) << 7
+            keys = np.concatenate([keys | np.concatenate(codes[::2]), keys | np.concatenate(codes[1::2])])
+            codes.clear()
+            for words, pays in _payloads(keys, len(names)):
+                yield batch("word binary, payload binary", [names.take(pa.array(words)), pays])
+
+        tokens, size = 0, 0
+        for b in pieces(batches):
             ids, c = sequences(b, lut)
             at = np.flatnonzero(ids == RARE)
-            size += len(at)
-            words = b.column(2).flatten().to_pylist()
-            for w, x, y in zip(words, c[at - 1].tolist(), (c[at + 1] | 64).tolist(), strict=True):
-                got = seen.get(w)
-                if got is None:
-                    seen[w] = [x, y]
-                else:
-                    got += (x, y)
-            if size > 1_500_000:
+            if not len(at):
+                continue
+            held.append(b.column(2).flatten())
+            codes += [c[at - 1], c[at + 1] | 64]
+            tokens, size = tokens + len(at), size + held[-1].nbytes
+            if tokens > 1_500_000 or size > 64_000_000:
                 yield from out()
-                size = 0
+                tokens, size = 0, 0
         yield from out()
 
     return map_arrow(training(encoded).select("ids", "shapes", "rare"), run, "word binary, payload binary")
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Words and how often each has each of the 128 codes, from (word, payload) in the order of the words; a word's rows may lie in
+    several batches. A slice of a batch and the last word's counts are all that is held."""
+    last: tuple[pa.Array, np.ndarray] | None = None
+    for b in pieces(batches):
+        coded = pc.dictionary_encode(b.column(0))
+        index, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        pays = b.column(1).to_pylist()
+        pay = np.frombuffer(b"".join(pays), PAYLOAD)
+        key = np.repeat(index, [len(p) // PAYLOAD.itemsize for p in pays]) << 7 | pay["code"]
+        n = np.bincount(key, weights=pay["n"], minlength=len(names) << 7).reshape(-1, 128)
+        if last is not None:
+            if last[0][0] == names[0]:
+                n[0] += last[1][0]
+            else:
+                names, n = pa.concat_arrays([last[0], names]), np.concatenate([last[1], n])
+        last = names[-1:], n[-1:].copy()
+        if len(names) > 1:
+            yield names[:-1], n[:-1]
+    if last is not None:
+        yield last
+
+
 def assigned(neighbours: DataFrame, kind: str, now: np.ndarray | None, table: np.ndarray, classes: int) -> DataFrame:
     """(word, c, class) for each word of ``neighbours``: its training count and its best class; ``now`` has the classes of numbered
     words. A word seen once keeps the class of its shape (bytes) or its class so far (numbers)."""
     schema = f"word {kind}, c long, class int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        coded = pc.dictionary_encode(t.column(0).combine_chunks())
-        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-        index, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
-        pays = t.column(1).to_pylist()
-        pay = np.frombuffer(b"".join(pays), PAYLOAD)
-        key = np.repeat(index, [len(p) // PAYLOAD.itemsize for p in pays]) << 7 | pay["code"]
-        keys, where = np.unique(key, return_inverse=True)
-        n = np.bincount(where, weights=pay["n"])
-        word, code = keys >> 7, (keys & 127).astype(np.uint8)
-        if kind == "int":
-            was = now[names.to_numpy(zero_copy_only=False)].astype(np.int64)
-        else:
-            was = classes + np.array([shape(w) for w in names.to_pylist()], np.int64)
-        count = np.bincount(word, weights=np.where(code < 64, n, 0.0), minlength=len(names)).astype(np.int64)
-        best = best_classes(word, code, n, len(names), was, table, classes)
-        yield batch(schema, [names, count, np.where(count >= 2, best, was)])
+        for names, n in _totals(batches):
+            if kind == "int":
+                was = now[names.to_numpy(zero_copy_only=False)].astype(np.int64)
+            else:
+                was = classes + np.array([shape(w) for w in names.to_pylist()], np.int64)
+            word, code = np.nonzero(n)
+            count = n[:, :64].sum(1).astype(np.int64)
+            best = best_classes(word, code.astype(np.uint8), n[word, code], len(names), was, table, classes)
+            yield batch(schema, [names, count, np.where(count >= 2, best, was)])
 
-    return map_arrow(neighbours.repartition("word"), run, schema)
+    return map_arrow(neighbours.repartition("word").sortWithinPartitions("word"), run, schema)
 
 
 # -- the model ------------------------------------------------------------------------------------------------------
@@ -458,7 +487,7 @@ def train_model(words: int, distinct_words: int, known: DataFrame, rare: DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
-        for b in batches:
+        for b in pieces(batches):
             parts = [np.array([end])]
             for _, k, _ in classed(b, lut, classes):
                 parts += [k, parts[0]]
@@ -494,7 +523,7 @@ def scored(known: DataFrame, model: Model) -> DataFrame:
         base_den = math.log10(m.n + 0.5 * (m.v + 1))
         end = np.array([m.end])
         end_base, end_emit = math.log10(m.ends + 0.5) - base_den, float(m.emit(np.array([float(m.ends)]), end)[0])
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for i, out, (ids, k, c_few) in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), classed(b, m.lut, m.classes), strict=True):
                 c = np.empty(len(ids))
@@ -527,6 +556,7 @@ def score(docs: DataFrame, frequent: int = 65_000, seeds: int = 512, classes: in
     classes = min(classes, max(1, len(top)))
     encoded = durable(encode(docs, top), "encoded")
     lut, rare = cluster(encoded, top, seeds, classes, rounds)
+    release(docs.sparkSession)  # the joins need the disk that the shuffles so far hold
     known = durable(with_rare(encoded, rare), "known")
     drop(encoded)
     return scored(known, train_model(int(whole.c or 0), int(whole.v), known, rare, top, lut, classes))

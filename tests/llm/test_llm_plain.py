@@ -7,11 +7,13 @@ import math
 import random
 import string
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -194,6 +196,39 @@ def test_payloads_hold_any_count():
     assert got == dict(zip(keys.tolist(), n.tolist(), strict=True))
 
 
+def test_assigned_memory_is_bounded(monkeypatch):
+    """A partition of many words, each with rows in several batches, is assigned in little memory, and each word once."""
+    rng = np.random.default_rng(21)
+    words, classes, size, copies = 9_000, 48, 57, 4
+    table = rng.integers(1, 9_000, (size, size)).astype(float)
+    now = rng.integers(0, size - 1, words).astype(np.uint8)
+    pay = np.zeros((words, 100), class_lm.PAYLOAD)
+    pay["code"] = np.r_[:50, 64:114]
+    pay["n"] = rng.integers(1, 256, (words, 100))
+    pays = [x.tobytes() for x in pay]
+    rows = pa.table({"word": pa.array(np.repeat(np.arange(words), copies), pa.int32()), "payload": pa.array([p for p in pays for _ in range(copies)], pa.binary())})
+
+    class Rows:
+        def repartition(self, *_):
+            return self
+
+        sortWithinPartitions = repartition  # noqa: N815
+
+    monkeypatch.setattr(class_lm, "map_arrow", lambda df, run, schema: run)
+    run = class_lm.assigned(Rows(), "int", now, table, classes)
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(run(iter(rows.to_batches(max_chunksize=9_999)))))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.column("word").to_pylist() == list(range(words))
+    n = pay["n"].astype(float) * copies
+    assert got.column("c").to_pylist() == n[:, :50].sum(1).astype(int).tolist()
+    word, at = np.nonzero(n)
+    want = class_lm.best_classes(word, pay["code"][word, at], n[word, at], words, now.astype(int), table, classes)
+    assert got.column("class").to_pylist() == want.tolist()
+    assert most < 60e6, most
+
+
 def test_best_classes_gain_most():
     """Against the criterion computed anew with the word in each class in turn."""
     rng = np.random.default_rng(18)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -197,6 +198,25 @@ def test_class_lm_brute_force(docs, texts):
         assert model > base  # a better perplexity on held-out texts
 
 
+def test_class_lm_frees_shuffles_before_its_joins(spark, docs, monkeypatch):
+    """The shuffle files of counting and clustering are gone when the tokens that are not frequent are joined."""
+    files = lambda: {str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    there, left = files(), []
+    join = class_lm.with_rare
+
+    def watched(encoded, rare):
+        for _ in range(100):  # Spark deletes them in a thread of its own
+            if not files() - there:
+                break
+            time.sleep(0.1)
+        left.append(len(files() - there))
+        return join(encoded, rare)
+
+    monkeypatch.setattr(class_lm, "with_rare", watched)
+    assert class_lm.score(docs, frequent=700).count() == docs.count()
+    assert left == [0]
+
+
 def test_embeddings_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((200, 32))
