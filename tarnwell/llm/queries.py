@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwell.llm import chat, class_lm, packing, piece_codec, secrets, simhash, tiff, vectors_lsh, weak_labels
+from tarnwell.llm import chat, class_lm, licenses, packing, piece_codec, repair, secrets, simhash, spelling, tiff, vectors_lsh, weak_labels
 from tarnwell.llm.token_counts import token_counts
 from tarnwell.llm.token_ids import bpe_50k
 from tarnwell.session import table
@@ -52,5 +52,17 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(table(spark, sf_dir, "documents"), frequent=65_000, seeds=512, classes=48, rounds=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_simhash_near_dedup, op5_vector_packing, op7_secret_scan, op3_weak_label_quality, op8_tiff_pages, op2_chat_format, op6_embedding_near_dedup, op9_piece_codec, op10_class_lm)} | {"pipeline": corpus_pipeline.run}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), least_length=6, least_count=5, drop_every=199, factor=5)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_simhash_near_dedup, op5_vector_packing, op7_secret_scan, op3_weak_label_quality, op8_tiff_pages, op2_chat_format, op6_embedding_near_dedup, op9_piece_codec, op10_class_lm, op11_conversation_repair, op12_license_scan, op13_spelling_variants)} | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {"op2_chat_format": chat.ORACLE}
