@@ -96,20 +96,20 @@ class Engine:
     def affected(self, name: str, depth: int = DEPTH) -> DataFrame:
         """(path, qual, depth): what a change reaches, members of a container included."""
         of = self.lookup(name)
-        inside = G.reach(self.table("edges").where("rel in ('contains', 'method')"), of, 8).select("node_id").distinct()
+        inside = G.reach(self.table("edges").where("rel in ('contains', 'method')"), of, None).select("node_id").distinct()
         got = G.affected(self.table("edges"), inside, depth).groupBy("node_id").agg(F.min("depth").alias("depth")).join(inside, "node_id", "left_anti")
         return got.join(self.table("nodes"), "node_id").select("path", "qual", "depth").orderBy("depth", "path", "qual")
 
+    def path_hops(self, a: str, b: str) -> DataFrame:
+        """(pos, qual, rel, forward, conf): a shortest way from one name to another, each hop with its relation, direction and
+        confidence; no rows if there is none."""
+        ends = lambda name: self.lookup(name).select(F.lit(0).alias("pair"), "node_id")
+        way = G.shortest_paths(self.table("edges"), ends(a), ends(b))
+        return way.join(self.table("nodes").select("node_id", "qual"), "node_id").select("pos", "qual", "rel", "forward", "conf").orderBy("pos")
+
     def path(self, a: str, b: str) -> list[str]:
         """Qualified names of a shortest way from one name to another; [] if there is none."""
-        starts, ends = self.lookup(a), self.lookup(b)
-        edges = self.table("edges")
-        near = G.shortest_hops(edges, starts, ends).orderBy("depth", "seed", "node_id").first()
-        if near is None:
-            return []
-        ids = G.shortest_path(edges, near.seed, near.node_id)
-        known = {r.node_id: r.qual for r in self.table("nodes").where(F.col("node_id").isin(ids)).collect()}
-        return [known[i] for i in ids]
+        return [r.qual for r in self.path_hops(a, b).collect()]
 
     def hubs(self, k: int = HUBS) -> DataFrame:
         return G.degrees(self.table("edges"), ["calls", "imports", "inherits", "method"]).join(self.table("nodes"), "node_id").orderBy(F.desc("degree"), "node_id").limit(k).select("qual", "path", "degree")

@@ -72,12 +72,43 @@ def families(nodes: DataFrame) -> DataFrame:
     return first_rule(impls, "impl_id", [here, impls.join(only, ["family", "name"])]).select("impl_id", F.col("target").alias("class_id"))
 
 
-def ancestors(nodes: DataFrame, inherits: DataFrame, depth: int = 8) -> DataFrame:
+def ancestors(nodes: DataFrame, inherits: DataFrame) -> DataFrame:
     """(node_id, ancestor, depth): bases of bases, nearest first; cycles end as a class is met once."""
     from tarnwell.operators.graph import reach
 
     seeds = inherits.select(F.col("src").alias("node_id")).distinct()
-    return reach(inherits, seeds, depth).where("depth > 0").select(F.col("seed").alias("node_id"), F.col("node_id").alias("ancestor"), "depth")
+    return reach(inherits, seeds, None).where("depth > 0").select(F.col("seed").alias("node_id"), F.col("node_id").alias("ancestor"), "depth")
+
+
+def module_lookup(wanted: DataFrame, bindings: DataFrame, defs: DataFrame) -> DataFrame:
+    """(file, name, target): what a name of a file stands for, followed through imports of any depth.
+
+    wanted: (file, name); defs: (file, name, target), of which the smallest of a name counts; bindings: (file, ord, as_name, orig,
+    module), stars with orig '*'. The search goes depth first: a file's own definition, then its imports of that name, the
+    latest first, then its stars in their order; a (file, name) is visited once, so cycles end. A way is the list of the
+    places its imports have in that order, and the first definition found is the one of the least way without a key twice. Each round
+    takes every way one import on and keeps, for each key, the least one; what lies behind a definition already found is not
+    followed. Rounds end when no way gets better, however deep the imports are.
+    """
+    defs = durable(defs.groupBy(F.col("file").alias("at_file"), F.col("name").alias("at_name")).agg(F.min("target").alias("target")), "defs")
+    named = bindings.where("orig <> '*'").select(F.col("file").alias("at_file"), F.col("as_name").alias("at_name"), "module", F.col("orig").alias("to"), (-F.col("ord")).cast("long").alias("place"))
+    stars = bindings.where("orig = '*'").select(F.col("file").alias("at_file"), "module", (F.col("ord") + 1).cast("long").alias("place"))
+    named, stars = durable(named, "named"), durable(stars, "stars")
+    asked, at = ["file", "name"], ["at_file", "at_name"]
+    key = lambda f, n: F.struct(F.col(f).alias("file"), F.col(n).alias("name"))
+    with_target = lambda df: df.join(defs, at, "left").select(*asked, *at, "way", "fresh", "keys", "target")
+    ways = wanted.select(*asked).distinct().select(*asked, F.col("file").alias("at_file"), F.col("name").alias("at_name"), F.array().cast("array<bigint>").alias("way"), F.lit(True).alias("fresh"), F.array(key("file", "name")).alias("keys"))
+    ways = durable(with_target(ways), "ways")
+    best = lambda df: df.where("target is not null").groupBy(*asked).agg(F.min(F.struct("way", "target")).alias("found"))
+    while not ways.where("fresh").isEmpty():
+        going = ways.where("fresh").drop("target").join(best(ways), asked, "left").where(F.col("found").isNull() | (F.col("way") < F.col("found.way")))
+        columns = [*asked, "module", "to", "way", "keys", "place"]
+        onward = going.join(named, at).select(columns).union(going.join(stars, "at_file").select(*asked, "module", F.col("at_name").alias("to"), "way", "keys", "place"))
+        onward = onward.where(~F.array_contains("keys", key("module", "to"))).select(*asked, F.col("module").alias("at_file"), F.col("to").alias("at_name"), F.array_append("way", F.col("place")).alias("way"), F.lit(True).alias("fresh"), F.array_append("keys", key("module", "to")).alias("keys"))
+        every = ways.withColumn("fresh", F.lit(False)).unionByName(with_target(onward))
+        least = every.groupBy(*asked, *at).agg(F.min(F.struct("way", "fresh", "keys")).alias("w"), F.first("target", True).alias("target"))
+        ways = durable(least.select(*asked, *at, "w.*", "target"), "ways")
+    return best(ways).select(*asked, "found.target")
 
 
 def build_graph(files: DataFrame, facts: DataFrame) -> dict[str, DataFrame]:
@@ -95,14 +126,13 @@ def build_graph(files: DataFrame, facts: DataFrame) -> dict[str, DataFrame]:
     import_edges = imports.join(of_file, F.col("path") == F.col("p")).select(F.col("file_id").alias("src"), "target").join(of_file.select(F.col("p").alias("target"), F.col("file_id").alias("dst")), "target").select("src", "dst", F.lit("imports").alias("rel")).distinct()
 
     top = symbols.where("parent_ord is null").select(F.col("path").alias("tp"), F.col("name").alias("tn"), F.col("node_id").alias("target"), F.col("kind").alias("tk"))
-    bound = imports.where("name is not null and not is_module").select("path", F.coalesce("alias", "name").alias("as_name"), F.col("name").alias("orig"), F.col("target").alias("module_path"))
-    named = bound.join(top, (F.col("module_path") == F.col("tp")) & ((F.col("orig") == F.col("tn")) | (F.col("orig") == "*"))).select("path", F.when(F.col("orig") == "*", F.col("tn")).otherwise(F.col("as_name")).alias("as_name"), "target", "tk")
-    # a name that the module itself imports is that other module's, through at most three of them
-    for _ in range(3):
-        via = bound.select(F.col("path").alias("vp"), F.col("as_name").alias("va"), F.col("orig").alias("vo"), F.col("module_path").alias("vm")).where("vo <> '*'")
-        onward = bound.join(via, (F.col("module_path") == F.col("vp")) & (F.col("orig") == F.col("va"))).select("path", "as_name", F.col("vo").alias("orig"), F.col("vm").alias("module_path"))
-        bound = bound.union(onward).distinct()
-    named = named.union(bound.where("orig <> '*'").join(top, (F.col("module_path") == F.col("tp")) & (F.col("orig") == F.col("tn"))).select("path", "as_name", "target", "tk")).distinct()
+    # names that come by import, through any number of re-exports: those that calls, receivers and bases of a file use
+    bound = imports.where("name is not null and not is_module").select(F.col("path").alias("file"), "ord", F.coalesce("alias", "name").alias("as_name"), F.col("name").alias("orig"), F.col("target").alias("module"))
+    said = facts.select("path", F.explode("calls").alias("c"))
+    used = said.select("path", "c.name").union(said.select("path", "c.recv")).union(facts.select("path", F.explode(F.flatten("symbols.bases"))))
+    used = used.toDF("file", "name").where("name is not null").distinct().join(bound.select("file").distinct(), "file", "left_semi")
+    imported_names = module_lookup(used, bound, top.select(F.col("tp").alias("file"), F.col("tn").alias("name"), "target"))
+    named = durable(imported_names.join(top.select("target", "tk"), "target").select(F.col("file").alias("path"), F.col("name").alias("as_name"), "target", "tk"), "named")
     modules = imports.where("name is null or is_module").select("path", F.coalesce("alias", "name", F.col("module")).alias("as_name"), F.col("target").alias("module_path"))
     unique = symbols.groupBy("family", "name").agg(F.count(F.lit(1)).alias("c"), F.min("node_id").alias("target")).where("c = 1")
 

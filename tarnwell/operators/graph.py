@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -45,8 +47,9 @@ def hub_cut(deg: DataFrame, least: int = 50) -> DataFrame:
     return at.select(F.greatest(F.lit(least), F.coalesce("d", F.lit(0))).cast("long").alias("cut"))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int, stop: DataFrame | None = None) -> DataFrame:
-    """(seed, node_id, depth, via): breadth-first along src -> dst up to ``depth`` hops; via is the smallest node a step before.
+def reach(edges: DataFrame, seeds: DataFrame, depth: int | None, stop: DataFrame | None = None) -> DataFrame:
+    """(seed, node_id, depth, via): breadth-first along src -> dst up to ``depth`` hops (None: to the end); via is the smallest node
+    a step before.
 
     Visited nodes never come back, so cycles end; each round's frontier is written to the shared folder. Nodes of ``stop``
     are reached but not expanded.
@@ -56,7 +59,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, stop: DataFrame | None
         step = step.join(stop.select(F.col("node_id").alias("src")), "src", "left_anti")
     seen = durable(seeds.select(F.col("node_id").alias("seed"), "node_id", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("via")).distinct(), "reach")
     frontier = seen
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
         new = frontier.join(step, frontier.node_id == step.src).groupBy("seed", F.col("dst").alias("node_id")).agg(F.min("src").cast("long").alias("via"))
         new = new.join(seen.select("seed", "node_id"), ["seed", "node_id"], "left_anti").select("seed", "node_id", F.lit(d).alias("depth"), "via")
         frontier = durable(new, "reach")
@@ -72,26 +75,132 @@ def affected(edges: DataFrame, seeds: DataFrame, depth: int = 3, rels: tuple[str
     return reach(back, seeds, depth).where("depth > 0")
 
 
-def shortest_hops(edges: DataFrame, starts: DataFrame, ends: DataFrame, limit: int = 12) -> DataFrame:
-    """(seed, node_id, depth) of the nearest of ``ends`` for each start, undirected; the smaller id of equals."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src"))
-    found = reach(both, starts, limit).join(ends.select("node_id"), "node_id", "left_semi")
-    return found.groupBy("seed").agg(F.min(F.struct("depth", "node_id")).alias("b")).select("seed", "b.node_id", "b.depth")
+def shortest_hops(edges: DataFrame, starts: DataFrame, ends: DataFrame, limit: int | None = None) -> DataFrame:
+    """(seed, node_id, depth) of the nearest of ``ends`` for each start, undirected; the smaller id of equals.
 
+    A start is expanded until it meets an end, and no further; the neighbours of a level are in it, in the one before or in the
+    next, so those two are all that a round has to know.
+    """
+    both = durable(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct(), "hops-edges")
+    ends = durable(ends.select("node_id").distinct(), "hops-ends")
+    frontier = durable(starts.select(F.col("node_id").alias("seed"), "node_id").distinct(), "hops")
+    before, found = frontier.where("false"), []
+    for d in count():
+        met = durable(frontier.join(ends, "node_id", "left_semi").groupBy("seed").agg(F.min("node_id").alias("node_id")), "hops-met")
+        found.append(met.select("seed", "node_id", F.lit(d).alias("depth")))
+        if limit is not None and d == limit:
+            break
+        going = frontier.join(met.select("seed"), "seed", "left_anti")
+        new = going.join(both, going.node_id == both.src).select("seed", F.col("dst").alias("node_id")).distinct()
+        new = new.join(frontier, ["seed", "node_id"], "left_anti").join(before, ["seed", "node_id"], "left_anti")
+        before, frontier = frontier, durable(new, "hops")
+        if frontier.isEmpty():
+            break
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out
 
-def shortest_path(edges: DataFrame, start: int, end: int, limit: int = 12) -> list[int]:
-    """Node ids from ``start`` to ``end``, each step the smallest parent; [] if none is found. Only the path itself reaches the driver."""
+
+def shortest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
+    """(pair, pos, node_id, rel, forward, conf): a shortest undirected way from the nodes of ``starts`` to those of ``ends``, both
+    (pair, node_id), for every pair that has one, of any length.
+
+    The search goes from both sides at once: each round expands, for each pair, the side with fewer nodes, and a pair is done when
+    its sides meet or one has nothing left. Of the shortest ways the one whose node ids are smallest, compared from the start, is
+    given; of the edges between two nodes the first by (src, dst, rel), with its direction along the way. The first row of a way
+    is its start, whose rel, forward and conf are null. An undirected level's neighbours are in it, the one before or the
+    next, so a round reads two levels, and only rows on shortest ways are read again at the end.
+    """
+    und = durable(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct(), "way-edges")
+    rows = ["pair", "side", "level", "node_id"]
+    side = lambda df, n: df.select("pair", F.lit(n).alias("side"), F.lit(0).alias("level"), F.col("node_id").cast("long").alias("node_id")).distinct()
+    both = side(starts, 0).union(side(ends, 1)).where("pair is not null and node_id is not null")
+    both = both.join(both.groupBy("pair").agg(F.count_distinct("side").alias("n")).where("n = 2").select("pair"), "pair", "left_semi")
+    other = both.select("pair", (1 - F.col("side")).alias("side"), "node_id", F.col("level").alias("far"))
+    new = durable(both.join(other, ["pair", "side", "node_id"], "left").select(*rows, "far"), "way-new")
+    state = durable(_turn(new.withColumn("age", F.lit(0)), new), "way")
+    history = [new]
+    while not state.isEmpty():
+        # the chosen sides take a step; a neighbour is new unless it is in the level left or in the one before it
+        step = state.where("grows").join(und, F.col("node_id") == F.col("src")).select("pair", "side", (F.col("level") + 1).alias("level"), F.col("dst").alias("node_id")).distinct()
+        step = step.join(state, ["pair", "side", "node_id"], "left_anti")
+        across = state.where("age = 0").select("pair", (1 - F.col("side")).alias("side"), "node_id", F.col("level").alias("far"))
+        new = durable(step.join(across, ["pair", "side", "node_id"], "left").select(*rows, "far"), "way-new")
+        history.append(new)
+        left = state.withColumn("age", F.when(F.col("grows"), F.col("age") + 1).otherwise(F.col("age"))).where("age < 2")
+        left = left.join(state.where("grows and age = 0").select("pair", "side", F.lit(True).alias("stepped")).distinct(), ["pair", "side"], "left").where("age < 1 or not coalesce(stepped, false) or grows")
+        alive = left.join(new.select("pair").distinct(), "pair", "left_semi")
+        state = durable(_turn(alive.select(*rows, "age").union(new.select(*rows, F.lit(0))), new), "way")
+    levels = _all(history)
+    near, far = F.col("level"), F.col("far")
+    met = levels.where("far is not null").select("pair", "node_id", F.when(F.col("side") == 0, near).otherwise(far).alias("df"), F.when(F.col("side") == 0, far).otherwise(near).alias("db"))
+    return _hops(edges, _along(und, levels, durable(met.distinct(), "way-met")))
+
+
+def _turn(state: DataFrame, new: DataFrame) -> DataFrame:
+    """``state`` of the pairs that have not met in ``new``, with grows: the rows of the side with fewer nodes on its outer level."""
+    state = state.join(new.where("far is not null").select("pair").distinct(), "pair", "left_anti").select("pair", "side", "level", "node_id", "age")
+    sizes = state.where("age = 0").groupBy("pair", "side").agg(F.count(F.lit(1)).alias("n"))
+    chosen = sizes.groupBy("pair").agg(F.min(F.struct("n", "side"))["side"].alias("chosen"))
+    return state.join(chosen, "pair").withColumn("grows", (F.col("side") == F.col("chosen")) & (F.col("age") == 0)).drop("chosen")
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def _along(und: DataFrame, levels: DataFrame, met: DataFrame) -> DataFrame:
+    """(pair, pos, node_id): each useful node's next one, and then the ways along them.
+
+    Every node that the end's side saw leads to the end by its smallest neighbour one level nearer. Of the start's side, only what
+    leads to a meeting is useful: levels are gone through from the meetings back to the start. A way is then read off in as
+    many rounds as its length has binary digits, as each round doubles the steps that a pointer jumps.
+    """
+    longest = met.agg(F.max("df").alias("df"), F.max(F.col("df") + F.col("db")).alias("all")).first()
+    if longest.df is None:
+        return met.select("pair", F.lit(0).alias("pos"), "node_id").where("false")
+    levels = durable(levels.drop("far").join(met.select("pair").distinct(), "pair", "left_semi"), "way-levels")
+    ends = levels.where("side = 1").select("pair", "level", "node_id")
+    nearer = ends.select("pair", F.col("node_id").alias("dst"), (F.col("level") + 1).alias("level"))
+    nexts = [ends.join(und, F.col("node_id") == F.col("src")).join(nearer, ["pair", "dst", "level"]).groupBy("pair", "node_id").agg(F.min("dst").alias("next"))]
+    useful = met.where(F.col("df") == longest.df).select("pair", "node_id")
+    for i in range(longest.df - 1, -1, -1):
+        here = levels.where((F.col("side") == 0) & (F.col("level") == i)).select("pair", "node_id")
+        tied = here.join(und, F.col("node_id") == F.col("src")).join(useful.select("pair", F.col("node_id").alias("dst")), ["pair", "dst"])
+        nexts.append(durable(tied.groupBy("pair", "node_id").agg(F.min("dst").alias("next")), "way-next"))
+        useful = nexts[-1].select("pair", "node_id").union(met.where(F.col("df") == i).select("pair", "node_id"))
+    way = durable(useful.groupBy("pair").agg(F.min("node_id").alias("node_id")).select("pair", F.lit(0).alias("pos"), "node_id"), "way-nodes")
+    jump, reach_ = durable(_all(nexts), "way-jump"), 1
+    while reach_ <= longest.all:
+        onward = way.join(jump, ["pair", "node_id"]).select("pair", (F.col("pos") + reach_).alias("pos"), F.col("next").alias("node_id"))
+        way = durable(way.union(onward), "way-nodes")
+        reach_ *= 2
+        if reach_ <= longest.all:
+            jump = durable(jump.join(jump.select("pair", F.col("node_id").alias("next"), F.col("next").alias("beyond")), ["pair", "next"]).select("pair", "node_id", F.col("beyond").alias("next")), "way-jump")
+    return way
+
+
+def _hops(edges: DataFrame, way: DataFrame) -> DataFrame:
+    """The ways with the first edge of each hop."""
+    way = durable(way, "way-nodes")
+    hops = way.where("pos > 0").join(way.select("pair", (F.col("pos") + 1).alias("pos"), F.col("node_id").alias("before")), ["pair", "pos"])
+    e = edges.select("src", "dst", "rel", "conf")
+    both = e.select(F.col("src").alias("before"), F.col("dst").alias("node_id"), F.struct("src", "dst", "rel", F.lit(True).alias("forward"), "conf").alias("e"))
+    both = both.union(e.select(F.col("dst"), F.col("src"), F.struct("src", "dst", "rel", F.lit(False).alias("forward"), "conf")))
+    named = hops.join(both, ["before", "node_id"]).groupBy("pair", "pos", "node_id").agg(F.min("e").alias("e")).select("pair", "pos", "node_id", "e.rel", "e.forward", "e.conf")
+    return way.where("pos = 0").select("*", F.lit(None).cast("string").alias("rel"), F.lit(None).cast("boolean").alias("forward"), F.lit(None).cast("string").alias("conf")).union(named)
+
+
+def shortest_path(edges: DataFrame, start: int, end: int) -> list[int]:
+    """Node ids of :func:`shortest_paths` from ``start`` to ``end``; [] if there is none. Only the path itself reaches the driver."""
     spark = edges.sparkSession
-    both = edges.select("src", "dst").union(edges.select("dst", "src"))
-    seen = reach(both, spark.createDataFrame([(start,)], "node_id long"), limit)
-    path, at = [end], end
-    while at != start:
-        row = seen.where(F.col("node_id") == at).select("via").first()
-        if row is None:
-            return []
-        at = row.via
-        path.append(at)
-    return path[::-1]
+    one = lambda n: spark.createDataFrame([(0, n)], "pair int, node_id long")
+    full = edges.select("src", "dst", F.lit("").alias("rel"), F.lit("").alias("conf"))
+    return [r.node_id for r in shortest_paths(full, one(start), one(end)).orderBy("pos").select("node_id").collect()]
 
 
 def name_lookup(nodes: DataFrame, wanted: DataFrame) -> DataFrame:

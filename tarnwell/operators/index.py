@@ -45,34 +45,43 @@ class WordIndex:
         return self.words.select("term", "df", F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
+def write_postings(source: DataFrame, path: str) -> DataFrame:
+    """Write the postings (term, doc_id, tf, dl) of ``source`` (doc_id, text) and return its documents (doc_id, dl), those without
+    words included; rows that repeat an id are one document.
+
+    Texts are dealt out by document once; a document's words are then counted where it is, without a further shuffle.
+    """
+    spark = source.sparkSession
+    n = source.agg(F.count("doc_id").alias("rows"), F.count_distinct("doc_id").alias("n")).first()
+    dealt = source.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    if n.rows == n.n:  # a row is a document: its length is known before its words are counted
+        tokens = dealt.select("doc_id", code_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+        post = tokens.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    else:
+        tokens = dealt.select("doc_id", F.explode(code_tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+        post = tokens.withColumn("dl", F.sum("tf").over(W.partitionBy("doc_id")))
+    post.select("term", "doc_id", "tf", "dl").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
+    lengths = spark.read.parquet(path).groupBy("doc_id").agg(F.max("dl").alias("dl"))
+    ids = source.where("doc_id is not null").select("doc_id")
+    ids = ids if n.rows == n.n else ids.distinct()
+    return ids.join(lengths, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0).cast("long")).alias("dl"))
+
+
 def build(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the index of ``docs`` under ``root``: postings once, lengths and words from them, the totals last, so that an index
     without totals is not there yet. A null text is a document without words; rows that repeat an id are one document."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    if source.rdd.getNumPartitions() < parts:  # one large file is few input partitions
-        source = source.repartition(parts)
-    n = docs.agg(F.count(id_col).alias("rows"), F.count_distinct(id_col).alias("n")).first()
-    if n.rows == n.n:  # a row is a document: its length is known before its words are dealt out
-        tokens = source.select("doc_id", code_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
-        post = tokens.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
-    else:
-        postings(source).write.mode("overwrite").parquet(f"{root}/raw")
-        raw = spark.read.parquet(f"{root}/raw")
-        post = raw.join(doc_stats(raw), "doc_id").select("term", "doc_id", "tf", "dl")
-    post.repartition("doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{root}/postings")
-    written = spark.read.parquet(f"{root}/postings")
-    written.groupBy("doc_id").agg(F.max("dl").alias("dl")).write.mode("overwrite").parquet(f"{root}/lengths")
-    written.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).write.mode("overwrite").parquet(f"{root}/words")
-    spark.read.parquet(f"{root}/lengths").agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("total"), F.lit(n.n).cast("long").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{root}/totals")
+    lengths = write_postings(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), f"{root}/postings")
+    lengths.write.mode("overwrite").parquet(f"{root}/lengths")
+    spark.read.parquet(f"{root}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).write.mode("overwrite").parquet(f"{root}/words")
+    spark.read.parquet(f"{root}/lengths").agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{root}/totals")
 
 
 def opened(spark: SparkSession, root: str) -> WordIndex:
     """The index that :func:`build` wrote under ``root``."""
     at = lambda name: spark.read.parquet(f"{root}/{name}")
     totals = at("totals").first()
-    return WordIndex(at("postings"), at("words"), at("lengths"), totals.n, totals.total)
+    return WordIndex(at("postings"), at("words"), at("lengths").where("dl > 0"), totals.n, totals.total)
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:

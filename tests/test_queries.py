@@ -53,6 +53,47 @@ def test_shortest_path(spark):
     assert G.shortest_path(edges, 1, 7) == []
 
 
+def test_shortest_ways_have_no_limit(spark):
+    from tarnwell.operators import graph as G
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "src long, dst long")
+    assert G.shortest_path(edges, 20, 0) == list(range(20, -1, -1))
+    one = lambda n: spark.createDataFrame([(n,)], "node_id long")
+    assert [tuple(r) for r in G.shortest_hops(edges, one(0), one(15)).collect()] == [(0, 15, 15)]
+    assert G.shortest_hops(edges, one(0), one(15), 4).count() == 0
+
+
+def test_segments_equal_one_build(spark, tmp_path):
+    from tarnwell.operators import index as I
+    from tarnwell.operators.segments import Segments
+    from tarnwell.sources import commits
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    I.build(docs, str(tmp_path / "full"))
+    full, parts = I.opened(spark, str(tmp_path / "full")), Segments(spark, str(tmp_path / "parts"))
+    assert parts.opened().n == 0 and parts.opened().post.count() == 0 and parts.compact() == 0
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+
+    def equal():
+        got = parts.opened()
+        assert (got.n, got.total) == (full.n, full.total)
+        assert rows(got.words) == rows(full.words.select("term", "df", "cf")) and rows(got.lengths) == rows(full.lengths)
+        assert rows(got.post.select("term", "doc_id", "tf", "dl")) == rows(full.post.select("term", "doc_id", "tf", "dl"))
+
+    parts.refresh(docs.where("doc_id % 2 = 0").union(spark.createDataFrame([(-1, "gone soon"), (None, "no id"), (-2, None)], "doc_id long, text string")))
+    assert parts.refresh(docs, spark.createDataFrame([(-1,), (-2,), (-3,), (0,)], "doc_id long"))["replaced_or_removed"] == docs.where("doc_id % 2 = 0").count() + 2
+    equal()
+    for i in range(4):
+        parts.refresh(docs.where(f"doc_id = {i}"))
+        parts.compact()
+    equal()
+    assert len(parts.state()[1]["segments"]) < 6
+    parts.optimize()
+    equal()
+    with pytest.raises(commits.Conflict):
+        commits.commit(spark, str(tmp_path / "parts" / "commits"), 1, {})
+
+
 def test_budget_skip(spark):
     from pyspark.sql import functions as F
 
