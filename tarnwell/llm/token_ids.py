@@ -2,7 +2,7 @@
 
 The same vocabulary exists as a ``tokenizers`` file and as ranks for ``tiktoken``, which is several times faster. The two
 can only differ where their Unicode tables differ, so each character is compared once, when first seen: a text holding one
-that the two classify differently is encoded by ``tokenizers``.
+that the two classify differently is encoded by ``tokenizers``, and so is one that ``tiktoken`` refuses.
 """
 
 from __future__ import annotations
@@ -35,7 +35,10 @@ class TokenIds:
                     (self.same if self._agree(ch) else self.other).add(ch)
             if self.other and not self.other.isdisjoint(text):
                 return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text, allowed_special="all")
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # its pattern runs out of stack on a million white-space characters in a row
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def bpe_50k() -> TokenIds:
