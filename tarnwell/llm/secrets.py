@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -85,7 +86,7 @@ def entropy_windows(s: str, window: int, least: float) -> list[tuple[int, int]]:
 
 def entropy_spans(text: str, base: list[Span], classes: tuple = CLASSES) -> list[Span]:
     """Entropy findings outside the base findings."""
-    found = []
+    found, cover = [], Cover(base)
     for m in CANDIDATE.finditer(text):
         if m[0] in ALLOWED_KEYS or any(a.match(m[0]) for a in ALLOWED):
             continue
@@ -99,19 +100,33 @@ def entropy_spans(text: str, base: list[Span], classes: tuple = CLASSES) -> list
             if len(part) < window:
                 window, least = len(part), least * math.log2(len(part)) / math.log2(window)
             for a, b in entropy_windows(part, window, least):
-                found += [(x, 3, y) for x, y in uncovered(a + start, b + start, base)]
+                found += [(x, 3, y) for x, y in cover.outside(a + start, b + start)]
     return found
 
 
-def uncovered(a: int, b: int, base: list[Span]) -> list[tuple[int, int]]:
-    """The parts of (a, b) outside the spans of ``base``, which come by start."""
-    out = []
-    for x, _, y in base:
-        if y > a and x < b:
-            if x > a:
-                out.append((a, x))
-            a = max(a, y)
-    return [*out, (a, b)] if a < b else out
+class Cover:
+    """Base spans merged into rising ones without overlaps, so that what lies outside them is found by bisection."""
+
+    def __init__(self, base: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, _, b in base:
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def outside(self, a: int, b: int) -> list[tuple[int, int]]:
+        """The parts of (a, b) outside the spans."""
+        out = []
+        i = bisect_right(self.ends, a)
+        while i < len(self.starts) and self.starts[i] < b:
+            if self.starts[i] > a:
+                out.append((a, self.starts[i]))
+            a = max(a, self.ends[i])
+            i += 1
+        return [*out, (a, b)] if a < b else out
 
 
 def joined(spans: list[Span]) -> str:
