@@ -229,7 +229,7 @@ def pages(data: bytes, max_bytes: int = MAX_PAGE_BYTES) -> Iterator[Page]:
     can decode to, is a :class:`TiffError`, as is every other damage.
     """
     for number, t in enumerate(directories(data)):
-        one = lambda tag, default=None, t=t: t.get(tag, [default])[0]
+        one = lambda tag, default=None, t=t: (t.get(tag) or [default])[0]
         w, h, samples, bits = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1)
         comp, pred, order = one(COMPRESSION, NONE), one(PREDICTOR, 1), one(0)
         if not w or not h or bits not in (8, 16) or one(PLANAR, 1) != 1 or pred not in (1, 2):

@@ -304,7 +304,7 @@ def test_a_base_finding_leaves_the_rest_of_a_run_found():
     text = f"{secret}Q{run}Z{secret}"
     every = secrets.find(text)[1]
     assert [(secrets.KINDS[k], text[a:b]) for a, k, b in every] == [("entropy", secret + "Q"), ("hex", run), ("entropy", "Z" + secret)]
-    assert secrets.uncovered(5, 9, [(0, 0, 20)]) == [] and secrets.uncovered(0, 9, [(2, 0, 4), (3, 1, 6)]) == [(0, 2), (6, 9)]
+    assert secrets.Cover([(0, 0, 20)]).outside(5, 9) == [] and secrets.Cover([(2, 0, 4), (3, 1, 6)]).outside(0, 9) == [(0, 2), (6, 9)]
 
 
 def test_secret_patterns_on_hostile_text():
