@@ -163,7 +163,7 @@ def rooted(forms: DataFrame) -> DataFrame:
             return at
 
 
-def variants(words: DataFrame, factor: int = 5, leaf_chars: int = 200_000) -> DataFrame:
+def variants(words: DataFrame, factor: int = 5, leaf_chars: int = 50_000) -> DataFrame:
     """(word, form, root, n, n_near, form_n) for each row of ``words`` (word, n), whose words are distinct.
 
     Near words differ by one inserted, deleted or replaced character. ``form`` is the near word of largest n, of equal ones the
@@ -182,7 +182,7 @@ def variants(words: DataFrame, factor: int = 5, leaf_chars: int = 200_000) -> Da
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "form_n")
 
 
-def spelling_variants(docs: DataFrame, least_length: int = 6, least_count: int = 5, drop_every: int = 199, factor: int = 5, leaf_chars: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def spelling_variants(docs: DataFrame, least_length: int = 6, least_count: int = 5, drop_every: int = 199, factor: int = 5, leaf_chars: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """:func:`variants` of the words of whole texts, as :func:`word_counts` counts them. Null and empty texts have no words; a
     null id is the empty string in the checksum; repeated rows count each."""
     return variants(word_counts(docs, least_length, least_count, drop_every, id_col, text_col), factor, leaf_chars)
