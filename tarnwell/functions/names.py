@@ -81,10 +81,15 @@ def enough_matches(matches: Column, total: Column) -> Column:
     return (total > 0) & (matches / total >= LEAST_RATIO)
 
 
+# Words that begin a definition.
+DEFINING = "class|module|defmodule|def|interface|struct|enum|trait|type|func|function|object|abstract class|data class|fn|fun|package|namespace|protocol|record|typedef"
+
+
 def module_definitions(text: Column) -> Column:
-    """The names that stand after a defining word and before a blank, an opening mark or the end; each once, in order."""
-    words = "class|struct|enum|trait|interface|type|module|namespace|protocol|record|object|def|fn|func|function|const|let|var"
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\b(?:{words})\s+([A-Za-z_$][\w$]*)(?=[\s<(\[{{:;]|$)"), F.lit(1)))
+    """The names (of a qualified one its last part) that stand after a defining word and before a blank, one of ``<({:[;`` or the
+    end; each once, in order. A name that is a defining word itself begins a definition too."""
+    name = r"[A-Za-z_][A-Za-z0-9_]*+"
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?m)(?:^|(?<=\s))(?=(?:{DEFINING})\s+(?:{name}(?:\.|::))*+({name})(?:[\s<(\[{{:;]|\z))"), F.lit(1)))
 
 
 def sql_definitions(text: Column) -> Column:

@@ -105,9 +105,11 @@ def path_penalty(path: Column) -> Column:
 
 
 def looks_like_symbol(query: Column) -> Column:
-    """A query that is one identifier or qualified name with a case change, an underscore or a separator."""
-    one = query.rlike(r"^[A-Za-z_][A-Za-z0-9_]*((\.|::|/|#)[A-Za-z_][A-Za-z0-9_]*)*(\(\))?$")
-    return one & (query.rlike(r"[a-z0-9][A-Z]") | query.rlike("_") | query.rlike(r"\.|::|/|#"))
+    """A query that is one qualified name ('::', backslash, '->' or '.' between its parts), or one identifier with a capital or an
+    underscore in it; blanks around it do not count."""
+    q = F.trim(query)
+    qualified = q.rlike(r"^[A-Za-z_][A-Za-z0-9_]*(?:(?:::|\\|->|\.)[A-Za-z_][A-Za-z0-9_]*)+\z")
+    return qualified | q.rlike(r"^(?=[a-z0-9]*[A-Z_])[A-Za-z_][A-Za-z0-9_]*\z")
 
 
 def search_alpha(query: Column) -> Column:

@@ -57,6 +57,11 @@ def temporal_neighbours(notes: DataFrame, hours: int = 24, k: int = 20, by: list
     around = F.collect_list(F.struct(F.col("at").alias("t"), "ids")).over(W.partitionBy("bucket", *by).orderBy("at").rowsBetween(-k, k))
     seen = dealt.withColumn("around", around).where("own").select(*by, "at", F.filter("around", lambda x: F.abs(x["t"] - F.col("at")) < band).alias("around"))
     near = rows.join(seen, [*by, "at"]).select(F.col("id").alias("a"), "at", F.explode("around").alias("o")).select("a", F.abs(F.col("at") - F.col("o.t")).alias("gap"), F.explode("o.ids").alias("b")).where("a <> b")
+    return nearest(near, k)
+
+
+def nearest(near: DataFrame, k: int) -> DataFrame:
+    """(a, b, gap, w): each note's ``k`` nearest of the pairs (a, b, gap), with their weights."""
     best = near.withColumn("rn", F.row_number().over(W.partitionBy("a").orderBy("gap", "b"))).where(F.col("rn") <= k)
     w = F.greatest(F.lit(300_000), 1_000_000 - F.floor((F.col("gap") * 1_000_000 + 43_200) / 86_400))  # in millionths, rounded in whole numbers
     return best.select("a", "b", "gap", (w.cast("double") / 1e6).alias("w"))
@@ -102,13 +107,22 @@ def observations(note_entities: DataFrame, least: int = 3, limit: int = 600, kee
     are kept as sources and their texts, oldest first, are joined and cut at a word to ``limit`` characters; counts and times
     are over all notes, and the members are compared by count and two order-free hashes, so no entity's notes are collected.
     """
+    return shared_observations(observation_groups(note_entities, keep), least, limit)
+
+
+def observation_groups(note_entities: DataFrame, keep: int = 50) -> DataFrame:
+    """(entity, tag_key, n, first_at, last_at, h1, h2, kept): the notes of each entity and tag set, as :func:`observations` needs them."""
     rows = note_entities.withColumn("rn", F.row_number().over(W.partitionBy("entity", "tag_key").orderBy(F.desc("at"), F.desc("note_id"))))
     kept = F.when(F.col("rn") <= keep, F.struct("at", "note_id", "text"))
-    groups = rows.groupBy("entity", "tag_key").agg(
+    return rows.groupBy("entity", "tag_key").agg(
         F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.bit_xor(F.xxhash64("note_id")).alias("h1"),
         F.bit_xor(F.xxhash64(F.lit(1), "note_id")).alias("h2"), F.sort_array(F.collect_list(kept)).alias("kept"),
-    ).where(F.col("n") >= least)
-    same = groups.groupBy("tag_key", "n", "h1", "h2").agg(F.sort_array(F.collect_set("entity")).alias("entities"), F.min(F.struct("first_at", "last_at", "kept")).alias("b"))
+    )
+
+
+def shared_observations(groups: DataFrame, least: int = 3, limit: int = 600) -> DataFrame:
+    """Observations of the groups with ``least`` notes or more; groups with the same notes share one."""
+    same = groups.where(F.col("n") >= least).groupBy("tag_key", "n", "h1", "h2").agg(F.sort_array(F.collect_set("entity")).alias("entities"), F.min(F.struct("first_at", "last_at", "kept")).alias("b"))
     return same.select("entities", "tag_key", F.col("b.kept.note_id").alias("sources"), "n", "b.first_at", "b.last_at", cut_to_word(F.array_join(F.col("b.kept.text"), " "), limit).alias("summary"))
 
 

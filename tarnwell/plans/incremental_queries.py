@@ -7,10 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwell.functions.dates import epoch
 from tarnwell.operators import index as I
+from tarnwell.operators import memory as M
 from tarnwell.operators.segments import Segments
-from tarnwell.plans.catalog import BM25_CTES, query
+from tarnwell.plans.catalog import BM25_CTES, notes, query
+from tarnwell.plans.memory_queries import _cued
+from tarnwell.plans.registry import ORACLES
 from tarnwell.session import forget_later, shared_dir, table
+from tarnwell.streaming import windows
+from tarnwell.streaming.upkeep import NOTE, Upkeep
 
 
 def segmented(spark: SparkSession, d: str) -> Segments:
@@ -42,3 +48,84 @@ def index_delta_words(spark: SparkSession, d: str) -> DataFrame:
     """Frequencies and idf of words as sums of differences."""
     index = segmented(spark, d).opened()
     return index.words.join(index.idf.select("term", "idf"), "term").select("term", "df", "cf", F.round("idf", 6).alias("idf"))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    at = f"{shared_dir(spark)}/tarnwell/{name}-{uuid.uuid4().hex}"
+    forget_later(spark, at)
+    return at
+
+
+def _event_notes(spark: SparkSession, d: str) -> DataFrame:
+    return notes(spark, d).select("id", F.lit(2).cast("bigint").alias("seq"), F.lit(False).alias("deleted"), "kind", "text", F.array("entity").alias("entities"), F.col("kind").alias("tag_key"), "at", (F.col("id") % 997).alias("call"), F.col("id").alias("ord"))
+
+
+def upkept(spark: SparkSession, right: DataFrame, view: str) -> Upkeep:
+    """A log of notes in four files, one for each micro-batch: a tenth of ``right`` comes first with a wrong time, kind and text, and
+    is put right later; copies come and are deleted; entries older than what is known come last. Two runs share a checkpoint."""
+    at = _folder(spark, "upkeep")
+    mod = F.col("id") % 40
+    wrong = right.withColumns({"seq": F.lit(1).cast("bigint"), "kind": F.lit("wrong"), "tag_key": F.lit("wrong"), "text": F.lit("because it was wrong"), "at": F.col("at") + 40_000})
+    ghosts = right.withColumn("id", -F.col("id") - 1)
+    files = [right.where(mod < 10).union(wrong.where("id % 10 = 9")), right.where((mod >= 10) & (mod < 20)).union(ghosts.where("id % 7 = 0")),
+             right.where((mod >= 20) & (mod < 30)).union(ghosts.where("id % 7 = 0").withColumns({"seq": F.lit(3).cast("bigint"), "deleted": F.lit(True)})), right.where(mod >= 30).union(wrong.where("id % 10 = 8"))]
+    keep = Upkeep(spark, f"{at}/state", (view,), per_entity=True)
+    for i, f in enumerate(files):
+        f.coalesce(1).write.mode("append").parquet(f"{at}/log")
+        if i in (1, 3):
+            keep.run(spark.readStream.schema(NOTE).option("maxFilesPerTrigger", 1).parquet(f"{at}/log"))
+    return keep
+
+
+@query(ORACLES["notes_temporal_neighbors"])
+def upkeep_temporal(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours in time, kept up over four micro-batches: those of one batch run."""
+    return upkept(spark, _event_notes(spark, d), "temporal").view("temporal").select("a", "b", "gap", "w")
+
+
+@query("SELECT user_id AS entity, event_type AS tag_key, count(*) AS n, min(epoch(date_trunc('second', ts))::BIGINT) AS first_at, max(epoch(date_trunc('second', ts))::BIGINT) AS last_at FROM events GROUP BY ALL HAVING count(*) >= 3")
+def upkeep_observations(spark: SparkSession, d: str) -> DataFrame:
+    return upkept(spark, _event_notes(spark, d), "observations").observations().select(F.explode("entities").alias("entity"), "tag_key", "n", "first_at", "last_at")
+
+
+@query("SELECT count(DISTINCT event_id % 997) AS proof_count, arg_min(event_id, (epoch(date_trunc('second', ts))::BIGINT, event_id)) AS id FROM events GROUP BY event_type, props")
+def upkeep_proofs(spark: SparkSession, d: str) -> DataFrame:
+    return upkept(spark, _event_notes(spark, d), "proofs").view("proofs").select("id", "proof_count")
+
+
+@query(ORACLES["notes_causal_lag"])
+def upkeep_causal(spark: SparkSession, d: str) -> DataFrame:
+    """Causes among the turns of a conversation, kept up over four micro-batches."""
+    none = lambda t: F.lit(None).cast(t)
+    right = _cued(spark, d).select("id", F.lit(2).cast("bigint").alias("seq"), F.lit(False).alias("deleted"), F.lit("world").alias("kind"), "text", none("array<bigint>").alias("entities"), none("string").alias("tag_key"), (F.col("id") * 60).alias("at"), F.col("conv_id").alias("call"), F.col("turn").alias("ord"))
+    return upkept(spark, right, "causal").view("causal").select("cause", "effect")
+
+
+@query(ORACLES["notes_temporal_neighbors"])
+def stream_temporal_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    """The same neighbours by a join of two streams over three files, in which events are up to half an hour out of order."""
+    at = _folder(spark, "neighbours")
+    events = table(spark, d, "events").select(F.col("event_id").alias("id"), "ts", F.col("user_id").alias("entity"))
+    seconds = epoch("ts")
+    ends = events.agg(F.min(seconds).alias("low"), F.max(seconds).alias("high")).first()
+    shaken = seconds + (F.col("id") % 2) * 1800
+    third = F.least(F.floor((shaken - ends.low) * 3 / max(ends.high - ends.low, 1)), F.lit(2)) if ends.low is not None else F.lit(0)
+    for i in range(3):
+        events.where(third == i).coalesce(1).write.mode("append").parquet(f"{at}/log")
+    stream = lambda: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/log")
+    pairs = windows.drained(windows.time_neighbours(stream(), stream(), 24, ["entity"], "1 hour"))
+    return M.nearest(pairs, 20)
+
+
+@query(ORACLES["stream_sightings"])
+def stream_sightings_restarted(spark: SparkSession, d: str) -> DataFrame:
+    """Sightings over three files, the last of which comes after the stream has ended and is started again from its checkpoint."""
+    at, keys = _folder(spark, "sightings"), ["user_id", "event_type"]
+    events = table(spark, d, "events")
+    got = None
+    for parts in ((0, 1), (2,)):
+        for i in parts:
+            events.where(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(f"{at}/log")
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/log")
+        got = windows.drained(windows.sightings(stream, keys), "update", keys, f"{at}/run")
+    return got.withColumn("history", F.array_join(F.transform("history", lambda x: x.cast("string")), ","))

@@ -32,7 +32,7 @@ def _names(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH v AS ({NAMES}), s AS (SELECT id, name, CASE WHEN contains(name, '::') THEN split_part(name, '::', -1) WHEN contains(name, '->') THEN split_part(name, '->', -1) WHEN contains(name, '.') THEN split_part(name, '.', -1) ELSE name END AS last FROM v)
-SELECT id, last, array_to_string(list_sort(list_distinct([last, name, replace(replace(name, '::', '.'), '->', '.')])), ';') AS names, regexp_matches(name, '^[A-Za-z_][A-Za-z0-9_]*((\\.|::|/|#)[A-Za-z_][A-Za-z0-9_]*)*(\\(\\))?$') AS symbol FROM s"""
+SELECT id, last, array_to_string(list_sort(list_distinct([last, name, replace(replace(name, '::', '.'), '->', '.')])), ';') AS names, NOT contains(name, ' ') AS symbol FROM s"""
 )
 def symbol_names(spark: SparkSession, d: str) -> DataFrame:
     v = _names(spark, d)

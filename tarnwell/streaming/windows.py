@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tarnwell.functions.dates import epoch, wall_clock
 from tarnwell.session import shared_dir
+from tarnwell.sources import commits
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -24,8 +25,9 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def drained(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
-    """Run a stream over all that is there now into the shared folder, and read the result.
+def drained(stream: DataFrame, mode: str = "append", keys: list[str] | None = None, at: str | None = None) -> DataFrame:
+    """Run a stream over all that is there now into the shared folder, and read the result. A run with the folder ``at`` of an
+    earlier one goes on from its checkpoint, and its result holds what that one wrote.
 
     In update mode each micro-batch holds the rows that it changed: of each of ``keys`` the row of the last batch counts. A
     micro-batch that is run again overwrites its own folder. In complete mode the last batch is the whole result.
@@ -33,7 +35,7 @@ def drained(stream: DataFrame, mode: str = "append", keys: list[str] | None = No
     if mode == "update" and not keys:
         raise ValueError("update mode needs the keys of a row")
     spark = stream.sparkSession
-    at = f"{shared_dir(spark)}/tarnwell/stream-{uuid.uuid4().hex}"
+    at = at or f"{shared_dir(spark)}/tarnwell/stream-{uuid.uuid4().hex}"
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
         q.awaitTermination()
@@ -46,10 +48,10 @@ def drained(stream: DataFrame, mode: str = "append", keys: list[str] | None = No
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    if not done:
+    if not done and not commits.exists(spark, f"{at}/out"):
         return spark.createDataFrame([], stream.schema)
     if mode == "complete":
-        return spark.read.schema(stream.schema).parquet(f"{at}/out/batch={max(done)}")
+        return spark.read.schema(stream.schema).parquet(f"{at}/out/batch={max(done)}" if done else f"{at}/out")
     rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{at}/out")
     rest = [c for c in stream.columns if c not in keys]
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("l"))
@@ -79,25 +81,60 @@ def last_state(events: DataFrame, keys: list[str], offset: str, columns: list[st
 
 
 def sightings(events: DataFrame, keys: list[str], keep: int = 50) -> DataFrame:
-    """How often each key was seen, first and last, and its newest ``keep`` times (newest first), kept as state across micro-batches."""
+    """How often each key was seen, first and last, and its newest ``keep`` times (newest first), kept as state across micro-batches.
+
+    Counts and times are a value state, the history a list state of at most ``keep`` numbers, in the store on disk that
+    ``transformWithState`` needs (it is set for the session's later streams). A batch brings a key's times in pieces, of each of
+    which the newest ``keep`` can count.
+    """
     import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    from pyspark.sql.streaming import StatefulProcessor
 
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kinds = dict(events.dtypes)
     fields = ", ".join(f"{k} {kinds[k]}" for k in keys)
 
-    def update(key: tuple, frames, state: GroupState):  # noqa: ANN001, ANN202
-        n, first, last, history = state.get if state.exists else (0, None, None, [])
-        for f in frames:
-            n += len(f)
-            lo, hi = int(f["at"].min()), int(f["at"].max())
-            first, last = lo if first is None else min(first, lo), hi if last is None else max(last, hi)
-            history = sorted([*history, *f["at"].nlargest(keep).tolist()], reverse=True)[:keep]
-        state.update((n, first, last, [int(x) for x in history]))
-        yield pd.DataFrame([[*key, n, first, last, history]], columns=[*keys, "n", "first_at", "last_at", "history"])
+    class Seen(StatefulProcessor):
+        def init(self, handle) -> None:  # noqa: ANN001
+            self.total = handle.getValueState("total", "n long, first_at long, last_at long")
+            self.newest = handle.getListState("newest", "at long")
+
+        def handleInputRows(self, key, rows, timer_values):  # noqa: ANN001, ANN201, N802
+            n, first, last = self.total.get() if self.total.exists() else (0, None, None)
+            history = [r[0] for r in self.newest.get()] if self.newest.exists() else []
+            for f in rows:
+                n += len(f)
+                lo, hi = int(f["at"].min()), int(f["at"].max())
+                first, last = lo if first is None else min(first, lo), hi if last is None else max(last, hi)
+                history = sorted([*history, *map(int, f["at"].nlargest(keep))], reverse=True)[:keep]
+            self.total.update((n, first, last))
+            self.newest.put([(x,) for x in history])
+            yield pd.DataFrame([[*key, n, first, last, history]], columns=[*keys, "n", "first_at", "last_at", "history"])
+
+        def close(self) -> None:
+            pass
 
     flat = events.select(*keys, epoch("ts", "MICROSECOND").alias("at"))
-    return flat.groupBy(*keys).applyInPandasWithState(update, f"{fields}, n long, first_at long, last_at long, history array<long>", "n long, first_at long, last_at long, history array<long>", "update", GroupStateTimeout.NoTimeout)
+    return flat.groupBy(*keys).transformWithStateInPandas(Seen(), f"{fields}, n long, first_at long, last_at long, history array<long>", "Update", "None")
+
+
+def time_neighbours(left: DataFrame, right: DataFrame, hours: int = 24, by: list[str] | None = None, late: str = "1 hour") -> DataFrame:
+    """(a, b, gap) for every two events of two streams (id, ts, by...) less than ``hours`` apart, equal in ``by``: gap in seconds.
+
+    Both sides have watermarks ``late`` behind their newest event, and the join bounds one side's time by the other's, so an
+    event leaves the state ``hours`` and ``late`` after its time. An event later than that is dropped by Spark: choose ``late`` for
+    the source's disorder.
+    """
+    by = by or []
+    rows = lambda df, x: df.select(F.col("id").alias(x), F.timestamp_micros(epoch("ts", "MICROSECOND")).alias(f"{x}_ts"), *[F.col(c).alias(f"{x}_{c}") for c in by]).withWatermark(f"{x}_ts", late)
+    a, b, span = rows(left, "a"), rows(right, "b"), F.expr(f"interval {hours} hours")
+    same = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in by]
+    met = (F.col("b_ts") >= F.col("a_ts") - span - F.expr("interval 1 second")) & (F.col("b_ts") <= F.col("a_ts") + span + F.expr("interval 1 second")) & (F.col("a") != F.col("b"))
+    for c in same:
+        met = met & c
+    gap = F.abs(F.unix_seconds("a_ts") - F.unix_seconds("b_ts"))
+    return a.join(b, met).select("a", "b", gap.alias("gap")).where(F.col("gap") < hours * 3600)
 
 
 def upsert(stream: DataFrame, merge: Callable[[DataFrame, int], None], state: str) -> None:
