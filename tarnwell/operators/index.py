@@ -159,10 +159,18 @@ def ppmi_vectors(post: DataFrame, dims: int = 256, units: int = 8) -> tuple[Data
 def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", query_col: str = "query_id", vec: str = "embedding", block: int = 512) -> DataFrame:
     """Exact search: the ``k`` vectors of largest dot product for each query, with ranks; (query_id, vec_id, score, rank).
 
-    Both sides are cut into blocks by a hash; every block of vectors meets every block of queries in one group, where a matrix
-    product in double precision finds each query's best ``k`` of the group. Only those are shuffled on. A group holds at most
-    about ``block`` queries and 16 blocks' worth of vectors, whatever the sizes, and nothing is broadcast.
+    Queries of at most 64 MiB are sent to every task, and vectors, or stored blocks of them, are read where they lie (see
+    :mod:`tarnwell.operators.vectors`). More queries, and with them the vectors, are cut into blocks by a hash; every block of
+    vectors meets every block of queries in one group, where a matrix product in double precision finds each query's best ``k`` of
+    the group. Only those are shuffled on. A group holds at most about ``block`` queries and 16 blocks' worth of vectors.
     """
+    from tarnwell.operators import vectors as stored
+
+    near = stored.nearest(vectors, queries, k, id_col, query_col, vec)
+    if near is not None:
+        return top_k(near.withColumnRenamed("id", id_col), k, ["query_id"], "score", id_col)
+    if "data" in vectors.columns:
+        vectors = stored.exploded(vectors, id_col, vec)
     spark = vectors.sparkSession
     n, m = vectors.count(), queries.count()
     rows, cols = max(1, -(-n // (16 * block))), max(1, -(-m // block))

@@ -209,14 +209,20 @@ def merge_entities(names: DataFrame) -> DataFrame:
 def similar_pairs(vectors: DataFrame, least: float = 0.6, k: int = 50, id_col: str = "vec_id", vec: str = "embedding", block: int = 2048) -> DataFrame:
     """(a, b, score): for each vector its ``k`` others of largest dot product, of ``least`` or more; the smaller id of equals.
 
-    An exact join of all with all, in blocks: each pair of blocks is one group and a matrix product in double precision; a group
-    holds at most about twice ``block`` rows and hands on a row's best ``k`` of the group only.
+    An exact join of all with all. Vectors of at most 64 MiB are sent to every task and met where they lie; more of them are met in
+    blocks: each pair of blocks is one group and a matrix product in double precision; a group holds at most about twice
+    ``block`` rows and hands on a row's best ``k`` of the group only.
     """
     import numpy as np
     import pyarrow as pa
 
+    from tarnwell.operators import vectors as stored
     from tarnwell.session import ship
 
+    sent = stored.nearest(vectors, vectors, k, id_col, id_col, vec, least, others=True)
+    if sent is not None:
+        pairs = sent.select(F.col("query_id").alias("a"), F.col("id").alias("b"), "score")
+        return pairs.withColumn("_n", F.row_number().over(W.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("_n") <= k).drop("_n")
     n = max(1, -(-vectors.count() // block))
     rows = vectors.where(F.col(vec).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("own"))
     left = rows.select(F.col("own").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("c"), F.lit(0).alias("side"), "id", "v")

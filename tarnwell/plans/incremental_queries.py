@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from tarnwell.functions.dates import epoch
 from tarnwell.operators import index as I
 from tarnwell.operators import memory as M
+from tarnwell.operators import vectors as V
 from tarnwell.operators.segments import Segments
-from tarnwell.plans.catalog import BM25_CTES, notes, query
+from tarnwell.plans.catalog import BM25_CTES, notes, query, word_index
 from tarnwell.plans.memory_queries import _cued
 from tarnwell.plans.registry import ORACLES
+from tarnwell.plans.text_queries import knn_exact
 from tarnwell.session import forget_later, shared_dir, table
 from tarnwell.streaming import windows
 from tarnwell.streaming.upkeep import NOTE, Upkeep
@@ -129,3 +131,19 @@ def stream_sightings_restarted(spark: SparkSession, d: str) -> DataFrame:
         stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/log")
         got = windows.drained(windows.sightings(stream, keys), "update", keys, f"{at}/run")
     return got.withColumn("history", F.array_join(F.transform("history", lambda x: x.cast("string")), ","))
+
+
+@query(ORACLES["knn_exact"])
+def vectors_stored_knn(spark: SparkSession, d: str) -> DataFrame:
+    """``knn_exact`` over vectors that were stored in blocks."""
+    at, e = _folder(spark, "blocks"), table(spark, d, "embeddings")
+    V.write_blocks(e, f"{at}/vectors")
+    return knn_exact(spark, d, spark.read.parquet(f"{at}/vectors"))
+
+
+@query()
+def repo_vectors_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The ten documents nearest in meaning to each benchmark passage, by vectors learnt from the index and stored beside it; a second
+    search uses them again."""
+    at, index = _folder(spark, "repo-vectors"), word_index(spark, d)
+    return V.RepoVectors(spark, at).search(index, I.query_terms(table(spark, d, "benchmark"), "item_id", "text"), 10)

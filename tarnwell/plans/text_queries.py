@@ -109,10 +109,10 @@ DOT = "list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOU
 @query(
     f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round({DOT}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM s) SELECT query_id, vec_id, score, CAST(rk AS INTEGER) AS rank FROM r WHERE rk <= 10"
 )
-def knn_exact(spark: SparkSession, d: str) -> DataFrame:
-    """The stated query set, every vector whose id is divisible by 20, against all vectors."""
+def knn_exact(spark: SparkSession, d: str, stored: DataFrame | None = None) -> DataFrame:
+    """The stated query set, every vector whose id is divisible by 20, against all vectors (or ``stored`` blocks of them)."""
     e = table(spark, d, "embeddings")
-    return I.knn(e, e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10)
+    return I.knn(e if stored is None else stored, e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10)
 
 
 @query(
