@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +11,8 @@ from tarnwell.functions import text as T
 from tarnwell.functions.facts import split_facts_udf
 from tarnwell.operators import index as I
 from tarnwell.operators import memory as M
-from tarnwell.session import durable, forget_later, shared_dir, ship
+from tarnwell.operators.segments import Segments
+from tarnwell.session import durable, ship
 from tarnwell.sources import notes_log
 
 KINDS = ("world", "experience", "observation", "directive")
@@ -26,7 +25,7 @@ class Bank:
         import time
 
         self.spark, self.path, self.clock = spark, path, clock or (lambda: int(time.time()))
-        self._index: tuple[int, I.WordIndex] | None = None
+        self.snapshots = f"{path.rstrip('/')}-snapshots"
 
     def _log(self) -> DataFrame | None:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -34,9 +33,12 @@ class Bank:
         return notes_log.read_log(self.spark, self.path) if there else None
 
     def notes(self) -> DataFrame:
-        """The notes as they are now."""
-        log = self._log()
-        return self.spark.createDataFrame([], notes_log.NOTE) if log is None else notes_log.replay(log)
+        """The notes as they are now: the newest snapshot and the log after it."""
+        return notes_log.catch_up(self.spark, self.path, self.snapshots)[0]
+
+    def snapshot(self) -> int:
+        """Keep the notes as they are now, so that this and other processes read only what comes after; the snapshot's number."""
+        return notes_log.snapshot(self.spark, self.path, self.snapshots)
 
     def retain(self, rows: DataFrame) -> DataFrame:
         """Split each row (kind, text, tags, mentioned_at) into facts and keep them; returns the new notes.
@@ -87,16 +89,11 @@ class Bank:
         return M.bank_stats(self.notes().withColumn("at", F.unix_timestamp("mentioned_at")))
 
     def index(self) -> I.WordIndex:
-        """The word index of the notes, built anew only when the log has grown (a snapshot for each state of the log)."""
-        log = self._log()
-        state = 0 if log is None else log.agg(F.max("at.seq")).first()[0] or 0
-        if self._index is None or self._index[0] != state:
-            root = f"{shared_dir(self.spark)}/tarnwell/bank-{uuid.uuid4().hex}"
-            words = F.concat_ws(" ", "text", F.coalesce("context", F.lit("")), F.array_join("tags", " "), F.array_join("entities", " "))
-            I.build(self.notes().select("id", words.alias("words")), root, "id", "words")
-            forget_later(self.spark, root)
-            self._index = state, I.opened(self.spark, root)
-        return self._index[1]
+        """The word index of the notes, kept beside the log: only notes that changed since the last call of any process are indexed."""
+        words = F.concat_ws(" ", "text", F.coalesce("context", F.lit("")), F.array_join("tags", " "), F.array_join("entities", " "))
+        kept = Segments(self.spark, f"{self.path.rstrip('/')}-words", "string")
+        kept.sync(self.notes().select(F.col("id").alias("doc_id"), words.alias("text")))
+        return kept.opened()
 
     def recall(self, question: str, limit: int = 8, tokens: int = 400, budget: str = "mid", strategies: tuple[str, ...] = ("words", "links", "time", "meaning"), kinds: list[str] | None = None, tags: list[str] | None = None, meaning: DataFrame | None = None) -> DataFrame:
         """(place, id, kind, text, score): notes that answer ``question``, directives first.

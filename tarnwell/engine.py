@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from tarnwell.operators import find as S
 from tarnwell.operators import graph as G
 from tarnwell.operators import index as I
 from tarnwell.operators.search import budget_prefix
+from tarnwell.operators.segments import Segments
 from tarnwell.session import durable
 from tarnwell.sources import tree
 
@@ -31,8 +33,9 @@ class Engine:
     # -- the index --------------------------------------------------------------------------------------------------
 
     def refresh(self) -> dict[str, int]:
-        """Bring the index up to date; counts by change. Facts of files with a known path and hash are used again, and where
-        nothing changed nothing is written."""
+        """Bring the index up to date; counts by change. Facts of files with a known path and hash are used again, only changed chunks
+        are indexed, and where nothing changed nothing is written. Of two refreshes at the same time one ends in a conflict."""
+        number = tree._last_number(self.spark, self.at) + 1
         files = durable(tree.read_tree(self.spark, self.root).withColumn("modified", F.lit(0)), "files")
         was, facts = None, None
         if tree._last_number(self.spark, self.at):
@@ -48,11 +51,13 @@ class Engine:
             every = held.unionByName(extract.extract(todo))
         every = durable(every, "facts")
         graph = build.build_graph(files, every)
-        chunks = durable(chunk.chunk_files(files, every), "chunks")
-        number = tree._last_number(self.spark, self.at) + 1
+        # a chunk's id is its file and first line, so that other files' changes leave it and its part of the index alone
+        chunks = durable(chunk.chunk_files(files, every).withColumn("chunk_id", F.format_string("%s#%08d", "path", "start")), "chunks")
         text = N.indexed_text(F.col("kind"), F.col("start"), F.col("def_start"), F.col("doc"), F.col("text"))
-        I.build(chunks.select("chunk_id", N.words_text(F.col("path"), F.col("symbol"), text).alias("text")), f"{self.at}/gen={number}/index", "chunk_id")
-        tree.publish({"files": files, "facts": every, "chunks": chunks, **graph}, self.at, str(number))
+        index = Segments(self.spark, f"{self.at}/index", "string")
+        index.sync(chunks.select(F.col("chunk_id").alias("doc_id"), N.words_text(F.col("path"), F.col("symbol"), text).alias("text")))
+        at = self.spark.createDataFrame([(index.state()[0],)], "number long")
+        tree.publish({"files": files, "facts": every, "chunks": chunks, "index": at, **graph}, self.at, f"{number:08d}-{uuid.uuid4().hex}", number)
         return changes
 
     def table(self, name: str) -> DataFrame:
@@ -60,13 +65,11 @@ class Engine:
 
     def status(self) -> dict[str, int]:
         """Rows of each part of the current generation."""
-        n = tree._last_number(self.spark, self.at)
-        if not n:
-            return {}
-        return {r.part: r.rows for r in self.spark.read.parquet(f"{self.at}/manifest").where(F.col("number") == n).collect()}
+        return tree.published(self.spark, self.at)["parts"]
 
     def index(self) -> I.WordIndex:
-        return I.opened(self.spark, f"{self.at}/gen={tree._last_number(self.spark, self.at)}/index")
+        """The segments of the current generation as one index."""
+        return Segments(self.spark, f"{self.at}/index", "string").opened(self.table("index").first().number)
 
     # -- lookups ----------------------------------------------------------------------------------------------------
 
@@ -179,8 +182,9 @@ def write_lines(df: DataFrame, path: str, columns: list[str], most: int = 400) -
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Arrow functions for SQL: split_facts(text), parse_span(text, now), and find_entities and code_tokens as Python sees them;
-    the names. Column functions of :mod:`tarnwell.functions` are the faster way from Python."""
+    """Arrow functions for SQL: split_facts(text), parse_span(text, now), code_tokens(text), trigram_similarity(a, b), and the table
+    functions chunk_file(text), find_entities(text) and fact_rows(text) for FROM and LATERAL; the names. Column functions of
+    :mod:`tarnwell.functions` are the faster way from Python."""
     from tarnwell.functions.dates import parse_span
     from tarnwell.functions.facts import split_facts
     from tarnwell.functions.text import BORDERS, IDENTIFIER
@@ -221,4 +225,33 @@ def register(spark: SparkSession) -> list[str]:
     made = {"split_facts": facts_of, "parse_span": span_of, "code_tokens": tokens_of, "trigram_similarity": similarity_of}
     for name, f in made.items():
         spark.udf.register(name, f)
-    return list(made)
+    tables = {"chunk_file": (ChunkFile, "ord int, first_line int, last_line int, chunk string"), "find_entities": (FindEntities, "ord int, entity string"), "fact_rows": (FactRows, "ord int, fact string")}
+    for name, (rows, schema) in tables.items():
+        spark.udtf.register(name, F.udtf(rows, returnType=schema))
+    return [*made, *tables]
+
+
+class ChunkFile:
+    """The chunks of a text without definitions, in order; a null text has none."""
+
+    def eval(self, text: str | None):  # noqa: ANN201
+        for n, row in enumerate(chunk.file_chunks("", text or "", [])):
+            yield n, row[1], row[2], row[9]
+
+
+class FindEntities:
+    """The names in a text, as :func:`tarnwell.functions.text.code_entities` finds them."""
+
+    def eval(self, text: str | None):  # noqa: ANN201
+        from tarnwell.functions.text import entities_of
+
+        yield from enumerate(entities_of(text or ""))
+
+
+class FactRows:
+    """The facts of a text, in order."""
+
+    def eval(self, text: str | None):  # noqa: ANN201
+        from tarnwell.functions.facts import split_facts
+
+        yield from enumerate(split_facts(text or ""))

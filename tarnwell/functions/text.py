@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -125,13 +127,28 @@ def causal_cue(text: Column) -> Column:
     return F.when(cause, F.lit("cause")).when(effect, F.lit("effect"))
 
 
+QUOTED = "`([^`\\n]+)`"
+QUALIFIED = r"[A-Za-z_][A-Za-z0-9_]*(?:(?:\.|::|/)[A-Za-z_][A-Za-z0-9_]*)*"
+BORDERED = r"[a-z0-9][A-Z]|[A-Za-z0-9]_[A-Za-z0-9]|\.|::|/"
+PROPER = r"(?<=[a-z,;] )[A-Z][a-z]+(?: [A-Z][a-z]+)*(?!\w|[.:/]\w)"
+MOST_ENTITIES = 12
+
+
 def code_entities(text: Column) -> Column:
     """Names in a text: back-quoted spans, then identifiers with an inner border, then runs of capitalised words; first spelling of each key, at most twelve."""
-    quoted = F.regexp_extract_all(text, F.lit("`([^`\\n]+)`"), F.lit(1))
-    bare = F.regexp_replace(text, "`[^`\\n]+`", " ")
-    code = F.filter(F.regexp_extract_all(bare, F.lit(r"[A-Za-z_][A-Za-z0-9_]*(?:(?:\.|::|/)[A-Za-z_][A-Za-z0-9_]*)*"), F.lit(0)), lambda w: w.rlike(r"[a-z0-9][A-Z]|[A-Za-z0-9]_[A-Za-z0-9]|\.|::|/"))
-    proper = F.regexp_extract_all(bare, F.lit(r"(?<=[a-z,;] )[A-Z][a-z]+(?: [A-Z][a-z]+)*(?!\w|[.:/]\w)"), F.lit(0))
+    quoted = F.regexp_extract_all(text, F.lit(QUOTED), F.lit(1))
+    bare = F.regexp_replace(text, QUOTED, " ")
+    code = F.filter(F.regexp_extract_all(bare, F.lit(QUALIFIED), F.lit(0)), lambda w: w.rlike(BORDERED))
+    proper = F.regexp_extract_all(bare, F.lit(PROPER), F.lit(0))
     names = F.concat(quoted, code, proper)
     keys = F.transform(names, fold_entity)
     first = F.filter(F.transform(names, lambda n, i: F.when(F.array_position(keys, fold_entity(n)) == i + 1, n)), lambda n: n.isNotNull())
-    return F.slice(first, 1, 12)
+    return F.slice(first, 1, MOST_ENTITIES)
+
+
+def entities_of(text: str) -> list[str]:
+    """:func:`code_entities` of one text, for table functions."""
+    bare = re.sub(QUOTED, " ", text)
+    names = re.findall(QUOTED, text) + [w for w in re.findall(QUALIFIED, bare) if re.search(BORDERED, w)] + re.findall(PROPER, bare, re.A)
+    fold = lambda n: re.sub("[ _-]", "", n.lower().replace("\\", "/").replace("::", "."))
+    return list({fold(n): n for n in reversed(names)}.values())[::-1][:MOST_ENTITIES]

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.operators import index as I
+from tarnwell.session import durable
 from tarnwell.sources import commits
 
 FAN = 4
@@ -34,10 +35,11 @@ class Segments:
 
     # -- state --------------------------------------------------------------------------------------------------------
 
-    def state(self) -> tuple[int, dict]:
-        """(number of the last commit, its content: segments by order, each with name, order, tokens; n; total)."""
-        got = commits.numbers(self.spark, f"{self.root}/commits")
-        return (got[-1], commits.read(self.spark, f"{self.root}/commits", got[-1])) if got else (0, {"segments": [], "n": 0, "total": 0})
+    def state(self, number: int | None = None) -> tuple[int, dict]:
+        """(number of a commit, the last one if none is named; its content: segments by order, each with name, order, tokens; n; total)."""
+        if number is None:
+            number = max(commits.numbers(self.spark, f"{self.root}/commits"), default=0)
+        return (number, commits.read(self.spark, f"{self.root}/commits", number)) if number else (0, {"segments": [], "n": 0, "total": 0})
 
     def _part(self, segment: dict, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{segment['name']}/{name}")
@@ -72,7 +74,8 @@ class Segments:
         here = f"{self.root}/{name}"
         new = changed.where("doc_id is not null").select(F.col("doc_id").cast(self.ids).alias("doc_id"), "text")
         lengths = I.write_postings(new, f"{here}/postings")
-        lengths.write.parquet(f"{here}/docs")
+        content_of = new.groupBy("doc_id").agg(F.md5(F.array_join(F.sort_array(F.collect_list(F.md5(F.coalesce("text", F.lit(""))))), "")).alias("digest"))
+        lengths.join(content_of, "doc_id").write.parquet(f"{here}/docs")
         docs = self.spark.read.parquet(f"{here}/docs")
         ids = docs.select("doc_id")
         if removed is not None:
@@ -93,6 +96,20 @@ class Segments:
         commits.commit(self.spark, f"{self.root}/commits", number + 1, {"segments": segments, "n": content["n"] + more.n - less.n, "total": content["total"] + more.total - less.total})
         return {"documents": more.n, "replaced_or_removed": less.n, "segments": len(segments)}
 
+    def sync(self, docs: DataFrame) -> dict[str, int]:
+        """Make the index that of ``docs`` (doc_id, text), one row for each id: documents are compared by a digest of their texts, and
+        only those that are new, changed or gone are written. Compacts, and tells what :meth:`refresh` does."""
+        _, content = self.state()
+        have = self._alive(content["segments"], "docs", f"doc_id {self.ids}, dl bigint, digest string").select("doc_id", "digest") if content["segments"] else self.spark.createDataFrame([], f"doc_id {self.ids}, digest string")
+        docs = docs.where("doc_id is not null").select(F.col("doc_id").cast(self.ids).alias("doc_id"), "text").withColumn("now", F.md5(F.md5(F.coalesce("text", F.lit("")))))
+        changed = docs.join(have, "doc_id", "left").where(F.col("digest").isNull() | (F.col("digest") != F.col("now"))).select("doc_id", "text")
+        gone = have.select("doc_id").join(docs.select("doc_id"), "doc_id", "left_anti")
+        changed, gone = durable(changed, "changed"), durable(gone, "gone")
+        if content["segments"] and changed.isEmpty() and gone.isEmpty():
+            return {"documents": 0, "replaced_or_removed": 0, "segments": len(content["segments"])}
+        done = self.refresh(changed, gone)
+        return done | {"segments": self.compact()}
+
     def compact(self) -> int:
         """Join the newest segments as long as :data:`FAN` or more of them are each less than FAN times all that came after;
         returns how many segments are left, which is at most in proportion to the logarithm of the tokens."""
@@ -120,7 +137,7 @@ class Segments:
         here = f"{self.root}/{name}"
         post = self._alive(part, "postings", f"term string, doc_id {self.ids}, tf bigint, dl bigint")
         post.repartition("doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{here}/postings")
-        self._alive(part, "docs", f"doc_id {self.ids}, dl bigint").write.parquet(f"{here}/docs")
+        self._alive(part, "docs", f"doc_id {self.ids}, dl bigint, digest string").write.parquet(f"{here}/docs")
         gone = self._union(part, "gone", f"doc_id {self.ids}, dl bigint").groupBy("doc_id").agg(F.max("dl").alias("dl"))
         (gone if a else gone.where("false")).write.parquet(f"{here}/gone")
         words = self._union(part, "words", "term string, df bigint, cf bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df <> 0 or cf <> 0")
@@ -130,9 +147,9 @@ class Segments:
 
     # -- reading ------------------------------------------------------------------------------------------------------
 
-    def opened(self) -> I.WordIndex:
-        """The index as the last commit has it; an index without commits is empty."""
-        _, content = self.state()
+    def opened(self, number: int | None = None) -> I.WordIndex:
+        """The index as a commit has it, the last one if none is named; an index without commits is empty."""
+        _, content = self.state(number)
         segments = content["segments"]
         post = self._alive(segments, "postings", f"term string, doc_id {self.ids}, tf bigint, dl bigint")
         lengths = self._alive(segments, "docs", f"doc_id {self.ids}, dl bigint").where("dl > 0")

@@ -9,6 +9,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwell.sources import commits
+
 #: Language of an extension.
 LANGUAGES = {
     "py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "rs": "rust", "go": "go",
@@ -139,28 +141,33 @@ def reuse(facts: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return held, files.join(facts.select("path", "hash"), ["path", "hash"], "left_anti")
 
 
-def publish(tables: dict[str, DataFrame], root: str, generation: str) -> None:
-    """Write a generation of tables, then the pointer row that makes it current; readers see the old one until then."""
+def publish(tables: dict[str, DataFrame], root: str, generation: str, number: int | None = None) -> int:
+    """Write a generation of tables, then the commit that makes it current; readers see the old one until then. ``number`` is the
+    commit to make (the next one, if it is not given): of two writers of one number the second gets
+    :class:`tarnwell.sources.commits.Conflict`. Generations that may be written at the same time need names of their own."""
+    spark = next(iter(tables.values())).sparkSession
+    number = number or _last_number(spark, root) + 1
     for name, df in tables.items():
         df.write.mode("overwrite").option("parquet.page.write-checksum.enabled", "true").parquet(f"{root}/gen={generation}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    counts = [(generation, name, spark.read.parquet(f"{root}/gen={generation}/{name}").count()) for name in tables]
-    number = _last_number(spark, root) + 1
-    rows = [(number, *c) for c in counts]
-    spark.createDataFrame(rows, "number long, generation string, part string, rows long").coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    parts = {name: spark.read.parquet(f"{root}/gen={generation}/{name}").count() for name in tables}
+    commits.commit(spark, f"{root}/published", number, {"generation": generation, "parts": parts})
+    return number
 
 
 def _last_number(spark: SparkSession, root: str) -> int:
     """The number of the last generation published under ``root``, 0 if none: generations are ordered by it, not by their names."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return 0
-    return spark.read.parquet(f"{root}/manifest").agg(F.max("number")).first()[0] or 0
+    return max(commits.numbers(spark, f"{root}/published"), default=0)
+
+
+def published(spark: SparkSession, root: str) -> dict:
+    """The newest generation: its name and the rows of its parts."""
+    number = _last_number(spark, root)
+    return commits.read(spark, f"{root}/published", number) if number else {"generation": None, "parts": {}}
 
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table of the newest published generation; a part the manifest does not know is an error."""
-    row = spark.read.parquet(f"{root}/manifest").where(F.col("part") == name).agg(F.max_by("generation", "number").alias("g")).first() if _last_number(spark, root) else None
-    if row is None or row.g is None:
+    """A table of the newest published generation; a part it does not have is an error."""
+    last = published(spark, root)
+    if name not in last["parts"]:
         raise ValueError(f"no published generation has {name}")
-    return spark.read.parquet(f"{root}/gen={row.g}/{name}")
+    return spark.read.parquet(f"{root}/gen={last['generation']}/{name}")
