@@ -110,3 +110,42 @@ def imputed(cells: DataFrame, value: str) -> DataFrame:
     """A cell without a ``value`` takes the mean of all cells that have one."""
     mean = cells.agg(F.avg(value).alias("_mean"))
     return cells.join(F.broadcast(mean)).withColumn(value, F.coalesce(value, "_mean")).drop("_mean")
+
+
+def challenges(candidates: DataFrame, kind: str, rules: list[tuple[str, Column]], corpus: str = "corpus") -> DataFrame:
+    """Candidates (query, answer, ...) as challenges (kind, id, query, answer, half, reason): reason names the first of ``rules`` that
+    holds, in order, and is null for those that stay; a null condition does not hold.
+
+    The id is made of corpus, kind, query and answer; of candidates with one id the others are 'duplicate', and a query that
+    remains with several answers is 'same_query_other_answer'. Nothing is dropped, so kept rows and the funnel of reasons come from
+    one pass (:func:`kept_and_funnel`).
+    """
+    reason = F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules]) if rules else F.lit(None).cast("string")
+    key = F.substring(F.sha2(F.concat_ws("\x1f", F.lit(corpus), F.lit(kind), "query", F.col("answer").cast("string")), 256), 1, 16)
+    marked = candidates.select(F.lit(kind).alias("kind"), key.alias("id"), "query", "answer", reason.alias("reason"))
+    open_, shut = marked.where("reason is null"), marked.where("reason is not null")
+    nth = F.row_number().over(W.partitionBy("id").orderBy("query"))
+    open_ = open_.withColumn("reason", F.when(nth > 1, F.lit("duplicate")))
+    by_query = W.partitionBy("query")
+    first, last = (f(F.when(F.col("reason").isNull(), F.col("answer"))).over(by_query) for f in (F.min, F.max))
+    open_ = open_.withColumn("_many", first != last).withColumn("reason", F.coalesce("reason", F.when(F.col("_many"), F.lit("same_query_other_answer")))).drop("_many")
+    return open_.unionByName(shut).select("kind", "id", "query", "answer", half(F.col("id")).alias("half"), "reason")
+
+
+def kept_and_funnel(marked: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, int]]:
+    """(the challenges that stay, how many each reason took), both of one pass: the counts are observed while the rows are written."""
+    from pyspark.sql import Observation
+
+    from tarnwell.session import durable
+
+    every = [*names, "duplicate", "same_query_other_answer"]
+    seen = Observation("funnel")
+    counts = [F.count(F.when(F.col("reason") == n, 1)).alias(n) for n in every]
+    watched = marked.observe(seen, *counts, F.count(F.when(F.col("reason").isNull(), 1)).alias("kept"), F.count(F.lit(1)).alias("candidates"))
+    kept = durable(watched.where("reason is null").drop("reason"), "challenges")
+    return kept, dict(seen.get)
+
+
+def sampled(kept: DataFrame, most: int = 400) -> DataFrame:
+    """At most ``most`` challenges of each kind."""
+    return seeded_sample(kept, ["kind"], "id", most, "challenges")

@@ -75,28 +75,54 @@ def find(index: I.WordIndex, queries: DataFrame, chunks: DataFrame, limit: int =
 
     mode 'words', 'meaning' or 'hybrid', which weighs meaning by 0.3 for a query that is a symbol and by 0.5 for any other.
     chunks: (chunk_id, path, symbol, kind, def_start, def_end); vectors: (chunk_id, v); query_vectors: (query_id, v). Each
-    retriever gives a pool of five times the limit, and a chunk outside a pool gets nothing from it; every lift is relative to
-    the best score after the one before. Chunks of one definition are one hit; tests, examples and the like are scaled down
+    retriever gives a pool of five times the limit, and a chunk outside a pool gets nothing from it. Queries that end with fewer
+    hits than the limit, although a retriever filled its pool (one long definition can), are asked again with twice the
+    pool until they have enough or there is no more. Every lift is relative to the best score after the one before. Chunks of one definition are one hit; tests, examples and the like are scaled down
     unless meaning alone counts; the k-th hit of a file is halved k - 1 times.
     """
     if mode not in ("words", "meaning", "hybrid"):
         raise ValueError("mode must be words, meaning or hybrid")
+    pool, done, total = POOL * limit, [], None
+    while True:
+        hits, full = _pool_pass(index, queries, chunks, limit, pool, mode, vectors, query_vectors, tuning)
+        hits = durable(hits, "hits")
+        enough = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
+        short = durable(queries.join(full, "query_id", "left_semi").join(enough, "query_id", "left_anti"), "short")
+        total = chunks.count() if total is None and not short.isEmpty() else total
+        if short.isEmpty() or pool >= total:
+            done.append(hits)
+            break
+        done.append(hits.join(short.select("query_id"), "query_id", "left_anti"))
+        queries, pool = short, 2 * pool
+    out = done[0]
+    for d in done[1:]:
+        out = out.union(d)
+    return out
+
+
+def _pool_pass(index: I.WordIndex, queries: DataFrame, chunks: DataFrame, limit: int, pool: int, mode: str, vectors: DataFrame | None, query_vectors: DataFrame | None, tuning: Tuning) -> tuple[DataFrame, DataFrame]:
+    """(the hits of one pool, the queries (query_id) for which a retriever filled it)."""
     alpha = {"words": F.lit(0.0), "meaning": F.lit(1.0)}.get(mode, search_alpha(F.col("text")))
     q = queries.select("query_id", F.trim("text").alias("text")).select("query_id", "text", alpha.alias("alpha"), looks_like_symbol(F.col("text")).alias("symbol"))
-    pool, lists = POOL * limit, []
+    lists, fills = [], []
+    filled = lambda ranked: fills.append(ranked.where(F.col("rank") == pool).select("query_id"))
     weigh = lambda ranked, name, w: ranked.join(q.select("query_id", "alpha"), "query_id").select("query_id", "chunk_id", "rank", F.lit(name).alias("list"), w.alias("weight"))
     terms = I.query_terms(q, "query_id", "text")
     if mode != "meaning":
         words = durable(I.top_k(I.bm25(index, terms), pool, ["query_id"]).select("query_id", "doc_id", "rank"), "words")
+        filled(words)
         lists.append(weigh(words.withColumnRenamed("doc_id", "chunk_id"), "words", (1 - F.col("alpha")) * tuning.words))
         if tuning.refine:
             more = I.expansion_terms(words.where(F.col("rank") <= tuning.refine).select("query_id", "doc_id"), index, terms, tuning.terms).select("query_id", "term", F.lit(1).alias("qtf"))
-            second = I.top_k(I.bm25(index, terms.unionByName(more)), pool, ["query_id"])
+            second = durable(I.top_k(I.bm25(index, terms.unionByName(more)), pool, ["query_id"]), "second")
+            filled(second)
             lists.append(weigh(second.select("query_id", F.col("doc_id").alias("chunk_id"), "rank"), "refined", (1 - F.col("alpha")) * tuning.words * tuning.share))
     if mode != "words":
         if vectors is None or query_vectors is None:
             raise ValueError("meaning needs vectors of chunks and of queries")
-        near = I.knn(vectors, query_vectors, pool, "chunk_id", "query_id", "v")
+        asked = query_vectors.join(q.select("query_id"), "query_id", "left_semi")
+        near = durable(I.knn(vectors, asked, pool, "chunk_id", "query_id", "v"), "near")
+        filled(near)
         lists.append(weigh(near.select("query_id", "chunk_id", "rank"), "meaning", F.col("alpha") * tuning.meaning))
     every = lists[0]
     for x in lists[1:]:
@@ -118,4 +144,7 @@ def find(index: I.WordIndex, queries: DataFrame, chunks: DataFrame, limit: int =
     if mode != "meaning":
         merged = merged.withColumn("score", F.col("score") * path_penalty(F.col("path")))
     final = S.per_file_decay(merged)
-    return final.where(F.col("final_rank") <= limit).select("query_id", "chunk_id", "path", "score", F.col("final_rank").alias("rank"))
+    full = fills[0]
+    for f in fills[1:]:
+        full = full.union(f)
+    return final.where(F.col("final_rank") <= limit).select("query_id", "chunk_id", "path", "score", F.col("final_rank").alias("rank")), full.distinct()

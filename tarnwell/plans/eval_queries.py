@@ -135,3 +135,76 @@ def eval_session_summary(spark: SparkSession, d: str) -> DataFrame:
 def eval_imputed_plan(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "lineitem").where("l_linenumber = 7").groupBy("l_suppkey").agg(F.sum(F.when(F.col("l_returnflag") == "A", F.col("l_quantity"))).alias("plan"))
     return E.imputed(c, "plan").withColumn("plan", F.round("plan", 4))
+
+
+DOC_LINES = """f AS (SELECT doc_id, source, split_part(text, chr(10), 1) AS query FROM documents),
+c AS (SELECT doc_id AS answer, query, count(*) OVER (PARTITION BY query) AS seen, len(regexp_extract_all(query, '[^ ]+')) AS words,
+  list_contains(list_transform(regexp_extract_all(query, '[A-Za-z0-9_]+'), lambda x: lower(x)), lower(lang_word)) AS given FROM (SELECT f.*, d.lang AS lang_word FROM f JOIN documents d USING (doc_id))),
+r AS (SELECT *, CASE WHEN trim(query) = '' THEN 'no_doc_line' WHEN words < 3 THEN 'fewer_than_three_words' WHEN seen > 1 THEN 'doc_line_not_unique' WHEN given THEN 'answer_name_in_query' END AS reason FROM c)"""
+DOC_RULES = ("no_doc_line", "fewer_than_three_words", "doc_line_not_unique", "answer_name_in_query")
+#: A passage belongs to the documents that hold its five first words in a row.
+PASSAGES = """w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^ \t\n\r]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS run FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 3)) AS i)),
+b AS (SELECT item_id, text AS query, regexp_extract_all(lower(text), '[^ \t\n\r]+') AS ws FROM benchmark),
+a AS (SELECT item_id, query, ws, doc_id FROM b LEFT JOIN s ON run = array_to_string(ws[1:5], ' ') AND len(ws) >= 5),
+c AS (SELECT item_id, any_value(query) AS query, min(doc_id) AS answer, count(doc_id) AS n, any_value(len(ws)) AS words FROM a GROUP BY item_id),
+r AS (SELECT *, CASE WHEN words < 5 THEN 'fewer_than_five_words' WHEN n = 0 THEN 'no_document' WHEN n > 3 THEN 'more_than_three_documents' END AS reason FROM c)"""
+PASSAGE_RULES = ("fewer_than_five_words", "no_document", "more_than_three_documents")
+
+
+def _doc_challenges(spark: SparkSession, d: str) -> DataFrame:
+    """A document's first line asks for it, unless it gives its language away, is short or is another's too."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.split_part("text", F.lit("\n"), F.lit(1)).alias("query"))
+    seen = docs.groupBy("query").agg(F.count(F.lit(1)).alias("seen"))
+    c = docs.join(seen, "query").withColumn("answer", F.col("doc_id"))
+    words = F.size(F.regexp_extract_all("query", F.lit("[^ ]+"), F.lit(0)))
+    given = F.array_contains(F.transform(F.regexp_extract_all("query", F.lit("[A-Za-z0-9_]+"), F.lit(0)), F.lower), F.lower("lang"))
+    return E.challenges(c, "D", list(zip(DOC_RULES, (F.trim("query") == "", words < 3, F.col("seen") > 1, given), strict=True)))
+
+
+def _passage_challenges(spark: SparkSession, d: str) -> DataFrame:
+    """A benchmark passage asks for the document it stands in. Runs of five words of the documents meet the passages' first five."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[^ \t\n\r]+"), F.lit(0))
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"), words("text").alias("ws"))
+    first = b.where(F.size("ws") >= 5).select("item_id", F.array_join(F.slice("ws", 1, 5), " ").alias("run"))
+    docs = table(spark, d, "documents").select("doc_id", words("text").alias("ws")).where(F.size("ws") >= 5)
+    runs = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - 4), lambda i: F.array_join(F.slice("ws", i, 5), " "))).alias("run"))
+    met = runs.join(first, "run").select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.min("doc_id").alias("answer"), F.count(F.lit(1)).alias("n"))
+    c = b.join(met, "item_id", "left")
+    rules = (F.size("ws") < 5, F.col("n").isNull(), F.col("n") > 3)
+    return E.challenges(c, "P", list(zip(PASSAGE_RULES, rules, strict=True)))
+
+
+def _kept_sql(ctes: str, kind: str) -> str:
+    sha = f"sha256('corpus' || chr(31) || '{kind}' || chr(31) || query || chr(31) || answer)"
+    return f"""WITH {ctes}, o AS (SELECT *, substr({sha}, 1, 16) AS id FROM r WHERE reason IS NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY query) AS nth FROM o),
+m AS (SELECT *, min(CASE WHEN nth = 1 THEN answer END) OVER (PARTITION BY query) <> max(CASE WHEN nth = 1 THEN answer END) OVER (PARTITION BY query) AS many FROM k)"""
+
+
+def _half_sql() -> str:
+    return "CASE WHEN CAST('0x' || substr(sha256(id), 64, 1) AS INTEGER) % 2 = 0 THEN 'tune' ELSE 'held' END"
+
+
+@query(f"{_kept_sql(DOC_LINES, 'D')} SELECT 'D' AS kind, id, query, answer, {_half_sql()} AS half FROM m WHERE nth = 1 AND NOT many")
+def challenges_docs(spark: SparkSession, d: str) -> DataFrame:
+    return E.kept_and_funnel(_doc_challenges(spark, d), list(DOC_RULES))[0]
+
+
+@query(f"{_kept_sql(PASSAGES, 'P')} SELECT 'P' AS kind, id, query, answer, {_half_sql()} AS half FROM m WHERE nth = 1 AND NOT many")
+def challenges_passages(spark: SparkSession, d: str) -> DataFrame:
+    return E.kept_and_funnel(_passage_challenges(spark, d), list(PASSAGE_RULES))[0]
+
+
+def _funnel_sql(ctes: str, kind: str, names: tuple[str, ...]) -> str:
+    rest = "".join(f" UNION ALL SELECT '{n}', (SELECT count(*) FROM r WHERE reason = '{n}')" for n in names)
+    return f"""SELECT '{kind}' AS kind, reason, n FROM ({_kept_sql(ctes, kind)} SELECT 'kept' AS reason, (SELECT count(*) FROM m WHERE nth = 1 AND NOT many) AS n
+UNION ALL SELECT 'candidates', (SELECT count(*) FROM r) UNION ALL SELECT 'duplicate', (SELECT count(*) FROM m WHERE nth > 1) UNION ALL SELECT 'same_query_other_answer', (SELECT count(*) FROM m WHERE nth = 1 AND many){rest})"""
+
+
+@query(f"{_funnel_sql(DOC_LINES, 'D', DOC_RULES)} UNION ALL {_funnel_sql(PASSAGES, 'P', PASSAGE_RULES)}")
+def challenges_funnel(spark: SparkSession, d: str) -> DataFrame:
+    """How many candidates each rule took, counted while the challenges were written."""
+    rows = [("D", *x) for x in E.kept_and_funnel(_doc_challenges(spark, d), list(DOC_RULES))[1].items()]
+    rows += [("P", *x) for x in E.kept_and_funnel(_passage_challenges(spark, d), list(PASSAGE_RULES))[1].items()]
+    return spark.createDataFrame(rows, "kind string, reason string, n long")

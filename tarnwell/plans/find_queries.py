@@ -66,3 +66,19 @@ def find_meaning(spark: SparkSession, d: str) -> DataFrame:
 def find_refined(spark: SparkSession, d: str) -> DataFrame:
     """A second pass with eight words learnt from the ten best hits of each passage."""
     return _shown(S.find(word_index(spark, d), _asked(spark, d), _chunks(spark, d), mode="words", tuning=S.Tuning.parse("refine=10, terms=8")))
+
+
+@query(
+    f"""WITH{BM25_CTES}, p AS (SELECT query_id, doc_id, rank, source || '/' || lang || '.txt' AS path, 1.0::DOUBLE / (60 + rank) AS score FROM bmr JOIN documents USING (doc_id)),
+z AS (SELECT query_id, w, count(DISTINCT path) AS defs, count(*) AS n FROM p, (SELECT unnest([25, 50, 100, 200, 400, 800, 1600, 3200, 6400, 12800, 25600, 51200, 102400, 204800]) AS w) WHERE rank <= w GROUP BY ALL),
+o AS (SELECT query_id, min(w) AS w FROM z WHERE defs >= 5 OR n < w OR w >= (SELECT count(*) FROM documents) GROUP BY query_id),
+c AS (SELECT p.* FROM p JOIN o USING (query_id) WHERE rank <= w),
+s AS (SELECT *, sum(score) OVER (PARTITION BY query_id, path) AS fs, row_number() OVER (PARTITION BY query_id, path ORDER BY score DESC, doc_id) AS k FROM c),
+m AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top, max(fs) OVER (PARTITION BY query_id) AS tops FROM s)
+SELECT query_id, doc_id AS chunk_id, path, round(score + 0.2::DOUBLE * top * fs / tops, 6) AS score FROM m WHERE k = 1
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score + 0.2::DOUBLE * top * fs / tops, 9) DESC, doc_id) <= 5"""
+)
+def find_adaptive(spark: SparkSession, d: str) -> DataFrame:
+    """All documents of one source and language are parts of one definition, so that a first pool can hold fewer than five."""
+    parts = _chunks(spark, d).withColumns({"symbol": F.lit("Doc.whole"), "def_start": F.lit(1).cast("long"), "def_end": F.lit(2).cast("long")})
+    return _shown(S.find(word_index(spark, d), _asked(spark, d), parts, mode="words"))

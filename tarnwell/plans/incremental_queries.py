@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwell.engine import register
 from tarnwell.functions.dates import epoch
 from tarnwell.operators import index as I
 from tarnwell.operators import memory as M
@@ -17,6 +18,7 @@ from tarnwell.plans.memory_queries import _cued
 from tarnwell.plans.registry import ORACLES
 from tarnwell.plans.text_queries import knn_exact
 from tarnwell.session import forget_later, shared_dir, table
+from tarnwell.sources import notes_log
 from tarnwell.streaming import windows
 from tarnwell.streaming.upkeep import NOTE, Upkeep
 
@@ -147,3 +149,44 @@ def repo_vectors_nearest(spark: SparkSession, d: str) -> DataFrame:
     search uses them again."""
     at, index = _folder(spark, "repo-vectors"), word_index(spark, d)
     return V.RepoVectors(spark, at).search(index, I.query_terms(table(spark, d, "benchmark"), "item_id", "text"), 10)
+
+
+@query("SELECT 'e' || event_id AS id, event_type AS kind, CASE WHEN event_id % 3 = 0 THEN props ELSE 'first' END AS text FROM events WHERE event_id % 5 <> 1")
+def log_snapshot_tail(spark: SparkSession, d: str) -> DataFrame:
+    """``events`` as a log of three writes with a snapshot after each of the first two; the state is read from the last and the tail."""
+    at = _folder(spark, "log")
+    log, kept = f"{at}/notes", f"{at}/snapshots"
+    e = table(spark, d, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), F.col("event_type").alias("kind"), "props", "event_id")
+    notes_log.append(e.select("id", "kind", F.lit("first").alias("text")), log)
+    notes_log.snapshot(spark, log, kept)
+    notes_log.append(e.where("event_id % 3 = 0").select("id", "kind", F.col("props").alias("text")), log)
+    notes_log.snapshot(spark, log, kept)
+    notes_log.append(e.where("event_id % 5 = 1"), log, deleted=True)
+    return notes_log.catch_up(spark, log, kept)[0].select("id", "kind", "text")
+
+
+LINES_SQL = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+e AS (SELECT doc_id, max(k) AS last FROM l WHERE regexp_matches(line, '[^\\s]') GROUP BY doc_id),
+t AS (SELECT l.doc_id, k, line, length(line) + 1 AS n FROM l JOIN e USING (doc_id) WHERE k <= last),
+w(doc_id, k, start, size) AS (SELECT doc_id, k, k, n FROM t WHERE k = 1 UNION ALL
+  SELECT w.doc_id, t.k, CASE WHEN w.size + t.n > 750 THEN t.k ELSE w.start END, CASE WHEN w.size + t.n > 750 THEN t.n ELSE w.size + t.n END FROM w JOIN t ON t.doc_id = w.doc_id AND t.k = w.k + 1),
+g AS (SELECT doc_id, start, max(k) AS stop, max(size) AS size FROM w GROUP BY ALL),
+h AS (SELECT *, lead(start) OVER (PARTITION BY doc_id ORDER BY start) IS NULL AND lag(start) OVER (PARTITION BY doc_id ORDER BY start) IS NOT NULL AND size < 150 AS tail, lag(start) OVER (PARTITION BY doc_id ORDER BY start) AS before FROM g),
+c AS (SELECT doc_id, CASE WHEN tail THEN before ELSE start END AS start, max(stop) AS stop FROM h GROUP BY ALL),
+b AS (SELECT c.doc_id, start, stop, string_agg(line, chr(10) ORDER BY k) AS body FROM c JOIN t ON t.doc_id = c.doc_id AND t.k BETWEEN start AND stop GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {LINES_SQL} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS ord, CAST(start AS INTEGER) AS first_line, CAST(stop AS INTEGER) AS last_line, md5(body) AS body FROM b WHERE regexp_matches(body, '[^\\s]')")
+def sql_chunk_file(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of whole documents by a table function in SQL."""
+    register(spark)
+    table(spark, d, "documents").createOrReplaceTempView("chunked_documents")
+    return spark.sql("SELECT doc_id, ord, first_line, last_line, md5(CAST(chunk AS BINARY)) AS body FROM chunked_documents, LATERAL chunk_file(text)")
+
+
+@query("SELECT s_suppkey, CAST(o AS INTEGER) AS ord, e AS entity FROM (SELECT s_suppkey, unnest(['parse_' || s_suppkey, 'Bank.n' || s_suppkey, 'Ada Lovelace', 'London']) AS e, unnest(range(4)) AS o FROM supplier)")
+def sql_find_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Names in a sentence about each supplier, by a table function in SQL."""
+    register(spark)
+    table(spark, d, "supplier").createOrReplaceTempView("told_suppliers")
+    return spark.sql("SELECT s_suppkey, ord, entity FROM (SELECT s_suppkey, concat('the call in `parse_', s_suppkey, '` uses Bank.n', s_suppkey, ' and Parse', s_suppkey, ', as we told Ada Lovelace in London today') AS text FROM told_suppliers), LATERAL find_entities(text)")
