@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.functions import names as N
-from tarnwell.functions.text import token_cost
+from tarnwell.functions.text import is_test_path, token_cost
 from tarnwell.operators import build, chunk, extract
 from tarnwell.operators import find as S
 from tarnwell.operators import graph as G
@@ -90,6 +90,11 @@ class Engine:
         loose = self.table("loose").join(nodes.join(of, "node_id", "left_semi").select("name").distinct(), "name", "left_semi").select("src", "lines", F.lit(False))
         return tied.union(loose).join(nodes.select(F.col("node_id").alias("src"), "path", "qual"), "src").select("path", "qual", "lines", "calls_itself").orderBy("path", "qual")
 
+    def related(self, name: str, lookup: str) -> DataFrame:
+        """(path, qual, kind): the members, bases, subclasses, imports_of, importers_of, callers or callees of a name."""
+        others = G.lookup(self.table("edges"), self.table("nodes"), lookup).join(self.lookup(name), "node_id", "left_semi").select(F.col("other").alias("node_id")).distinct()
+        return self.table("nodes").join(others, "node_id", "left_semi").select("path", "qual", "kind").orderBy("path", "qual")
+
     def about(self, name: str) -> DataFrame:
         return G.about(self.table("nodes"), self.table("edges")).join(self.lookup(name), "node_id", "left_semi").orderBy("node_id")
 
@@ -117,12 +122,18 @@ class Engine:
     def hubs(self, k: int = HUBS) -> DataFrame:
         return G.degrees(self.table("edges"), ["calls", "imports", "inherits", "method"]).join(self.table("nodes"), "node_id").orderBy(F.desc("degree"), "node_id").limit(k).select("qual", "path", "degree")
 
-    def find(self, question: str, k: int = FIND) -> DataFrame:
-        """(rank, path, start, end, symbol, score) of a search by words; a hit that is a test leads on to what it calls by :meth:`callees`."""
+    def find(self, question: str, k: int = FIND, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
+        """(rank, path, start, end, symbol, doc, score, callees): a search by words, or with ``vectors`` (chunk_id, v) and
+        ``query_vectors`` (query_id 0, v) by words and meaning; doc is the first line of a definition's documentation, and a hit in a
+        test leads on to the names it calls outside tests."""
         q = self.spark.createDataFrame([(0, question)], "query_id long, text string")
-        chunks = self.table("chunks")
-        got = S.find(self.index(), q, chunks, k, "words")
-        return got.join(chunks.select("chunk_id", "start", "end", "symbol"), "chunk_id").select("rank", "path", "start", "end", "symbol", "score").orderBy("rank")
+        chunks, nodes = self.table("chunks"), self.table("nodes")
+        got = S.find(self.index(), q, chunks, k, "words" if vectors is None else "hybrid", vectors, query_vectors)
+        hits = got.join(chunks.select("chunk_id", "start", "end", "symbol", F.split_part(F.coalesce("doc", F.lit("")), F.lit("\n"), F.lit(1)).alias("doc")), "chunk_id")
+        inside = hits.where(is_test_path(F.col("path")) & F.col("symbol").isNotNull()).select("rank", "path", F.col("symbol").alias("qual")).join(nodes, ["path", "qual"]).select("rank", F.col("node_id").alias("src"))
+        called = self.table("edges").where("rel = 'calls'").join(inside, "src").select("rank", F.col("dst").alias("node_id")).join(nodes.where(~is_test_path(F.col("path"))), "node_id")
+        callees = called.groupBy("rank").agg(F.sort_array(F.collect_set("qual")).alias("callees"))
+        return hits.join(callees, "rank", "left").select("rank", "path", "start", "end", "symbol", "doc", "score", F.coalesce("callees", F.array().cast("array<string>")).alias("callees")).orderBy("rank")
 
     def query(self, question: str, budget: int = 600) -> DataFrame:
         """(qual, path, depth): the neighbourhood of a question, within a budget of tokens."""

@@ -28,6 +28,16 @@ def neighbours(edges: DataFrame, nodes: DataFrame, rel: str | list[str], backwar
     return hop.select(F.col(a).alias("node_id"), F.col(b).alias("other"), "rel").join(nodes.select(F.col("node_id").alias("other"), "name"), "other")
 
 
+#: Lookups along one kind of edge: the relations, and whether they are followed backward.
+LOOKUPS = {"members": (["contains", "method"], False), "bases": (["inherits"], False), "subclasses": (["inherits"], True), "imports_of": (["imports"], False), "importers_of": (["imports"], True), "callers": (["calls"], True), "callees": (["calls"], False)}
+
+
+def lookup(edges: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """(node_id, other) of one of :data:`LOOKUPS`."""
+    rels, backward = LOOKUPS[name]
+    return neighbours(edges, nodes, rels, backward).select("node_id", "other")
+
+
 def degrees(edges: DataFrame, rels: list[str] | None = None) -> DataFrame:
     """(node_id, degree): distinct other nodes over both directions."""
     e = edges if rels is None else edges.where(F.col("rel").isin(rels))
