@@ -12,19 +12,32 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+HUBS = 1000  # nodes that are sent to every task, at most
+
+
+def _met(edges: DataFrame, end: str, least: DataFrame, n: int) -> DataFrame:
+    """``edges`` with ``m`` of ``least`` (node, m, n) for the node at ``end``.
+
+    Nodes with over a thousandth of the ends are at most :data:`HUBS`; their ``m`` is sent to every task, so that a hub's edges stay
+    where they are. All other nodes meet their edges by a shuffle, in which no key is large.
+    """
+    large = F.col("n") > max(HUBS, 2 * n // HUBS)
+    hubs = F.broadcast(least.where(large).select(F.col("node").alias(end), "m"))
+    rest = least.where(~large).select(F.col("node").alias(end), "m").hint("shuffle_merge")
+    return edges.join(hubs, end).unionByName(edges.join(hubs.select(end), end, "left_anti").join(rest, end))
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Every neighbour above a node is linked to the smallest in the node's neighbourhood."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("a_"), F.least("m", "a").alias("m"))
-    up = both.where("b > a")
-    return up.join(least.hint("shuffle_merge"), up.a == least.a_).select(F.col("m").alias("a"), "b").distinct()
+    least = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _met(both.where("b > a"), "a", durable(least, "least"), n).select(F.col("m").alias("a"), "b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Edges run from ``a`` < ``b``: a node and its smaller neighbours are linked to the smallest of them."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("b_"), "m")
-    joined = edges.join(least.hint("shuffle_merge"), edges.b == least.b_)
-    return joined.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
+    least = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n"))
+    return _met(edges, "b", durable(least, "least"), n).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -39,9 +52,11 @@ def components(edges: DataFrame) -> DataFrame:
     )
     at = _signature(now)
     while at[0]:
-        new = durable(_small_star(_large_star(now)), "edges")
+        large = durable(_large_star(now, at[0]), "edges")
+        new = durable(_small_star(large, large.count()), "edges")
         was, at = at, _signature(new)
         drop(now)
+        drop(large)
         now = new
         if at == was:
             break
