@@ -261,7 +261,7 @@ def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     texts = id_and_text(docs, id_col, text_col).where("doc_id is not null").withColumn("th", F.xxhash64("text"))
     rows = durable(map_arrow(texts, run, "doc_id long, th long, key binary, fp binary, m long"), "wide")
     classes = rows.groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.first("fp").alias("fp"), F.first("m").alias("m"))
-    classes = durable(classes.select(F.xxhash64("key").alias("node"), "key", "fp", "m", F.col("first.doc_id").alias("least"), F.col("first.th").alias("th")), "classes")
+    classes = durable(classes.select(F.monotonically_increasing_id().alias("node"), "key", "fp", "m", F.col("first.doc_id").alias("least"), F.col("first.th").alias("th")), "classes")
     pop = sum((F.bit_count(F.conv(F.hex(F.substring("fp", 8 * k + 1, 8)), 16, -10).cast("long")) for k in range(1, LANES)), F.bit_count(F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long")))
     step = 2 * radius  # width of a population-count cell
     cells = durable(classes.select("node", "fp", "m", F.floor(F.log(F.col("m") + 0.5) * BANDS).cast("int").alias("band"), F.floor(pop / step).cast("int").alias("pop")), "cells")
