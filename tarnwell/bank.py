@@ -95,12 +95,13 @@ class Bank:
         kept.sync(self.notes().select(F.col("id").alias("doc_id"), words.alias("text")))
         return kept.opened()
 
-    def recall(self, question: str, limit: int = 8, tokens: int = 400, budget: str = "mid", strategies: tuple[str, ...] = ("words", "links", "time", "meaning"), kinds: list[str] | None = None, tags: list[str] | None = None, meaning: DataFrame | None = None) -> DataFrame:
-        """(place, id, kind, text, score): notes that answer ``question``, directives first.
+    def recall(self, question: str, limit: int = 8, tokens: int = 400, budget: str = "mid", strategies: tuple[str, ...] = ("words", "links", "time", "meaning"), kinds: list[str] | None = None, tags: list[str] | None = None, meaning: DataFrame | None = None, code: DataFrame | None = None) -> DataFrame:
+        """(place, id, kind, text, state, score): notes that answer ``question``, directives first.
 
         Strategies: words (BM25); meaning (a ranked list (id, score) of the caller's vectors, from 0.30 on); links (shared entities
         and causes of the 20 best of these); time (closeness to the middle of the window that a date in the question names).
-        They are fused, boosted by recency, time and proof, and cut by :func:`tarnwell.operators.memory.directive_quota`.
+        ``code`` (path, qual, hash) is what is there now: notes anchored to definitions that changed are stale, to such as went
+        gone, and are demoted; without it all are fresh. They are fused, boosted by recency, time and proof, and cut by :func:`tarnwell.operators.memory.directive_quota`.
         """
         count, now = M.BUDGETS[budget], self.clock()
         notes = durable(M.note_filter(self.notes(), kinds, tags), "notes")
@@ -132,15 +133,21 @@ class Bank:
         if window:
             ranked(notes.where(at.between(*window)).select("id", M.proximity(at, F.lit(window[0]), F.lit(window[1])).alias("score")), "time")
         if not lists:
-            return self.spark.createDataFrame([], "place int, id string, kind string, text string, score double")
+            return self.spark.createDataFrame([], "place int, id string, kind string, text string, state string, score double")
         every = lists[0]
         for x in lists[1:]:
             every = every.union(x)
-        known = notes.select(F.col("id").alias("note_id"), at.alias("at"), F.coalesce("proof_count", F.lit(1)).alias("proof_count"), F.lit("fresh").alias("state"))
+        known = notes.select(F.col("id").alias("note_id"), at.alias("at"), F.coalesce("proof_count", F.lit(1)).alias("proof_count"))
+        if code is None:
+            known = known.withColumn("state", F.lit("fresh"))
+        else:
+            anchors = notes.select(F.col("id").alias("note_id"), F.explode("anchors").alias("a")).select("note_id", "a.path", "a.qual", "a.hash")
+            known = known.join(M.note_states(anchors, code), "note_id", "left").withColumn("state", F.coalesce("state", F.lit("fresh")))
+        known = durable(known, "known")
         fused = M.recall_fused(every, known, now, window).where(F.col("rank") <= count)
-        rich = fused.join(notes.select(F.col("id").alias("note_id"), "kind", "text"), "note_id")
+        rich = fused.join(notes.select(F.col("id").alias("note_id"), "kind", "text"), "note_id").join(known.select("note_id", "state"), "note_id")
         shown = M.directive_quota(rich.select("query_id", "note_id", "score", (F.col("kind") == "directive").alias("directive"), T.token_cost(F.col("text")).alias("cost")), limit, M.budget_floor(tokens))
-        return shown.join(rich, ["query_id", "note_id"]).select("place", F.col("note_id").alias("id"), "kind", "text", "score").orderBy("place")
+        return shown.join(rich, ["query_id", "note_id"]).select("place", F.col("note_id").alias("id"), "kind", "text", "state", "score").orderBy("place")
 
     def reflect(self, question: str, budget: str = "mid", **how) -> tuple[DataFrame, DataFrame]:  # noqa: ANN003
         """(a recall with one budget more, its notes by entity, most mentioned first)."""

@@ -194,6 +194,12 @@ def staleness(anchors: DataFrame, current: DataFrame) -> DataFrame:
     return anchors.join(now, ["path", "qual"], "left").select("note_id", "path", "qual", state.alias("state"))
 
 
+def note_states(anchors: DataFrame, current: DataFrame) -> DataFrame:
+    """(note_id, state) of each note with anchors: gone if any anchor is, else stale if any is, else fresh."""
+    worst = F.max(F.when(F.col("state") == "gone", 2).when(F.col("state") == "stale", 1).otherwise(0))
+    return staleness(anchors, current).groupBy("note_id").agg(worst.alias("w")).select("note_id", F.element_at(F.array(F.lit("fresh"), F.lit("stale"), F.lit("gone")), F.col("w") + 1).alias("state"))
+
+
 def tag_key(tags: Column) -> Column:
     return F.array_join(F.sort_array(F.array_distinct(F.transform(tags, F.lower))), ",")
 

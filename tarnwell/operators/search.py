@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tarnwell.functions.text import jaccard, trigrams
 
@@ -63,14 +64,35 @@ def budget_prefix(rows: DataFrame, order: list, budget: int, by: list[str], cost
 
 
 def budget_skip(rows: DataFrame, by: list[str], order: Column, budget: int, id_col: str, cost: str = "cost") -> DataFrame:
-    """(by..., id) of a greedy scan that skips what does not fit and goes on: an ordered fold over each group's (bounded) list."""
-    items = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(id_col).alias("id"), F.col(cost).cast("long").alias("c"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.filter(F.transform("items", lambda x: x["id"]), lambda x: F.lit(False)).alias("ids"))
-    folded = F.aggregate(
-        "items", start,
-        lambda s, x: F.when(s["used"] + x["c"] <= budget, F.struct((s["used"] + x["c"]).alias("used"), F.array_append(s["ids"], x["id"]).alias("ids"))).otherwise(s),
-    )
-    return rows.groupBy(*by).agg(items.alias("items")).select(*by, F.explode(folded["ids"]).alias(id_col))
+    """(by..., id) of a greedy scan that skips what does not fit and goes on.
+
+    Each group's rows come as a sorted stream to one task, which holds what the group has used and nothing else. Equal rows of the
+    order go by id; a null cost is nothing; a group whose key is null is a group.
+    """
+    from tarnwell.session import ship
+
+    ship(rows.sparkSession)
+    fields = [*[f for f in rows.select(*by, id_col).schema.fields]]
+    wide = rows.select(*by, F.col(id_col), order.alias("_o"), F.coalesce(F.col(cost).cast("long"), F.lit(0)).alias("_c"))
+    dealt = wide.repartition(*by).sortWithinPartitions(*by, "_o", id_col).drop("_o")
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        now, used = object(), 0
+        for b in batches:
+            keys, costs = [c.to_pylist() for c in b.columns[: len(by)]], b.column(len(by) + 1).to_pylist()
+            keep = []
+            for i, c in enumerate(costs):
+                key = tuple(k[i] for k in keys)
+                if key != now:
+                    now, used = key, 0
+                if used + c <= budget:
+                    used += c
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64())).select(list(range(len(by) + 1)))
+
+    return dealt.mapInArrow(run, StructType(fields))
 
 
 def similar_names(names: DataFrame, least: float) -> DataFrame:

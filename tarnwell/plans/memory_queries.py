@@ -187,7 +187,13 @@ def budget_prefix(spark: SparkSession, d: str) -> DataFrame:
     return S.budget_prefix(e, [F.desc("ts"), "event_id"], 400, ["user_id"]).select("user_id", "event_id", "running")
 
 
-@query()
+@query(
+    """WITH RECURSIVE c AS (SELECT conv_id, turn, CAST(ceil(octet_length(encode(text)) / 4.0) AS BIGINT) AS cost FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY -cost, turn) AS k FROM c),
+w(conv_id, turn, k, used, taken) AS (SELECT conv_id, turn, k, CASE WHEN cost <= 200 THEN cost ELSE 0 END, cost <= 200 FROM o WHERE k = 1
+  UNION ALL SELECT o.conv_id, o.turn, o.k, CASE WHEN used + cost <= 200 THEN used + cost ELSE used END, used + cost <= 200 FROM w JOIN o ON o.conv_id = w.conv_id AND o.k = w.k + 1)
+SELECT conv_id, turn FROM w WHERE taken"""
+)
 def budget_skip(spark: SparkSession, d: str) -> DataFrame:
     """Turns of a conversation by length, as many as fit 200 tokens; one that does not fit is skipped."""
     c = table(spark, d, "conversations").select("conv_id", "turn", T.token_cost(F.col("text")).alias("cost"))
@@ -328,9 +334,6 @@ def date_parse_spans(spark: SparkSession, d: str) -> DataFrame:
     return v.select("o_orderkey", "text", span.alias("s")).select("o_orderkey", "text", dates.wall_clock(F.col("s.start_at") * 1_000_000).alias("span_start"), dates.wall_clock(F.col("s.end_at") * 1_000_000).alias("span_end"))
 
 
-SENTENCES = "(1, 'The index is built from the tree. It is small. Search fuses words and vectors!'), (2, '- first point of the list is here\\n- second point of the list is here'), (3, 'short'), (4, 'Version 1.2 of the tool reads e.g. notes and logs. Then it stops here for good.')"
-
-
 @query()
 def split_facts(spark: SparkSession, d: str) -> DataFrame:
     """Every turn of every conversation, split into facts."""

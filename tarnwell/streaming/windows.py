@@ -64,13 +64,15 @@ def _timed(events: DataFrame) -> DataFrame:
 
 
 def windowed(events: DataFrame, size: str, slide: str | None, keys: list[str], aggs: list, late: str = "1 hour") -> DataFrame:
-    """Tumbling or sliding event-time windows."""
+    """Tumbling or sliding event-time windows. Events more than ``late`` behind the newest one may be dropped, and are counted by
+    Spark's progress reports (``numRowsDroppedByWatermark``): choose it for the source's disorder."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
     out = _timed(events).withWatermark("ts", late).groupBy(w, *keys).agg(*aggs)
     return out.select(wall_clock(F.unix_micros("window.start")).alias("window_start"), *keys, *[c for c in out.columns if c not in ("window", *keys)])
 
 
 def sessions(events: DataFrame, gap: str, keys: list[str], aggs: list, late: str = "1 hour") -> DataFrame:
+    """Session windows that end ``gap`` after their last event; events later than ``late`` may be dropped, as in :func:`windowed`."""
     out = _timed(events).withWatermark("ts", late).groupBy(F.session_window("ts", gap), *keys).agg(*aggs)
     return out.select(wall_clock(F.unix_micros("session_window.start")).alias("session_start"), *keys, *[c for c in out.columns if c not in ("session_window", *keys)])
 
