@@ -5,8 +5,8 @@ one. Every turn gets a hash of its position, role and text; the rolling exclusiv
 independent 64-bit ones) is the hash of each of its turn prefixes. A conversation whose whole hash is a proper prefix hash
 of a longer one is removed by an anti-join; of equal conversations the smallest id stays. What is left is rendered.
 
-No step needs all turns of a conversation in one place: positions, rolling hashes and rendering go by blocks of 256 turn
-numbers, and only one row for each block is ordered within a conversation. A block that holds far more turns than numbers (null
+No step needs all turns of a conversation in one place: positions and rolling hashes go by blocks of 256 turn numbers, rendering by
+segments of 256 turns, and only one row for each block is ordered within a conversation. A block that holds far more turns than numbers (null
 or equal numbers) is cut further, by number and by ranges of the hash that orders equal numbers. Turns without a conversation
 are conversations of one turn each; they are aggregated by content before they meet anything. Both sides of the anti-join have
 each key once, by partial aggregation, so a first turn that a third of all conversations share is one row. The prefixes, which
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from tarnwell.session import durable
 
-BLOCK = 256
-CROWDED = 4 * BLOCK  # turns in a block beyond which it is cut further
+BLOCK = 256  # turn numbers of a block
+SEGMENT = 256  # turns of a rendered segment
+CROWDED = 4 * BLOCK  # turns in a block beyond which it is cut further, to be ordered; results do not depend on it
 FIRST = -(2**62)  # stands for a null turn number, which comes first
 
 
@@ -84,11 +85,11 @@ def _rendered() -> Column:
 
 
 def chat_format(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row for each 256 turn numbers of each maximal conversation: conv_id, segment, n_turns, segment_turns, copies, rendered.
+    """One row for each 256 turns of each maximal conversation: conv_id, segment, n_turns, segment_turns, copies, rendered.
 
     Most conversations have one segment; the segments of a long one, in order, concatenate to its rendering. Turns are ordered
     by number; a null number comes first, equal numbers go by a hash of role and text, and repeated rows are turns of their
-    own. Where over 1,024 turns share 256 numbers they make several segments. A null role is rendered as 'unknown', a null text
+    own. A null role is rendered as 'unknown', a null text
     as nothing. A row with a null conversation id is a conversation of one turn, with a null id unless an equal conversation has
     one. Other columns are ignored; an empty table gives no rows.
     """
@@ -98,11 +99,13 @@ def chat_format(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     h1, h2 = _hashes(F.lit(1).cast("long"))
     singles = singles.select(F.lit(1).cast("long").alias("n"), h1.alias("h1"), h2.alias("h2"), F.lit(None).cast("long").alias("conv_id"), "copies", "role", "text")
     kept = durable(maximal(prefixes, singles), "kept")
-    order = W.partitionBy("conv_id").orderBy("block")
-    blocks = prefixes.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("segment_turns")).withColumn("segment", F.row_number().over(order) - 1)
-    wanted = blocks.join(kept.select("conv_id", "n_turns", "copies"), "conv_id").select("conv_id", "block", "segment", "segment_turns", "n_turns", "copies")
-    rows = turns.join(wanted, ["conv_id", "block"])
-    grouped = rows.groupBy("conv_id", "block", "segment", "segment_turns", "n_turns", "copies").agg(F.array_sort(F.collect_list(F.struct("turn", "tie", _rendered().alias("x")))).alias("xs"))
+    # where each block's turns begin, by position; segments are cut by position, whatever the turn numbers
+    blocks = prefixes.groupBy("conv_id", "block").agg((F.min("pos") - 1).alias("before"))
+    wanted = blocks.join(kept.select("conv_id", "n_turns", "copies"), "conv_id")
+    within = W.partitionBy("conv_id", "block").orderBy("turn", "tie")
+    rows = turns.join(wanted, ["conv_id", "block"]).withColumn("pos", F.col("before") + F.row_number().over(within) - 1)
+    rows = rows.select("conv_id", "n_turns", "copies", "pos", F.floor(F.col("pos") / SEGMENT).alias("segment"), _rendered().alias("x"))
+    grouped = rows.groupBy("conv_id", "segment", "n_turns", "copies").agg(F.count(F.lit(1)).alias("segment_turns"), F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("xs"))
     columns = lambda segment, size, text: ["conv_id", segment.cast("int").alias("segment"), F.col("n_turns").cast("long").alias("n_turns"), size.cast("long").alias("segment_turns"), F.col("copies").cast("long").alias("copies"), text.alias("rendered")]
     out = grouped.select(columns(F.col("segment"), F.col("segment_turns"), F.array_join(F.transform("xs", lambda s: s["x"]), "")))
     return out.union(kept.where("conv_id is null").select(columns(F.lit(0), F.lit(1), _rendered())))
@@ -118,10 +121,10 @@ p AS (
 f AS (SELECT n, pre, min(conv_id) AS conv_id, count(*) AS copies FROM p WHERE pos = n GROUP BY n, pre),
 k AS (SELECT f.* FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.n > f.n AND p.pos = f.n AND p.pre = f.pre)),
 b AS (
-  SELECT t.conv_id, t.turn // 256 AS block, count(*) AS segment_turns,
+  SELECT t.conv_id, (t.pos - 1) // 256 AS block, count(*) AS segment_turns,
          string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS rendered
   FROM t SEMI JOIN k USING (conv_id) GROUP BY 1, 2)
-SELECT b.conv_id, CAST(row_number() OVER (PARTITION BY b.conv_id ORDER BY block) - 1 AS INTEGER) AS segment,
+SELECT b.conv_id, CAST(block AS INTEGER) AS segment,
        k.n AS n_turns, b.segment_turns, k.copies, b.rendered
 FROM b JOIN k USING (conv_id)
 """
