@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from tarnwell.llm.common import batch, id_and_text, map_arrow
-from tarnwell.session import drop, durable, release
+from tarnwell.llm.common import batch, id_and_text, map_arrow, release
+from tarnwell.session import drop, durable
 
 SHAPES = 8
 MOST_CLASSES = 64  # of all kinds; a class and a side fit one byte

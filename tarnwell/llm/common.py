@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.session import ship
@@ -32,3 +34,13 @@ def batch(schema: str, columns: list) -> pa.RecordBatch:
     fields = [x.strip().split() for x in schema.split(",")]
     arrays = [pa.array(c, type=kinds[t], from_pandas=False) for c, (_, t) in zip(columns, fields, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])
+
+
+def release(spark: SparkSession) -> None:
+    """Collect garbage here and in the driver's JVM, so that Spark deletes the shuffle files of queries that have ended and are
+    held by nobody; else they stay until the driver happens to run short of memory. What holds them goes layer by layer and in
+    threads of its own, hence the rounds."""
+    for _ in range(4):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
