@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import tempfile
-import time
 import uuid
 import zipfile
 
@@ -75,16 +73,6 @@ def drop(df: DataFrame) -> None:
             _written.remove((spark, path))
 
 
-def release(spark: SparkSession) -> None:
-    """Collect garbage here and in the driver's JVM, so that Spark deletes the shuffle files of queries that have ended and are
-    held by nobody; else they stay until the driver happens to run short of memory. What holds them goes layer by layer and in
-    threads of its own, hence the rounds."""
-    for _ in range(4):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def forget_later(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared folder at exit."""
     _written.append((spark, path))
