@@ -20,15 +20,23 @@ def rank_metrics(rank: Column) -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), at(1), at(5), at(10), F.round(F.avg(F.when(rank > 0, 1.0 / rank).otherwise(0.0)), 6).alias("mrr")]
 
 
+#: Numbered values that are sent to every task; more of them are met by a shuffle of the draws.
+SENT = 2_000_000
+
+
 def resamples(values: DataFrame, n: int, draws: int, seed: str) -> DataFrame:
     """(resample, value...): each of ``draws`` resamples takes ``n`` rows by md5(seed:resample:i) mod n; values has idx 0..n-1.
 
-    The work is draws times n rows whatever the corpus: n is the number of graded questions, not of documents.
+    The work is draws times n rows whatever the corpus: n is the number of graded questions, not of documents. Draws are counted
+    off one range, so Spark knows their number and never takes them for the small side of the join; they are dealt out in the order
+    of their resamples and summed where they are made, as up to :data:`SENT` values (some 130 MB) go to every task.
     """
     spark = values.sparkSession
-    slots = spark.range(draws).select(F.col("id").cast("int").alias("resample"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    parts = max(spark.sparkContext.defaultParallelism, min(4000, -(-draws * n // 4_000_000)))
+    slots = spark.range(0, draws * n, 1, parts).select(F.expr(f"int(id div {max(n, 1)})").alias("resample"), (F.col("id") % max(n, 1)).alias("i"))
     digit = F.md5(F.concat_ws(":", F.lit(seed), F.col("resample").cast("string"), F.col("i").cast("string")))
-    return slots.select("resample", (F.conv(F.substring(digit, 1, 8), 16, 10).cast("long") % n).alias("idx")).join(values, "idx")
+    drawn = slots.select("resample", (F.conv(F.substring(digit, 1, 8), 16, 10).cast("long") % max(n, 1)).alias("idx"))
+    return drawn.join(F.broadcast(values) if n <= SENT else values, "idx")
 
 
 def interval(per_resample: DataFrame, value: str = "mean") -> DataFrame:
