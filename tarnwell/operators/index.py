@@ -203,6 +203,12 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     return top_k(near, k, ["query_id"], "score", id_col)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` to ``digits`` places as SQL engines round a double: scaled, rounded half away from zero, scaled back. ``F.round`` rounds the
+    shortest decimal notation instead, so it moves 0.0000005 up where the nearest double lies below it."""
+    return F.round(x * float(10**digits)) / float(10**digits)
+
+
 def rank_score(rank: Column, n: Column) -> Column:
     """1 for the first of ``n``, 0.1 for the last, evenly between."""
     return F.when(n > 1, 1 - 0.9 * (rank - 1) / (n - 1)).otherwise(F.lit(1.0))
