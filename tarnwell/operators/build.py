@@ -72,12 +72,46 @@ def families(nodes: DataFrame) -> DataFrame:
     return first_rule(impls, "impl_id", [here, impls.join(only, ["family", "name"])]).select("impl_id", F.col("target").alias("class_id"))
 
 
-def ancestors(nodes: DataFrame, inherits: DataFrame) -> DataFrame:
-    """(node_id, ancestor, depth): bases of bases, nearest first; cycles end as a class is met once."""
-    from tarnwell.operators.graph import reach
+def inherited_members(asked: DataFrame, members: DataFrame, inherits: DataFrame) -> DataFrame:
+    """(owner_id, name, above, target): the member of that name that a class (owner_id) has or inherits, the nearest one, of equals the
+    smallest; ``above``: its own do not count. members: (m_of, mn, target); inherits: (src, dst).
 
-    seeds = inherits.select(F.col("src").alias("node_id")).distinct()
-    return reach(inherits, seeds, None).where("depth > 0").select(F.col("seed").alias("node_id"), F.col("node_id").alias("ancestor"), "depth")
+    Level by level from the asked classes; what is found goes no further, nor does a name that no class has, so the rounds are as
+    many as the farthest member found needs and not as many as the longest line of bases. A class is met once, so cycles end.
+    """
+    key = ["owner_id", "name", "above"]
+    up = durable(inherits.select(F.col("src").alias("holder"), F.col("dst").alias("base")).distinct(), "bases")
+    front = asked.join(members.select(F.col("mn").alias("name")).distinct(), "name", "left_semi").select(*key, F.col("owner_id").alias("holder"))
+    front, seen, found, depth = durable(front, "members-front"), None, [], 0
+    while not front.isEmpty():
+        met = front.where("not above") if depth == 0 else front
+        hit = met.join(members, (F.col("holder") == F.col("m_of")) & (F.col("name") == F.col("mn"))).groupBy(*key).agg(F.min("target").alias("target"))
+        found.append(durable(hit, "members-found"))
+        seen = front if seen is None else durable(seen.union(front), "members-seen")
+        onward = front.join(found[-1], key, "left_anti").join(up, "holder").select(*key, F.col("base").alias("holder")).distinct()
+        front, depth = durable(onward.join(seen, [*key, "holder"], "left_anti"), "members-front"), depth + 1
+    out = asked.select(*key, F.lit(None).cast("long").alias("target")).where("false")
+    for f in found:
+        out = out.union(f)
+    return out
+
+
+def nearest_of_name(calls: DataFrame, targets: DataFrame) -> DataFrame:
+    """(call_id, target): the only definition of a call's name in its family; of several those outside tests, and of these the one in
+    the nearest folder, if that is one. calls: (call_id, path, name, family); targets: (sp, sn, sf, target).
+
+    Definitions are counted under each folder they are in, so a call looks its own folders up and never meets the definitions.
+    """
+    up = lambda path: F.transform(F.sequence(F.lit(0), F.size(F.split(path, "/")) - 1), lambda i: F.array_join(F.slice(F.split(path, "/"), 1, i), "/"))
+    prod = targets.withColumn("prod", (~is_test_path(F.col("sp"))).cast("int"))
+    most = prod.groupBy("sn", "sf").agg(F.max("prod").alias("prod"))
+    under = prod.join(most, ["sn", "sf", "prod"]).select("sn", "sf", "target", F.posexplode(up(F.col("sp"))).alias("shared", "folder"))
+    under = under.groupBy("sn", "sf", "shared", "folder").agg(F.count(F.lit(1)).alias("c"), F.min("target").alias("target"))
+    asked = calls.select("path", "name", "family").distinct()
+    own = asked.select("*", F.posexplode(up(F.col("path"))).alias("shared", "folder"))
+    met = own.join(under.withColumnsRenamed({"sn": "name", "sf": "family"}), ["name", "family", "shared", "folder"])
+    best = met.groupBy("path", "name", "family").agg(F.max_by(F.struct("c", "target"), "shared").alias("b")).where("b.c = 1")
+    return calls.join(best, ["path", "name", "family"]).select("call_id", F.col("b.target").alias("target"))
 
 
 def module_lookup(wanted: DataFrame, bindings: DataFrame, defs: DataFrame) -> DataFrame:
@@ -166,29 +200,24 @@ def build_graph(files: DataFrame, facts: DataFrame) -> dict[str, DataFrame]:
 
     own = calls.where(F.col("recv").isin("self", "this", "cls", "super", "Self", "@", "$this")).withColumn("cls", F.regexp_extract("caller_qual", r"^(.*)\.[^.]+$", 1))
     own = own.join(owner, (F.col("path") == F.col("op")) & (F.col("cls") == F.col("oq")))
-    up = durable(ancestors(nodes, inherits), "ancestors")
-    line = up.select(F.col("node_id").alias("an"), F.col("ancestor").alias("holder"), "depth")
-    self_rows = own.where("recv <> 'super'").select("call_id", "name", F.col("owner_id").alias("holder"), F.lit(0).alias("depth"))
-    base_rows = own.join(line, F.col("owner_id") == F.col("an")).select("call_id", "name", "holder", "depth")
     own_members = containment(nodes).select(F.col("src").alias("m_of"), F.col("dst").alias("target"))
     family_members = own_members.join(families(nodes).select(F.col("impl_id").alias("m_of"), "class_id"), "m_of").select(F.col("class_id").alias("m_of"), "target")
     members = own_members.union(family_members).distinct().join(symbols.select(F.col("node_id").alias("target"), F.col("name").alias("mn")), "target")
-    member = self_rows.union(base_rows).join(members, (F.col("holder") == F.col("m_of")) & (F.col("name") == F.col("mn"))).groupBy("call_id").agg(F.min_by("target", F.struct("depth", "target")).alias("target"))
+    asked = own.select("call_id", "name", "owner_id", (F.col("recv") == "super").alias("above"))
+    held = durable(members.select("m_of", "mn", "target"), "members")
+    member = asked.join(inherited_members(asked.select("owner_id", "name", "above").distinct(), held, inherits), ["owner_id", "name", "above"]).select("call_id", "target")
 
     received = calls.where("recv is not null")
     by_module = received.join(modules.withColumnRenamed("path", "ip"), (F.col("path") == F.col("ip")) & (F.col("recv") == F.col("as_name"))).join(targets, (F.col("module_path") == F.col("sp")) & (F.col("name") == F.col("sq"))).select("call_id", "target")
     classes = top.where(F.col("tk").isin("class", "interface")).select(F.col("tp").alias("path"), F.col("tn").alias("as_name"), F.col("target").alias("holder")).union(named.where(F.col("tk").isin("class", "interface")).select("path", "as_name", "target"))
     by_class = received.join(classes.withColumnRenamed("path", "kp"), (F.col("path") == F.col("kp")) & (F.col("recv") == F.col("as_name"))).join(members, (F.col("holder") == F.col("m_of")) & (F.col("name") == F.col("mn"))).select("call_id", "target")
 
-    # the only one of that name, else not in tests, else the nearest by shared folders if that is one
-    everywhere = bare.join(targets, (F.col("name") == F.col("sn")) & (F.col("family") == F.col("sf"))).where("sk <> 'method'")
-    shared = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda i: F.array_join(F.slice(F.split("path", "/"), 1, i), "/")), lambda p: F.startswith(F.col("sp"), F.concat(p, F.lit("/")))))
-    near = everywhere.withColumn("prod", (~is_test_path(F.col("sp"))).cast("int")).withColumn("near", shared)
-    w = W.partitionBy("call_id")
-    near = near.withColumn("p", F.max("prod").over(w)).where("prod = p").withColumn("nn", F.max("near").over(w)).where("near = nn")
-    nearest = near.groupBy("call_id").agg(F.count(F.lit(1)).alias("c"), F.min("target").alias("target")).where("c = 1").select("call_id", "target")
+    # the only one of that name, else not in tests, else the nearest by shared folders if that is one; asked only where no rule before has a target
+    before = [inner, at_top, imported, member, by_module, by_class]
+    tiers = durable(first_rule(calls, "call_id", before), "tiers")
+    near = nearest_of_name(bare.join(tiers, "call_id", "left_anti"), targets.where("sk <> 'method'")).withColumn("tier", F.lit(len(before) + 1))
 
-    resolved = durable(first_rule(calls, "call_id", [inner, at_top, imported, member, by_module, by_class, nearest]), "resolved")
+    resolved = durable(tiers.unionByName(near), "resolved")
     tied = resolved.join(calls, "call_id").select("src", F.col("target").alias("dst"), F.lit("calls").alias("rel"), "line", (F.col("tier") < 7).alias("extracted"))
     call_edges = collapse(tied)
     plain = containment(nodes).union(import_edges).union(inherits).select("src", "dst", "rel", F.array().cast("array<int>").alias("lines"), F.lit("extracted").alias("conf"))
