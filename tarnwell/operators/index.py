@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnwell.functions.text import code_tokens, expand_identifier, identifiers
+from tarnwell.functions.text import expand_identifier, identifiers, token_counts
 from tarnwell.session import ship
 
 K1, B = 1.5, 0.75
@@ -45,6 +46,34 @@ class WordIndex:
         return self.words.select("term", "df", F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
+#: Documents of one task, if the session's shuffle partitions would give it more.
+DEALT = 20_000
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(term, doc_id, tf, dl) of each row (doc_id, text) by itself: its :func:`code_tokens` are counted as it is read, row by row, and
+    nothing is shuffled. ``dl`` is the row's number of tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms, tf, rows, sizes, totals = [], [], [], [], []
+            for i, text in enumerate(b.column(1)):
+                if text.is_valid:
+                    counts = token_counts(text.as_py())
+                    terms += counts.keys()
+                    tf += counts.values()
+                    rows.append(i)
+                    sizes.append(len(counts))
+                    totals.append(sum(counts.values()))
+                if len(terms) > 200_000 or (terms and i == b.num_rows - 1):
+                    ids, dl = b.column(0).take(pa.array(np.repeat(rows, sizes))), np.repeat(totals, sizes)
+                    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()).cast(pa.string()), ids, pa.array(tf, pa.int64()), pa.array(dl, pa.int64())], names=["term", "doc_id", "tf", "dl"])
+                    terms, tf, rows, sizes, totals = [], [], [], [], []
+
+    ship(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(run, f"term string, doc_id {dict(docs.dtypes)['doc_id']}, tf long, dl long")
+
+
 def write_postings(source: DataFrame, path: str) -> DataFrame:
     """Write the postings (term, doc_id, tf, dl) of ``source`` (doc_id, text) and return its documents (doc_id, dl), those without
     words included; rows that repeat an id are one document.
@@ -52,14 +81,11 @@ def write_postings(source: DataFrame, path: str) -> DataFrame:
     Texts are dealt out by document once; a document's words are then counted where it is, without a further shuffle.
     """
     spark = source.sparkSession
-    n = source.agg(F.count("doc_id").alias("rows"), F.count_distinct("doc_id").alias("n")).first()
-    dealt = source.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    if n.rows == n.n:  # a row is a document: its length is known before its words are counted
-        tokens = dealt.select("doc_id", code_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
-        post = tokens.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
-    else:
-        tokens = dealt.select("doc_id", F.explode(code_tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-        post = tokens.withColumn("dl", F.sum("tf").over(W.partitionBy("doc_id")))
+    n = source.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("n")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n.rows // DEALT))
+    post = counted(source.repartition(parts, "doc_id"))
+    if n.rows != n.n:  # rows that repeat an id are added up
+        post = post.repartition(parts, "doc_id").groupBy("doc_id", "term").agg(F.sum("tf").alias("tf")).withColumn("dl", F.sum("tf").over(W.partitionBy("doc_id")))
     post.select("term", "doc_id", "tf", "dl").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
     lengths = spark.read.parquet(path).groupBy("doc_id").agg(F.max("dl").alias("dl"))
     ids = source.where("doc_id is not null").select("doc_id")
