@@ -206,7 +206,7 @@ SELECT query_id, chunk_id, round(score + 0.5 * top * coalesce(ratio, 0), 4) AS s
 )
 def stem_lift(spark: SparkSession, d: str) -> DataFrame:
     """Chunks gain by the idf-weighted part of the query's words they have."""
-    index, pool = word_index(spark, d), _pool(spark, d)
+    index, pool = word_index(spark, d), durable(_pool(spark, d), "pool")  # its size is known, so postings are not shuffled to meet it
     terms = I.query_terms(table(spark, d, "benchmark"), "item_id", "text").select("query_id", F.col("term").alias("word"))
     weights = index.idf.select(F.col("term").alias("word"), "idf")
     having = index.post.select(F.col("doc_id").alias("chunk_id"), F.col("term").alias("word")).join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi")
