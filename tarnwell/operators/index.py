@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnwell.functions.text import expand_identifier, identifiers, token_counts
-from tarnwell.session import ship
+from tarnwell.session import durable, ship
 
 K1, B = 1.5, 0.75
 
@@ -122,9 +122,10 @@ def bm25(index: WordIndex, terms: DataFrame, among: DataFrame | None = None, k1:
     """(query_id, doc_id, score). ``among`` (doc_id) limits the documents scored, never the statistics.
 
     A posting has its document's length and the totals are numbers, so the queries' weighted terms meet the postings in one join
-    by term (sent to every task if Spark finds them small) and one aggregation sums the scores.
+    by term and one aggregation sums the scores. The weighted terms are written first: Spark then knows their size, and sends them
+    to every task instead of shuffling the postings if they are small.
     """
-    weighted = terms.join(index.idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    weighted = durable(terms.join(index.idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "weighted")
     post = index.post if among is None else index.post.join(among.select("doc_id").distinct(), "doc_id", "left_semi")
     share = F.col("tf") / (F.lit(k1) * (1 - b + b * F.col("dl") * F.lit(float(index.n)) / F.lit(float(max(index.total, 1)))) + F.col("tf"))
     hits = post.select("term", "doc_id", share.alias("share")).join(weighted, "term")
@@ -149,7 +150,9 @@ def rrf(lists: DataFrame, by: list[str], k: int = 60, id_col: str = "doc_id") ->
 
 
 def expansion_terms(hits: DataFrame, index: WordIndex, terms: DataFrame, n: int) -> DataFrame:
-    """Pseudo-relevance feedback: for each query the ``n`` new terms with the largest idf times number of its hits that have them."""
+    """Pseudo-relevance feedback: for each query the ``n`` new terms with the largest idf times number of its hits that have them. Hits are
+    written first, so that Spark knows their size and leaves the postings where they lie if they are few."""
+    hits = durable(hits.select("query_id", "doc_id"), "hits")
     found = hits.join(index.post, "doc_id").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("hits"))
     new = found.join(terms.select("query_id", "term"), ["query_id", "term"], "left_anti").join(index.idf, "term")
     return top_k(new.select("query_id", "term", "hits", (F.col("idf") * F.col("hits")).alias("weight")), n, ["query_id"], "weight", "term")
