@@ -14,7 +14,7 @@ from tarnwell.session import durable
 def narrow(spark):
     """A limit for sending under the product of two small tables' sizes."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200kb")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10kb")
     yield
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
