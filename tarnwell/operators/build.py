@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -119,30 +121,65 @@ def module_lookup(wanted: DataFrame, bindings: DataFrame, defs: DataFrame) -> Da
 
     wanted: (file, name); defs: (file, name, target), of which the smallest of a name counts; bindings: (file, ord, as_name, orig,
     module), stars with orig '*'. The search goes depth first: a file's own definition, then its imports of that name, the
-    latest first, then its stars in their order; a (file, name) is visited once, so cycles end. A way is the list of the
-    places its imports have in that order, and the first definition found is the one of the least way without a key twice. Each round
-    takes every way one import on and keeps, for each key, the least one; what lies behind a definition already found is not
-    followed. Rounds end when no way gets better, however deep the imports are.
+    latest first, then its stars in their order; a (file, name) is visited once, so cycles end.
+
+    Each (file, name) is one row, however many are asked for what it stands for. Of those that lead to a definition at all each
+    points to the first of its imports that does; following these pointers ends at the definition that the search finds, or
+    goes round. Pointers are doubled, so a way of n imports takes log n rounds; only the names whose pointers go round are searched
+    step by step (:func:`_searched`).
     """
-    defs = durable(defs.groupBy(F.col("file").alias("at_file"), F.col("name").alias("at_name")).agg(F.min("target").alias("target")), "defs")
-    named = bindings.where("orig <> '*'").select(F.col("file").alias("at_file"), F.col("as_name").alias("at_name"), "module", F.col("orig").alias("to"), (-F.col("ord")).cast("long").alias("place"))
-    stars = bindings.where("orig = '*'").select(F.col("file").alias("at_file"), "module", (F.col("ord") + 1).cast("long").alias("place"))
+    key, to = ["file", "name"], ["to_file", "to_name"]
+    ahead = lambda df: df.withColumnsRenamed({"file": "to_file", "name": "to_name"})
+    defs = durable(defs.groupBy(*key).agg(F.min("target").alias("target")), "defs")
+    named = bindings.where("orig <> '*'").select("file", F.col("as_name").alias("name"), F.col("module").alias("to_file"), F.col("orig").alias("to_name"), (-F.col("ord")).cast("long").alias("place"))
+    stars = bindings.where("orig = '*'").select("file", F.col("module").alias("to_file"), (F.col("ord") + 1).cast("long").alias("place"))
     named, stars = durable(named, "named"), durable(stars, "stars")
-    asked, at = ["file", "name"], ["at_file", "at_name"]
-    key = lambda f, n: F.struct(F.col(f).alias("file"), F.col(n).alias("name"))
-    with_target = lambda df: df.join(defs, at, "left").select(*asked, *at, "way", "fresh", "keys", "target")
-    ways = wanted.select(*asked).distinct().select(*asked, F.col("file").alias("at_file"), F.col("name").alias("at_name"), F.array().cast("array<bigint>").alias("way"), F.lit(True).alias("fresh"), F.array(key("file", "name")).alias("keys"))
-    ways = durable(with_target(ways), "ways")
-    best = lambda df: df.where("target is not null").groupBy(*asked).agg(F.min(F.struct("way", "target")).alias("found"))
-    while not ways.where("fresh").isEmpty():
-        going = ways.where("fresh").drop("target").join(best(ways), asked, "left").where(F.col("found").isNull() | (F.col("way") < F.col("found.way")))
-        columns = [*asked, "module", "to", "way", "keys", "place"]
-        onward = going.join(named, at).select(columns).union(going.join(stars, "at_file").select(*asked, "module", F.col("at_name").alias("to"), "way", "keys", "place"))
-        onward = onward.where(~F.array_contains("keys", key("module", "to"))).select(*asked, F.col("module").alias("at_file"), F.col("to").alias("at_name"), F.array_append("way", F.col("place")).alias("way"), F.lit(True).alias("fresh"), F.array_append("keys", key("module", "to")).alias("keys"))
-        every = ways.withColumn("fresh", F.lit(False)).unionByName(with_target(onward))
-        least = every.groupBy(*asked, *at).agg(F.min(F.struct("way", "fresh", "keys")).alias("w"), F.first("target", True).alias("target"))
-        ways = durable(least.select(*asked, *at, "w.*", "target"), "ways")
-    return best(ways).select(*asked, "found.target")
+    asked = durable(wanted.select(*key).distinct(), "wanted")
+    front, keys, links = asked, asked, []
+    while not links or not front.isEmpty():
+        going = front.join(defs, key, "left_anti")
+        links.append(durable(going.join(named, key).select(*key, *to, "place").union(going.join(stars, "file").select(*key, "to_file", F.col("name").alias("to_name"), "place")), "links"))
+        front = durable(links[-1].select(*to).distinct().toDF(*key).join(keys, key, "left_anti"), "keys-front")
+        keys = keys if front.isEmpty() else durable(keys.union(front), "keys")
+    links = reduce(DataFrame.union, links)
+    front = durable(keys.join(defs, key).select(*key), "able-front")
+    able = front
+    while not front.isEmpty():
+        front = durable(links.join(ahead(front), to, "left_semi").select(*key).distinct().join(able, key, "left_anti"), "able-front")
+        able = able if front.isEmpty() else durable(able.union(front), "able")
+    live = durable(links.join(ahead(able), to, "left_semi").select(*key, *to, "place"), "live")
+    first = live.groupBy(*key).agg(F.min_by(F.struct(*to), "place").alias("to")).select(*key, "to.*")
+    jumps = durable(first.join(ahead(defs), to, "left").select(*key, *to, "target"), "jumps")
+    before, ended = -1, jumps.where("target is not null").count()
+    while ended != before:  # a round in which no pointer ends is the last: a longer way has shorter ones behind it
+        beyond = jumps.select(*[F.col(c).alias(t) for c, t in zip(key, to, strict=True)], *[F.col(t).alias(f"far_{t}") for t in to], F.col("target").alias("end"))
+        onward = jumps.where("target is null").select(*key, *to).join(beyond, to).select(*key, "far_to_file", "far_to_name", "end")
+        jumps = durable(jumps.where("target is not null").union(onward), "jumps")
+        before, ended = ended, jumps.where("target is not null").count()
+    settled = durable(keys.join(defs, key).select(*key, "target").union(jumps.where("target is not null").select(*key, "target")), "settled")
+    return asked.join(settled, key).select(*key, "target").union(_searched(asked, jumps.where("target is null").select(*key), live, settled))
+
+
+def _searched(asked: DataFrame, round_: DataFrame, live: DataFrame, settled: DataFrame) -> DataFrame:
+    """(file, name, target) of the ``asked`` whose pointers go round, by a search depth first, all of them one step in each round; what is
+    settled ends a search, and the keys that one has been at are not settled, so what it meets never leads back to them."""
+    key = ["file", "name"]
+    ends = settled.select(F.col("file").alias("to_file"), F.col("name").alias("to_name"), F.col("target").alias("end"))
+    steps = live.join(round_, key, "left_semi").join(ends, ["to_file", "to_name"], "left")
+    steps = steps.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("place", F.struct(F.col("to_file").alias("file"), F.col("to_name").alias("name")).alias("to"), "end"))).alias("steps"))
+    steps = durable(steps.select(F.struct(*key).alias("at"), "steps"), "steps")
+    walk = durable(asked.join(round_, key, "left_semi").select(*key, F.array(F.struct(*key)).alias("stack"), F.array(F.struct(*key)).alias("seen"), F.lit(None).cast(dict(settled.dtypes)["target"]).alias("target")), "walk")
+    out, found = walk.select(*key, "target").where("false"), []
+    while not walk.isEmpty():
+        met = walk.withColumn("at", F.element_at("stack", -1)).join(steps, "at")
+        met = met.withColumn("next", F.get(F.filter("steps", lambda x: x["end"].isNotNull() | ~F.array_contains("seen", x["to"])), F.lit(0)))
+        back = F.col("next").isNull()
+        stack = F.when(back, F.slice("stack", 1, F.size("stack") - 1)).otherwise(F.array_append("stack", F.col("next.to")))
+        seen = F.when(back, F.col("seen")).otherwise(F.array_append("seen", F.col("next.to")))
+        moved = durable(met.select(*key, stack.alias("stack"), seen.alias("seen"), F.col("next.end").alias("target")), "walk")
+        found.append(moved.where("target is not null").select(*key, "target"))
+        walk = moved.where("target is null and size(stack) > 0")
+    return reduce(DataFrame.union, found, out)
 
 
 def build_graph(files: DataFrame, facts: DataFrame) -> dict[str, DataFrame]:
