@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnwell.operators.order import numbered
+from tarnwell.operators.order import numbered, parts
 from tarnwell.session import drop, durable
 
 
@@ -38,11 +38,16 @@ def lookup(edges: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     return neighbours(edges, nodes, rels, backward).select("node_id", "other")
 
 
-def degrees(edges: DataFrame, rels: list[str] | None = None) -> DataFrame:
-    """(node_id, degree): distinct other nodes over both directions."""
+def degrees(edges: DataFrame, rels: list[str] | None = None, rows: int | None = None) -> DataFrame:
+    """(node_id, degree): distinct other nodes over both directions.
+
+    Ends are dealt out by pairs before equal ones are looked for, into parts whose size does not grow with the graph. ``rows``: about
+    how many edges there are, which else are counted.
+    """
     e = edges if rels is None else edges.where(F.col("rel").isin(rels))
+    n = parts(e.sparkSession, 2 * (e.count() if rows is None else rows))
     both = e.select(F.col("src").alias("node_id"), F.col("dst").alias("other")).union(e.select(F.col("dst"), F.col("src")))
-    return both.where("node_id <> other").distinct().groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"))
+    return both.where("node_id <> other").repartition(n, "node_id", "other").distinct().groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"))
 
 
 def hub_cut(deg: DataFrame, least: int = 50) -> DataFrame:
@@ -247,7 +252,7 @@ def stats(edges: DataFrame) -> DataFrame:
     return edges.groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
 
 
-def question_walk(nodes: DataFrame, edges: DataFrame, words: DataFrame, hops: int = 2, seeds: int = 3, share: float = 0.2) -> DataFrame:
+def question_walk(nodes: DataFrame, edges: DataFrame, words: DataFrame, hops: int = 2, seeds: int = 3, share: float = 0.2, edge_rows: int | None = None) -> DataFrame:
     """(question, node_id, depth, score): nodes whose names answer a question's words, and what is within ``hops`` of them.
 
     words: (question, word). A word scores a node by how its name has it (equal 3, beginning 2, inside 1) times the word's idf
@@ -269,7 +274,7 @@ def question_walk(nodes: DataFrame, edges: DataFrame, words: DataFrame, hops: in
     first = top.where((F.col("rn") <= seeds) & (F.col("score") >= share * F.col("best"))).select("question", "node_id")
     each = scored.withColumn("rn", F.row_number().over(W.partitionBy("question", "word").orderBy(F.desc("s"), "node_id"))).where("rn = 1").select("question", "node_id")
     start = first.union(each).distinct()
-    deg = degrees(edges)
+    deg = degrees(edges, rows=edge_rows)
     hubs = deg.join(F.broadcast(hub_cut(deg))).where("degree >= cut").select("node_id")
     both = edges.select("src", "dst").union(edges.select("dst", "src"))
     seen = reach(both, start.select("node_id").distinct(), hops, hubs)
@@ -432,9 +437,10 @@ def modularity(edges: DataFrame, labels: DataFrame) -> Column | DataFrame:
     return deg.join(F.broadcast(m)).groupBy("m", "inner").agg(F.sum(F.pow(F.col("d") / (2 * F.col("m")), 2)).alias("e")).select((F.col("inner") / F.col("m") - F.col("e")).alias("q"))
 
 
-def group_map(nodes: DataFrame, edges: DataFrame, labels: DataFrame, top: int = 5, files: int = 3) -> DataFrame:
-    """(community, size, leaders, files): each community's ``top`` nodes by degree and ``files`` paths by members."""
-    deg = degrees(edges)
+def group_map(nodes: DataFrame, edges: DataFrame, labels: DataFrame, top: int = 5, files: int = 3, edge_rows: int | None = None) -> DataFrame:
+    """(community, size, leaders, files): each community's ``top`` nodes by degree and ``files`` paths by members; ``edge_rows``:
+    the ``rows`` of :func:`degrees`."""
+    deg = degrees(edges, rows=edge_rows)
     rows = labels.join(nodes, "node_id").join(deg, "node_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     lead = rows.withColumn("rn", F.row_number().over(W.partitionBy("community").orderBy(F.desc("degree"), "node_id"))).where(F.col("rn") <= top)
     lead = lead.groupBy("community").agg(F.sort_array(F.collect_list(F.struct("rn", "name"))).alias("l")).select("community", F.col("l.name").alias("leaders"))

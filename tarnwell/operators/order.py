@@ -1,13 +1,21 @@
-"""Row numbers over a total order of a whole table, without one task that sees all rows."""
+"""Row numbers over a total order of a whole table, without one task that sees all rows; parts that do not grow with their table."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnwell.session import durable
 
+#: Rows of one task that has to hold them all, if the session's shuffle partitions would give it more.
+DEALT = 500_000
+
+
+def parts(spark: SparkSession, rows: int) -> int:
+    """Into how many parts ``rows`` rows are dealt: the session's shuffle partitions, or as many as :data:`DEALT` asks for."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // DEALT))
+
 
 def numbered(df: DataFrame, by: list[str | Column], name: str = "n", start: int = 0) -> DataFrame:
     """``df`` with a number for each row in the order of ``by`` (a total order, else equal rows are numbered as they come).

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.operators import graph as G
-from tarnwell.plans.catalog import NODES_CTE, PART, REGION, calls, contains, edges, nodes, query
+from tarnwell.plans.catalog import NODES_CTE, PART, REGION, calls, contains, edges, most_calls, nodes, query
 from tarnwell.session import table
 
 WITH = f"WITH RECURSIVE{NODES_CTE}"
@@ -51,12 +51,12 @@ DEGREES = f"{WITH}, b AS (SELECT src AS node_id, dst AS other FROM edges UNION S
 
 @query(f"{DEGREES} SELECT node_id, degree FROM deg ORDER BY degree DESC, node_id LIMIT 10")
 def graph_degree_hubs(spark: SparkSession, d: str) -> DataFrame:
-    return G.degrees(edges(spark, d)).orderBy(F.desc("degree"), "node_id").limit(10)
+    return G.degrees(edges(spark, d), rows=most_calls(spark, d)).orderBy(F.desc("degree"), "node_id").limit(10)
 
 
 @query(f"{DEGREES}, o AS (SELECT degree, row_number() OVER (ORDER BY degree) - 1 AS i, count(*) OVER () AS n FROM deg) SELECT greatest(50, (SELECT min(degree) FROM o WHERE i = floor(n * 0.99)))::BIGINT AS cut")
 def graph_hub_cut_p99(spark: SparkSession, d: str) -> DataFrame:
-    return G.hub_cut(G.degrees(edges(spark, d)))
+    return G.hub_cut(G.degrees(edges(spark, d), rows=most_calls(spark, d)))
 
 
 @query(
@@ -89,7 +89,7 @@ WORDS = "('q1', 'united'), ('q1', 'states'), ('q2', 'asia'), ('q2', 'china'), ('
 @query()
 def graph_two_hop_walk(spark: SparkSession, d: str) -> DataFrame:
     words = spark.sql(f"SELECT * FROM VALUES {WORDS} AS v(question, word)")
-    return G.question_walk(nodes(spark, d), edges(spark, d), words)
+    return G.question_walk(nodes(spark, d), edges(spark, d), words, edge_rows=most_calls(spark, d))
 
 
 @query(
@@ -158,7 +158,7 @@ def graph_louvain(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def graph_group_map(spark: SparkSession, d: str) -> DataFrame:
     e, n = edges(spark, d), nodes(spark, d)
-    m = G.group_map(n, e, G.louvain(e, nodes=n))
+    m = G.group_map(n, e, G.louvain(e, nodes=n), edge_rows=most_calls(spark, d))
     return m.select("community", "size", F.array_join("leaders", "; ").alias("leaders"), F.array_join("files", "; ").alias("files"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 import __spark_entry__ as entry
 from tarnwell.operators import graph as G
+from tarnwell.operators import order
 from tarnwell.plans.catalog import edges, nodes
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +39,19 @@ def test_contracted_modularity_is_near_one_task(spark):
     e = edges(spark, SF).select("src", "dst")
     q = [G.modularity(e, G.louvain(e, max_edges=m)).first().q for m in (2_000_000, 500)]
     assert q[1] > q[0] - 0.05
+
+
+def test_degrees_are_counted_in_bounded_parts(spark, monkeypatch):
+    """Two thousand edges in parts of at most about a hundred ends, whatever the session's shuffle partitions are."""
+    monkeypatch.setattr(order, "DEALT", 100)
+    rng = random.Random(2)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(2000)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    deg = G.degrees(edges)
+    assert "hashpartitioning(node_id" in (plan := deg._jdf.queryExecution().executedPlan().toString()) and ", 40)" in plan
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    assert {r.node_id: r.degree for r in deg.collect()} == {k: len(v) for k, v in near.items()}
