@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnwell.operators.order import numbered, parts
+from tarnwell.operators.order import numbered, parts, shuffled
 from tarnwell.session import drop, durable
 
 
@@ -282,20 +282,24 @@ def question_walk(nodes: DataFrame, edges: DataFrame, words: DataFrame, hops: in
     return walked.join(total, ["question", "node_id"], "left").select("question", "node_id", "depth", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10, nodes: DataFrame | None = None) -> DataFrame:
+def label_propagation(edges: DataFrame, rounds: int = 10, nodes: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """(node_id, community): each node takes the most frequent label around it (itself included), the smaller of equals.
 
-    A distributed stand-in for modularity clustering. Those of ``nodes`` that have no edge are communities of their own.
+    A distributed stand-in for modularity clustering. Those of ``nodes`` that have no edge are communities of their own. Edges and
+    votes are dealt into parts that do not grow with the graph; ``rows`` as in :func:`degrees`.
     """
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).where("a <> b").distinct()
-    both = durable(both, "both")
+    spark = edges.sparkSession
+    n = parts(spark, 2 * (edges.count() if rows is None else rows))
+    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).where("a <> b")
+    both = durable(both.repartition(n, "a", "b").distinct(), "both")
     ids = both.select(F.col("a").alias("node_id"))
     ids = ids if nodes is None else ids.union(nodes.select(F.col("node_id").cast("long")))
     labels = durable(ids.distinct().withColumn("community", F.col("node_id")), "labels")
     for _ in range(rounds):
         votes = both.join(labels, F.col("b") == F.col("node_id")).select(F.col("a").alias("node_id"), "community").union(labels.select("node_id", "community"))
         count = votes.groupBy("node_id", "community").agg(F.count(F.lit(1)).alias("c"))
-        new = durable(count.groupBy("node_id").agg(F.min(F.struct((-F.col("c")).alias("c"), "community")).alias("m")).select("node_id", "m.community"), "labels")
+        with shuffled(spark, n):
+            new = durable(count.groupBy("node_id").agg(F.min(F.struct((-F.col("c")).alias("c"), "community")).alias("m")).select("node_id", "m.community"), "labels")
         moved = new.join(labels.withColumnRenamed("community", "old"), "node_id").where("community <> old").limit(1).count()
         drop(labels)
         labels = new

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +20,18 @@ def parts(spark: SparkSession, rows: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // DEALT))
 
 
+@contextmanager
+def shuffled(spark: SparkSession, n: int) -> Iterator[None]:
+    """Within it, what is written is shuffled into ``n`` parts, hot keys of joins apart; small ones are still put together."""
+    key = "spark.sql.shuffle.partitions"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def numbered(df: DataFrame, by: list[str | Column], name: str = "n", start: int = 0) -> DataFrame:
     """``df`` with a number for each row in the order of ``by`` (a total order, else equal rows are numbered as they come).
 

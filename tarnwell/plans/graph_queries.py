@@ -147,7 +147,7 @@ def call_resolution_tiers(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def graph_communities(spark: SparkSession, d: str) -> DataFrame:
     """Communities of the graph of containment and calls, by label propagation."""
-    return G.label_propagation(edges(spark, d), 5, nodes(spark, d))
+    return G.label_propagation(edges(spark, d), 5, nodes(spark, d), most_calls(spark, d))
 
 
 @query()

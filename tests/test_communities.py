@@ -55,3 +55,17 @@ def test_degrees_are_counted_in_bounded_parts(spark, monkeypatch):
             near.setdefault(a, set()).add(b)
             near.setdefault(b, set()).add(a)
     assert {r.node_id: r.degree for r in deg.collect()} == {k: len(v) for k, v in near.items()}
+
+
+def test_labels_are_counted_in_bounded_parts(spark, monkeypatch):
+    """Each round is shuffled into as many parts as its edges ask for; afterwards the session is as it was."""
+    monkeypatch.setattr(order, "DEALT", 100)
+    key, seen, was = "spark.sql.shuffle.partitions", {}, G.durable
+    before = spark.conf.get(key)
+    monkeypatch.setattr(G, "durable", lambda df, name="t": (seen.setdefault(name, []).append(spark.conf.get(key)), was(df, name))[1])
+    rng = random.Random(3)
+    edges = spark.createDataFrame([(rng.randrange(30), rng.randrange(30)) for _ in range(600)], "src long, dst long")
+    got = {r.node_id: r.community for r in G.label_propagation(edges, 2).collect()}
+    assert seen["labels"][1:] == ["12", "12"] and spark.conf.get(key) == before
+    monkeypatch.setattr(order, "DEALT", 500_000)
+    assert got == {r.node_id: r.community for r in G.label_propagation(edges, 2).collect()}
