@@ -23,6 +23,8 @@ from tarnwell.session import durable
 from tarnwell.sources import commits
 
 FAN = 4
+#: Ids of documents that are sent to every task, so that postings are left where they lie; more of them are met by a shuffle.
+SENT = 1_000_000
 
 
 @dataclass
@@ -51,16 +53,31 @@ class Segments:
             out = out.union(self._part(s, name).select(*[c.split()[0] for c in schema.split(", ")], F.lit(s["order"]).cast("long").alias("seq")))
         return out
 
-    def _alive(self, segments: list[dict], name: str, schema: str, also: DataFrame | None = None) -> DataFrame:
-        """A part of every segment without the documents that a later segment buried; ``also``: more tombstones, of now."""
-        gone = self._union(segments, "gone", f"doc_id {self.ids}")
-        if also is not None:
-            gone = gone.union(also.select("doc_id", F.lit(2**62).alias("seq")))
-        gone = gone.groupBy("doc_id").agg(F.max("seq").alias("until"))
-        rows = self._union(segments, name, schema)
-        if len(segments) == 1 and also is None:
-            return rows.drop("seq")
-        return rows.join(gone, "doc_id", "left").where(F.col("until").isNull() | (F.col("seq") >= F.col("until"))).select(*[c.split()[0] for c in schema.split(", ")])
+    def _alive(self, segments: list[dict], name: str, schema: str) -> DataFrame:
+        """A part of every segment without the documents that a later segment buried.
+
+        Each segment is met by the tombstones of those after it. Up to :data:`SENT` of them are sent to its rows, which are not shuffled.
+        """
+        columns = [c.split()[0] for c in schema.split(", ")]
+        out = self.spark.createDataFrame([], schema)
+        for i, s in enumerate(segments):
+            rows, later = self._part(s, name).select(*columns), segments[i + 1 :]
+            if later:
+                gone = self._union(later, "gone", f"doc_id {self.ids}").select("doc_id")
+                rows = rows.join(self._sent(gone, sum(self._buried(x) for x in later)), "doc_id", "left_anti").select(*columns)
+            out = out.union(rows)
+        return out
+
+    def _buried(self, segment: dict) -> int:
+        """How many tombstones a segment has; segments of before this was noted are asked."""
+        if "gone" not in segment:
+            segment["gone"] = self._part(segment, "gone").count()
+        return segment["gone"]
+
+    @staticmethod
+    def _sent(ids: DataFrame, n: int) -> DataFrame:
+        """``ids``, of which there are ``n`` at most, for a join with postings."""
+        return F.broadcast(ids.distinct()) if n <= SENT else ids.distinct()
 
     # -- writing ------------------------------------------------------------------------------------------------------
 
@@ -89,10 +106,10 @@ class Segments:
         words = self.spark.read.parquet(f"{here}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
         if less.n:
             post = self._alive(segments, "postings", f"term string, doc_id {self.ids}, tf bigint")
-            off = post.join(old.select("doc_id"), "doc_id", "left_semi").groupBy("term").agg((-F.count(F.lit(1))).alias("df"), (-F.sum("tf")).alias("cf"))
+            off = post.join(self._sent(old.select("doc_id"), less.n), "doc_id", "left_semi").groupBy("term").agg((-F.count(F.lit(1))).alias("df"), (-F.sum("tf")).alias("cf"))
             words = words.union(off).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df <> 0 or cf <> 0")
         words.write.parquet(f"{here}/words")
-        segments = [*segments, {"name": name, "order": max((s["order"] for s in segments), default=0) + 1, "tokens": more.total}]
+        segments = [*segments, {"name": name, "order": max((s["order"] for s in segments), default=0) + 1, "tokens": more.total, "gone": less.n}]
         commits.commit(self.spark, f"{self.root}/commits", number + 1, {"segments": segments, "n": content["n"] + more.n - less.n, "total": content["total"] + more.total - less.total})
         return {"documents": more.n, "replaced_or_removed": less.n, "segments": len(segments)}
 
@@ -136,7 +153,8 @@ class Segments:
         part, name = segments[a:b], f"segment-{uuid.uuid4().hex}"
         here = f"{self.root}/{name}"
         post = self._alive(part, "postings", f"term string, doc_id {self.ids}, tf bigint, dl bigint")
-        post.repartition("doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{here}/postings")
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-content["n"] // I.DEALT))
+        post.repartition(parts, "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{here}/postings")
         self._alive(part, "docs", f"doc_id {self.ids}, dl bigint, digest string").write.parquet(f"{here}/docs")
         gone = self._union(part, "gone", f"doc_id {self.ids}, dl bigint").groupBy("doc_id").agg(F.max("dl").alias("dl"))
         (gone if a else gone.where("false")).write.parquet(f"{here}/gone")
