@@ -69,3 +69,19 @@ def test_labels_are_counted_in_bounded_parts(spark, monkeypatch):
     assert seen["labels"][1:] == ["12", "12"] and spark.conf.get(key) == before
     monkeypatch.setattr(order, "DEALT", 500_000)
     assert got == {r.node_id: r.community for r in G.label_propagation(edges, 2).collect()}
+
+
+def test_edges_lie_still_while_nodes_move(spark, monkeypatch):
+    """In a round of local moves no join deals the edges out anew; the table they lie in is gone afterwards."""
+    key, plans, was = "spark.sql.autoBroadcastJoinThreshold", [], G.durable
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    monkeypatch.setattr(G, "durable", lambda df, name="t": (plans.append(df._jdf.queryExecution().executedPlan().toString()) if "moved" in df.columns else None, was(df, name))[1])
+    try:
+        rng = random.Random(4)
+        level = spark.createDataFrame([(rng.randrange(40), 40 + rng.randrange(40), 1.0) for _ in range(300)], "a long, b long, w double")
+        assert G._local_moves(level, 1.0, 3).count() == len({x for r in level.collect() for x in (r.a, r.b)})
+    finally:
+        spark.conf.set(key, before)
+    assert len(plans) == 3 and all("Bucketed: true" in p and p.count("hashpartitioning(b#") == 1 for p in plans)  # the labels are dealt out to them
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tarnwell_out")]
