@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import uuid
 from collections.abc import Callable
 
@@ -85,40 +86,44 @@ def last_state(events: DataFrame, keys: list[str], offset: str, columns: list[st
 def sightings(events: DataFrame, keys: list[str], keep: int = 50) -> DataFrame:
     """How often each key was seen, first and last, and its newest ``keep`` times (newest first), kept as state across micro-batches.
 
-    Counts and times are a value state, the history a list state of at most ``keep`` numbers, in the store on disk that
-    ``transformWithState`` needs (it is set for the session's later streams). A batch brings a key's times in pieces, of each of
-    which the newest ``keep`` can count.
+    A key's count, times and history are one value state, read and written once for a key and micro-batch, in the store on disk that
+    ``transformWithState`` needs (it is set for the session's later streams). A key's rows pass one by one, and only its newest
+    ``keep`` are held; a time that is not known is counted.
     """
-    import pandas as pd
+    from pyspark.sql import Row
     from pyspark.sql.streaming import StatefulProcessor
 
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kinds = dict(events.dtypes)
     fields = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    made = Row(*keys, "n", "first_at", "last_at", "history")
 
     class Seen(StatefulProcessor):
         def init(self, handle) -> None:  # noqa: ANN001
-            self.total = handle.getValueState("total", "n long, first_at long, last_at long")
-            self.newest = handle.getListState("newest", "at long")
+            self.seen = handle.getValueState("seen", "n long, first_at long, last_at long, history array<long>")
 
         def handleInputRows(self, key, rows, timer_values):  # noqa: ANN001, ANN201, N802
-            n, first, last = self.total.get() if self.total.exists() else (0, None, None)
-            history = [r[0] for r in self.newest.get()] if self.newest.exists() else []
-            for f in rows:
-                n += len(f)
-                lo, hi = int(f["at"].min()), int(f["at"].max())
-                first, last = lo if first is None else min(first, lo), hi if last is None else max(last, hi)
-                history = sorted([*history, *map(int, f["at"].nlargest(keep))], reverse=True)[:keep]
-            self.total.update((n, first, last))
-            self.newest.put([(x,) for x in history])
-            yield pd.DataFrame([[*key, n, first, last, history]], columns=[*keys, "n", "first_at", "last_at", "history"])
+            n, first, last, newest = self.seen.get() or (0, None, None, [])
+            newest = sorted(newest)  # a heap
+            for row in rows:
+                n, at = n + 1, row["at"]
+                if at is None:
+                    continue
+                first, last = at if first is None else min(first, at), at if last is None else max(last, at)
+                if len(newest) < keep:
+                    heapq.heappush(newest, at)
+                elif at > newest[0]:
+                    heapq.heapreplace(newest, at)
+            history = sorted(newest, reverse=True)
+            self.seen.update((n, first, last, history))
+            yield made(*key, n, first, last, history)
 
         def close(self) -> None:
             pass
 
     flat = events.select(*keys, epoch("ts", "MICROSECOND").alias("at"))
-    return flat.groupBy(*keys).transformWithStateInPandas(Seen(), f"{fields}, n long, first_at long, last_at long, history array<long>", "Update", "None")
+    return flat.groupBy(*keys).transformWithState(Seen(), f"{fields}, n long, first_at long, last_at long, history array<long>", "Update", "None")
 
 
 def time_neighbours(left: DataFrame, right: DataFrame, hours: int = 24, by: list[str] | None = None, late: str = "1 hour") -> DataFrame:
