@@ -4,10 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 
+import __spark_entry__ as entry
 from tarnwell.operators import memory as M
 from tarnwell.operators import vectors as V
 
 
+def test_near_duplicates_have_all_partners(spark, tmp_path):
+    """One vector is near to 10,049 others, which are not near to each other."""
+    n = 10_050
+    spark.range(n).selectExpr("id AS vec_id", "CAST(0 AS INT) AS label", "array(CAST(IF(id = 0, 1.0, 0.4) AS FLOAT)) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(n, 2 * n).selectExpr("id AS vec_id", "CAST(0 AS INT) AS label", "array(CAST(IF(id % 10050 = 5, 1.0, 0.4) AS FLOAT), CAST(0 AS FLOAT)) AS embedding").write.mode("append").parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.a, r.b) for r in entry.queries()["near_duplicates_text"](spark, str(tmp_path)).collect()}
+    ents = lambda i: {i % 3, 10 + i % 4} if i % 5 else set()
+    met = lambda a, b: bool(ents(a) & ents(b)) or not (ents(a) or ents(b))
+    pairs = [(0, i) for i in range(1, n)] + [(min(n + 5, i), max(n + 5, i)) for i in range(n, 2 * n) if i != n + 5]
+    assert got == {(a, b) for a, b in pairs if met(a, b)}
+
+
 def test_vectors_sent_in_parts_are_not_copied(spark, monkeypatch):
     monkeypatch.setattr(V, "SENT", 4000)
     monkeypatch.setattr(V, "HELD", 100)
