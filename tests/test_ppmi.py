@@ -6,6 +6,8 @@ import hashlib
 import math
 from collections import defaultdict
 
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from tarnwell.operators import index as I
 
@@ -46,3 +48,25 @@ def test_vectors_are_those_of_the_formula_and_nothing_is_made_for_a_posting_and_
     for got, want in ((got_t, t), (got_d, d_)):
         assert {k for k, _ in got} == set(want)
         assert all(abs(got.get((k, j), 0.0) - x) < 1e-9 for k, v in want.items() for j, x in enumerate(v))
+
+
+def test_vectors_are_handed_on_whole(spark):
+    """Vectors as one value are those of the rows, and one shuffle of postings and one to the documents makes them."""
+    for dims in (32, 300):
+        post = spark.createDataFrame([(f"w{w}", d, 1 + (w * d) % 3) for w in range(12) for d in range(60) if (d * (w + 3)) % 17 < 4], "term string, doc_id long, tf long")
+        rows, whole = I.ppmi_vectors(post, dims, 4), I.ppmi_vectors(post.withColumn("dl", F.sum("tf").over(W.partitionBy("doc_id"))), dims, 4, whole=True)
+        for one, key, n in ((0, "term", 2), (1, "doc_id", 3)):
+            want = defaultdict(lambda: [0.0] * dims)  # noqa: B023
+            for r in rows[one].collect():
+                want[r[key]][r.dim] = r.x
+            got = {r[key]: r.v for r in whole[one].collect()}
+            assert set(got) == set(want) and all(abs(a - b) < 1e-12 for k in want for a, b in zip(got[k], want[k], strict=True))
+            assert whole[one]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == n
+
+
+def test_each_part_of_the_documents_is_a_task_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(I, "DEALT", 2)
+    post = spark.createDataFrame([(f"w{(w + d) % 30}", d, 1 + w) for w in range(3) for d in range(72)], "term string, doc_id long, tf long")
+    by_doc = I.ppmi_vectors(post, 32, 4)[1]
+    tasks = by_doc.select("doc_id", F.spark_partition_id().alias("task"), F.pmod(F.xxhash64("doc_id"), F.lit(9)).alias("part")).distinct().collect()
+    assert {r.doc_id for r in tasks} == set(range(72)) and all(r.task == r.part for r in tasks)
